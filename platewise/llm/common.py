@@ -42,3 +42,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+BUCKETS = 1 << 20  # hash buckets of ids that a broadcast may hold: at most this many rows
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_bucket")
+
+
+def _buckets(ids: DataFrame, key: str) -> DataFrame:
+    return F.broadcast(ids.select(_bucket(key)).distinct())
+
+
+def maybe_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key may be in ``ids``: all that are, and few others.
+
+    The broadcast side holds hash buckets and has at most ``BUCKETS`` rows whatever the size of
+    ``ids``; a full one only filters less.
+    """
+    return df.withColumn("_bucket", _bucket(key)).join(_buckets(ids, key), "_bucket", "left_semi").drop("_bucket")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``ids``; rows with a null key stay.
+
+    Most rows are surely not in the set and stay where they are; only the others are joined.
+    """
+    sure = df.withColumn("_bucket", _bucket(key)).join(_buckets(ids, key), "_bucket", "left_anti").drop("_bucket")
+    checked = maybe_in(df, ids, key).join(ids.select(key).distinct(), key, "left_anti")
+    return sure.select(df.columns).unionByName(checked.select(df.columns))

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from platewise.llm.bpe import op6_byte_bpe
 from platewise.llm.chat import op7_chat
+from platewise.llm.jaccard import op2_jaccard
 from platewise.llm.merkle import op3_merkle
 from platewise.llm.sharding import op4_hilbert_shards
+from platewise.llm.toxicity import op1_toxicity
 from platewise.llm.url_filter import ORACLE as URL_SQL
 from platewise.llm.url_filter import op10_url_filter
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_jaccard": op2_jaccard,
     "op3_merkle": op3_merkle,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op6_byte_bpe": op6_byte_bpe,

@@ -10,6 +10,7 @@ from platewise.llm.sharding import op4_hilbert_shards
 from platewise.llm.toxicity import op1_toxicity
 from platewise.llm.url_filter import ORACLE as URL_SQL
 from platewise.llm.url_filter import op10_url_filter
+from platewise.llm.wrapper import op9_wrapper
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_hilbert_shards": op4_hilbert_shards,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat": op7_chat,
+    "op9_wrapper": op9_wrapper,
     "op10_url_filter": op10_url_filter,
 }
 

@@ -40,8 +40,10 @@ from xxhash import xxh3_64_intdigest, xxh64_intdigest
 from platewise.llm.common import drop, keep, maybe_in, table, without
 
 ORDERS = 3
-SHARE = 3  # prefix tokens that two linked sets share, where the sets are large enough
-SMALL_BLOCK = 32
+SHARE = 3  # tokens that prefixes of linked sets share at least, if the sets are large enough
+JOIN_PART = 5  # and, in percent, this part of large ones under the first order
+FILTER_PART = 20  # and under the others
+SMALL_BLOCK = 64
 DEMOTE_AT = 64
 MAX_DEMOTED = 1 << 17
 LOCAL_COUNT = 3
@@ -49,6 +51,7 @@ FLUSH = 4_000_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MUL2 = np.uint64(0xBF58476D1CE4E5B9)
+_SEEDS = [np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k in range(1, ORDERS)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,6 +71,10 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(mix(s + np.uint64(k)))
 
 
+def node_of(s: np.ndarray) -> int:
+    return int(np.uint64(xxh3_64_intdigest(s.tobytes())).view(np.int64))
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     """A row per text (heavy false) and, besides, the shingles frequent within a task (heavy true)."""
     schema = "heavy boolean, doc_id bigint, n bigint, node bigint, s array<bigint>, tok bigint, cnt bigint"
@@ -97,7 +104,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                     nodes.append(None)
                     sets.append(None)
                     continue
-                node = int(np.uint64(xxh3_64_intdigest(s.tobytes())).view(np.int64))
+                node = node_of(s)
                 nodes.append(node)
                 sets.append(None if node in seen else s.view(np.int64))
                 if node not in seen:
@@ -111,7 +118,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield full(flush())
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, schema)
+    return docs.mapInPandas(run, schema)
 
 
 def least_overlap(n, percent: int):
@@ -119,8 +126,23 @@ def least_overlap(n, percent: int):
     return (n * percent + 99) // 100
 
 
+def share(n: int, percent: int, part: int) -> int:
+    """Prefix tokens that a set of ``n`` shares with any linked one, for prefixes that much longer."""
+    return min(least_overlap(n, percent), max(SHARE, n * part // 100))
+
+
+def share_col(n: Column, percent: int, part: int) -> Column:
+    return F.least(F.floor((n * percent + 99) / 100), F.greatest(F.lit(SHARE), F.floor(n * part / 100))).cast("int")
+
+
+def prefix(s: np.ndarray, rank: np.ndarray, percent: int, part: int) -> np.ndarray:
+    """The first tokens of a set in the order of ``rank``."""
+    p = len(s) - least_overlap(len(s), percent) + share(len(s), percent, part)
+    return s[np.argpartition(rank, p - 1)[:p]] if p < len(s) else s
+
+
 def _prefixes(sets: DataFrame, demoted: np.ndarray, percent: int) -> DataFrame:
-    """Prefix tokens of each node under the first order: (node, n, toks)."""
+    """Each node's prefix tokens under the first order: (node, n, toks)."""
     late = sets.sparkSession.sparkContext.broadcast(demoted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,16 +151,43 @@ def _prefixes(sets: DataFrame, demoted: np.ndarray, percent: int) -> DataFrame:
             toks = []
             for s in pdf.s:
                 s = np.asarray(s, dtype=np.int64)
-                need = least_overlap(len(s), percent)
-                p = len(s) - need + min(SHARE, need)
                 rank = mix(s.view(np.uint64)) >> np.uint64(1)
                 if len(last):
                     at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                     rank |= (last[at] == s).astype(np.uint64) << np.uint64(63)
-                toks.append(s[np.argpartition(rank, p - 1)[:p]] if p < len(s) else s)
+                toks.append(prefix(s, rank, percent, JOIN_PART))
             yield pd.DataFrame({"node": pdf.node, "n": pdf.n, "toks": toks})
 
-    return sets.mapInPandas(run, "node bigint, n bigint, toks array<bigint>")
+    made = sets.mapInPandas(run, "node bigint, n bigint, toks array<bigint>")
+    # a copy in another task made the same row
+    return made.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("toks").alias("toks"))
+
+
+def _whole(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, n, s, o1, o2, ...): whole sets, and their prefixes under the other orders.
+
+    Of those prefixes the lower 32 bits of a token are kept; where two tokens of a prefix agree in
+    them, the filter allows for it.
+    """
+    others = [f"o{k}" for k in range(1, ORDERS)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cols = {c: [] for c in ("node", "n", "s", *others)}
+            for text in pdf.text:
+                s = shingle_set(text, n)
+                if not len(s):
+                    continue
+                cols["node"].append(node_of(s))
+                cols["n"].append(len(s))
+                cols["s"].append(s.view(np.int64))
+                for k, o in enumerate(others):
+                    cols[o].append(np.unique(prefix(s, mix(s + _SEEDS[k]), percent, FILTER_PART).astype(np.uint32)).view(np.int32))
+            yield pd.DataFrame(cols)
+
+    schema = "node bigint, n bigint, s array<bigint>, " + ", ".join(f"{o} array<int>" for o in others)
+    made = docs.select("text").mapInPandas(run, schema)
+    return made.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "s", *others)])
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
@@ -146,31 +195,40 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
 
-def _other_orders(s: Column, n: Column, percent: int) -> list[Column]:
-    need = F.floor((n * percent + 99) / 100)
-    p = (n - need + F.least(F.lit(SHARE), need)).cast("int")
 
-    def under(k):  # the tokens' ranks in order k
-        return F.transform(s, lambda x: F.xxhash64(x, F.lit(k)))
+def _with_both(pairs: DataFrame, nodes: DataFrame, cols: list[str]) -> DataFrame:
+    """``pairs`` with the columns of either node, named ``<col>_a`` and ``<col>_b``."""
+    wanted = maybe_in(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
+    for x in "ab":
+        pairs = pairs.join(wanted.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols]), x)
+    return pairs
 
-    return [F.slice(F.array_sort(under(k)), F.lit(1), p) for k in range(1, ORDERS)]
 
+def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The candidate pairs (a, b) that pass the other orders' filters and link.
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, str]:
-    """The candidate pairs (a, b) that link."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    wanted = maybe_in(sets, nodes, "node").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("s").alias("s"))
-    wanted = wanted.withColumn("o", F.array(*_other_orders(F.col("s"), F.col("n"), percent)))
-    side = lambda x: wanted.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"), F.col("o").alias(f"o{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    for i in range(ORDERS - 1):
-        both = both.where(F.arrays_overlap(F.col("oa")[i], F.col("ob")[i]))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    both = both.withColumn("shared", shared.cast("bigint")).where(F.expr(f"100 * shared >= {percent} * (na + nb - shared)"))
-    return keep(both.select("a", "b"), "links")
+    Sets are made again from the texts, for the nodes of the pairs alone; ``reps`` has a document
+    of each node.
+    """
+    spark = pairs.sparkSession
+    ids = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    texts = maybe_in(docs, ids.select(F.col("rep").alias("doc_id")), "doc_id").unionByName(docs.where("doc_id is null"))
+    nodes, p1 = keep(_whole(texts, n, percent), "nodes")
+    others = [f"o{k}" for k in range(1, ORDERS)]
+    passed = _with_both(pairs, nodes, ["n", *others])
+    need = F.least(*[share_col(F.col(f"n_{x}"), percent, FILTER_PART) for x in "ab"])
+    for o in others:
+        whole = F.col("n_a") - F.floor((F.col("n_a") * percent + 99) / 100) + share_col(F.col("n_a"), percent, FILTER_PART)
+        alike = whole - F.size(f"{o}_a")  # tokens of the prefix that agree with another one in 32 bits
+        passed = passed.where(F.size(F.array_intersect(f"{o}_a", f"{o}_b")) >= need - alike)
+    passed, p2 = keep(passed.select("a", "b"), "passed")
+    both = _with_both(passed, nodes, ["n", "s"])
+    both = both.withColumn("shared", F.size(F.array_intersect("s_a", "s_b")).cast("bigint"))
+    links, _ = keep(both.where(F.expr(f"100 * shared >= {percent} * (n_a + n_b - shared)")).select("a", "b"), "links")
+    drop(spark, p1, p2)
+    return links
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> tuple[DataFrame | None, list[str]]:
@@ -197,29 +255,38 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> tuple[Dat
     return assigned, held
 
 
+def _sharing(met: DataFrame, elsewhere: str, percent: int) -> DataFrame:
+    """Pairs that met (x, y) often enough, given the tokens that they may share elsewhere."""
+    need = F.least(share_col(F.col("x.n"), percent, JOIN_PART), share_col(F.col("y.n"), percent, JOIN_PART)) - F.least(f"x.{elsewhere}", f"y.{elsewhere}")
+    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), need.alias("need"))
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where("k >= need").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id reachable by links)."""
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     made, big = keep(_sets(docs, n), "sets")
     light, _ = keep(made.where("not heavy").select("doc_id", "n", "node"), "docs")
+    reps = light.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     sets = made.where("s is not null").select("node", "n", "s")
     frequent = made.where("heavy").groupBy("tok").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= DEMOTE_AT)
     demoted = frequent.orderBy(F.col("cnt").desc(), "tok").limit(MAX_DEMOTED).select("tok").toPandas().tok.to_numpy(dtype=np.int64)
 
-    prefixes = _prefixes(sets, np.sort(demoted), percent).groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("toks").alias("toks"))
-    tokens, t1 = keep(prefixes.select("node", "n", F.explode("toks").alias("tok")), "tokens")
+    prefixes, t1 = keep(_prefixes(sets, np.sort(demoted), percent), "prefixes")
+    drop(spark, big)
+    tokens = prefixes.select("node", "n", F.explode("toks").alias("tok"))
     blocks = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     tokens, t2 = keep(tokens.join(blocks, "tok"), "blocks")
-    drop(spark, t1)
 
-    small, large = tokens.where(F.col("c") <= SMALL_BLOCK), tokens.where(F.col("c") > SMALL_BLOCK)
-    n_large = large.groupBy("node").agg(F.count(F.lit(1)).alias("in_large"))
-    small = small.join(n_large, "node", "left").select("tok", "node", "n", F.coalesce("in_large", F.lit(0)).alias("in_large"))
+    # tokens of a prefix that are met elsewhere, in small and in large blocks
+    in_large = F.col("c") > SMALL_BLOCK
+    per_node = tokens.groupBy("node").agg(F.count_if(in_large).alias("in_large"), F.count_if(~in_large).alias("in_small"))
+    tokens = tokens.join(per_node, "node")
+    small, large = tokens.where(~in_large), tokens.where(in_large)
     x, y = small.alias("x"), small.alias("y")
     met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.node") < F.col("y.node")) & _fits(F.col("x.n"), F.col("y.n"), percent))
-    need = F.least(F.lit(SHARE), F.floor((F.least("x.n", "y.n") * percent + 99) / 100)) - F.least("x.in_large", "y.in_large")
-    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), need.alias("need"))
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where("k >= need").select("a", "b")
+    pairs = _sharing(met, "in_large", percent)
 
     any_large = large.limit(1).count() > 0
     if any_large:
@@ -227,18 +294,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         large = large.withColumn("size", size_class)
         hubs = large.groupBy("tok", F.col("size").alias("hub_size")).agg(F.array_distinct(F.array(F.min("node"), F.max("node"))).alias("hubs"))
         met = large.withColumn("hub_size", F.explode(F.array(F.col("size"), F.col("size") + 1))).join(hubs, ["tok", "hub_size"])
-        pairs = pairs.unionByName(_ordered(met.select(F.col("node").alias("a"), F.explode("hubs").alias("b")).distinct())).distinct()
+        met = met.select(F.col("node").alias("a"), "n", F.explode("hubs").alias("b")).groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("k"))
+        pairs = pairs.unionByName(_ordered(met.where(F.col("k") >= share_col(F.col("n"), percent, JOIN_PART)))).distinct()
     pairs, p1 = keep(pairs, "pairs")
-    links, l1 = _verify(pairs, sets, percent)
+    links = _verify(pairs, reps, docs, n, percent)
     drop(spark, p1)
     label, held = components(links)
 
     if any_large:
-        large = large.select("tok", "node", "n")
+        large = large.select("tok", "node", "n", "in_small")
         if label is None:
             placed = large.withColumn("comp", F.col("node"))
         else:
-            placed = large.join(label, "node", "left").select("tok", "node", "n", F.coalesce("label", "node").alias("comp"))
+            placed = large.join(label, "node", "left").select(*large.columns, F.coalesce("label", "node").alias("comp"))
         placed, p2 = keep(placed, "placed")
         per = placed.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k"))
         main = per.groupBy("tok").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
@@ -246,15 +314,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         x, y = placed.alias("x"), placed.where("comp <> main").alias("y")
         across = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") != F.col("y.comp")) & _fits(F.col("x.n"), F.col("y.n"), percent)
         across &= (F.col("x.comp") == F.col("x.main")) | (F.col("x.node") < F.col("y.node"))
-        rest, p3 = keep(_ordered(x.join(y, across).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))), "across")
-        more, _ = _verify(rest, sets, percent)
+        rest, p3 = keep(_ordered(_sharing(x.join(y, across), "in_small", percent)).distinct(), "across")
+        more = _verify(rest, reps, docs, n, percent)
         drop(spark, p2, p3)
         if more.limit(1).count():
             drop(spark, *held)
             label, _ = components(links.unionByName(more))
-    drop(spark, big, t2)
+    drop(spark, t1, t2)
 
-    reps = light.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     if label is not None:
         joined = reps.join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
         least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))

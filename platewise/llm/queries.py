@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from platewise.llm.bpe import op6_byte_bpe
 from platewise.llm.chat import op7_chat
+from platewise.llm.decontam import op8_decontam
 from platewise.llm.jaccard import op2_jaccard
 from platewise.llm.merkle import op3_merkle
 from platewise.llm.sharding import op4_hilbert_shards
@@ -19,8 +21,10 @@ QUERIES = {
     "op4_hilbert_shards": op4_hilbert_shards,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat": op7_chat,
+    "op8_decontam": op8_decontam,
     "op9_wrapper": op9_wrapper,
     "op10_url_filter": op10_url_filter,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {"op10_url_filter": URL_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,7 +31,12 @@ def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete tables written by :func:`keep` that nothing reads any more."""
+    """Delete tables written by :func:`keep` that nothing reads any more.
+
+    Shuffle files of the steps before go when the driver has collected the frames that used them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -64,11 +70,16 @@ def maybe_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.withColumn("_bucket", _bucket(key)).join(_buckets(ids, key), "_bucket", "left_semi").drop("_bucket")
 
 
+def surely_not_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The other rows of ``df``."""
+    return df.withColumn("_bucket", _bucket(key)).join(_buckets(ids, key), "_bucket", "left_anti").drop("_bucket")
+
+
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is not in ``ids``; rows with a null key stay.
 
     Most rows are surely not in the set and stay where they are; only the others are joined.
     """
-    sure = df.withColumn("_bucket", _bucket(key)).join(_buckets(ids, key), "_bucket", "left_anti").drop("_bucket")
+    sure = surely_not_in(df, ids, key)
     checked = maybe_in(df, ids, key).join(ids.select(key).distinct(), key, "left_anti")
     return sure.select(df.columns).unionByName(checked.select(df.columns))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from platewise.llm.common import drop, keep, maybe_in, table, without
+from platewise.llm.common import drop, keep, maybe_in, surely_not_in, table, without
 
 ORDERS = 3
 SHARE = 3  # tokens that prefixes of linked sets share at least, if the sets are large enough
@@ -136,9 +136,12 @@ def share_col(n: Column, percent: int, part: int) -> Column:
 
 
 def prefix(s: np.ndarray, rank: np.ndarray, percent: int, part: int) -> np.ndarray:
-    """The first tokens of a set in the order of ``rank``."""
+    """The first tokens of a set in the order of ``rank``, in that order."""
     p = len(s) - least_overlap(len(s), percent) + share(len(s), percent, part)
-    return s[np.argpartition(rank, p - 1)[:p]] if p < len(s) else s
+    if p < len(s):
+        at = np.argpartition(rank, p - 1)[:p]
+        s, rank = s[at], rank[at]
+    return s[np.argsort(rank)]
 
 
 def _prefixes(sets: DataFrame, demoted: np.ndarray, percent: int) -> DataFrame:
@@ -255,13 +258,6 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> tuple[Dat
     return assigned, held
 
 
-def _sharing(met: DataFrame, elsewhere: str, percent: int) -> DataFrame:
-    """Pairs that met (x, y) often enough, given the tokens that they may share elsewhere."""
-    need = F.least(share_col(F.col("x.n"), percent, JOIN_PART), share_col(F.col("y.n"), percent, JOIN_PART)) - F.least(f"x.{elsewhere}", f"y.{elsewhere}")
-    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), need.alias("need"))
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where("k >= need").select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id reachable by links)."""
     spark = docs.sparkSession
@@ -275,26 +271,31 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     prefixes, t1 = keep(_prefixes(sets, np.sort(demoted), percent), "prefixes")
     drop(spark, big)
-    tokens = prefixes.select("node", "n", F.explode("toks").alias("tok"))
+    tokens = prefixes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("toks").alias("at", "tok"))
     blocks = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     tokens, t2 = keep(tokens.join(blocks, "tok"), "blocks")
-
-    # tokens of a prefix that are met elsewhere, in small and in large blocks
-    in_large = F.col("c") > SMALL_BLOCK
-    per_node = tokens.groupBy("node").agg(F.count_if(in_large).alias("in_large"), F.count_if(~in_large).alias("in_small"))
-    tokens = tokens.join(per_node, "node")
-    small, large = tokens.where(~in_large), tokens.where(in_large)
+    drop(spark, t1)
+
+    # small blocks: all pairs of fitting sizes that meet often enough
+    small, large = tokens.where(F.col("c") <= SMALL_BLOCK), tokens.where(F.col("c") > SMALL_BLOCK)
+    n_large = large.groupBy("node").agg(F.count(F.lit(1)).alias("in_large"))
+    small = small.select("tok", "node", "n")
+    mixed = maybe_in(small, n_large, "node").join(n_large, "node", "left").select(*small.columns, F.coalesce("in_large", F.lit(0)).alias("in_large"))
+    small = surely_not_in(small, n_large, "node").select(*small.columns, F.lit(0).cast("bigint").alias("in_large")).unionByName(mixed)
     x, y = small.alias("x"), small.alias("y")
     met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.node") < F.col("y.node")) & _fits(F.col("x.n"), F.col("y.n"), percent))
-    pairs = _sharing(met, "in_large", percent)
+    need = F.least(*[share_col(F.col(f"{v}.n"), percent, JOIN_PART) for v in "xy"]) - F.least("x.in_large", "y.in_large")
+    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), need.alias("need"))
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where("k >= need").select("a", "b")
 
+    # large blocks: each node and three others of the block
     any_large = large.limit(1).count() > 0
     if any_large:
-        size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
-        large = large.withColumn("size", size_class)
-        hubs = large.groupBy("tok", F.col("size").alias("hub_size")).agg(F.array_distinct(F.array(F.min("node"), F.max("node"))).alias("hubs"))
-        met = large.withColumn("hub_size", F.explode(F.array(F.col("size"), F.col("size") + 1))).join(hubs, ["tok", "hub_size"])
-        met = met.select(F.col("node").alias("a"), "n", F.explode("hubs").alias("b")).groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("k"))
+        # the node with the fewest rare tokens before the shared one is the most central
+        central = F.min_by("node", F.struct("at", "node"))
+        hubs = large.groupBy("tok").agg(F.array_distinct(F.array(central, F.min("node"), F.max("node"))).alias("hubs"))
+        met = large.join(hubs, "tok").select(F.col("node").alias("a"), "n", F.explode("hubs").alias("b"))
+        met = met.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("k"))
         pairs = pairs.unionByName(_ordered(met.where(F.col("k") >= share_col(F.col("n"), percent, JOIN_PART)))).distinct()
     pairs, p1 = keep(pairs, "pairs")
     links = _verify(pairs, reps, docs, n, percent)
@@ -302,7 +303,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     label, held = components(links)
 
     if any_large:
-        large = large.select("tok", "node", "n", "in_small")
+        large = large.select("tok", "node", "n", "at")
         if label is None:
             placed = large.withColumn("comp", F.col("node"))
         else:
@@ -310,17 +311,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         placed, p2 = keep(placed, "placed")
         per = placed.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k"))
         main = per.groupBy("tok").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        placed = placed.join(main.select("tok", "main"), "tok")
+        # a token at place `at` can be the first shared one of a link only if enough tokens follow
+        # it: the other set is no smaller than the least that fits
+        least = F.floor((F.col("n") * percent + 99) / 100)
+        placed = placed.where(F.col("n") - F.col("at") >= least).join(main.select("tok", "main"), "tok")
         x, y = placed.alias("x"), placed.where("comp <> main").alias("y")
         across = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") != F.col("y.comp")) & _fits(F.col("x.n"), F.col("y.n"), percent)
         across &= (F.col("x.comp") == F.col("x.main")) | (F.col("x.node") < F.col("y.node"))
-        rest, p3 = keep(_ordered(_sharing(x.join(y, across), "in_small", percent)).distinct(), "across")
+        # overlap that a link needs, by the sum of the sizes
+        needed = (F.col("x.n") + F.col("y.n")) * percent
+        across &= F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) * (100 + percent) >= needed
+        rest, p3 = keep(_ordered(x.join(y, across).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).distinct(), "across")
         more = _verify(rest, reps, docs, n, percent)
         drop(spark, p2, p3)
         if more.limit(1).count():
             drop(spark, *held)
             label, _ = components(links.unionByName(more))
-    drop(spark, t1, t2)
+    drop(spark, t2)
 
     if label is not None:
         joined = reps.join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))

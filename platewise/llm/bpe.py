@@ -19,15 +19,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from platewise.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 MAX_RANK_FILE = 64 << 20
 CUT_CHARS = 1 << 16
+PIECE_CHARS = 1 << 20
 
 _SAFE = re.compile(r"(?<=\S)(?=\s)")
 _built: dict[str, tiktoken.Encoding] = {}
@@ -76,18 +80,44 @@ def _broadcast_ranks(spark: SparkSession, path: str):
 
 
 def encode_frame(
-    df: DataFrame, text: str = "text", out: str = "ids", rank_path: str | None = None, cut_chars: int = CUT_CHARS
+    df: DataFrame,
+    text: str = "text",
+    out: str = "ids",
+    rank_path: str | None = None,
+    cut_chars: int = CUT_CHARS,
+    exact: str | None = None,
 ) -> DataFrame:
-    """``df`` with a column ``out`` of token ids."""
+    """``df`` with a column ``out`` of token ids and, if named, a column ``exact``: whether they
+    decode to the very bytes of the text.
+
+    A batch is worked off in pieces of about ``PIECE_CHARS`` characters, which bounds a task's
+    memory for ids whatever the batch holds.
+    """
     ranks = _broadcast_ranks(df.sparkSession, rank_path or public_tokenizers.path(RANKS))
+    fields = [StructField(out, ArrayType(IntegerType()))] + ([StructField(exact, BooleanType())] if exact else [])
+    schema = StructType([f for f in df.schema.fields if f.name not in (out, exact)] + fields)
+    kept = [f.name for f in schema.fields[: -len(fields)]]
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks.value)
-        for s in texts:
-            yield pd.Series([encode(enc, t or "", cut_chars) for t in s])
-
-    return df.withColumn(out, ids(F.col(text)))
+        for batch in batches:
+            size = pc.utf8_length(pc.fill_null(batch.column(text), "")).to_numpy(zero_copy_only=False)
+            piece = np.cumsum(size) // PIECE_CHARS
+            edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+            for first, last in zip(edges, edges[1:]):
+                rows = batch.slice(first, last - first)
+                ids, same = [], []
+                for t in rows.column(text).to_pylist():
+                    got = encode(enc, t or "", cut_chars)
+                    ids.append(np.asarray(got, dtype=np.int32))
+                    if exact:
+                        same.append(decode(enc, got) == (t or "").encode())
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                values = np.concatenate(ids) if ids else np.empty(0, np.int32)
+                new = [pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))] + ([pa.array(same, pa.bool_())] if exact else [])
+                yield pa.RecordBatch.from_arrays([rows.column(c) for c in kept] + new, names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def decode_frame(df: DataFrame, ids: str = "ids", out: str = "bytes", rank_path: str | None = None) -> DataFrame:

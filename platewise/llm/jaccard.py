@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from platewise.llm.common import drop, keep, maybe_in, surely_not_in, table, without
+from platewise.llm.common import drop, keep, maybe_in, table, without
 
 ORDERS = 3
 SHARE = 3  # tokens that prefixes of linked sets share at least, if the sets are large enough
@@ -47,7 +47,8 @@ SMALL_BLOCK = 64
 DEMOTE_AT = 64
 MAX_DEMOTED = 1 << 17
 LOCAL_COUNT = 3
-FLUSH = 4_000_000
+FLUSH = 2_000_000
+PIECE = 1000  # rows of a batch that are worked off at a time
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MUL2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -95,26 +96,26 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 pdf["s"] = None
             return pdf[["heavy", "doc_id", "n", "node", "s", "tok", "cnt"]]
 
-        for pdf in batches:
-            ns, nodes, sets = [], [], []
-            for text in pdf.text:
-                s = shingle_set(text, n)
-                ns.append(len(s))
-                if not len(s):
-                    nodes.append(None)
-                    sets.append(None)
-                    continue
-                node = node_of(s)
-                nodes.append(node)
-                sets.append(None if node in seen else s.view(np.int64))
-                if node not in seen:
+        for batch in batches:
+            for i in range(0, len(batch), PIECE):
+                pdf = batch.iloc[i : i + PIECE]
+                ns, nodes, sets = [], [], []
+                for text in pdf.text:
+                    s = shingle_set(text, n)
+                    ns.append(len(s))
+                    node = node_of(s) if len(s) else None
+                    nodes.append(node)
+                    if node is None or node in seen:
+                        sets.append(None)
+                        continue
                     seen.add(node)
                     held.append(s)
                     size += len(s)
-            yield full(pd.DataFrame({"heavy": False, "doc_id": pdf.doc_id.to_numpy(), "n": ns, "node": pd.array(nodes, dtype="Int64"), "s": sets}))
-            if size >= FLUSH:
-                yield full(flush())
-                held, size = [], 0
+                    sets.append(s.view(np.int64))
+                yield full(pd.DataFrame({"heavy": False, "doc_id": pdf.doc_id.to_numpy(), "n": ns, "node": pd.array(nodes, dtype="Int64"), "s": sets}))
+                if size >= FLUSH:
+                    yield full(flush())
+                    held, size = [], 0
         if held:
             yield full(flush())
 
@@ -150,16 +151,17 @@ def _prefixes(sets: DataFrame, demoted: np.ndarray, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = late.value
-        for pdf in batches:
-            toks = []
-            for s in pdf.s:
-                s = np.asarray(s, dtype=np.int64)
-                rank = mix(s.view(np.uint64)) >> np.uint64(1)
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    rank |= (last[at] == s).astype(np.uint64) << np.uint64(63)
-                toks.append(prefix(s, rank, percent, JOIN_PART))
-            yield pd.DataFrame({"node": pdf.node, "n": pdf.n, "toks": toks})
+        for batch in batches:
+            for i in range(0, len(batch), PIECE):
+                pdf, toks = batch.iloc[i : i + PIECE], []
+                for s in pdf.s:
+                    s = np.asarray(s, dtype=np.int64)
+                    rank = mix(s.view(np.uint64)) >> np.uint64(1)
+                    if len(last):
+                        at = np.minimum(np.searchsorted(last, s), len(last) - 1)
+                        rank |= (last[at] == s).astype(np.uint64) << np.uint64(63)
+                    toks.append(prefix(s, rank, percent, JOIN_PART))
+                yield pd.DataFrame({"node": pdf.node.to_numpy(), "n": pdf.n.to_numpy(), "toks": toks})
 
     made = sets.mapInPandas(run, "node bigint, n bigint, toks array<bigint>")
     # a copy in another task made the same row
@@ -175,18 +177,19 @@ def _whole(docs: DataFrame, n: int, percent: int) -> DataFrame:
     others = [f"o{k}" for k in range(1, ORDERS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cols = {c: [] for c in ("node", "n", "s", *others)}
-            for text in pdf.text:
-                s = shingle_set(text, n)
-                if not len(s):
-                    continue
-                cols["node"].append(node_of(s))
-                cols["n"].append(len(s))
-                cols["s"].append(s.view(np.int64))
-                for k, o in enumerate(others):
-                    cols[o].append(np.unique(prefix(s, mix(s + _SEEDS[k]), percent, FILTER_PART).astype(np.uint32)).view(np.int32))
-            yield pd.DataFrame(cols)
+        for batch in batches:
+            for i in range(0, len(batch), PIECE):
+                cols = {c: [] for c in ("node", "n", "s", *others)}
+                for text in batch.text.iloc[i : i + PIECE]:
+                    s = shingle_set(text, n)
+                    if not len(s):
+                        continue
+                    cols["node"].append(node_of(s))
+                    cols["n"].append(len(s))
+                    cols["s"].append(s.view(np.int64))
+                    for k, o in enumerate(others):
+                        cols[o].append(np.unique(prefix(s, mix(s + _SEEDS[k]), percent, FILTER_PART).astype(np.uint32)).view(np.int32))
+                yield pd.DataFrame(cols)
 
     schema = "node bigint, n bigint, s array<bigint>, " + ", ".join(f"{o} array<int>" for o in others)
     made = docs.select("text").mapInPandas(run, schema)
@@ -274,14 +277,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     tokens = prefixes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("toks").alias("at", "tok"))
     blocks = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     tokens, t2 = keep(tokens.join(blocks, "tok"), "blocks")
-    drop(spark, t1)
 
     # small blocks: all pairs of fitting sizes that meet often enough
     small, large = tokens.where(F.col("c") <= SMALL_BLOCK), tokens.where(F.col("c") > SMALL_BLOCK)
     n_large = large.groupBy("node").agg(F.count(F.lit(1)).alias("in_large"))
     small = small.select("tok", "node", "n")
-    mixed = maybe_in(small, n_large, "node").join(n_large, "node", "left").select(*small.columns, F.coalesce("in_large", F.lit(0)).alias("in_large"))
-    small = surely_not_in(small, n_large, "node").select(*small.columns, F.lit(0).cast("bigint").alias("in_large")).unionByName(mixed)
+    small = small.join(n_large, "node", "left").select(*small.columns, F.coalesce("in_large", F.lit(0)).alias("in_large"))
     x, y = small.alias("x"), small.alias("y")
     met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.node") < F.col("y.node")) & _fits(F.col("x.n"), F.col("y.n"), percent))
     need = F.least(*[share_col(F.col(f"{v}.n"), percent, JOIN_PART) for v in "xy"]) - F.least("x.in_large", "y.in_large")
@@ -322,12 +323,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         needed = (F.col("x.n") + F.col("y.n")) * percent
         across &= F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) * (100 + percent) >= needed
         rest, p3 = keep(_ordered(x.join(y, across).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).distinct(), "across")
+        # they must share as many tokens of their whole prefixes as the others
+        rest = _with_both(rest, prefixes, ["n", "toks"])
+        need = F.least(*[share_col(F.col(f"n_{v}"), percent, JOIN_PART) for v in "ab"])
+        rest, p4 = keep(rest.where(F.size(F.array_intersect("toks_a", "toks_b")) >= need).select("a", "b"), "rest")
         more = _verify(rest, reps, docs, n, percent)
-        drop(spark, p2, p3)
+        drop(spark, p2, p3, p4)
         if more.limit(1).count():
             drop(spark, *held)
             label, _ = components(links.unionByName(more))
-    drop(spark, t2)
+    drop(spark, t1, t2)
 
     if label is not None:
         joined = reps.join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))

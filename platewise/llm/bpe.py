@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from platewise.llm.common import table
+from platewise.llm.common import small_batches, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 MAX_RANK_FILE = 64 << 20
@@ -72,6 +72,7 @@ def decode(enc: tiktoken.Encoding, ids) -> bytes:
 
 
 def _broadcast_ranks(spark: SparkSession, path: str):
+    small_batches(spark)
     with open(path, "rb") as f:
         data = f.read(MAX_RANK_FILE + 1)
     if len(data) > MAX_RANK_FILE:

@@ -43,7 +43,7 @@ ORDERS = 3
 SHARE = 3  # tokens that prefixes of linked sets share at least, if the sets are large enough
 JOIN_PART = 5  # and, in percent, this part of large ones under the first order
 FILTER_PART = 20  # and under the others
-SMALL_BLOCK = 64
+SMALL_BLOCK = 32
 DEMOTE_AT = 64
 MAX_DEMOTED = 1 << 17
 LOCAL_COUNT = 3

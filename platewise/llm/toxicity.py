@@ -37,7 +37,7 @@ MIN_SUPPORT = 3
 MIN_LIFT = 8.0
 MIN_G2 = 15.0
 N_STEM_VOTERS = 12
-MEMO = 300_000
+MEMO = 100_000
 
 # General insults by theme.
 LEXICON = {

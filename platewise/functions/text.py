@@ -16,6 +16,13 @@ def _sub(c: Column, *rules: tuple[str, str]) -> Column:
     return reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), rules, c)
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with ``c`` computed once: a one-element transform names the value, so that expressions
+    which use their input often stay as long as they are written.
+    """
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 # Entities, word lists and tags of menu texts.
 NAMED_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " "}
 ACRONYMS = "bbq blt nyc la dc xl xo pb mac diy og abv ipa ibu abts".split()
@@ -31,17 +38,18 @@ SECTION_WORDS = (
 def decode_entities(x) -> Column:
     """HTML entities: named, decimal and hexadecimal."""
     c = reduce(lambda s, kv: F.regexp_replace(s, f"(?i){kv[0]}", kv[1]), NAMED_ENTITIES.items(), _c(x))
-    # numeric ones: the text between entities stays, the entities become characters
-    parts = F.regexp_extract_all(c, F.lit(r"(?is)&#x?[0-9a-f]+;|&|[^&]+"), F.lit(0))
-
     def decoded(p):
         dec, hexa = F.regexp_extract(p, r"^&#([0-9]{1,7});$", 1), F.regexp_extract(p, r"(?i)^&#x([0-9a-f]{1,6});$", 1)
         code = F.when(dec != "", F.conv(dec, 10, 16)).when(hexa != "", hexa)
         # a code point as UTF-32 bytes, read as text
         return F.when(code.isNull(), p).otherwise(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
 
-    out = F.when(c.rlike("(?i)&#x?[0-9a-f]+;"), F.array_join(F.transform(parts, decoded), "")).otherwise(c)
-    return F.regexp_replace(out, "(?i)&amp;", "&")
+    def numeric(c):
+        # the text between entities stays, the entities become characters
+        parts = F.regexp_extract_all(c, F.lit(r"(?is)&#x?[0-9a-f]+;|&|[^&]+"), F.lit(0))
+        return F.when(c.rlike("(?i)&#x?[0-9a-f]+;"), F.array_join(F.transform(parts, decoded), "")).otherwise(c)
+
+    return F.regexp_replace(let(c, numeric), "(?i)&amp;", "&")
 
 
 def norm_space(x) -> Column:
@@ -102,15 +110,16 @@ def _upper_first(w: Column) -> Column:
 
 def norm_case(x) -> Column:
     """Title case for names that are all capitals or all small; others stay."""
-    c = _c(x)
-    one_case = (F.upper(c) == c) & c.rlike("[A-Z]") | (F.lower(c) == c) & c.rlike("[a-z]")
-
     def word(w, i):
         short = (F.length(w) <= 3) & w.rlike("^[a-z]+$") & ~w.rlike("[aeiou]") & ~w.isin(SMALL_WORDS)
         title = F.array_join(F.transform(F.split(w, "-", -1), _upper_first), "-")
         return F.when(w.isin(ACRONYMS) | short, F.upper(w)).when((i > 0) & w.isin(SMALL_WORDS), w).otherwise(title)
 
-    return F.when(one_case, F.array_join(F.transform(F.split(F.lower(c), " ", -1), word), " ")).otherwise(c)
+    def cased(c):
+        one_case = (F.upper(c) == c) & c.rlike("[A-Z]") | (F.lower(c) == c) & c.rlike("[a-z]")
+        return F.when(one_case, F.array_join(F.transform(F.split(F.lower(c), " ", -1), word), " ")).otherwise(c)
+
+    return let(_c(x), cased)
 
 
 def clean_name(x) -> Column:
@@ -132,18 +141,18 @@ def clean_name(x) -> Column:
         norm_space,
     ):
         c = step(c)
-    return F.when((F.length(c) < 2) | c.rlike(r"^\d+$"), F.lit(None)).otherwise(c)
+    return let(c, lambda v: F.when((F.length(v) < 2) | v.rlike(r"^\d+$"), F.lit(None)).otherwise(v))
 
 
 def clean_description(x) -> Column:
     """Decoded, one line, at most 500 characters; null when nothing is said."""
-    c = strip_punctuation(norm_space(norm_unicode(F.regexp_replace(decode_entities(x), "<[^>]*>", " "))))
-    return F.when(F.length(c) < 3, F.lit(None)).otherwise(F.substring(c, 1, 500))
+    c = strip_punctuation(norm_space(norm_unicode(decode_entities(F.regexp_replace(_c(x), "<[^>]*>", " ")))))
+    return let(c, lambda v: F.when(F.length(v) < 3, F.lit(None)).otherwise(F.substring(v, 1, 500)))
 
 
 def clean_category(x) -> Column:
     c = norm_case(strip_punctuation(norm_space(norm_unicode(decode_entities(x)))))
-    return F.when((F.length(c) < 2) | (F.length(c) > 60), F.lit(None)).otherwise(c)
+    return let(c, lambda v: F.when((F.length(v) < 2) | (F.length(v) > 60), F.lit(None)).otherwise(v))
 
 
 def name_key(x) -> Column:
@@ -200,7 +209,7 @@ def parse_rating(x) -> Column:
 
 def parse_address(x) -> Column:
     """City and state of ``street, city, ST 12345, country``."""
-    parts = F.transform(F.split(_c(x), ","), F.trim)
+    parts = F.transform(F.split(_c(x), ","), lambda p: F.trim(p))
     return F.struct(
         F.when(F.size(parts) >= 3, parts[F.size(parts) - 3]).alias("city"),
         F.when(F.size(parts) >= 3, F.nullif(F.regexp_extract(parts[F.size(parts) - 2], r"^([A-Z]{2})\b", 1), F.lit(""))).alias("state"),

@@ -18,6 +18,9 @@ def clean_items(raw: DataFrame) -> DataFrame:
     """Raw items (restaurant_id, source, position, name, description, category, price) cleaned and tagged."""
     out = raw.withColumn("tags", raw_annotations(F.col("name"), F.col("description"))["tags"])
     out = out.withColumn("name", T.clean_name("name")).where("name is not null")
+    # a dealing by restaurant, which the steps below need anyway, keeps the rules from being
+    # evaluated inside the cleaning expression
+    out = out.repartition("restaurant_id")
     out = out.withColumn("description", T.clean_description("description")).withColumn("category", T.clean_category("category")).withColumn("price", T.parse_price("price"))
     out = out.where(C.likely_food("name", "description")).withColumn("name_normalized", T.name_key("name"))
     out = dedup_first(out, ["restaurant_id", "name_normalized", "source"], [F.asc("position"), F.asc("name")])

@@ -625,10 +625,24 @@ def resolve_nutrition(spark, sf_dir):
     return NU.resolve_nutrition(d, n.where("dish_id % 5 = 0"), third, n).select("dish_id", "tier", "confidence")
 
 
-@query("menu_items_from_pages")
+def menu_pages(dishes: DataFrame) -> DataFrame:
+    """A web page for each restaurant, with sections and lists, or (every third one) with a JSON-LD block."""
+    one = F.concat(F.lit("<li>"), "name", F.lit(" $"), F.format_string("%.2f", "price"), F.lit("</li>"))
+    per = dishes.groupBy("restaurant_id", "category").agg(
+        F.array_join(F.array_sort(F.collect_list(one)), "").alias("lis"),
+        F.array_sort(F.collect_list(F.struct(F.col("name"), F.struct(F.format_string("%.2f", "price").alias("price")).alias("offers")))).alias("hasMenuItem"),
+    )
+    section = F.array_sort(F.collect_list(F.concat(F.lit("<h2>"), "category", F.lit("</h2><ul>"), "lis", F.lit("</ul>"))))
+    ld = F.to_json(F.struct(F.lit("Restaurant").alias("@type"), F.struct(F.collect_list(F.struct(F.col("category").alias("name"), "hasMenuItem")).alias("hasMenuSection")).alias("hasMenu")))
+    page = per.groupBy("restaurant_id").agg(F.array_join(section, "").alias("body"), ld.alias("ld"))
+    html = F.when(F.col("restaurant_id") % 3 == 0, F.concat(F.lit('<html><script type="application/ld+json">'), "ld", F.lit("</script></html>"))).otherwise(F.concat(F.lit("<html><body>"), "body", F.lit("</body></html>")))
+    return page.select(F.col("restaurant_id").alias("page_id"), F.lit("https://menu.example.org/").alias("url"), html.alias("html"))
+
+
+@query("menu_items_from_pages", with_sql("dishes") + " select restaurant_id as page_id, name, category, printf('$%.2f', price) as price from dishes")
 def menu_items_from_pages(spark, sf_dir):
-    pages = FE.load(spark, sf_dir, "pages")
-    cols = ["page_id", "name", "description", "price", "category"]
+    (d,) = bound(spark, sf_dir, "dishes")
+    pages, cols = menu_pages(d), ["page_id", "name", "category", "price"]
     return M.menu_from_html(pages).select(*cols).unionByName(M.menu_from_jsonld(pages).select(*cols))
 
 

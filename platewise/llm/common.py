@@ -66,11 +66,15 @@ BUCKETS = 1 << 20  # hash buckets of ids that a broadcast may hold: at most this
 
 
 def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_bucket")
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
 
 
-def _buckets(ids: DataFrame, key: str) -> DataFrame:
-    return F.broadcast(ids.select(_bucket(key)).distinct())
+def _against(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    name = "_bucket"
+    while name in df.columns:
+        name += "_"
+    buckets = F.broadcast(ids.select(_bucket(key).alias(name)).distinct())
+    return df.withColumn(name, _bucket(key)).join(buckets, name, how).drop(name)
 
 
 def maybe_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -79,7 +83,7 @@ def maybe_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     The broadcast side holds hash buckets and has at most ``BUCKETS`` rows whatever the size of
     ``ids``; a full one only filters less.
     """
-    return df.withColumn("_bucket", _bucket(key)).join(_buckets(ids, key), "_bucket", "left_semi").drop("_bucket")
+    return _against(df, ids, key, "left_semi")
 
 
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -87,6 +91,6 @@ def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
     Most rows are surely not in the set and stay where they are; only the others are joined.
     """
-    sure = df.withColumn("_bucket", _bucket(key)).join(_buckets(ids, key), "_bucket", "left_anti").drop("_bucket")
+    sure = _against(df, ids, key, "left_anti")
     checked = maybe_in(df, ids, key).join(ids.select(key).distinct(), key, "left_anti")
     return sure.select(df.columns).unionByName(checked.select(df.columns))

@@ -7,6 +7,7 @@ from platewise.llm.bpe import op6_byte_bpe
 from platewise.llm.chat import op7_chat
 from platewise.llm.decontam import op8_decontam
 from platewise.llm.jaccard import op2_jaccard
+from platewise.llm.licenses import op5_licenses
 from platewise.llm.merkle import op3_merkle
 from platewise.llm.sharding import op4_hilbert_shards
 from platewise.llm.toxicity import op1_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op2_jaccard": op2_jaccard,
     "op3_merkle": op3_merkle,
     "op4_hilbert_shards": op4_hilbert_shards,
+    "op5_licenses": op5_licenses,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat": op7_chat,
     "op8_decontam": op8_decontam,

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from platewise.llm import bpe, chat, decontam, jaccard, merkle, sharding, toxicity, url_filter, wrapper
+from platewise.llm import bpe, chat, decontam, jaccard, licenses, merkle, sharding, toxicity, url_filter, wrapper
 from tests.conftest import SMALL
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, node string, _bucket int"
@@ -241,3 +241,20 @@ def test_pipeline_stages(spark):
     out = c.run(spark, SMALL)
     n = pd.read_parquet(f"{SMALL}/documents.parquet").shape[0]
     assert 0 < out.count() < n and out.where("not decodes_exactly").count() == 0
+
+
+def test_licenses(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("bcdfgaeiou") for _ in range(5))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, f"{text(30)}\n{text(40)} is the and of this to any.", "en", "s") for i in range(40)]
+    rows += [
+        (100, f"{text(9)}\nLICENSED under the Apache License, version 2.0!\n{text(9)}\nReleased under the MIT license.", "en", "s"),
+        (101, f"{text(90)} Permission is hereby granted free of charge to any person obtaining a copy of this software {text(70)}", "en", "s"),
+        (102, "This work is licensed under the Quux Public License of the lake", "en", "s"),
+    ]
+    df = docs(spark, rows + ODD)
+    got = {(r.doc_id, r.family) for r in licenses.scan(df, licenses.fit(df)).collect()}
+    assert {(100, "apache"), (100, "mit"), (101, "mit")} <= got
+    assert {d for d, _ in got} <= {100, 101, 102} and all(f == "unknown" for d, f in got if d == 102)
+    assert licenses.scan(df.limit(0), licenses.fit(df.limit(0))).count() == 0

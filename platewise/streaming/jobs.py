@@ -68,7 +68,8 @@ def over_limit(events: DataFrame, limits: dict[str, int] | None = None, window:
 def stream_over_limit(stream: DataFrame, limits: dict[str, int] | None = None, seconds: int = 60) -> DataFrame:
     """Exact trailing window: each request that exceeds the limit of the last minute, with the time to wait.
 
-    The state of a client and route is the times of its last minute, at most the limit of them.
+    The state of a client and route is the times of its last minute, at most the limit of them; it goes
+    when the watermark has passed them by.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -90,11 +91,13 @@ def stream_over_limit(stream: DataFrame, limits: dict[str, int] | None = None, s
             else:
                 times.append(now)
         state.update((times,))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        last = int((times[-1] + 2 * seconds) * 1000) if times else 0
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1000))
         yield pd.DataFrame(out, columns=["client", "route", "ts", "in_window", "retry_after"])
 
     schema = "client string, route string, ts timestamp, in_window int, retry_after double"
-    return stream.groupBy("client", "route").applyInPandasWithState(run, schema, "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.withWatermark("ts", f"{seconds} seconds")
+    return timed.groupBy("client", "route").applyInPandasWithState(run, schema, "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def feedback_votes(feedback: DataFrame, watermark: str | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import glob
 
 from pyspark.sql import functions as F
 
@@ -23,33 +24,32 @@ def test_traffic_matches_batch(spark, tmp_path):
     out = str(tmp_path / "grid")
     q = ST.stream_traffic(replay(spark, tmp_path, rows, schema, "src"), out, str(tmp_path / "ck"))
     q.processAllAvailable()
-    last = q.lastProgress["batchId"] if q.lastProgress["numInputRows"] else q.lastProgress["batchId"] - 1
     q.stop()
-    import glob
-
     last = max(int(p.rsplit("=", 1)[1]) for p in glob.glob(f"{out}/v=*"))
     got = {(r.restaurant_id, r.dow, r.hour): r.busyness for r in spark.read.parquet(f"{out}/v={last}").collect()}
     batch = ST.traffic_slots(spark.createDataFrame(sum(rows, []), schema))
     assert got == {(r.restaurant_id, r.dow, r.hour): r.busyness for r in batch.collect()} == {(1, 1, 12): 90.0, (2, 1, 12): 70.0}
 
 
-def run(df, name, mode="append"):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    q.processAllAvailable()
-    q.stop()
-    return q.sparkSession.table(name).collect()
+def run(spark, df, name):
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(60)
+    finally:
+        q.stop()
+    return spark.table(name).collect()
 
 
 def test_dedup(spark, tmp_path):
     rows = [[("a", ts(0)), ("a", ts(3)), ("b", ts(4))], [("a", ts(9)), ("c", ts(9))]]
-    got = run(ST.stream_dedup(replay(spark, tmp_path, rows, "place string, ts timestamp", "req"), "place"), "dedup")
+    got = run(spark, ST.stream_dedup(replay(spark, tmp_path, rows, "place string, ts timestamp", "req"), "place"), "dedup")
     assert sorted(r.place for r in got) == ["a", "b", "c"]
 
 
 def test_trailing_limit(spark, tmp_path):
     rows = [[("c", "crawl", ts(0, s)) for s in range(7)], [("c", "crawl", ts(1, 1)), ("d", "crawl", ts(1, 1))]]
     stream = replay(spark, tmp_path, rows, "client string, route string, ts timestamp", "lim")
-    got = run(ST.stream_over_limit(stream, {"crawl": 5}), "limits")
+    got = run(spark, ST.stream_over_limit(stream, {"crawl": 5}), "limits")
     assert sorted((r.client, r.ts.second, round(r.retry_after)) for r in got) == [("c", 5, 55), ("c", 6, 54)]
 
 

@@ -8,10 +8,12 @@ an optional group, and differing texts become a slot. Folding all pages of a hos
 the host's wrapper (:func:`show` writes it out).
 
 Each task folds its own pages by host; the partial wrappers of a host, whose size is that of its
-template and not of its pages, are then folded as a stream. The wrapper says which slots are
-content: the article, or where a template has none, the part that holds most of the varying text;
-menus, notices and the like are left out by element and class. Pages meet their wrappers by a
-plain join on host, which Spark broadcasts only below its own threshold.
+template and not of its pages, are then folded as a stream. Each page is fitted to its host's
+wrapper, and content is chosen for the page, since templates of a host may differ: its articles; if
+it has none, its parts named as main or content; else the part that holds most of the text that the
+wrapper says varies, counted over those slots of the wrapper that the page has. Menus, notices and
+the like are left out by element and class. Pages meet their wrappers by a plain join on host,
+which Spark broadcasts only below its own threshold.
 
 Defined results: a null or empty page has an empty text; a page whose URL is null or has no host
 belongs to the host ""; of a page without any wrapper content (only chrome) the text is empty;
@@ -62,21 +64,22 @@ class Node:
     """A piece of a page or of a wrapper.
 
     ``text`` is None, the digest of a constant text, or VARIES; ``parts`` of a page's node are its
-    texts and nodes in page order; ``weight`` counts text characters directly inside.
+    texts and nodes in page order, and ``fit`` the wrapper's node it meets; ``weight`` counts text
+    characters directly inside, ``seen`` how many nodes of pages were merged.
     """
 
-    __slots__ = ("label", "optional", "repeated", "text", "weight", "children", "parts")
+    __slots__ = ("label", "optional", "repeated", "text", "weight", "seen", "children", "parts", "fit")
 
-    def __init__(self, label, optional=False, repeated=False, text=None, weight=0, children=None):
+    def __init__(self, label, optional=False, repeated=False, text=None, weight=0, children=None, seen=1):
         self.label, self.optional, self.repeated, self.text, self.weight = label, optional, repeated, text, weight
-        self.children, self.parts = children or [], []
+        self.children, self.parts, self.seen, self.fit = children or [], [], seen, None
 
     def pack(self):
-        return [self.label, int(self.optional), int(self.repeated), self.text, self.weight, [c.pack() for c in self.children]]
+        return [self.label, int(self.optional), int(self.repeated), self.text, self.weight, [c.pack() for c in self.children], self.seen]
 
     @classmethod
     def unpack(cls, x):
-        return cls(x[0], bool(x[1]), bool(x[2]), x[3], x[4], [cls.unpack(c) for c in x[5]])
+        return cls(x[0], bool(x[1]), bool(x[2]), x[3], x[4], [cls.unpack(c) for c in x[5]], x[6])
 
 
 def label_of(tag: str, attrs: str) -> str:
@@ -171,7 +174,7 @@ def _align(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]
 def merge(a: Node, b: Node) -> Node:
     """The least wrapper here that fits what either fits; the labels are equal."""
     text = a.text if a.text == b.text else VARIES
-    out = Node(a.label, a.optional or b.optional, a.repeated or b.repeated, text, a.weight + b.weight)
+    out = Node(a.label, a.optional or b.optional, a.repeated or b.repeated, text, a.weight + b.weight, seen=a.seen + b.seen)
     for x, y in _align(a.children, b.children):
         if x and y:
             out.children.append(merge(x, y))
@@ -202,77 +205,90 @@ def _is_chrome(label: str, inside: bool) -> bool:
     return any(w in CHROME_WORDS for w in words) and tag not in ("html", "body")
 
 
-def _varying(node: Node) -> int:
-    if _is_chrome(node.label, False):
-        return 0
-    return (node.weight if node.text == VARIES else 0) + sum(map(_varying, node.children))
+def _is_article(label: str) -> bool:
+    return label.split(".")[0] == "article"
 
 
-class Wrapper:
-    """A host's wrapper and what it says of each of its parts."""
+def _is_main(label: str) -> bool:
+    tag, *words = label.split(".")
+    return tag == "main" or not MAIN_WORDS.isdisjoint(words)
+
+
+class Fit:
+    """A page fitted to its host's wrapper: which of its parts are content."""
 
-    def __init__(self, root: Node, pages: int):
-        self.root, self.pages = root, pages
-        self.main: set[int] = set()
-        if not self._find(root, lambda tag, words: tag == "article"):
-            if not self._find(root, lambda tag, words: tag == "main" or not MAIN_WORDS.isdisjoint(words)):
-                self._heaviest(root)
+    def __init__(self, page: Node, root: Node):
+        self.page = page
+        self.reached: set[int] = set()
+        self._fit(page, root)
 
-    def _find(self, node: Node, test) -> bool:
-        """Mark the topmost parts that pass; parts inside chrome do not count."""
+    def _fit(self, node: Node, fit: Node) -> None:
+        node.fit = fit
+        self.reached.add(id(fit))
+        at = 0
+        for part in node.children:
+            # repeated groups stay where they are, others are passed by
+            i = next((i for i in range(at, len(fit.children)) if fit.children[i].label == part.label), None)
+            if i is not None:
+                at = i
+                self._fit(part, fit.children[i])
+
+    def content(self) -> list[Node]:
+        """The page's articles; where it has none, its main parts; else what holds most of its text that varies."""
+        for test in (_is_article, _is_main):
+            found = self._find(self.page, test)
+            if found:
+                return found
+        return [self._heaviest()]
+
+    def _find(self, node: Node, test) -> list[Node]:
+        """The topmost parts that pass; parts inside chrome do not count."""
         if _is_chrome(node.label, False):
-            return False
-        tag, *words = node.label.split(".")
-        if test(tag, words):
-            self.main.add(id(node))
-            return True
-        return any([self._find(c, test) for c in node.children])
-
-    def _heaviest(self, node: Node) -> None:
-        """Go down while one part holds most of the varying text (or, of one page, of all text)."""
-        weigh = _varying if self.pages > 1 and _varying(node) else self._all
-        total = weigh(node)
+            return []
+        if test(node.label):
+            return [node]
+        return [x for c in node.children for x in self._find(c, test)]
+
+    def _weight(self, fit: Node, every: bool) -> int:
+        """Characters on all of the host's pages in those slots of a part that this page has."""
+        if id(fit) not in self.reached or _is_chrome(fit.label, False):
+            return 0
+        own = fit.weight if every or fit.text == VARIES or fit.seen == 1 else 0
+        return own + sum(self._weight(c, every) for c in fit.children)
+
+    def _heaviest(self) -> Node:
+        """Go down while one part holds most of the text that varies (or, if none does, of all text)."""
+        node = self.page
+        every = not self._weight(node.fit, False)
+        total = self._weight(node.fit, every)
         while True:
-            heavy = [c for c in node.children if not _is_chrome(c.label, False) and weigh(c) > 0.7 * total]
-            if not heavy or heavy[0].repeated or heavy[0].label.split(".")[0] in ("p", "ul", "ol", "table"):
-                break
+            heavy = [c for c in node.children if c.fit is not None and self._weight(c.fit, every) > 0.7 * total]
+            if not heavy or heavy[0].fit.repeated or heavy[0].label.split(".")[0] in ("p", "ul", "ol", "table"):
+                return node
             node = heavy[0]
-        self.main.add(id(node))
-
-    def _all(self, node: Node) -> int:
-        return 0 if _is_chrome(node.label, False) else node.weight + sum(map(self._all, node.children))
 
-    def extract(self, page: Node) -> str:
+    def text(self) -> str:
         blocks: list[str] = []
-        self._walk(page, self.root, False, blocks)
+        for node in self.content():
+            self._walk(node, blocks)
         return "\n".join(blocks)
 
-    def _walk(self, node: Node, fit: Node | None, inside: bool, blocks: list[str]) -> None:
-        if _is_chrome(node.label, inside):
-            return
-        inside = inside or (fit is not None and id(fit) in self.main)
+    def _walk(self, node: Node, blocks: list[str]) -> None:
         run: list[str] = []
 
         def flush():
-            if run and inside:
-                text = _SPACE.sub(" ", entities.unescape("".join(run))).strip()
-                if text:
-                    blocks.append(text)
+            text = _SPACE.sub(" ", entities.unescape("".join(run))).strip()
+            if text:
+                blocks.append(text)
             run.clear()
 
-        at = 0
         for part in node.parts:
             if isinstance(part, str):
                 run.append(part)
                 continue
             flush()
-            child = None
-            if fit is not None:
-                # repeated groups stay where they are, others are passed by
-                i = next((i for i in range(at, len(fit.children)) if fit.children[i].label == part.label), None)
-                if i is not None:
-                    child, at = fit.children[i], i
-            self._walk(part, child, inside, blocks)
+            if not _is_chrome(part.label, True):
+                self._walk(part, blocks)
         flush()
 
 
@@ -321,21 +337,21 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     wrappers, _ = keep(infer(hosted), "wrappers")
 
     @F.pandas_udf("string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, Wrapper] = {}
-        for pages_, wrapper, counts in batches:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[str, Node] = {}
+        for pages_, wrapper in batches:
             out = []
-            for page, packed, n in zip(pages_, wrapper, counts):
+            for page, packed in zip(pages_, wrapper):
                 w = known.get(packed)
                 if w is None:
                     if len(known) >= MEMO:
                         known.clear()
-                    w = known[packed] = Wrapper(Node.unpack(json.loads(packed)), n)
-                out.append(w.extract(tree(page)))
+                    w = known[packed] = Node.unpack(json.loads(packed))
+                out.append(Fit(tree(page), w).text())
             yield pd.Series(out, dtype=object)
 
     joined = hosted.join(wrappers, "host")
-    return joined.select(key, url, run("html", "wrapper", "pages").alias("text"))
+    return joined.select(key, url, run("html", "wrapper").alias("text"))
 
 
 def op9_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:

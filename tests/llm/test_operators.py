@@ -182,6 +182,28 @@ def test_wrapper(spark):
     assert wrapper.show(w).startswith("<page><ul>(<li>#</li>)+</ul>(<p>") and wrapper.show(w).endswith("?</page>")
 
 
+def texts_of_host(*pages):
+    """The texts of pages of one host by its wrapper, without Spark."""
+    w = wrapper.skeleton(wrapper.tree(pages[0]))
+    for p in pages[1:]:
+        w = wrapper.merge(w, wrapper.skeleton(wrapper.tree(p)))
+    w = wrapper.Node.unpack(w.pack())
+    return [wrapper.Fit(wrapper.tree(p), w).text() for p in pages]
+
+
+def test_wrapper_mixed_templates(spark):
+    nav = "<nav>Home</nav><h1>Site</h1>"
+    kinds = ["<article><p>Article {0} says this.</p></article>", "<main><p>Main {0} says this.</p></main>", '<div class="content"><p>Content {0} says this.</p></div>', "<section><div><p>Plain {0} says this.</p><p>And more.</p></div></section>", "<div><table><tr><td>Cell {0} says this.</td></tr></table></div>"]
+    rows = [(10 * k + i, None, nav + kind.format(i)) for k, kind in enumerate(kinds) for i in range(3)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k, word in enumerate(("Article", "Main", "Content", "Plain", "Cell")):
+        for i in range(3):
+            assert got[10 * k + i].startswith(f"{word} {i} says this.")
+    # one page of another template: nothing shows that its text is constant
+    lone = texts_of_host(*(f"<h1>T{i}</h1><article>A{i}</article>" for i in range(3)), "<h1>T9</h1><div><p>A body of its own.</p></div>")
+    assert lone[:3] == ["A0", "A1", "A2"] and "A body of its own." in lone[3]
+
+
 def test_toxicity(spark):
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("bcdfghaeiou") for _ in range(4))

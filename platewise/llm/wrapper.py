@@ -225,13 +225,19 @@ class Fit:
     def _fit(self, node: Node, fit: Node) -> None:
         node.fit = fit
         self.reached.add(id(fit))
-        at = 0
+        runs: list[list[Node]] = []
         for part in node.children:
-            # repeated groups stay where they are, others are passed by
-            i = next((i for i in range(at, len(fit.children)) if fit.children[i].label == part.label), None)
-            if i is not None:
-                at = i
-                self._fit(part, fit.children[i])
+            if runs and runs[-1][0].label == part.label:
+                runs[-1].append(part)
+            else:
+                runs.append([part])
+        # as the wrapper was merged: runs of one label meet one part of it
+        rest = iter(runs)
+        for x, y in _align(fit.children, [r[0] for r in runs]):
+            if y is not None:
+                for part in next(rest):
+                    if x is not None:
+                        self._fit(part, x)
 
     def content(self) -> list[Node]:
         """The page's articles; where it has none, its main parts; else what holds most of its text that varies."""

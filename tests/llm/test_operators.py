@@ -204,6 +204,15 @@ def test_wrapper_mixed_templates(spark):
     assert lone[:3] == ["A0", "A1", "A2"] and "A body of its own." in lone[3]
 
 
+def test_wrapper_fits_as_it_merges():
+    blocks = "<h1>News</h1><div>Buy now</div><nav>Home</nav>"
+    article = "<div><article><p>Text {0}.</p></article></div><table><tr><td>{0}</td></tr></table>"
+    assert texts_of_host(blocks + article.format(1), article.format(2)) == ["Text 1.", "Text 2."]
+    # without an article only the fit tells the content from the optional block before it
+    plain = "<div><section><p>Text {0} of some length.</p></section></div><table><tr><td>{0}</td></tr></table>"
+    assert texts_of_host(blocks + plain.format(1), blocks + plain.format(2), plain.format(3)) == [f"Text {i} of some length." for i in (1, 2, 3)]
+
+
 def test_toxicity(spark):
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("bcdfghaeiou") for _ in range(4))

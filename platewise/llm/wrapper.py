@@ -12,7 +12,8 @@ template and not of its pages, are then folded as a stream. Each page is fitted
 wrapper, and content is chosen for the page, since templates of a host may differ: its articles; if
 it has none, its parts named as main or content; else the part that holds most of the text that the
 wrapper says varies, counted over those slots of the wrapper that the page has. Menus, notices and
-the like are left out by element and class. Pages meet their wrappers by a plain join on host,
+the like are left out by element and class; class words yield where the part holds the article or
+most of the host's varying text, except for comments and related texts. Pages meet their wrappers by a plain join on host,
 which Spark broadcasts only below its own threshold.
 
 Defined results: a null or empty page has an empty text; a page whose URL is null or has no host
@@ -52,6 +53,7 @@ CHROME_WORDS = frozenset(
     "breadcrumbs footer header masthead topbar comment comments commentlist reply replies respond discussion disqus related recommended share sharing social promo promotion sponsor "
     "sponsored newsletter subscribe subscription signup popup modal overlay widget widgets toolbar pagination pager login search skip hidden".split()
 )
+OTHERS = frozenset("comment comments commentlist reply replies respond discussion disqus related recommended".split())  # texts that vary and are not the page's
 MAIN_WORDS = frozenset("main content article post entry story maincontent articlebody".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -137,7 +139,7 @@ def skeleton(page: Node) -> Node:
     for child in page.children:
         s = skeleton(child)
         if out.children and out.children[-1].label == s.label:
-            out.children[-1] = merge(out.children[-1], s)
+            out.children[-1] = merge(out.children[-1], s, one_page=True)
             out.children[-1].repeated = True
         else:
             out.children.append(s)
@@ -171,19 +173,24 @@ def _align(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]
     return list(zip(a[:head], b[:head])) + middle + (list(zip(a[-tail:], b[-tail:])) if tail else [])
 
 
-def merge(a: Node, b: Node) -> Node:
-    """The least wrapper here that fits what either fits; the labels are equal."""
+def merge(a: Node, b: Node, one_page: bool = False) -> Node:
+    """The least wrapper here that fits what either fits; the labels are equal.
+
+    Differing texts in a run on one page are a constant of their own: only pages show what varies.
+    """
     text = a.text if a.text == b.text else VARIES
-    out = Node(a.label, a.optional or b.optional, a.repeated or b.repeated, text, a.weight + b.weight, seen=a.seen + b.seen)
+    if one_page and text == VARIES:
+        text = hashlib.md5(f"{a.text} {b.text}".encode()).hexdigest()[:12]
+    out = Node(a.label, a.optional or b.optional, a.repeated or b.repeated, text, a.weight + b.weight, seen=1 if one_page else a.seen + b.seen)
     for x, y in _align(a.children, b.children):
         if x and y:
-            out.children.append(merge(x, y))
+            out.children.append(merge(x, y, one_page))
         else:
             only = Node.unpack((x or y).pack())
             only.optional = True
             last = out.children[-1] if out.children else None
             if last is not None and last.label == only.label:
-                out.children[-1] = merge(last, only)
+                out.children[-1] = merge(last, only, one_page)
                 out.children[-1].repeated = True
             else:
                 out.children.append(only)
@@ -199,10 +206,14 @@ def show(node: Node) -> str:
 
 
 def _is_chrome(label: str, inside: bool) -> bool:
+    tag = label.split(".")[0]
+    return tag in CHROME_TAGS or (tag == "header" and not inside)
+
+
+def _chrome_words(label: str, inside: bool = False) -> set[str]:
+    """Class words of chrome; inside content ``header`` is none, as the tag is none there."""
     tag, *words = label.split(".")
-    if tag in CHROME_TAGS or (tag == "header" and not inside):
-        return True
-    return any(w in CHROME_WORDS for w in words) and tag not in ("html", "body")
+    return set() if tag in ("html", "body") else {w for w in words if w in CHROME_WORDS and not (inside and w == "header")}
 
 
 def _is_article(label: str) -> bool:
@@ -214,13 +225,25 @@ def _is_main(label: str) -> bool:
     return tag == "main" or not MAIN_WORDS.isdisjoint(words)
 
 
+def _characters(node: Node) -> int:
+    """Of the texts in and below a part of a page, without elements of chrome."""
+    if _is_chrome(node.label, False):
+        return 0
+    return sum(len(p.strip()) if isinstance(p, str) else _characters(p) for p in node.parts)
+
+
 class Fit:
-    """A page fitted to its host's wrapper: which of its parts are content."""
+    """A page fitted to its host's wrapper: which of its parts are content.
+
+    Elements of chrome are left out. Class words of chrome are overruled, but for those in OTHERS,
+    where the part holds the page's article or most of the text that varies between pages.
+    """
 
     def __init__(self, page: Node, root: Node):
-        self.page = page
+        self.page, self.pages = page, root.seen
         self.reached: set[int] = set()
         self._fit(page, root)
+        self.open = self._overruled([page])
 
     def _fit(self, node: Node, fit: Node) -> None:
         node.fit = fit
@@ -239,25 +262,56 @@ class Fit:
                     if x is not None:
                         self._fit(part, x)
 
-    def content(self) -> list[Node]:
-        """The page's articles; where it has none, its main parts; else what holds most of its text that varies."""
-        for test in (_is_article, _is_main):
-            found = self._find(self.page, test)
-            if found:
-                return found
-        return [self._heaviest()]
-
-    def _find(self, node: Node, test) -> list[Node]:
+    def _evidence(self, fit: Node) -> int:
+        """Characters that vary in those slots of a part that this page has, whatever its class words."""
+        if id(fit) not in self.reached or _is_chrome(fit.label, True) or _chrome_words(fit.label) & OTHERS:
+            return 0
+        return (fit.weight if fit.text == VARIES else 0) + sum(map(self._evidence, fit.children))
+
+    def _overruled(self, nodes: list[Node]) -> set[int]:
+        """Parts of the wrapper in or below the nodes' with class words of chrome and most of the varying text."""
+        fits = list({id(n.fit): n.fit for n in nodes if n.fit is not None}.values())
+        total, out = sum(map(self._evidence, fits)), set()
+        todo = fits if total and self.pages > 1 else []
+        while todo:
+            fit = todo.pop()
+            if 2 * self._evidence(fit) > total:
+                if _chrome_words(fit.label):
+                    out.add(id(fit))
+                todo.extend(fit.children)
+        return out
+
+    def _is_shut(self, node: Node, inside: bool, loose: bool) -> bool:
+        words = _chrome_words(node.label, inside)
+        if _is_chrome(node.label, inside) or words & OTHERS:
+            return True
+        return bool(words) and not loose and (node.fit is None or id(node.fit) not in self.open)
+
+    def _find(self, node: Node, test, loose: bool = False) -> list[Node]:
         """The topmost parts that pass; parts inside chrome do not count."""
-        if _is_chrome(node.label, False):
+        if self._is_shut(node, False, loose):
             return []
         if test(node.label):
             return [node]
-        return [x for c in node.children for x in self._find(c, test)]
+        return [x for c in node.children for x in self._find(c, test, loose)]
+
+    def content(self) -> tuple[list[Node], bool]:
+        """The page's articles; where it has none, its main parts; else what holds most of its text that varies.
+
+        Tells also whether the parts were found by name.
+        """
+        for test in (_is_article, _is_main):
+            found = self._find(self.page, test)
+            if found:
+                return found, True
+        found = self._find(self.page, _is_article, loose=True)
+        if len(found) == 1 or 2 * sum(map(_characters, found)) > _characters(self.page):
+            return found, True
+        return [self._heaviest()], False
 
     def _weight(self, fit: Node, every: bool) -> int:
         """Characters on all of the host's pages in those slots of a part that this page has."""
-        if id(fit) not in self.reached or _is_chrome(fit.label, False):
+        if id(fit) not in self.reached or _is_chrome(fit.label, False) or (_chrome_words(fit.label) and id(fit) not in self.open):
             return 0
         own = fit.weight if every or fit.text == VARIES or fit.seen == 1 else 0
         return own + sum(self._weight(c, every) for c in fit.children)
@@ -274,12 +328,17 @@ class Fit:
             node = heavy[0]
 
     def text(self) -> str:
+        nodes, named = self.content()
+        self.open |= self._overruled(nodes)
         blocks: list[str] = []
-        for node in self.content():
-            self._walk(node, blocks)
+        for loose in (False, True) if named else (False,):
+            for node in nodes:
+                self._walk(node, loose, _is_article(node.label), blocks)
+            if blocks:
+                break
         return "\n".join(blocks)
 
-    def _walk(self, node: Node, blocks: list[str]) -> None:
+    def _walk(self, node: Node, loose: bool, article: bool, blocks: list[str]) -> None:
         run: list[str] = []
 
         def flush():
@@ -293,8 +352,9 @@ class Fit:
                 run.append(part)
                 continue
             flush()
-            if not _is_chrome(part.label, True):
-                self._walk(part, blocks)
+            article_below = not article and bool(_chrome_words(part.label, True)) and bool(self._find(part, _is_article, loose=True))
+            if not self._is_shut(part, True, loose or article_below):
+                self._walk(part, loose, article, blocks)
         flush()
 
 

@@ -213,6 +213,25 @@ def test_wrapper_fits_as_it_merges():
     assert texts_of_host(blocks + plain.format(1), blocks + plain.format(2), plain.format(3)) == [f"Text {i} of some length." for i in (1, 2, 3)]
 
 
+def test_wrapper_class_words_yield():
+    body = "<p>Text {0} of the page, and it is a long one.</p>"
+    notice = '<div class="cookie-notice"><p>We use cookies, you know that well.</p><p>We use many of them, on all of our pages.</p></div>'
+    want = [f"Text {i} of the page, and it is a long one." for i in range(3)]
+    for page in (
+        f'<div class="overflow-hidden"><article>{body}</article></div>',
+        f'<article><div class="elementor-widget-container">{body}</div><div class="ad">Buy</div></article>',
+        f'<div id="content"><div class="skip-lazy"><article>{body}</article></div></div>',
+        f'<div class="elementor-widget-container">{body}</div><div class="comments"><p>I say {{0}}.</p></div>',
+        f'<section>{body}</section><div class="widget"><p>Constant</p></div>',
+    ):
+        assert texts_of_host(*((notice + page).format(i) for i in range(3))) == want
+    head = '<article><div class="entry-header">Head {0}</div><p>Text {0}</p><div class="comments">Long words of readers number {0}</div></article>'
+    assert texts_of_host(*(head.format(i) for i in range(2))) == ["Head 0\nText 0", "Head 1\nText 1"]
+    # no other page to compare with
+    assert texts_of_host(f'{notice}<div class="overflow-hidden"><article>{body}</article></div>'.format(1)) == [want[1]]
+    assert texts_of_host(notice) == [""]
+
+
 def test_toxicity(spark):
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("bcdfghaeiou") for _ in range(4))

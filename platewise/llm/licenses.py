@@ -7,16 +7,19 @@ family must reach is calibrated on held-out paragraphs of that sample; what look
 but does not reach it, or whose words do not follow the family's notice, is ``unknown``: each
 prediction is confirmed by the longest common subsequence with a notice.
 
-Every paragraph (line) of every text is read; long ones in overlapping windows. One pass, without a
-shuffle of texts.
+Every line of every text is read, and every paragraph (lines up to one without a word) with its lines
+joined, since notices are wrapped; long ones in overlapping windows. One pass, without a shuffle of
+texts.
 
-Defined results: one row for each document and family found, with the number of passages and the
-best probability and likeness; documents without a licence have none. Null and empty texts have
+Defined results: one row for each document and family found, with the number of passages that do not
+overlap and the best probability and likeness; what is part of a confirmed notice is not unknown as
+well; documents without a licence have none. Null and empty texts have
 none; repeated rows count once; a null id is reported as null; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,16 +60,51 @@ def grams(ws: list[bytes]) -> set[bytes]:
     return {b" ".join(ws[i : i + n]) for n in (1, 2, 3) for i in range(len(ws) - n + 1)}
 
 
-def passages(text: str | None) -> Iterator[list[bytes]]:
-    """Words of each line; of a long line, of overlapping windows."""
+def windows(ws: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    if len(ws) <= WINDOW:
+        yield 0, ws
+    else:
+        for i in range(0, len(ws) - STEP, STEP):
+            yield i, ws[i : i + WINDOW]
+
+
+def passages(lines: list[list[bytes]]) -> list[tuple[int, int, list[bytes]]]:
+    """Passages of a paragraph as first word, last word and words: its lines, then windows across lines."""
+    out, of_line = [], []
+    for k, line in enumerate(lines):
+        out += [(len(of_line) + i, len(of_line) + i + len(ws), ws) for i, ws in windows(line)]
+        of_line += [k] * len(line)
+    if len(lines) > 1:
+        across = windows([w for line in lines for w in line])
+        out += [(i, i + len(ws), ws) for i, ws in across if of_line[i] != of_line[i + len(ws) - 1]]
+    return out
+
+
+def paragraphs(text: str | None) -> Iterator[list[tuple[int, int, list[bytes]]]]:
+    """Passages of each paragraph; words have no comment marks, so a bare mark is an empty line."""
+    lines: list[list[bytes]] = []
     for line in (text or "").split("\n"):
         ws = words(line)
-        if len(ws) <= WINDOW:
-            if ws:
-                yield ws
-        else:
-            for i in range(0, len(ws) - STEP, STEP):
-                yield ws[i : i + WINDOW]
+        if ws:
+            lines.append(ws)
+        elif lines:
+            yield passages(lines)
+            lines = []
+    if lines:
+        yield passages(lines)
+
+
+class Spans:
+    """Words of a paragraph that are taken."""
+
+    def __init__(self, n: int):
+        self.taken = bytearray(n)
+
+    def add(self, first: int, last: int) -> None:
+        self.taken[first:last] = b"\1" * (last - first)
+
+    def meet(self, first: int, last: int) -> bool:
+        return self.taken.find(1, first, last) >= 0
 
 
 class Classifier:
@@ -79,9 +117,14 @@ class Classifier:
         known = sorted({g for ns in self.notices.values() for n in ns for g in grams(n)})
         self.index = {g: i for i, g in enumerate(known)}
         self.words = frozenset(g for g in known if b" " not in g)
-        plain = [p for t in corpus for p in passages(t)]
-        # what follows a notice closely is no example of "none"
-        plain = [p for p in plain if self.likeness(p)[1] < CONFIRM]
+        # what follows a notice closely, or shares words with what does, is no example of "none"
+        plain = []
+        for part in (part for t in corpus for part in paragraphs(t)):
+            close = Spans(max(b for _, b, _ in part))
+            for a, b, p in part:
+                if self.likeness(p)[1] >= CONFIRM:
+                    close.add(a, b)
+            plain += [p for a, b, p in part if not close.meet(a, b)]
         held = plain[::4]
         train = [p for i, p in enumerate(plain) if i % 4]
         filler = [w for p in train[:2000] for w in p] or [b"text"]
@@ -107,7 +150,18 @@ class Classifier:
         self.sure = min(0.95, max(0.5, top))
 
     def features(self, ws: list[bytes]) -> tuple[int, ...]:
-        return tuple(sorted(self.index[g] for g in grams(ws) if g in self.index))
+        # parts of a known gram are known grams
+        out = set()
+        for i, w in enumerate(ws):
+            for n in (2, 3, 4):
+                k = self.index.get(w)
+                if k is None:
+                    break
+                out.add(k)
+                if n == 4 or i + n > len(ws):
+                    break
+                w = w + b" " + ws[i + n - 1]
+        return tuple(sorted(out))
 
     def _train(self, xs, ys, weight, ridge: float = 1e-3, steps: int = 300, rate: float = 0.5) -> None:
         x = np.zeros((len(xs), len(self.index) + 1), np.float32)
@@ -149,18 +203,50 @@ class Classifier:
     def scan(self, text: str | None) -> dict[str, tuple[int, float, float]]:
         """family → (passages, best probability, best likeness) of a text."""
         out: dict[str, tuple[int, float, float]] = {}
-        for ws in passages(text):
-            if len(self.words.intersection(ws)) < 2:
-                continue  # no notice has fewer words
-            family, p, any_ = self.predict(ws)
-            if any_ < 0.5:
-                continue
-            like = self.likeness(ws, family)[1]
-            name = family if p >= self.sure and like >= CONFIRM else "unknown"
+
+        def add(name: str, p: float, like: float, more: bool) -> None:
             n, bp, bl = out.get(name, (0, 0.0, 0.0))
-            out[name] = (n + 1, max(bp, p), max(bl, like))
+            out[name] = (n + more, max(bp, p), max(bl, like))
+
+        for part in paragraphs(text):
+            size = max(b for _, b, _ in part)
+            taken: dict[str, Spans] = {}
+            sure, unsure = [], []
+            for a, b, ws in part:
+                if len(self.words.intersection(ws)) < 2:
+                    continue  # no notice has fewer words
+                family, p, any_ = self.predict(ws)
+                if any_ < 0.5:
+                    continue
+                like = self.likeness(ws, family)[1]
+                (sure if p >= self.sure and like >= CONFIRM else unsure).append((a, b, ws, family, p, like))
+            known = Spans(size)
+            for a, b, _, family, p, like in sure:
+                known.add(a, b)
+                spans = taken.setdefault(family, Spans(size))
+                add(family, p, like, not spans.meet(a, b))
+                spans.add(a, b)
+            sure.sort(key=lambda x: x[0])
+            starts = [x[0] for x in sure]
+            unknown = Spans(size)
+            for a, b, ws, family, p, like in unsure:
+                if family in taken and taken[family].meet(a, b):
+                    continue
+                near = sure[bisect_left(starts, b - WINDOW) : bisect_right(starts, a)]
+                if any(self._needs(x, a, b) for x in near):
+                    continue
+                rest = [w for w, k in zip(ws, known.taken[a:b]) if not k]
+                if 0 < len(rest) < len(ws) and self.predict(rest)[2] < 0.5:
+                    continue  # the confirmed part was what looked like a licence
+                add("unknown", p, like, not unknown.meet(a, b))
+                unknown.add(a, b)
         return out
 
+    def _needs(self, passage: tuple, first: int, last: int) -> bool:
+        """Whether words of a confirmed passage are part of what confirms it."""
+        a, b, ws, family, _, like = passage
+        return a <= first and last <= b and self.likeness(ws[: first - a] + ws[last - a :], family)[1] < like
+
 
 def fit(docs: DataFrame, max_docs: int = MAX_SAMPLE_DOCS) -> Classifier:
     """Trained on the notices and on the texts of at most ``max_docs`` documents (least hash of id)."""

@@ -308,3 +308,20 @@ def test_licenses(spark):
     assert {(100, "apache"), (100, "mit"), (101, "mit")} <= got
     assert {d for d, _ in got} <= {100, 101, 102} and all(f == "unknown" for d, f in got if d == 102)
     assert licenses.scan(df.limit(0), licenses.fit(df.limit(0))).count() == 0
+
+
+def test_licenses_wrapped_notices():
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("bcdfgaeiou") for _ in range(5))
+    text = lambda n: " ".join(word() for _ in range(n))
+    model = licenses.Classifier([f"{text(30)}\n{text(40)} is the and of this to any." for _ in range(40)])
+    for family in ("isc", "gpl", "mpl", "bsd", "mit"):
+        notice = licenses.NOTICES[family][1 if family in ("gpl", "mit") else 0].split()
+        for width in (5, 8, 12):
+            for mark in ("", " * ", "# ", "// "):
+                lines = "\n".join(mark + " ".join(notice[i : i + width]) for i in range(0, len(notice), width))
+                got = model.scan(f"{text(9)}\n\n{mark}{text(6)}\n{lines}\n{mark}\n{text(30)}")
+                assert set(got) == {family} and got[family][0] == 1, (family, width, got)
+    assert model.scan(f"{text(50)}\n{text(3)}\n\n{text(50)}") == {}
+    # a line break does not hide a notice, an empty line ends it
+    assert set(model.scan("Released under the MIT\nLicense")) == {"mit"}

@@ -279,6 +279,16 @@ def test_decontamination(spark):
     assert decontam.leaks(df.limit(0), bench).count() == 0 and decontam.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    rnd = random.Random(5)
+    text = lambda n: " ".join("".join(rnd.choice("bcdfgaeiou") for _ in range(5)) for _ in range(n))
+    items = [(1, "Photosynthesis"), (2, "Forty-two."), (3, "one two three"), (4, text(20))]
+    rows = [(i, t, "en", "s") for i, t in items] + [(10 + i, text(60), "en", "s") for i in range(20)]
+    rows.append((40, f"{text(40)} photosynthesis {text(40)}", "en", "s"))
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(i, i) for i, _ in items} | {(40, 1)}
+
+
 def test_lcs():
     a, b = decontam.words("a b c d e"), decontam.words("x a c y e")
     assert decontam.lcs(decontam.masks_of(a), len(a), b) == 3

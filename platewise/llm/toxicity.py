@@ -12,8 +12,8 @@ Scoring is one pass over the texts without a shuffle.
 
 Defined results: a null or empty text has no features and gets the intercept's score; a row with a
 null id is scored and never held out; rows are scored alike whether or not repeated; of several
-labels of an id the highest holds; without a labelled row, or with one class only, scores are 0;
-extra columns are ignored.
+labels of an id the highest holds; where no stem is mined (few labels, or one class only) the word
+lists and patterns alone vote and all listed words share one weight; without a labelled row scores are 0; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -192,14 +192,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> dic
 
     rows = sample.mapInPandas(read, "votes array<int>, feats array<int>").collect()  # at most max_sample short rows
     drop(spark, path)
-    if not rows or not stems:
+    if not rows:
         return {"weights": {}, "intercept": -30.0}
     votes = np.array([r.votes for r in rows], dtype=np.int64)
     model = LabelModel().fit(votes)
     x = np.zeros((len(rows), len(names)), dtype=np.float64)
     for i, r in enumerate(rows):
         x[i, r.feats] = 1
-    w = fit_logistic(x, model.posterior(votes))
+    if stems:
+        w = fit_logistic(x, model.posterior(votes))
+    else:  # too few toxic rows for weights of single words: one weight for all
+        w = fit_logistic(x.sum(1, keepdims=True), model.posterior(votes))
+        w = np.append(np.full(len(names), w[0]), w[1])
     return {
         "weights": {f: float(v) for f, v in zip(names, w)},
         "intercept": float(w[-1]),

@@ -255,6 +255,19 @@ def test_toxicity(spark):
     assert toxicity.judge(df, none).agg(F.max("score")).first()[0] < 1e-9
 
 
+def test_toxicity_without_stems(spark):
+    rnd = random.Random(3)
+    text = lambda n: " ".join("".join(rnd.choice("bcdfghaeiou") for _ in range(6)) for _ in range(n))
+    insults = {3: "stupid idiot", 6: "pathetic loser scum", 9: "disgusting clown liar"}
+    rows = [(i, f"{text(20)} {insults.get(i, '')}", "en", "s") for i in range(1, 60)]
+    rows += [(100, "you stupid idiot, pathetic loser, disgusting liar and clown", "en", "s"), (101, text(30), "en", "s")]
+    df = docs(spark, rows)
+    for toxic in (1, 0):  # few labels, and one class only
+        model = toxicity.fit(df, spark.createDataFrame([(i, 1, toxic if i in insults else 0) for i in range(1, 60)], "doc_id bigint, quality int, toxic int"))
+        got = {r.doc_id: r.score for r in toxicity.judge(df, model).select("doc_id", "score").collect()}
+        assert got[100] >= 0.5 and got[101] < 0.5 and all(got[i] > 2 * got[101] for i in insults)
+
+
 def test_decontamination(spark):
     rnd = random.Random(4)
     vocab = ["".join(rnd.choice("bcdfgaeiou") for _ in range(5)) for _ in range(400)]

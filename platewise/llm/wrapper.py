@@ -1,25 +1,31 @@
 """HTML main text by wrappers: union-free regular expressions inferred for each host.
 
 A page's tags form a token stream with nesting. A wrapper is a union-free expression over such
-streams: a label (tag and class), a text slot that is constant or varies, and a sequence of
+streams: a label (tag and classes), a text slot that is constant or varies, and a sequence of
 children that may each be optional ``?`` or repeated ``+``. :func:`merge` aligns two of them: equal
 labels are merged inside, runs of one label become a repeated group, what only one side has becomes
 an optional group, and differing texts become a slot. Folding all pages of a host through it gives
 the host's wrapper (:func:`show` writes it out).
 
+The wrapper decides what is content (:class:`Fit`). Every page is fitted to its host's wrapper by
+the alignment that merged it, and the part is sought that holds most of the text which varies over
+the host's pages, links apart, counted over the slots that the page has: so one page's long advert
+does not outweigh the host's articles. Inside that part go constant slots and, behind the text,
+repeated groups of records (a short slot, then a longer one), which are comments. Names only break
+ties: where a host has a single page or nothing varies, or no part holds the most, an ``article``,
+``main`` or part with a class word of content is taken if there is one; elements that HTML sets apart (``nav``, ``footer``, ``form``
+and the like) and class words of chrome are left out, the words only where the part does not hold
+most of the text that varies. ``names=False`` turns all of that off.
+
 Each task folds its own pages by host; the partial wrappers of a host, whose size is that of its
-template and not of its pages, are then folded as a stream. Each page is fitted to its host's
-wrapper, and content is chosen for the page, since templates of a host may differ: its articles; if
-it has none, its parts named as main or content; else the part that holds most of the text that the
-wrapper says varies, counted over those slots of the wrapper that the page has. Menus, notices and
-the like are left out by element and class; class words yield where the part holds the article or
-most of the host's varying text, except for comments and related texts. Pages meet their wrappers by a plain join on host,
-which Spark broadcasts only below its own threshold.
+template and not of its pages, are then folded as a stream. A part with over ``MAX_CHILDREN`` children
+in sequence becomes one repeated group of its labels, and elements nested deeper than ``MAX_DEPTH`` lie
+side by side at that depth, in page order, so wrappers stay small and no text is lost. Pages meet
+their wrappers by a plain join on host, which Spark broadcasts only below its own threshold.
 
 Defined results: a null or empty page has an empty text; a page whose URL is null or has no host
-belongs to the host ""; of a page without any wrapper content (only chrome) the text is empty;
-truncated markup is read as far as it goes; repeated rows give equal rows; extra columns are
-ignored.
+belongs to the host ""; of a page without any content (only chrome) the text is empty; truncated
+markup is read as far as it goes; repeated rows give equal rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,6 +51,8 @@ _TOKEN = re.compile(
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
+_NUMBER = re.compile(r"\d{3,}")
+_LETTERS = re.compile(r"[a-z]+")
 
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,9 +64,16 @@ CHROME_WORDS = frozenset(
 )
 OTHERS = frozenset("comment comments commentlist reply replies respond discussion disqus related recommended".split())  # texts that vary and are not the page's
 MAIN_WORDS = frozenset("main content article post entry story maincontent articlebody".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BLOCKS = frozenset("p ul ol dl table blockquote pre li dt dd tr td th".split()) | HEADINGS  # hold text, not content
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MEMO = 4096
+MAX_DEPTH = 64
+MAX_CHILDREN = 48
+MOST = 0.5  # of the varying text, that the content holds
+MOST_OF_ALL = 0.7  # of all text, where nothing varies
+SURE = 4  # pages on which a text is the same before it counts as constant
 
 VARIES = "*"
 
@@ -67,41 +83,68 @@ class Node:
 
     ``text`` is None, the digest of a constant text, or VARIES; ``parts`` of a page's node are its
     texts and nodes in page order, and ``fit`` the wrapper's node it meets; ``weight`` counts text
-    characters directly inside, ``seen`` how many nodes of pages were merged.
+    characters directly inside without links, ``linked`` those of links, ``seen`` pages and ``count``
+    elements of pages that were merged.
     """
 
-    __slots__ = ("label", "optional", "repeated", "text", "weight", "seen", "children", "parts", "fit")
+    __slots__ = ("label", "optional", "repeated", "text", "weight", "linked", "seen", "count", "children", "parts", "fit")
+
+    def __init__(self, label, optional=False, repeated=False, text=None, weight=0, linked=0, children=None, seen=1, count=1):
+        self.label, self.optional, self.repeated, self.text = label, optional, repeated, text
+        self.weight, self.linked, self.seen, self.count = weight, linked, seen, count
+        self.children, self.parts, self.fit = children or [], [], None
 
-    def __init__(self, label, optional=False, repeated=False, text=None, weight=0, children=None, seen=1):
-        self.label, self.optional, self.repeated, self.text, self.weight = label, optional, repeated, text, weight
-        self.children, self.parts, self.seen, self.fit = children or [], [], seen, None
+    @property
+    def tag(self) -> str:
+        return self.label.partition(".")[0]
 
     def pack(self):
-        return [self.label, int(self.optional), int(self.repeated), self.text, self.weight, [c.pack() for c in self.children], self.seen]
+        return [self.label, int(self.optional), int(self.repeated), self.text, self.weight, self.linked, [c.pack() for c in self.children], self.seen, self.count]
 
     @classmethod
     def unpack(cls, x):
-        return cls(x[0], bool(x[1]), bool(x[2]), x[3], x[4], [cls.unpack(c) for c in x[5]], x[6])
+        return cls(x[0], bool(x[1]), bool(x[2]), x[3], x[4], x[5], [cls.unpack(c) for c in x[6]], x[7], x[8])
 
 
 def label_of(tag: str, attrs: str) -> str:
-    """Tag and, in order, the words of its class, id and role that mean something here."""
+    """Tag and classes (numbers of three digits and more are one), and words of id and role that mean something here."""
     words = []
-    for _, a, b, c in _ATTR.findall(attrs):
-        for w in re.split(r"[^a-z]+", (a or b or c).lower()):
-            if w in CHROME_WORDS or w in MAIN_WORDS:
-                words.append(w)
+    for name, a, b, c in _ATTR.findall(attrs):
+        value = (a or b or c).lower()
+        if name.lower() == "class":
+            words += sorted(_NUMBER.sub("#", w) for w in value.replace(".", "-").split())
+        else:
+            words += [w for w in _LETTERS.findall(value) if w in CHROME_WORDS or w in MAIN_WORDS]
     return ".".join([tag, *dict.fromkeys(words)])
 
 
 def tree(page: str | None) -> Node:
     """The page's token stream with nesting; inline tags vanish and ``br`` is white space."""
     root = Node("page")
-    stack = [root]
+    stack, open_tags, in_link = [root], Counter(), False
+
+    def push(label: str) -> Node:
+        # below MAX_DEPTH elements lie side by side; what is inside chrome stays chrome
+        if len(stack) > MAX_DEPTH and stack[-1].tag in CHROME_TAGS:
+            label = f"{stack[-1].tag}.{label.partition('.')[2]}"
+        node, parent = Node(label), stack[min(len(stack), MAX_DEPTH) - 1]
+        parent.children.append(node)
+        parent.parts.append(node)
+        return node
+
+    def pop() -> None:
+        open_tags[tags.pop()] -= 1
+        stack.pop()
+        if len(stack) > MAX_DEPTH:  # the rest of the element lies behind what was in it
+            stack[-1] = push(stack[-1].label)
+
+    tags: list[str] = []
     for m in _TOKEN.finditer(page or ""):
         token = m[0]
         if token[0] != "<" or token == "<":
             stack[-1].parts.append(token)
+            if in_link:
+                stack[-1].linked += len(token)
             continue
         if m[1] is not None:
             continue
@@ -112,30 +155,55 @@ def tree(page: str | None) -> Node:
         if tag == "br":
             stack[-1].parts.append(" ")
         elif tag in INLINE:
-            continue
+            if tag == "a":
+                in_link = not closing
         elif closing:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].label.split(".")[0] == tag), 0)
-            if at:
-                del stack[at:]
+            if open_tags[tag]:
+                in_link = False
+                while tags[-1] != tag:
+                    pop()
+                pop()
         else:
+            in_link = False
             # a start tag ends what cannot hold it
-            if tag in CLOSES_P and stack[-1].label.split(".")[0] == "p":
-                stack.pop()
-            if tag in SIBLINGS and stack[-1].label.split(".")[0] in SIBLINGS[tag]:
-                stack.pop()
-            node = Node(label_of(tag, t[3]))
-            stack[-1].children.append(node)
-            stack[-1].parts.append(node)
+            if tags and tag in CLOSES_P and tags[-1] == "p":
+                pop()
+            if tags and tag in SIBLINGS and tags[-1] in SIBLINGS[tag]:
+                pop()
+            node = push(label_of(tag, t[3]))
             if tag not in VOID and not token.endswith("/>"):
                 stack.append(node)
+                tags.append(tag)
+                open_tags[tag] += 1
     return root
 
 
+def _digest(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:12]
+
+
+def _short(children: list[Node], one_page: bool) -> list[Node]:
+    """The children; where they are too many, one repeated group of their labels, or else of their tags."""
+    for name in (lambda c: c.label, lambda c: c.tag):
+        if len(children) <= MAX_CHILDREN:
+            break
+        groups: dict[str, Node] = {}
+        for c in children:
+            c.label = name(c)
+            if c.label in groups:
+                groups[c.label] = merge(groups[c.label], c, one_page)
+                groups[c.label].repeated = True
+            else:
+                groups[c.label] = c
+        children = list(groups.values())
+    return children
+
+
 def skeleton(page: Node) -> Node:
     """A page as the wrapper that fits it alone; runs of one label are one repeated group."""
     text = _SPACE.sub(" ", "".join(p for p in page.parts if isinstance(p, str))).strip()
-    digest = hashlib.md5(text.encode()).hexdigest()[:12] if text else None
-    out = Node(page.label, text=digest, weight=len(text))
+    linked = min(page.linked, len(text))
+    out = Node(page.label, text=_digest(text) if text else None, weight=len(text) - linked, linked=linked)
     for child in page.children:
         s = skeleton(child)
         if out.children and out.children[-1].label == s.label:
@@ -143,6 +211,7 @@ def skeleton(page: Node) -> Node:
             out.children[-1].repeated = True
         else:
             out.children.append(s)
+    out.children = _short(out.children, one_page=True)
     return out
 
 
@@ -180,8 +249,9 @@ def merge(a: Node, b: Node, one_page: bool = False) -> Node:
     """
     text = a.text if a.text == b.text else VARIES
     if one_page and text == VARIES:
-        text = hashlib.md5(f"{a.text} {b.text}".encode()).hexdigest()[:12]
-    out = Node(a.label, a.optional or b.optional, a.repeated or b.repeated, text, a.weight + b.weight, seen=1 if one_page else a.seen + b.seen)
+        text = _digest(f"{a.text} {b.text}")
+    out = Node(a.label, a.optional or b.optional, a.repeated or b.repeated, text, a.weight + b.weight, a.linked + b.linked)
+    out.seen, out.count = 1 if one_page else a.seen + b.seen, a.count + b.count
     for x, y in _align(a.children, b.children):
         if x and y:
             out.children.append(merge(x, y, one_page))
@@ -194,6 +264,7 @@ def merge(a: Node, b: Node, one_page: bool = False) -> Node:
                 out.children[-1].repeated = True
             else:
                 out.children.append(only)
+    out.children = _short(out.children, one_page)
     return out
 
 
@@ -205,87 +276,153 @@ def show(node: Node) -> str:
     return f"({s}){marks}" if marks else s
 
 
+def _words(label: str) -> set[str]:
+    return set(_LETTERS.findall(label.partition(".")[2]))
+
+
 def _is_chrome(label: str, inside: bool) -> bool:
-    tag = label.split(".")[0]
+    tag = label.partition(".")[0]
     return tag in CHROME_TAGS or (tag == "header" and not inside)
 
 
 def _chrome_words(label: str, inside: bool = False) -> set[str]:
     """Class words of chrome; inside content ``header`` is none, as the tag is none there."""
-    tag, *words = label.split(".")
-    return set() if tag in ("html", "body") else {w for w in words if w in CHROME_WORDS and not (inside and w == "header")}
+    if "." not in label or label.partition(".")[0] in ("html", "body"):
+        return set()
+    return {w for w in _words(label) if w in CHROME_WORDS and not (inside and w == "header")}
 
 
 def _is_article(label: str) -> bool:
-    return label.split(".")[0] == "article"
+    return label.partition(".")[0] == "article"
 
 
 def _is_main(label: str) -> bool:
-    tag, *words = label.split(".")
-    return tag == "main" or not MAIN_WORDS.isdisjoint(words)
+    return label.partition(".")[0] == "main" or ("." in label and not MAIN_WORDS.isdisjoint(_words(label)))
 
 
-def _characters(node: Node) -> int:
-    """Of the texts in and below a part of a page, without elements of chrome."""
-    if _is_chrome(node.label, False):
-        return 0
-    return sum(len(p.strip()) if isinstance(p, str) else _characters(p) for p in node.parts)
+class Host:
+    """What a host's wrapper says about its parts."""
 
+    def __init__(self, root: Node, names: bool = True):
+        self.root, self.names = root, names
+        self.mass: dict[int, int] = {}  # own characters that vary, without links, by part
+        for every in (False, True):
+            # where nothing varies all texts count
+            self.known = root.seen > 1 and not every
+            self._weigh(root, False)
+            if self.known and any(self.mass.values()):
+                break
+        self.records: set[int] = set()
+        self._find_records(root, 0)
+
+    def _weigh(self, fit: Node, shut: bool) -> None:
+        if self.names and not shut:
+            words = _chrome_words(fit.label)
+            shut = _is_chrome(fit.label, False) or bool(words & OTHERS if self.known else words)
+        counts = not self.known or fit.text == VARIES or fit.seen == 1
+        self.mass[id(fit)] = fit.weight if counts and not shut else 0
+        for c in fit.children:
+            self._weigh(c, shut)
+
+    def _first_slot(self, fit: Node) -> Node | None:
+        if fit.text is not None:
+            return fit
+        return next((s for s in map(self._first_slot, fit.children) if s is not None), None)
+
+    def _longest(self, fit: Node) -> float:
+        return max([fit.weight / fit.count, *map(self._longest, fit.children)])
+
+    def _find_records(self, fit: Node, before: int) -> int:
+        """Marks repeated records behind other text; returns the text up to the end of the part."""
+        before += self.mass[id(fit)]
+        if self.known and before and fit.repeated and fit.tag not in BLOCKS and fit.children:
+            first = self._first_slot(fit)
+            if first is not None and first.tag not in HEADINGS and first is not fit:
+                size = (first.weight + first.linked) / first.count
+                if 0 < size < 40 and self._longest(fit) > 1.5 * size:
+                    self.records.add(id(fit))
+                    return before
+        for c in fit.children:
+            before = self._find_records(c, before)
+        return before
+
+    def is_constant(self, fit: Node) -> bool:
+        """The same on enough pages, with nothing below it that varies; headings may agree."""
+        if fit.seen < SURE or fit.tag in HEADINGS or fit.text == VARIES:
+            return False
+        return all(map(self.is_constant, fit.children))
 
-class Fit:
-    """A page fitted to its host's wrapper: which of its parts are content.
 
-    Elements of chrome are left out. Class words of chrome are overruled, but for those in OTHERS,
-    where the part holds the page's article or most of the text that varies between pages.
-    """
+class Fit:
+    """A page fitted to its host's wrapper: which of its parts are content."""
 
-    def __init__(self, page: Node, root: Node):
-        self.page, self.pages = page, root.seen
-        self.reached: set[int] = set()
-        self._fit(page, root)
-        self.open = self._overruled([page])
+    def __init__(self, page: Node, host: Host | Node, names: bool = True):
+        self.host = host if isinstance(host, Host) else Host(host, names)
+        self.page, self.names = page, self.host.names
+        self.members: dict[int, list[Node]] = {}
+        self.total: dict[int, int] = {}
+        self._fit(page, self.host.root)
+        self._sum(self.host.root)
+        self.open = self._overruled(self.host.root)
 
     def _fit(self, node: Node, fit: Node) -> None:
         node.fit = fit
-        self.reached.add(id(fit))
+        self.members.setdefault(id(fit), []).append(node)
         runs: list[list[Node]] = []
-        for part in node.children:
-            if runs and runs[-1][0].label == part.label:
-                runs[-1].append(part)
-            else:
-                runs.append([part])
-        # as the wrapper was merged: runs of one label meet one part of it
-        rest = iter(runs)
-        for x, y in _align(fit.children, [r[0] for r in runs]):
-            if y is not None:
-                for part in next(rest):
-                    if x is not None:
-                        self._fit(part, x)
-
-    def _evidence(self, fit: Node) -> int:
-        """Characters that vary in those slots of a part that this page has, whatever its class words."""
-        if id(fit) not in self.reached or _is_chrome(fit.label, True) or _chrome_words(fit.label) & OTHERS:
+        known = {c.label: c for c in fit.children}
+        if len(known) < len(fit.children) or len(node.children) <= MAX_CHILDREN:
+            for part in node.children:
+                if runs and runs[-1][0].label == part.label:
+                    runs[-1].append(part)
+                else:
+                    runs.append([part])
+        if runs and len(runs) <= MAX_CHILDREN:
+            # as the wrapper was merged: runs of one label meet one part of it
+            rest = iter(runs)
+            for x, y in _align(fit.children, [r[0] for r in runs]):
+                if y is not None:
+                    for part in next(rest):
+                        if x is not None:
+                            self._fit(part, x)
+        left = [c for c in node.children if c.fit is None]
+        for part in left:  # groups of labels, and what stands elsewhere on this page
+            x = known.get(part.label) or known.get(part.tag)
+            if x is not None:
+                self._fit(part, x)
+
+    def _sum(self, fit: Node) -> int:
+        """Characters that vary in those slots of a part that this page has."""
+        if id(fit) not in self.members or id(fit) in self.host.records:
             return 0
-        return (fit.weight if fit.text == VARIES else 0) + sum(map(self._evidence, fit.children))
-
-    def _overruled(self, nodes: list[Node]) -> set[int]:
-        """Parts of the wrapper in or below the nodes' with class words of chrome and most of the varying text."""
-        fits = list({id(n.fit): n.fit for n in nodes if n.fit is not None}.values())
-        total, out = sum(map(self._evidence, fits)), set()
-        todo = fits if total and self.pages > 1 else []
-        while todo:
+        n = self.total[id(fit)] = self.host.mass[id(fit)] + sum(map(self._sum, fit.children))
+        return n
+
+    def _mass(self, fit: Node | None) -> int:
+        return self.total.get(id(fit), 0)
+
+    def _overruled(self, top: Node) -> set[int]:
+        """Parts with class words of chrome that hold most of the text that varies."""
+        out, todo, total = set(), [top], self._mass(top)
+        while todo and total and self.host.known:
             fit = todo.pop()
-            if 2 * self._evidence(fit) > total:
+            if 2 * self._mass(fit) > total:
                 if _chrome_words(fit.label):
                     out.add(id(fit))
                 todo.extend(fit.children)
         return out
 
     def _is_shut(self, node: Node, inside: bool, loose: bool) -> bool:
+        fit = node.fit
+        if fit is not None and id(fit) in self.host.records:
+            return True
+        if inside and fit is not None and self.host.known and self.host.is_constant(fit):
+            return True
+        if not self.names:
+            return False
         words = _chrome_words(node.label, inside)
         if _is_chrome(node.label, inside) or words & OTHERS:
             return True
-        return bool(words) and not loose and (node.fit is None or id(node.fit) not in self.open)
+        return bool(words) and not loose and (fit is None or id(fit) not in self.open)
 
     def _find(self, node: Node, test, loose: bool = False) -> list[Node]:
         """The topmost parts that pass; parts inside chrome do not count."""
@@ -295,48 +432,56 @@ class Fit:
             return [node]
         return [x for c in node.children for x in self._find(c, test, loose)]
 
-    def content(self) -> tuple[list[Node], bool]:
-        """The page's articles; where it has none, its main parts; else what holds most of its text that varies.
-
-        Tells also whether the parts were found by name.
-        """
+    def _characters(self, node: Node) -> int:
+        if self.names and _is_chrome(node.label, False):
+            return 0
+        return sum(len(p.strip()) if isinstance(p, str) else self._characters(p) for p in node.parts)
+
+    def inferred(self) -> tuple[list[Node], bool]:
+        """The part with most of the text that varies, with the titles before it; tells whether it is one."""
+        fit, total, titles = self.host.root, self._mass(self.host.root), []
+        most = MOST if self.host.known else MOST_OF_ALL
+        while total:
+            heavy = max((c for c in fit.children), key=self._mass, default=None)
+            if heavy is None or self._mass(heavy) <= most * total:
+                break
+            if heavy.repeated or heavy.tag in BLOCKS or (self.names and self.host.root is not fit and _is_article(fit.label)):
+                break
+            for c in fit.children:
+                if c is heavy:
+                    break
+                if c.tag in HEADINGS and (c.text == VARIES or not self.host.known) and fit.tag not in ("html", "body", "page"):
+                    titles += self.members.get(id(c), [])
+            fit = heavy
+        sure = self.host.known and fit.tag not in ("html", "body", "page") and total > 0
+        return titles + self.members[id(fit)], sure
+
+    def named(self) -> list[Node]:
+        """The page's articles; where it has none, its main parts."""
         for test in (_is_article, _is_main):
             found = self._find(self.page, test)
             if found:
-                return found, True
+                return found
         found = self._find(self.page, _is_article, loose=True)
-        if len(found) == 1 or 2 * sum(map(_characters, found)) > _characters(self.page):
-            return found, True
-        return [self._heaviest()], False
-
-    def _weight(self, fit: Node, every: bool) -> int:
-        """Characters on all of the host's pages in those slots of a part that this page has."""
-        if id(fit) not in self.reached or _is_chrome(fit.label, False) or (_chrome_words(fit.label) and id(fit) not in self.open):
-            return 0
-        own = fit.weight if every or fit.text == VARIES or fit.seen == 1 else 0
-        return own + sum(self._weight(c, every) for c in fit.children)
-
-    def _heaviest(self) -> Node:
-        """Go down while one part holds most of the text that varies (or, if none does, of all text)."""
-        node = self.page
-        every = not self._weight(node.fit, False)
-        total = self._weight(node.fit, every)
-        while True:
-            heavy = [c for c in node.children if c.fit is not None and self._weight(c.fit, every) > 0.7 * total]
-            if not heavy or heavy[0].fit.repeated or heavy[0].label.split(".")[0] in ("p", "ul", "ol", "table"):
-                return node
-            node = heavy[0]
+        return found if len(found) == 1 or 2 * sum(map(self._characters, found)) > self._characters(self.page) else []
 
     def text(self) -> str:
-        nodes, named = self.content()
-        self.open |= self._overruled(nodes)
-        blocks: list[str] = []
-        for loose in (False, True) if named else (False,):
-            for node in nodes:
+        nodes, sure = self.inferred()
+        choices = [(nodes, False)]
+        if self.names and not sure:
+            choices.insert(0, (self.named(), True))
+        elif self.names and not any(_is_article(n.label) for n in nodes):
+            inside = [x for n in nodes for x in self._find(n, _is_article)]
+            if len(inside) == 1:  # an article in the part that was found
+                choices.insert(0, (inside, True))
+        for found, loose in ((f, x) for f, named in choices for x in ((False, True) if named or sure else (False,))):
+            self.open |= set() if not self.host.known else {i for n in found if n.fit is not None for i in self._overruled(n.fit)}
+            blocks: list[str] = []
+            for node in found:
                 self._walk(node, loose, _is_article(node.label), blocks)
             if blocks:
-                break
-        return "\n".join(blocks)
+                return "\n".join(blocks)
+        return ""
 
     def _walk(self, node: Node, loose: bool, article: bool, blocks: list[str]) -> None:
         run: list[str] = []
@@ -404,7 +549,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, Node] = {}
+        known: dict[str, Host] = {}
         for pages_, wrapper in batches:
             out = []
             for page, packed in zip(pages_, wrapper):
@@ -412,7 +557,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 if w is None:
                     if len(known) >= MEMO:
                         known.clear()
-                    w = known[packed] = Node.unpack(json.loads(packed))
+                    w = known[packed] = Host(Node.unpack(json.loads(packed)))
                 out.append(Fit(tree(page), w).text())
             yield pd.Series(out, dtype=object)
 

@@ -1,7 +1,10 @@
 """The training-data operators against brute force, and on nulls, ties, empties and clashing columns."""
 
 import hashlib
+import html
+import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -232,6 +235,68 @@ def test_wrapper_class_words_yield():
     assert texts_of_host(notice) == [""]
 
 
+def masked(page):
+    """The page with meaningless names: every element a div with a class of no meaning."""
+    names = {"nav": "q1", "article": "k8", "footer": "zz", "form": "w2", "aside": "m4", "header": "u9"}
+    for tag, cls in names.items():
+        page = page.replace(f"<{tag}>", f'<div class="{cls}">').replace(f"</{tag}>", "</div>")
+    return page.replace('class="ad"', 'class="v5"').replace('class="comments"', 'class="j3"')
+
+
+def test_wrapper_infers_without_names():
+    rnd = random.Random(8)
+    say = lambda n: " ".join("".join(rnd.choice("bcdfgaeiou") for _ in range(5)) for _ in range(n))
+    pages, want = [], []
+    for i in range(12):
+        title, body = say(3), [say(rnd.choice((2, 30, 60))) for _ in range(1 if i == 5 else 4)]
+        menu = "".join(f"<li><a>{say(1)}</a></li>" for _ in range(rnd.randint(3, 6)))
+        readers = "".join(f"<div class='p{k % 2}x'><span>{say(1)}</span><p>{say(12)}</p></div>".replace(f"p{k % 2}x", "rec") for k in range(rnd.randint(0, 3)))
+        text = "".join(f"<p>{b}</p>" for b in body)
+        note = "<div class='n7'><p>We would like your letters, write to us any day.</p></div>"
+        pages.append(masked(f'<nav><ul>{menu}</ul></nav><div class="ad">{say(25)}</div><article><h1>{title}</h1>{text}{note}</article><div class="comments">{readers}</div><footer>{say(4)}</footer>'))
+        want.append("\n".join([title, *body]))
+    w = wrapper.skeleton(wrapper.tree(pages[0]))
+    for p in pages[1:]:
+        w = wrapper.merge(w, wrapper.skeleton(wrapper.tree(p)))
+    assert [wrapper.Fit(wrapper.tree(p), w, names=False).text() for p in pages] == want
+    assert [wrapper.Fit(wrapper.tree(p), w).text() for p in pages] == want
+    # a page alone does not tell
+    alone = [wrapper.Fit(wrapper.tree(p), wrapper.skeleton(wrapper.tree(p)), names=False).text() for p in pages]
+    assert sum(a == b for a, b in zip(alone, want)) < len(pages) / 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_wrapper_on_pages_with_and_without_names():
+    """Main texts of the given pages against their one article, read by a plain expression."""
+    p = pd.read_parquet(f"{os.path.dirname(SMALL)}/sf0.01/pages.parquet")
+    p["host"] = p.url.str.extract("://([^/?#]*)")[0].str.lower()
+    blocks = lambda a: [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)>", a)]
+    p["want"] = ["\n".join(b for b in blocks(re.search(r"<article>(.*?)</article>", h, re.S)[1]) if b) for h in p.html]
+    found, alone, n = 0, 0, 0
+    for _, g in p.groupby("host"):
+        assert texts_of_host(*g.html) == g.want.tolist()
+        if len(g) < 3:
+            continue
+        pages = [masked(h) for h in g.html]
+        w = wrapper.skeleton(wrapper.tree(pages[0]))
+        for x in pages[1:]:
+            w = wrapper.merge(w, wrapper.skeleton(wrapper.tree(x)))
+        for x, y in zip(pages, g.want):
+            n += 1
+            found += wrapper.Fit(wrapper.tree(x), w, names=False).text() == y
+            alone += wrapper.Fit(wrapper.tree(x), wrapper.skeleton(wrapper.tree(x)), names=False).text() == y
+    assert found == n > alone
+
+
+def test_wrapper_deep_and_wide_pages():
+    deep = "<div>" * 100_000 + "<p>deep</p>" + "</div>" * 100_000 + "<p>end</p>"
+    assert texts_of_host(deep, deep) == ["deep\nend"] * 2
+    mixed = "<div>" * 70 + "a<div>b</div>c<nav><ul><li>menu</ul></nav>d" + "</div>" * 70 + "e"
+    assert texts_of_host(mixed) == ["a\nb\nc\nd\ne"]
+    wide = "<article>" + "".join(f"<h2>H{i}</h2><p>t{i}</p><ul><li>{i}</ul>" for i in range(3000)) + "</article>"
+    assert texts_of_host(wide, wide.replace("t1", "x"))[0].split("\n")[:4] == ["H0", "t0", "0", "H1"] and texts_of_host(wide)[0].count("\n") == 8999
+
+
 def test_toxicity(spark):
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("bcdfghaeiou") for _ in range(4))

@@ -291,8 +291,8 @@ def test_wrapper_on_pages_with_and_without_names():
 def test_wrapper_deep_and_wide_pages():
     deep = "<div>" * 100_000 + "<p>deep</p>" + "</div>" * 100_000 + "<p>end</p>"
     assert texts_of_host(deep, deep) == ["deep\nend"] * 2
-    mixed = "<div>" * 70 + "a<div>b</div>c<nav><ul><li>menu</ul></nav>d" + "</div>" * 70 + "e"
-    assert texts_of_host(mixed) == ["a\nb\nc\nd\ne"]
+    mixed = "<div>" * 70 + "a<div>b</div>c<nav><ul><li>menu</ul></nav>d" + "</div>" * 70 + "and the end"
+    assert texts_of_host(mixed) == ["a\nb\nc\nd\nand the end"]
     wide = "<article>" + "".join(f"<h2>H{i}</h2><p>t{i}</p><ul><li>{i}</ul>" for i in range(3000)) + "</article>"
     assert texts_of_host(wide, wide.replace("t1", "x"))[0].split("\n")[:4] == ["H0", "t0", "0", "H1"] and texts_of_host(wide)[0].count("\n") == 8999
 

@@ -3,7 +3,10 @@
 Each task builds one encoder from the broadcast rank file (its size is checked) and encodes its
 rows batch by batch. Texts longer than ``cut_chars`` are cut first where a non-space character is
 followed by white space: no match of the pattern spans such a place and no look-ahead crosses it,
-so the ids are those of the whole text while one call never sees more than one stretch.
+so the ids are those of the whole text while one call never sees more than one stretch. A run of over
+``LONG_RUN`` white-space characters, on which the library's pattern matching would exhaust its stack,
+is encoded as the one match that it is: all of it at the end of a text, else all but its last
+character, which belongs to what follows.
 
 Defined results: a null text counts as empty and has no ids; extra columns, repeated rows and null
 ids pass through untouched; an empty table gives an empty table.
@@ -33,7 +36,12 @@ MAX_RANK_FILE = 64 << 20
 CUT_CHARS = 1 << 16
 PIECE_CHARS = 1 << 20
 
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+LONG_RUN = 4096
+
+# White space as the pattern's library sees it (Python's also has four control characters).
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SAFE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
+_RUN = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")
 _built: dict[str, tiktoken.Encoding] = {}
 
 
@@ -61,9 +69,18 @@ def stretches(text: str, cut_chars: int = CUT_CHARS) -> Iterator[str]:
 
 
 def encode(enc: tiktoken.Encoding, text: str, cut_chars: int = CUT_CHARS) -> list[int]:
-    if len(text) <= cut_chars:
+    if len(text) <= min(cut_chars, LONG_RUN):
         return enc.encode_ordinary(text)
-    return [i for part in stretches(text, cut_chars) for i in enc.encode_ordinary(part)]
+    out, start = [], 0
+    for run in _RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        for part in stretches(text[start : run.start()], cut_chars):
+            out += enc.encode_ordinary(part)
+        out += enc._encode_single_piece(text[run.start() : end])
+        start = end
+    for part in stretches(text[start:], cut_chars):
+        out += enc.encode_ordinary(part)
+    return out
 
 
 def decode(enc: tiktoken.Encoding, ids) -> bytes:

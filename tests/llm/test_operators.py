@@ -89,6 +89,11 @@ def test_bpe_round_trip(spark):
     for t in texts:
         assert bpe.encode(enc, t, 64) == enc.encode_ordinary(t)
         assert bpe.decode(enc, bpe.encode(enc, t)).decode() == t
+    space = [f"{a}{c * n}{b}" for a in ("", "x", "!\x1c", "é") for c in (" ", "\n", " \n", "\u3000", "\x1c") for n in (4095, 4096, 9000) for b in ("", "y", " ", "\x1f", "'s")]
+    for t in [*space, "a" + " " * 5000 + "b\x1cc !\x1d\x1d d" * 900]:
+        assert bpe.encode(enc, t, 64) == enc.encode_ordinary(t)
+    for c in (" ", "\n", "a", "!", "\u0301"):  # longer than the library's pattern can take, where it is white space
+        assert bpe.decode(enc, bpe.encode(enc, "x" + c * 2_000_000 + "y")).decode() == "x" + c * 2_000_000 + "y"
     for r, (i, t, *_) in zip(bpe.digests(docs(spark).coalesce(1)).collect(), ODD):
         ids = enc.encode_ordinary(t or "")
         assert (r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) == (i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())

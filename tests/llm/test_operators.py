@@ -169,8 +169,18 @@ def test_url_filter(spark):
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(df, spark.createDataFrame(url_filter.RULES, "rule string, verdict string")).collect()}
     want = {0: ("com/", "allow"), 1: ("www.example.com/en/", "allow"), 2: ("example.com/en/", "block"), 3: ("com/", "allow"), 5: ("net/es/", "block"), 6: ("net/fr/", "block"), 13: ("com/", "allow")}
     assert got == {i: want.get(i, (None, "allow")) for i in range(len(urls) + 1)}
+    rules = spark.createDataFrame(url_filter.RULES, "rule string, verdict string")
+    again = url_filter.judge(df, rules, max_words=0)  # the way of long lists
+    assert {r.page_id: (r.rule, r.verdict) for r in again.collect()} == got and again.count() == df.count()
+    long = df.limit(1).select("page_id", F.concat(F.lit("http://"), F.repeat(F.lit("a."), 50_000), F.lit("example.com/en/x")).alias("url"))
+    assert url_filter.judge(long, rules).first().rule == "example.com/en/"
+    assert url_filter.judge(df, rules.limit(0)).where("rule is not null").count() == 0
+    # few listed keys in a large universe: a small first level that hardly anything else passes
+    assert url_filter.size_of(3, 750_000_000, True)[0] <= 3 and url_filter.size_of(1000, 500, True) == (23, 1)
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     levels = url_filter.build_cascade(keys, keys.where("key like '%7'"))
+    few = url_filter.build_cascade(keys, keys.where("key in ('k5', 'k77', 'k2999')"))
+    assert keys.where(url_filter.is_member(F.col("key"), few) != F.col("key").isin("k5", "k77", "k2999")).count() == 0 and len(few[0].words) == 1
     assert keys.where(url_filter.is_member(F.col("key"), levels) != F.col("key").like("%7")).count() == 0
     assert url_filter.judge(df.limit(0), spark.createDataFrame(url_filter.RULES, "rule string, verdict string")).count() == 0
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where unset (tests), a fresh local one."""
+    """The shared folder of ``spark.checkpoint.dir``; where unset in local mode (tests), a fresh local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="platewise-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -5,9 +5,11 @@ curve through that cube orders the rows, so that a run of the order is a compact
 dimensions at once. The order is cut into runs of equal row counts (law ``rows``: counts at most
 one apart), and a reader prunes shards by the per-shard ranges of :func:`shard_ranges`.
 
-Categorical values are quantised by their hash (equal values share a cell at any size of the
-table), the length on a logarithmic scale, so no statistics of the table are needed. Ties on the
-curve are broken by the text's checksum and the key, which keeps equal texts together.
+Categories lie on their axis in the order of their frequency, each at the middle of its share of the
+rows, so that halves of an axis hold about half of the rows; beyond the ``MAX_PLACED`` most frequent
+ones values are dealt over the rest of the axis by their hash. Lengths are placed by quantile. These
+statistics, over all rows, are all that the driver sees. Equal texts of one language and source share a
+cell; ties on the curve are broken by the text's checksum and the key, which sorts them together there.
 
 The order is made by a range partitioning of narrow rows (no texts). Rows are counted within each
 range and the starts of the ranges, one number for each partition, come from the driver.
@@ -29,6 +31,7 @@ from platewise.llm.common import keep, table, text_or_empty
 
 BITS = 8
 N_SHARDS = 8
+MAX_PLACED = 255  # categories of an axis with a place of their own
 
 
 def hilbert_index(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -58,15 +61,34 @@ def hilbert_index(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return index
 
 
-def by_hash(col: str, bits: int = BITS) -> Column:
-    """Cell of a categorical value; null has its own."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(col).cast("string"), F.lit("\0"))), F.lit(1 << bits)).cast("int")
+def by_frequency(df: DataFrame, col: str, bits: int = BITS, placed: int = MAX_PLACED) -> Column:
+    """Cell of a categorical value; null is a value of its own."""
+    value = F.coalesce(F.col(col).cast("string"), F.lit("\0"))
+    counts = df.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    cells, before = [], 0
+    for r in counts.orderBy(F.desc("n"), "v").limit(placed).collect():
+        cells += [F.lit(r.v), F.lit(((2 * before + r.n) << bits) // (2 * total))]
+        before += r.n
+    first = min((before << bits) // total, (1 << bits) - 1)
+    rest = (F.pmod(F.xxhash64(value), F.lit((1 << bits) - first)) + first).cast("int")
+    return F.coalesce(F.create_map(*cells)[value], rest).cast("int") if cells else rest
 
 
-def by_log(value: Column, bits: int = BITS) -> Column:
-    """Cell of a size on a logarithmic scale with 8 steps an octave; null counts as 0."""
-    cell = F.floor(F.log2(F.coalesce(value, F.lit(0)).cast("double") + 1) * 8)
-    return F.least(F.greatest(cell, F.lit(0)), F.lit((1 << bits) - 1)).cast("int")
+def by_quantile(df: DataFrame, value: Column, bits: int = BITS, edges: int = 63) -> Column:
+    """Cell of a number by where it stands among all rows'; null counts as 0."""
+    value = F.coalesce(value, F.lit(0))
+    cuts = df.agg(F.percentile_approx(value, [(i + 1) / (edges + 1) for i in range(edges)], 1000).alias("q")).first().q or []
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)
+    return (at * ((1 << bits) // (edges + 1))).cast("int")
+
+
+DIMS = ["d_lang", "d_source", "d_length"]
+
+
+def cells(docs: DataFrame) -> dict[str, Column]:
+    """The axes of a table of documents."""
+    return dict(zip(DIMS, (by_frequency(docs, "lang"), by_frequency(docs, "source"), by_quantile(docs, F.octet_length(text_or_empty("text"))))))
 
 
 def with_curve(df: DataFrame, dims: list[Column], out: str = "curve", bits: int = BITS) -> DataFrame:
@@ -114,10 +136,24 @@ def shard_ranges(sharded: DataFrame, dims: list[str]) -> DataFrame:
     return sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), *aggs)
 
 
-def write_shards(docs: DataFrame, sharded: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write ``docs`` in one folder a shard, each sorted by slot."""
-    joined = docs.join(sharded.select(key, "shard", "slot"), key)
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, n_shards: int = N_SHARDS) -> DataFrame:
+    """Write ``docs``, every row once, in one folder a shard, each sorted by slot.
+
+    Rows are carried through the sort, so repeated rows and null ids keep their places; columns named
+    curve, text_crc32, shard, slot or like a dimension are replaced. Returns the ranges of each shard.
+    """
+    curved = with_curve(docs.drop("curve", "shard", "slot", "text_crc32", *DIMS).withColumns(cells(docs)), [F.col(d) for d in DIMS])
+    text = text_or_empty("text")
+    curved = curved.withColumn("text_crc32", F.crc32(text.cast("binary")))
+    placed = cut_rows(curved, ["curve", "text_crc32", "doc_id"], n_shards)
+    out = placed.drop("curve", "text_crc32")
+    out.repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return shard_ranges(placed, DIMS)
+
+
+def prunable(ranges: DataFrame, dim: str, cell: Column) -> DataFrame:
+    """The shards that cannot hold a cell of a dimension."""
+    return ranges.where(~cell.between(F.col(f"min_{dim}"), F.col(f"max_{dim}"))).select("shard")
 
 
 def hilbert_shards(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
@@ -126,12 +162,9 @@ def hilbert_shards(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
         "doc_id",
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        by_hash("lang").alias("d_lang"),
-        by_hash("source").alias("d_source"),
-        by_log(F.octet_length(text)).alias("d_length"),
+        *[c.alias(name) for name, c in cells(docs).items()],
     )
-    dims = ["d_lang", "d_source", "d_length"]
-    curved = with_curve(narrow, [F.col(d) for d in dims])
+    curved = with_curve(narrow, [F.col(d) for d in DIMS])
     return cut_rows(curved, ["curve", "text_crc32", "doc_id"], n_shards)
 
 

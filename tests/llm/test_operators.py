@@ -147,6 +147,29 @@ def test_sharding(spark):
     assert sharding.hilbert_shards(docs(spark).limit(0)).count() == 0
 
 
+def test_sharding_prunes(spark, tmp_path):
+    """Rows out are rows in, and filters on metadata leave shards out."""
+    rnd = random.Random(9)
+    many = ODD + [(100 + i, f"t{i % 31} " * rnd.choice((3, 30, 300)), rnd.choice(("en", "en", "en", "de", "fr", None)), f"s{min(9, int(rnd.expovariate(0.4)))}") for i in range(1600)]
+    df = docs(spark, many)
+    ranges = sharding.write_shards(df, f"{tmp_path}/out")
+    ranges.persist()
+    back = spark.read.parquet(f"{tmp_path}/out")
+    key = lambda d: sorted(map(str, d.select(*df.columns).collect()))
+    assert key(back) == key(df) and back.groupBy("shard").count().count() == 8
+    cells = sharding.cells(df)
+    for dim, col in (("d_lang", "lang"), ("d_source", "source")):
+        held = back.withColumn("cell", cells[dim]).groupBy(col).agg(F.first("cell").alias("cell"), F.collect_set("shard").alias("shards")).collect()
+        pruned = []
+        for r in held:
+            gone = {x.shard for x in sharding.prunable(ranges, dim, F.lit(r.cell)).collect()}
+            assert not gone & set(r.shards)  # nothing is lost by pruning
+            pruned.append(len(gone))
+        assert np.mean(pruned) >= 2, (dim, pruned)
+    lengths = ranges.orderBy("min_d_length").select("min_d_length", "max_d_length").collect()
+    assert np.mean([r.max_d_length - r.min_d_length for r in lengths]) <= 0.6 * (1 << sharding.BITS)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "### x </turn>\n\\"), (1, 1, "assistant", "### x </turn>\n\\"), (2, 0, "we:ird\\", None), (3, 5, None, "a" * 1000), (None, 0, "assistant", "b"), (-7, 0, "assistant", chat.PROBE)]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id bigint, turn bigint, role string, text string, msg string")
@@ -382,6 +405,25 @@ def test_decontamination_of_short_items(spark):
     assert got == {(i, i) for i, _ in items} | {(40, 1)}
 
 
+def test_decontamination_recall_by_length(spark):
+    """Verbatim items inside long texts are found at every length, over several blocks and groups."""
+    rnd = random.Random(11)
+    vocab = ["".join(rnd.choice("bcdfgaeiou") for _ in range(5)) for _ in range(600)]
+    text = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    lengths = (2, 3, 4, 6, 8, 12, 13, 16, 24, 40, 90)
+    items = [(100 * n + i, text(n)) for n in lengths for i in range(12)]
+    rows = [(i, f"{text(150)} {t} {text(150)}", "en", "s") for i, t in items] + [(i, text(300), "en", "s") for i in range(90)]
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, rows), spark.createDataFrame([*items, items[0]], "item_id bigint, text string"), 400, 900).collect()}
+    for n in lengths:
+        assert np.mean([(100 * n + i, 100 * n + i) in found for i in range(12)]) >= (1.0 if n <= decontam.SHORT else 0.9), n
+    # what else is found does say the item
+    said = dict(items)
+    texts = {i: decontam.words(t) for i, t, *_ in rows}
+    for d, i in found:
+        w = decontam.words(said[i])
+        assert decontam.lcs(decontam.masks_of(w), len(w), texts[d]) >= decontam.MIN_LCS * len(w)
+
+
 def test_lcs():
     a, b = decontam.words("a b c d e"), decontam.words("x a c y e")
     assert decontam.lcs(decontam.masks_of(a), len(a), b) == 3

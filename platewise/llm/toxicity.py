@@ -1,27 +1,36 @@
 """Toxicity by weak supervision.
 
-Many voters (word lists, word stems mined from labelled rows, patterns) say toxic, clean or nothing
-about each text of a sample. A generative label model, fitted by EM without labels, estimates how
-often each voter is right and how the voters' errors go together; correlated voters count less. Its
-posteriors are the labels of a logistic regression on word and stem features, and that classifier
-scores every whole text.
+Many voters (word lists, patterns, word stems mined from labelled rows) say toxic, clean or nothing
+about each text of a sample. A generative label model, fitted by EM, estimates how often each voter is
+right and, in the same iterations, how the voters' errors go together: correlated voters count less
+in the next step. Its posteriors are the labels of a logistic regression whose features are all words
+of the lists, the mined stems and every voter's vote; that classifier scores every whole text. Its log
+odds are scaled to the labels of the learning rows (two numbers), where both classes occur.
+
+A stem is mined on one half of the learning rows and must mark the class on the other half too; copies
+of a text lie in one half. What one text happens to say is thus no evidence. The word lists are general vocabulary, written
+without any table at hand.
 
 Fitting uses at most ``MAX_SAMPLE`` labelled rows (those with the least hash of the id), so all that
 the driver sees of the corpus is bounded by that parameter times the length of a feature list.
 Scoring is one pass over the texts without a shuffle.
 
-Defined results: a null or empty text has no features and gets the intercept's score; a row with a
-null id is scored and never held out; rows are scored alike whether or not repeated; of several
-labels of an id the highest holds; where no stem is mined (few labels, or one class only) the word
-lists and patterns alone vote and all listed words share one weight; without a labelled row scores are 0; extra columns are ignored.
+Defined results: a null or empty text has no features but the quiet voters and is scored from them; a
+row with a null id is scored and never held out; rows are scored alike whether or not repeated, and a
+repeated id counts once in the fit (its greatest text); of several labels of an id the highest holds;
+where no stem is mined (few labels, or one class only) the word lists and patterns alone vote and all
+listed words share one weight; without a labelled row scores are 0; extra columns are ignored, and
+:func:`judge` replaces columns named like its own.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,22 +41,25 @@ from platewise.llm.common import drop, keep, table
 
 MAX_SAMPLE = 20_000
 MAX_STEMS = 192
-MAX_FEATURES = 256
-MIN_SUPPORT = 3
-MIN_LIFT = 8.0
-MIN_G2 = 15.0
+MIN_SUPPORT = 2  # texts in the half that proposes a stem
+MIN_LIFT = 6.0
+MIN_G2 = 7.0
+MIN_PRECISION = 0.7  # in the half that confirms it
 N_STEM_VOTERS = 12
 MEMO = 100_000
 
-# General insults by theme.
+# General abusive vocabulary by theme.
 LEXICON = {
-    "stupidity": "idiot idiots moron morons stupid dumb dumbass imbecile cretin dimwit dolt fool foolish brainless dummkopf dumm trottel idiota imbécil imbécile estúpido débile",
-    "worth": "worthless loser losers pathetic useless nobody failure versager nutzlos inútil perdedor minable",
-    "filth": "scum trash garbage filth filthy vermin disgusting abschaum ekelhaft widerlich basura asqueroso ordure dégoûtant",
-    "mockery": "clown clowns buffoon twit jerk creep freak payaso bouffon",
-    "character": "liar coward hypocrite parasite lügner feigling mentiroso cobarde menteur lâche",
-    "hostility": "hate hated hateful despise despicable vile repulsive",
-    "vulgar": "ass asshole bastard bitch crap damn shit fuck fucking arschloch scheisse mierda cabrón puta connard merde putain",
+    "stupidity": "idiot idiots idiotic moron morons moronic stupid stupidity dumb dumber dumbass imbecile imbeciles cretin dimwit halfwit nitwit dunce blockhead airhead fool fools foolish brainless clueless"
+    " dummkopf dumm blöd blödmann trottel depp idiota idiotas imbécil imbécile tonto tonta estúpido estúpida débile crétin abruti",
+    "worth": "worthless loser losers pathetic useless pitiful failure incompetent nobody waste versager nutzlos wertlos erbärmlich inútil inútiles perdedor patético nul minable bon-à-rien",
+    "filth": "scum scumbag trash garbage filth filthy vermin rat rats pig pigs swine dirtbag disgusting revolting gross abschaum drecksack dreck schwein ekelhaft widerlich basura escoria asqueroso asquerosa"
+    " cerdo ordure dégoûtant porc saleté",
+    "mockery": "clown clowns buffoon twit jerk jerks creep creeps freak freaks weirdo dork troll witzfigur payaso payasos bouffon guignol",
+    "character": "liar liars coward cowards hypocrite hypocrites parasite traitor snake fraud lügner feigling heuchler verräter mentiroso mentirosa cobarde hipócrita menteur menteuse lâche hypocrite traître",
+    "hostility": "hate hated hates hateful despise despicable loathe vile repulsive detest die kill hasse hassen verachte odio odias detesto despreciable déteste hais méprisable",
+    "vulgar": "ass asses asshole assholes bastard bastards bitch bitches crap damn dick douche shit shitty bullshit fuck fucking fucker piss slut whore arschloch scheiße scheisse wichser hurensohn mierda cabrón"
+    " puta puto pendejo gilipollas connard connasse salaud salope merde putain enculé",
 }
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -79,9 +91,13 @@ class Voters:
 
     def __call__(self, text: str) -> list[int]:
         lower = text.lower()
-        words = set(_WORD.findall(lower))
+        words = words_of(lower)
+        return self.of(lower, words, {f for w in words for f in features_of_word(w)})
+
+    def of(self, lower: str, words: set[str], feats: set[str]) -> list[int]:
+        """The votes on a lower-cased text with these words and features of words."""
         lists = [int(not x.isdisjoint(words)) for x in self.lists]
-        hit = {self.groups[f] for w in words for f in features_of_word(w) if f in self.groups}
+        hit = {self.groups[f] for f in feats if f in self.groups}
         stems = [int(i in hit) for i in range(self.n_stems)]
         patterns = [int(bool(p.search(lower))) for p in _PATTERNS.values()]
         n = sum(lists) + sum(stems)
@@ -89,30 +105,42 @@ class Voters:
 
 
 class LabelModel:
-    """P(toxic | votes) from class-conditional vote tables, discounted for correlated voters."""
+    """P(toxic | votes) from class-conditional vote tables, discounted for correlated voters.
+
+    A voter whose errors go together with others' counts by one over the sum of those correlations;
+    tables and correlations are estimated in turn.
+    """
 
     def __init__(self, n_iter: int = 25, smooth: float = 1.0, tied: float = 0.3):
         self.n_iter, self.smooth, self.tied = n_iter, smooth, tied
 
     def fit(self, votes: np.ndarray) -> LabelModel:
-        q = 1 / (1 + np.exp(-1.5 * votes.sum(1)))
-        self.prior, self.discount = 0.5, np.ones(votes.shape[1])
+        # at first, voters that agree throughout share one vote
+        centred = votes - votes.mean(0)
+        scale = np.sqrt((centred**2).mean(0)) + 1e-9
+        alike = np.clip(centred.T @ centred / len(votes) / np.outer(scale, scale), 0, 1)
+        np.fill_diagonal(alike, 0)
+        self.discount = 1 / (1 + alike.sum(1))
+        q = 1 / (1 + np.exp(-1.5 * (votes * self.discount).sum(1) / self.discount.mean()))
         onehot = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)  # value, row, voter
         for _ in range(self.n_iter):
             self.prior = float(np.clip(q.mean(), 0.01, 0.99))
             counts = np.stack([np.einsum("vrj,r->vj", onehot, p) for p in (1 - q, q)])
             self.table = (counts + self.smooth) / (counts + self.smooth).sum(1, keepdims=True)  # class, value, voter
+            self.correlation = self._correlation(votes, q)
+            ties = np.where(self.correlation > self.tied, self.correlation, 0)
+            np.fill_diagonal(ties, 0)
+            self.discount = (self.discount + 1 / (1 + ties.sum(1))) / 2
             q = self.posterior(votes)
-        # errors that go together, given the class
+        self.accuracy = (1 - self.prior) * self.table[0, 0] + self.prior * self.table[1, 2]
+        return self
+
+    def _correlation(self, votes: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Of what the voters say beyond what the class lets expect."""
         mean = np.einsum("cvj,v->cj", self.table, np.array([-1.0, 0, 1]))
         rest = votes - (np.outer(1 - q, mean[0]) + np.outer(q, mean[1]))
         scale = np.sqrt((rest**2).mean(0)) + 1e-9
-        self.correlation = (rest.T @ rest) / len(votes) / np.outer(scale, scale)
-        ties = np.where(self.correlation > self.tied, self.correlation, 0)
-        np.fill_diagonal(ties, 0)
-        self.discount = 1 / (1 + ties.sum(1))
-        self.accuracy = (1 - self.prior) * self.table[0, 0] + self.prior * self.table[1, 2]
-        return self
+        return (rest.T @ rest) / len(votes) / np.outer(scale, scale)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         log_odds = np.log(self.table[1]) - np.log(self.table[0])  # value, voter
@@ -121,6 +149,18 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def scaling(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) that turn log odds into those of the labels; (1, 0) where a class is absent."""
+    if len(set(y.tolist())) < 2:
+        return 1.0, 0.0
+    # targets a little inside 0 and 1, so that separable classes have finite odds
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    mean, size = float(z.mean()), float(z.std()) or 1.0
+    slope, shift = fit_logistic((z[:, None] - mean) / size, goal, ridge=1e-3, n_iter=50)
+    return (float(slope / size), float(shift - slope * mean / size)) if slope > 0 else (1.0, 0.0)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, n_iter: int = 12) -> np.ndarray:
     """Weights and, last, the intercept, by Newton steps on soft labels."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
@@ -145,31 +185,52 @@ def learning_rows(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMP
     """text and label of at most ``max_sample`` labelled rows that are not held out."""
     ids = labels.where("doc_id is not null and toxic is not null").where(~held_out())
     ids = ids.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("y").alias("y"))
+
+    @F.pandas_udf("int")
+    def half(texts: pd.Series) -> pd.Series:
+        # by the least hash of three words in a row, so that most copies, near ones too, lie in one half
+        ws = [t.lower().split() for t in texts]
+        return pd.Series([min((zlib.crc32(" ".join(w[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 2))), default=0) >> 7 & 1 for w in ws], dtype="int32")
+
+    return rows.select("text", "y", half("text").alias("half"))
 
 
-def mine(sample: DataFrame, n: int, min_support: int = MIN_SUPPORT) -> list[str]:
-    """The ``n`` words and stems that mark the rows with y = 1 most clearly."""
+def mine(sample: DataFrame, n: int) -> list[str]:
+    """The ``n`` words and stems that mark the rows with y = 1 most clearly, in both halves of the sample."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = (Counter(), Counter())
+        seen = {(h, y): Counter() for h in (0, 1) for y in (0, 1)}
         for pdf in batches:
-            for text, y in zip(pdf.text, pdf.y):
-                seen[y].update({f for w in words_of(text) for f in features_of_word(w)})
-        rows = [(f, seen[0][f], seen[1][f]) for f in seen[0].keys() | seen[1].keys()]
-        yield pd.DataFrame(rows, columns=["f", "n0", "n1"])
-
-    totals = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    if not n0 or not n1:
+            for text, y, half in zip(pdf.text, pdf.y, pdf.half):
+                seen[half, y].update({f for w in words_of(text) for f in features_of_word(w)})
+        names = set().union(*seen.values())
+        yield pd.DataFrame([(f, *(seen[h, y][f] for h in (0, 1) for y in (0, 1))) for f in names], columns=["f", "n00", "n01", "n10", "n11"])
+
+    totals = {(r.half, r.y): r["count"] for r in sample.groupBy("half", "y").count().collect()}
+    found = sample.mapInPandas(count, "f string, n00 bigint, n01 bigint, n10 bigint, n11 bigint")
+    found = found.groupBy("f").agg(*[F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")])
+    ways = []
+    for h in (0, 1):
+        all0, all1 = totals.get((h, 0), 0), totals.get((h, 1), 0)
+        if not all0 or not all1:
+            continue
+        n0, n1, m0, m1 = (F.col(f"n{k}{y}") for k in (h, 1 - h) for y in (0, 1))
+        lift = (n1 / all1) / ((n0 + 0.5) / all0)
+        # significance: the log-likelihood ratio of a feature that marks the class
+        g2 = F.when(n1 > 0, 2 * n1 * F.log(n1 * (all0 + all1) / ((n0 + n1) * all1))).otherwise(0.0)
+        ways.append((n1 >= MIN_SUPPORT) & (lift >= MIN_LIFT) & (g2 >= MIN_G2) & (m1 >= 1) & (m1 >= MIN_PRECISION * (m0 + m1)))
+    if not ways:
         return []
-    found = sample.mapInPandas(count, "f string, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    lift = (F.col("n1") / n1) / ((F.col("n0") + 0.5) / n0)
-    found = found.where(F.col("n1") >= min_support).withColumn("lift", lift).where(F.col("lift") >= MIN_LIFT)
-    # significance: the log-likelihood ratio of a feature that marks the class
-    g2 = 2 * F.col("n1") * F.log(F.col("n1") * (n0 + n1) / ((F.col("n0") + F.col("n1")) * n1))
-    found = found.withColumn("g2", g2).where(F.col("g2") >= MIN_G2).orderBy(F.col("g2").desc(), "f").limit(n)
-    return [r.f for r in found.collect()]
+    both = found.where(reduce(lambda a, b: a | b, ways)).orderBy((F.col("n01") + F.col("n11") - F.col("n00") - F.col("n10")).desc(), "f").limit(n)
+    return [r.f for r in both.collect()]
+
+
+def feature_names(stems: list[str]) -> list[str]:
+    """Mined stems, all words of the lists, and the voters."""
+    lexicon = {w for v in LEXICON.values() for w in v.split()}
+    return [*stems, *sorted(lexicon.difference(stems)), *(f"voter {v}" for v in Voters(stems).names)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> dict:
@@ -177,36 +238,41 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> dic
     spark = docs.sparkSession
     sample, path = keep(learning_rows(docs, labels, max_sample), "toxicity")
     stems = mine(sample, MAX_STEMS)
-    lexicon = sorted({w for v in LEXICON.values() for w in v.split()})
-    names = [*stems, *(w for w in lexicon if w not in set(stems))][:MAX_FEATURES]
+    names = feature_names(stems)
     index = {f: i for i, f in enumerate(names)}
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voters = Voters(stems)
         for pdf in batches:
             rows = []
-            for text in pdf.text:
+            for text, y in zip(pdf.text, pdf.y):
                 feats = sorted({index[f] for w in words_of(text) for f in features_of_word(w) if f in index})
-                rows.append((voters(text), feats))
-            yield pd.DataFrame(rows, columns=["votes", "feats"])
+                rows.append((voters(text), feats, y))
+            yield pd.DataFrame(rows, columns=["votes", "feats", "y"])
 
-    rows = sample.mapInPandas(read, "votes array<int>, feats array<int>").collect()  # at most max_sample short rows
+    rows = sample.mapInPandas(read, "votes array<int>, feats array<int>, y int").collect()  # at most max_sample short rows
     drop(spark, path)
     if not rows:
-        return {"weights": {}, "intercept": -30.0}
+        return {"stems": [], "weights": {}, "intercept": -30.0}
     votes = np.array([r.votes for r in rows], dtype=np.int64)
     model = LabelModel().fit(votes)
+    goal = model.posterior(votes)
+    n_words = len(names) - votes.shape[1]
     x = np.zeros((len(rows), len(names)), dtype=np.float64)
     for i, r in enumerate(rows):
         x[i, r.feats] = 1
+    x[:, n_words:] = votes
     if stems:
-        w = fit_logistic(x, model.posterior(votes))
+        w = fit_logistic(x, goal)
     else:  # too few toxic rows for weights of single words: one weight for all
-        w = fit_logistic(x.sum(1, keepdims=True), model.posterior(votes))
-        w = np.append(np.full(len(names), w[0]), w[1])
+        one = fit_logistic(np.hstack([x[:, :n_words].sum(1, keepdims=True), x[:, n_words:]]), goal)
+        w = np.concatenate([np.full(n_words, one[0]), one[1:]])
+    z = x @ w[:-1] + w[-1]
+    slope, shift = scaling(z, np.array([r.y for r in rows])) if stems else (1.0, 0.0)
     return {
-        "weights": {f: float(v) for f, v in zip(names, w)},
-        "intercept": float(w[-1]),
+        "stems": stems,
+        "weights": {f: float(v) * slope for f, v in zip(names, w)},
+        "intercept": float(w[-1]) * slope + shift,
         "accuracy": dict(zip(Voters(stems).names, model.accuracy.tolist())),
         "correlation": model.correlation,
     }
@@ -214,11 +280,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> dic
 
 def score(text: str | Column, model: dict) -> Column:
     """P(toxic) of whole texts."""
-    weights, intercept = model["weights"], model["intercept"]
+    weights, intercept, stems = model["weights"], model["intercept"], model["stems"]
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo: dict[str, tuple[str, ...]] = {}
+        voters = Voters(stems)
+        of_voter = np.array([weights.get(f"voter {v}", 0.0) for v in voters.names])
 
         def known(word: str) -> tuple[str, ...]:
             got = memo.get(word)
@@ -231,15 +299,18 @@ def score(text: str | Column, model: dict) -> Column:
         for s in batches:
             z = []
             for t in s:
-                feats = {f for w in words_of(t or "") for f in known(w)}
-                z.append(intercept + sum(weights[f] for f in sorted(feats)))
+                text = (t or "").lower()
+                words = words_of(text)
+                feats = {f for w in words for f in known(w)}
+                votes = voters.of(text, words, feats)
+                z.append(intercept + sum(weights[f] for f in sorted(feats)) + float(of_voter @ votes))
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, dtype=float), -30, 30))))
 
     return run(F.col(text) if isinstance(text, str) else text)
 
 
 def judge(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with score and predicted."""
+    """``docs`` with score and predicted, which replace columns of these names."""
     return docs.withColumn("score", score("text", model)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -111,25 +111,30 @@ def fold(log: DataFrame) -> DataFrame:
 
 
 def log_of_turns(conversations: DataFrame, piece: int = 256) -> DataFrame:
-    """The log that streams each stored turn: an ``open`` and a ``delta`` for every ``piece`` characters.
+    """A log that folds back to the stored turns.
 
-    Rows that share conversation and turn are messages each, told apart by ``dup``.
+    A message is opened and streamed as a ``delta`` for every ``piece`` characters. By hash of its text
+    one in three is a first draft that is regenerated (the draft is the text backwards, half of it),
+    and one in three ends in another text that an ``edit`` replaces. Rows that share conversation and
+    turn are messages each, told apart by ``dup``, and may come in any order.
     """
     w = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("dup", F.row_number().over(w))
-    n = F.ceil(F.length(F.coalesce("text", F.lit(""))) / piece).cast("int")
-    seqs = F.explode(F.sequence(F.lit(0), n)).alias("seq")
-    rows = rows.select("conv_id", F.col("turn").alias("msg"), "dup", "role", "text", seqs)
-    opening = F.col("seq") == 0
-    return rows.select(
-        "conv_id",
-        "msg",
-        "dup",
-        F.col("seq").cast("bigint").alias("seq"),
-        F.when(opening, "open").otherwise("delta").alias("kind"),
-        F.when(opening, F.col("role")).alias("role"),
-        F.when(~opening, F.substring("text", (F.col("seq") - 1) * piece + 1, F.lit(piece))).alias("text"),
-    )
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("dup", F.row_number().over(w))
+    pieces = F.ceil(F.length("text") / piece).cast("int")
+    none, way = F.lit(None).cast("string"), F.pmod(F.xxhash64("text"), F.lit(3))
+
+    def event(seq, kind, role=none, text=none):
+        return F.struct(seq.cast("bigint").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    def streamed(i):
+        return event(i + 3, "delta", text=F.substr("text", (i - 1) * piece + 1, F.lit(piece)))
+
+    opening = F.array(event(F.lit(0), "open", F.col("role")))
+    draft = F.array(event(F.lit(1), "delta", text=F.reverse(F.substr("text", F.lit(1), F.length("text") / 2))), event(F.lit(2), "regenerate"))
+    deltas = F.when(pieces > 0, F.transform(F.sequence(F.lit(1), pieces), streamed)).otherwise(F.slice(opening, 1, 0))
+    early = F.array(event(F.lit(1), "delta", text=F.concat(F.reverse(F.substr("text", F.lit(1), F.lit(piece))), F.lit(" ..."))), event(F.lit(2), "edit", text=F.col("text")))
+    events = F.when(way == 0, F.concat(opening, draft, deltas)).when(way == 1, F.concat(opening, early)).otherwise(F.concat(opening, deltas))
+    return rows.select("conv_id", F.col("turn").alias("msg"), "dup", F.explode(events).alias("e")).select("conv_id", "msg", "dup", "e.*")
 
 
 def _ordered(messages: DataFrame) -> DataFrame:

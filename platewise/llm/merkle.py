@@ -1,7 +1,8 @@
 """Document fingerprints as Merkle trees over paragraphs and sections, with SQL functions only.
 
 Leaves are blocks: sentences, or stretches of ``BLOCK`` characters of a longer sentence, within a
-paragraph (line). A paragraph's node digests its leaves. A section ends after a paragraph whose
+paragraph (line); in a paragraph of fewer than ``SHORT`` characters, stretches of ``SMALL_BLOCK``, so that
+short texts have leaves to share. A paragraph's node digests its leaves. A section ends after a paragraph whose
 digest ends in one of four digits, or at a blank line, so an insertion moves no later boundary; its
 node digests its paragraphs. The root digests the sections. A fingerprint is written as
 
@@ -30,7 +31,9 @@ from platewise.llm.common import table, text_or_empty
 BLOCK = 160
 ROWS_PER_RANGE = 2000
 MAX_RANGES = 4096
+SHORT, SMALL_BLOCK = 100, 10
 LEAF = rf"[^.!?]{{1,{BLOCK}}}[.!?]*|[.!?]+"
+SMALL_LEAF = rf".{{1,{SMALL_BLOCK}}}"
 
 
 def digest(col: Column) -> Column:
@@ -39,7 +42,8 @@ def digest(col: Column) -> Column:
 
 
 def _leaves_of(p: Column) -> Column:
-    blocks = F.regexp_extract_all(p, F.lit(f"(?s){LEAF}"), F.lit(0))
+    leaf = F.when(F.length(p) < SHORT, F.lit(f"(?s){SMALL_LEAF}")).otherwise(F.lit(f"(?s){LEAF}"))
+    blocks = F.regexp_extract_all(p, leaf, F.lit(0))
     return F.array_join(F.transform(blocks, lambda b: F.concat(digest(b), F.lit("."), F.length(b))), ",")
 
 

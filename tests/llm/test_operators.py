@@ -180,6 +180,8 @@ def test_chat(spark):
         want = (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == want
         assert got[c].formatted_chars == sum(len(chat.turn(r, x)[0]) for _, r, x in turns)
+    kinds = chat.log_of_turns(spark.createDataFrame([(i, 0, "user", f"{i} says " * 90, "z") for i in range(30)], df.schema)).groupBy("kind").count().collect()
+    assert {r.kind for r in kinds} == {"open", "delta", "edit", "regenerate"}
     log = [(1, s, 0, k, None, t) for s, k, t in ((1, "delta", "a"), (2, "delta", "b"), (3, "regenerate", None), (4, "delta", "c"), (6, "delta", "!"), (5, "edit", "d"))] + [(1, 0, 0, "open", "assistant", None)]
     f = chat.fold(spark.createDataFrame(log, "conv_id bigint, seq bigint, msg bigint, kind string, role string, text string")).collect()
     assert [(r.conv_id, r.pos, r.role, r.text) for r in f] == [(1, 0, "assistant", "d!")]
@@ -358,6 +360,28 @@ def test_toxicity(spark):
     assert toxicity.judge(df, none).agg(F.max("score")).first()[0] < 1e-9
 
 
+def test_label_model_learns_correlations():
+    """Two copies of one voter count about as one, and accuracies are found without labels."""
+    rnd = np.random.default_rng(0)
+    y = rnd.random(4000) < 0.3
+    say = lambda p: np.where(rnd.random(4000) < p, 2 * y - 1, 1 - 2 * y)
+    a, b, c = say(0.9), say(0.8), say(0.75)
+    votes = np.stack([a, b, c, c, c], 1).astype(np.int64)
+    model = toxicity.LabelModel().fit(votes)
+    assert model.correlation[2, 3] > 0.9 and model.discount[2] < 0.5 and model.discount[0] > 0.7
+    assert np.mean((model.posterior(votes) > 0.5) == y) > 0.85
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_toxicity_held_out(spark):
+    sf = f"{os.path.dirname(SMALL)}/sf0.01"
+    got = toxicity.op1_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    held = got[got.held_out]
+    assert held[held.toxic == 0].predicted.mean() <= 0.02 and held[held.toxic == 1].predicted.mean() >= 0.5
+    learn = got[~got.held_out]
+    assert learn[learn.toxic == 0].predicted.mean() <= 0.01
+
+
 def test_toxicity_without_stems(spark):
     rnd = random.Random(3)
     text = lambda n: " ".join("".join(rnd.choice("bcdfghaeiou") for _ in range(6)) for _ in range(n))

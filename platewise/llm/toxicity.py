@@ -120,8 +120,9 @@ class LabelModel:
         scale = np.sqrt((centred**2).mean(0)) + 1e-9
         alike = np.clip(centred.T @ centred / len(votes) / np.outer(scale, scale), 0, 1)
         np.fill_diagonal(alike, 0)
-        self.discount = 1 / (1 + alike.sum(1))
-        q = 1 / (1 + np.exp(-1.5 * (votes * self.discount).sum(1) / self.discount.mean()))
+        first = 1 / (1 + alike.sum(1))
+        q = 1 / (1 + np.exp(-1.5 * (votes * first).sum(1) / first.mean()))
+        self.discount = np.sqrt(first)  # for one step: a class that is not yet found explains no ties
         onehot = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)  # value, row, voter
         for _ in range(self.n_iter):
             self.prior = float(np.clip(q.mean(), 0.01, 0.99))

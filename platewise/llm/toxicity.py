@@ -115,14 +115,22 @@ class LabelModel:
         self.n_iter, self.smooth, self.tied = n_iter, smooth, tied
 
     def fit(self, votes: np.ndarray) -> LabelModel:
-        # at first, voters that agree throughout share one vote
+        # at first voters that agree throughout share a vote
         centred = votes - votes.mean(0)
         scale = np.sqrt((centred**2).mean(0)) + 1e-9
         alike = np.clip(centred.T @ centred / len(votes) / np.outer(scale, scale), 0, 1)
         np.fill_diagonal(alike, 0)
         first = 1 / (1 + alike.sum(1))
-        q = 1 / (1 + np.exp(-1.5 * (votes * first).sum(1) / first.mean()))
-        self.discount = np.sqrt(first)  # for one step: a class that is not yet found explains no ties
+        for discounted in (True, False):  # of ties that leave one class only, none are counted
+            q = 1 / (1 + np.exp(-1.5 * (votes * first).sum(1) / first.mean()))
+            self.discount = np.sqrt(first) if discounted else np.ones(len(first))
+            q = self._iterate(votes, q, discounted)
+            if q.min() < 0.5 <= q.max():
+                break
+        self.accuracy = (1 - self.prior) * self.table[0, 0] + self.prior * self.table[1, 2]
+        return self
+
+    def _iterate(self, votes: np.ndarray, q: np.ndarray, discounted: bool) -> np.ndarray:
         onehot = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)  # value, row, voter
         for _ in range(self.n_iter):
             self.prior = float(np.clip(q.mean(), 0.01, 0.99))
@@ -131,10 +139,10 @@ class LabelModel:
             self.correlation = self._correlation(votes, q)
             ties = np.where(self.correlation > self.tied, self.correlation, 0)
             np.fill_diagonal(ties, 0)
-            self.discount = (self.discount + 1 / (1 + ties.sum(1))) / 2
+            if discounted:
+                self.discount = (self.discount + 1 / (1 + ties.sum(1))) / 2
             q = self.posterior(votes)
-        self.accuracy = (1 - self.prior) * self.table[0, 0] + self.prior * self.table[1, 2]
-        return self
+        return q
 
     def _correlation(self, votes: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Of what the voters say beyond what the class lets expect."""

@@ -95,3 +95,13 @@ def age_days(ts, now) -> Column:
 def lat_cell(lat, miles: float) -> Column:
     """Row of a grid whose rows are ``miles`` high."""
     return F.floor(_c(lat) / math.degrees(miles / EARTH_MILES)).cast("bigint")
+
+
+def current_busyness(live, forecast) -> Column:
+    """struct(busyness, busier, wait): the live value, else the forecast; busier than usual if both are known
+    and the live one is greater; busyness 0 and a null wait where neither is known."""
+    live, forecast = _c(live), _c(forecast)
+    now = F.coalesce(live, forecast)
+    return F.struct(
+        F.coalesce(now, F.lit(0)).alias("busyness"), F.coalesce(live > forecast, F.lit(False)).alias("busier"), F.when(now.isNotNull(), wait_minutes(now)).alias("wait")
+    )

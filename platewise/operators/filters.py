@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.categories import BASIC_DRINKS, is_wine_or_spirit
+from platewise.functions.categories import BASIC_DRINKS, JUNK, is_wine_or_spirit
 from platewise.functions.flags import overlaps
 from platewise.functions.numbers import haversine
 
@@ -43,6 +43,7 @@ def text_contains(df: DataFrame, q: str, cols: list[str]) -> DataFrame:
 
 
 def cuisine_filter(df: DataFrame, cuisines: list[str], col: str = "cuisines") -> DataFrame:
+    """Rows of one of the cuisines, whatever their case; all rows where none is asked for."""
     return df.where(overlaps(col, cuisines)) if cuisines else df
 
 
@@ -100,24 +101,22 @@ def non_restaurant(df: DataFrame) -> DataFrame:
 
 
 def validate_items(df: DataFrame) -> DataFrame:
-    """``df`` with errors and warnings: arrays of what is wrong with name and price."""
-    n = F.coalesce("name", F.lit(""))
+    """``df`` (name, description, price text) with errors and warnings: arrays of what is wrong with the format."""
+    n, d = F.trim(F.coalesce("name", F.lit(""))), F.trim(F.coalesce("description", F.lit("")))
+    price = F.regexp_replace(F.coalesce("price", F.lit("")), "[^0-9.]", "").try_cast("double")
 
     def said(*rules):
         return F.filter(F.array(*[F.when(c, F.lit(s)) for c, s in rules]), lambda x: x.isNotNull())
 
     errors = said(
-        (F.length(F.trim(n)) < 3, "name_too_short"),
-        (F.length(n) > 120, "name_too_long"),
-        (n.rlike("<[^>]+>|&[a-z]+;"), "markup"),
-        (n.rlike(r"(?i)https?://|@[a-z]+\.|\b\d{3}[-.]\d{3}[-.]\d{4}\b"), "junk"),
-        (F.trim(n).rlike(r"^[\d\s.,$]+$"), "only_digits"),
-    )
-    warnings = said(
-        (n.rlike(r"^\d{3,4}\s"), "wine_code"),
-        (F.col("price") <= 0, "price_not_positive"),
-        (F.col("price") > 500, "price_high"),
+        (F.length(n) < 3, "name_too_short"),
+        (F.length(n) > 80, "name_too_long"),
+        (n.rlike("[<>{}]"), "markup"),
+        (F.lower(F.concat_ws(" ", n, d)).rlike(JUNK), "junk"),
+        (n.rlike(r"^\d[\d\s.,-]*$"), "only_digits"),
+        (F.contains(n, F.lit("|")) & n.rlike(r"\d{4}"), "wine_code"),
     )
+    warnings = said((price < 0.5, "price_low"), (price > 500, "price_high"), ((d == "") & (F.coalesce("price", F.lit("")) == ""), "no_description_or_price"))
     return df.withColumn("errors", errors).withColumn("warnings", warnings)
 
 

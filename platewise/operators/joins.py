@@ -93,21 +93,48 @@ def near_duplicate_areas(new: DataFrame, existing: DataFrame, tolerance: float =
     return close.select("id", "old_id").unionByName(named.select("id", "old_id")).distinct()
 
 
-def dice_join(left: DataFrame, right: DataFrame, threshold: float, block: list[str] | None = None) -> DataFrame:
-    """Pairs of names whose bigram Dice coefficient is above ``threshold``.
+def _grams_met(left: DataFrame, right: DataFrame, grams, share, least_size, block: list[str]) -> DataFrame:
+    """Pairs (l, r, k, ln, rn) of rows whose gram sets can be alike enough, with the number they share.
 
-    Both have id and name. Common bigrams are counted through an inverted join on bigrams (and the
-    ``block`` columns), which finds every pair that shares one.
+    Both have id and name. Only rare grams are joined: of a set, those left after taking away one less
+    than the shared grams that any alike partner needs (``share`` of its size), counted from the
+    commonest. Alike sets meet in one of them at least. Sizes must fit (``least_size``), and sets are
+    intersected once for each pair that met.
     """
-    block = block or []
 
     def side(df, x):
-        d = df.select(*block, F.col("id").alias(f"{x}_id"), T.bigrams("name").alias("bg"))
-        return d.select(*block, f"{x}_id", F.size("bg").alias(f"{x}_n"), F.explode("bg").alias("b"))
+        return df.select(*[F.col(c).alias(f"b{i}") for i, c in enumerate(block)], F.col("id").alias(x), grams("name").alias(f"{x}g")).where(F.size(f"{x}g") > 0)
+
+    b = [f"b{i}" for i in range(len(block))]
+    a, c = side(left, "l"), side(right, "r")
+    said = a.select(F.explode("lg").alias("g")).unionByName(c.select(F.explode("rg").alias("g")))
+    counts = said.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+    def rare(df, x):
+        each = df.select(x, F.size(f"{x}g").alias("size"), F.explode(f"{x}g").alias("g")).join(counts, "g")
+        w = Window.partitionBy(x).orderBy("n", "g")
+        kept = each.withColumn("at", F.row_number().over(w)).where(F.col("at") <= F.col("size") - share(F.col("size")) + 1)
+        return df.select(*b, x, F.size(f"{x}g").alias(f"{x}n")).join(kept.select(x, "g"), x)
+
+    a, c = a.dropDuplicates(["l"]), c.dropDuplicates(["r"])
+    met = rare(a, "l").join(rare(c, "r"), [*b, "g"])
+    met = met.where(least_size(F.greatest("ln", "rn")) <= F.least("ln", "rn")).select("l", "r").distinct()
+    both = met.join(a.select("l", "lg"), "l").join(c.select("r", "rg"), "r")
+    return both.select("l", "r", F.size(F.array_intersect("lg", "rg")).alias("k"), F.size("lg").alias("ln"), F.size("rg").alias("rn"))
+
 
-    met = side(left, "left").join(side(right, "right"), [*block, "b"])
-    met = met.groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("k"), F.first("left_n").alias("ln"), F.first("right_n").alias("rn"))
-    return met.withColumn("score", 2.0 * F.col("k") / (F.col("ln") + F.col("rn"))).where(F.col("score") > threshold).select("left_id", "right_id", "score")
+def dice_join(left: DataFrame, right: DataFrame, threshold: float, block: list[str] | None = None) -> DataFrame:
+    """Pairs of names whose bigram Dice coefficient is above ``threshold``.
+
+    Both have id and name; ids are unique. An alike pair of sizes a and b shares over
+    ``threshold * (a + b) / 2`` bigrams, so b is over ``threshold / (2 - threshold) * a`` and the shared part
+    over ``threshold / (2 - threshold)`` of either set.
+    """
+    part = max(threshold, 0.0) / (2 - max(threshold, 0.0))
+    floor = lambda n: F.greatest(F.lit(1), F.ceil(n * part - 1e-9)).cast("int")
+    met = _grams_met(left, right, T.bigrams, floor, floor, block or [])
+    met = met.withColumn("score", 2.0 * F.col("k") / (F.col("ln") + F.col("rn"))).where(F.col("score") > threshold)
+    return met.select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), "score")
 
 
 def best_match(pairs: DataFrame, key: str = "left_id", other: str = "right_id") -> DataFrame:
@@ -135,16 +162,17 @@ def match_items(items: DataFrame, dishes: DataFrame, accept: float = 0.6) -> Dat
     return best_match(dice_join(items, dishes, accept, ["restaurant_id"]))
 
 
-def similar_names(df: DataFrame, queries: DataFrame, threshold: float = 0.2, n: int = 5) -> DataFrame:
-    """For each query (id, name) the ``n`` rows of ``df`` (id, name) with the most similar trigrams."""
-
-    def side(d, x):
-        t = d.select(F.col("id").alias(f"{x}_id"), T.trigrams("name").alias("t"))
-        return t.select(f"{x}_id", F.size("t").alias(f"{x}_n"), F.explode("t").alias("t"))
+def similar_names(df: DataFrame, queries: DataFrame, threshold: float = 0.2, n: int = 5, lat: float | None = None, lng: float | None = None, miles: float | None = None) -> DataFrame:
+    """For each query (id, name) the ``n`` rows of ``df`` (id, name) with the most similar trigrams.
 
-    met = side(queries, "query").join(side(df, "row"), "t").groupBy("query_id", "row_id")
-    met = met.agg(F.count(F.lit(1)).alias("k"), F.first("query_n").alias("a"), F.first("row_n").alias("b"))
-    met = met.withColumn("score", F.col("k") / (F.col("a") + F.col("b") - F.col("k"))).where(F.col("score") > threshold)
+    With a point and ``miles``, rows (which then have lat and lng) lie in reach or have no place.
+    """
+    if miles is not None:
+        far = haversine("lat", "lng", F.lit(lat), F.lit(lng))
+        df = df.where(far.isNull() | (far <= miles))
+    floor = lambda size: F.greatest(F.lit(1), F.ceil(size * threshold - 1e-9)).cast("int")
+    met = _grams_met(queries, df, T.trigrams, floor, floor, [])
+    met = met.select(F.col("l").alias("query_id"), F.col("r").alias("row_id"), (F.col("k") / (F.col("ln") + F.col("rn") - F.col("k"))).alias("score")).where(F.col("score") > threshold)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "row_id")
     return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("query_id", "row_id", "score", "place")
 
@@ -182,31 +210,45 @@ STOP_WORDS = "with and the their from style house special chef served fresh our
 def reviews_for_dishes(dishes: DataFrame, reviews: DataFrame) -> DataFrame:
     """Reviews that mention a dish of their restaurant.
 
-    Either the full name at word boundaries, or at least 85 % (rounded up) of its significant words.
-    Significant words meet through an equi-join on (restaurant, word); names without any are looked
-    for as they are.
+    Either the full name at word boundaries, or at least 85 % (rounded up) of its significant words, each
+    at word boundaries. Pairs meet through an equi-join on (restaurant, token) of the names' tokens and
+    are then judged; names without significant words are looked for as they are.
     """
-    name = F.trim(F.lower("name"))
-    d = dishes.select("dish_id", "restaurant_id", name.alias("name"))
-    words = F.filter(F.array_distinct(F.split("name", r"\s+")), lambda w: (F.length(w) >= 4) & ~w.isin(STOP_WORDS))
-    d = d.withColumn("words", words).withColumn("n", F.size("words"))
+    d = dishes.select("dish_id", "restaurant_id", F.trim(F.lower("name")).alias("name")).where("name <> ''")
+    words = F.filter(F.split("name", r"\s+"), lambda w: (F.length(w) >= 4) & ~w.isin(STOP_WORDS))
+    d = d.withColumn("words", words)
     r = reviews.select("review_id", "restaurant_id", F.lower("text").alias("text"))
-    tokens = r.select("review_id", "restaurant_id", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}'_]+"))).alias("w"))
-    hits = d.where("n > 0").select("dish_id", "restaurant_id", "n", F.explode("words").alias("w")).join(tokens, ["restaurant_id", "w"])
-    hits = hits.groupBy("dish_id", "review_id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= F.ceil(F.col("n") * 0.85))
-    plain = d.where("n = 0").join(r, "restaurant_id").where(F.contains("text", "name"))
+    tokens = lambda c: F.filter(F.array_distinct(F.split(c, r"\W+")), lambda w: w != "")
+    seen = r.select("review_id", "restaurant_id", F.explode(tokens(F.col("text"))).alias("t"))
+    wanted = d.where(F.size("words") > 0).select("dish_id", "restaurant_id", F.explode(tokens(F.array_join("words", " "))).alias("t"))
+    met = wanted.join(seen, ["restaurant_id", "t"]).select("dish_id", "review_id").distinct()
+    both = met.join(d.select("dish_id", "name", "words"), "dish_id").join(r.select("review_id", "text"), "review_id")
+    says = lambda w: F.regexp_like(F.col("text"), F.concat(F.lit(r"(?<!\w)\Q"), w, F.lit(r"\E(?!\w)")))
+    need = F.ceil(F.size("words") * 0.85)
+    hits = both.where(says(F.col("name")) | (F.size(F.filter("words", says)) >= need))
+    plain = d.where(F.size("words") == 0).join(r, "restaurant_id").where(F.contains("text", "name"))
     return hits.select("dish_id", "review_id").unionByName(plain.select("dish_id", "review_id")).distinct()
 
 
 def truth_match(items: DataFrame, truth: DataFrame) -> DataFrame:
     """A truth row for each item: equal or containing names, of the same restaurant before "general".
 
-    The truth set is small and labelled by hand; names are compared within a restaurant's rows and
-    with the general ones. ``items`` has item_id, restaurant, name; ``truth`` name, restaurant, label.
+    A name that contains another holds its first three characters, so names meet by an equi-join on
+    (restaurant, three characters). ``items`` has item_id, restaurant, name; ``truth`` name, restaurant,
+    label.
     """
     i = items.select("item_id", "restaurant", T.eval_key("name").alias("a"))
-    t = truth.select(F.col("restaurant").alias("tr"), T.eval_key("name").alias("b"), "label").where("b <> ''")
-    both = i.join(F.broadcast(t), ((F.col("tr") == F.col("restaurant")) | (F.col("tr") == "general")) & (F.contains("a", "b") | F.contains("b", "a")))
+    t = truth.select(F.col("restaurant").alias("tr"), T.eval_key("name").alias("b"), "label").where("b <> ''").distinct()
+    every = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda k: F.substring(F.col(c), k, F.lit(3))))
+    i = i.where("a <> ''").withColumn("tr", F.explode(F.array_distinct(F.array("restaurant", F.lit("general")))))
+    # b in a: a has the start of b; a in b: b has the start of a
+    one = i.withColumn("g", F.explode(every("a"))).join(t.withColumn("g", F.substring("b", 1, 3)), ["tr", "g"]).where(F.contains("a", "b"))
+    two = i.withColumn("g", F.substring("a", 1, 3)).join(t.withColumn("g", F.explode(every("b"))), ["tr", "g"]).where(F.contains("b", "a"))
+    # of names under three characters every start is one: compared as they are
+    short = i.where("length(a) < 3").join(t, "tr").where(F.contains("b", "a"))
+    brief = i.join(t.where("length(b) < 3"), "tr").where(F.contains("a", "b"))
+    cols = ["item_id", "restaurant", "a", "tr", "b", "label"]
+    both = one.select(cols).unionByName(two.select(cols)).unionByName(short.select(cols)).unionByName(brief.select(cols)).distinct()
     w = Window.partitionBy("item_id").orderBy((F.col("tr") == "general").cast("int"), (F.col("a") != F.col("b")).cast("int"), F.length("b").desc(), "b", "label")
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("item_id", F.col("b").alias("truth_name"), "label")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.functions.numbers import cosine
+from platewise.functions.numbers import cosine, haversine
 
 
 def goal_order(df: DataFrame, goal: str | None, limit: int) -> DataFrame:
@@ -102,16 +102,21 @@ def shelves(df: DataFrame, k: int = 8) -> DataFrame:
     return frames[0].unionByName(frames[1])
 
 
-def similar(df: DataFrame, source: dict, vector: str = "vec", min_similarity: float = 0.85, n: int = 10, boosts: bool = False) -> DataFrame:
+def similar(df: DataFrame, source: dict, vector: str = "vec", min_similarity: float = 0.85, n: int = 10, boosts: bool = False, miles: float | None = None) -> DataFrame:
     """Nearest rows to one source vector, of other restaurants; optional boosts for category and cuisine.
 
-    ``source`` has vec, restaurant_id and, for boosts, category and cuisine: one row's plain values.
+    ``source`` has vec, restaurant_id and, for boosts, category and cuisine, for a radius lat and lng: one
+    row's plain values. Rows without a place are in reach.
     """
     sim = cosine(F.col(vector), F.array(*[F.lit(float(v)) for v in source["vec"]]))
     if boosts:
         sim = sim + F.when(F.col("category") == source.get("category"), 0.05).otherwise(0.0)
         sim = sim + F.when(F.col("cuisine") == source.get("cuisine"), 0.03).otherwise(0.0)
-    out = df.where(F.col("restaurant_id") != source["restaurant_id"]).withColumn("similarity", sim)
+    df = df.where(F.col("restaurant_id") != source["restaurant_id"])
+    if miles is not None:
+        far = haversine("lat", "lng", F.lit(source["lat"]), F.lit(source["lng"]))
+        df = df.where(far.isNull() | (far <= miles))
+    out = df.withColumn("similarity", sim)
     return out.where(F.col("similarity") > min_similarity).orderBy(F.col("similarity").desc(), "dish_id").limit(n)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,8 +52,7 @@ def candidates(dishes: DataFrame, restaurants: DataFrame, reviews: DataFrame, ph
         r = filters.within_radius(r, spec.radius) if spec.radius else r
     else:
         r = r.withColumn("distance", F.lit(None).cast("double"))
-    d = joins.with_reviews(joins.with_restaurant(d, r), reviews)
-    d = joins.latest_child(d, photos, "dish_id", "taken_at", "photo_id")
+    d = joins.with_restaurant(d, r)
     if spec.dow is not None:
         slot = grid.where((F.col("dow") == spec.dow) & (F.col("hour") == spec.hour)).select("restaurant_id", wait_minutes("busyness").alias("wait"))
         d = d.join(slot, "restaurant_id", "left")
@@ -60,6 +61,9 @@ def candidates(dishes: DataFrame, restaurants: DataFrame, reviews: DataFrame, ph
     if spec.max_wait:
         d = filters.max_wait(d, spec.max_wait)
     d = safety.diet_gate(safety.allergen_gate(d, spec.allergens), spec.diets)
+    # only what passed so far meets reviews and photos
+    d = joins.with_reviews(d, reviews)
+    d = joins.latest_child(d, joins.semi(photos, d, "dish_id"), "dish_id", "taken_at", "photo_id")
     score = None
     if spec.q:
         hits = token_search(d.select("dish_id", "name", "description", "category"), spec.q, {"name": 1.0, "description": 0.4, "category": 0.2}, "dish_id", 200)
@@ -121,7 +125,7 @@ def list_restaurants(restaurants: DataFrame, dishes: DataFrame, grid: DataFrame,
     near = near.join(slot, "restaurant_id", "left")
     if max_wait is not None:
         near = filters.max_wait(near, max_wait, inclusive=False)
-    return near.join(top_dishes(dishes, top), "restaurant_id", "left")
+    return near.join(top_dishes(joins.semi(dishes, near, "restaurant_id"), top), "restaurant_id", "left")
 
 
 def top_dishes(dishes: DataFrame, k: int = 3) -> DataFrame:
@@ -132,7 +136,7 @@ def top_dishes(dishes: DataFrame, k: int = 3) -> DataFrame:
 def viewport(restaurants: DataFrame, dishes: DataFrame, grid: DataFrame, south: float, west: float, north: float, east: float, lat: float, lng: float, dow: int, hour: int, prelimit: int = 100) -> DataFrame:
     """Active restaurants in a rectangle with dishes, their number, wait and travel times."""
     inside = filters.in_viewport(restaurants.where("is_active"), south, west, north, east)
-    n = dishes.where("is_available").groupBy("restaurant_id").agg(F.count("dish_id").alias("n_dishes"))
+    n = joins.semi(dishes.where("is_available"), inside, "restaurant_id").groupBy("restaurant_id").agg(F.count("dish_id").alias("n_dishes"))
     inside = inside.join(n, "restaurant_id").orderBy(F.desc_nulls_last("rating"), "restaurant_id").limit(prelimit)
     slot = grid.where((F.col("dow") == dow) & (F.col("hour") == hour)).select("restaurant_id", wait_minutes("busyness").alias("wait"))
     out = filters.with_distance(inside.join(slot, "restaurant_id", "left"), lat, lng)
@@ -163,15 +167,34 @@ def suggest(dishes: DataFrame, prefixes: DataFrame, enough: int = 3, n: int = 5)
     return out.where(F.col("place") <= n).select("id", "name", "tier", "place")
 
 
+# Words that the English dictionary leaves out.
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those "
+    "am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to "
+    "from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
+
+
 def stem_word(w):
-    """A light English stem: plural and -ing/-ed endings of longer words."""
-    return F.when(F.length(w) > 4, F.regexp_replace(w, "(?:ies|ing|ed|es|s)$", "")).otherwise(w)
+    """A light English stem: plurals, -ed and -ing behind a vowel, a final y."""
+    w = F.when(w.rlike("sses$|ies$"), F.regexp_replace(w, "es$", "")).when(w.rlike("[^su]s$") & (F.length(w) > 3), F.regexp_replace(w, "s$", "")).otherwise(w)
+    cut = F.regexp_replace(w, "(?:ed|ing)$", "")
+    cut = F.when(cut.rlike("(?:at|bl|iz)$"), F.concat(cut, F.lit("e"))).when(cut.rlike(r"([^aeioulsz])\1$"), F.regexp_replace(cut, ".$", "")).otherwise(cut)
+    w = F.when(w.rlike("[aeiouy].*(?:ed|ing)$") & ~w.rlike("eed$"), cut).otherwise(w)
+    return F.when(w.rlike("..[^aeiou]?y$") & w.rlike("[^aeiou]y$"), F.regexp_replace(w, "y$", "i")).otherwise(w)
+
+
+def stem_of(word: str) -> str:
+    """The same for one word of a request."""
+    w = word[:-2] if re.search("sses$|ies$", word) else word[:-1] if re.search("[^su]s$", word) and len(word) > 3 else word
+    if re.search("[aeiouy].*(?:ed|ing)$", w) and not w.endswith("eed"):
+        w = re.sub("(?:ed|ing)$", "", w)
+        w = w + "e" if re.search("(?:at|bl|iz)$", w) else w[:-1] if re.search(r"([^aeioulsz])\1$", w) else w
+    return w[:-1] + "i" if len(w) > 2 and re.search("[^aeiou]y$", w) else w
 
 
 def parse_query(q: str) -> tuple[list[list[str]], list[str], list[str]]:
     """Groups of alternatives that must all be met, phrases that must occur, words that must not."""
-    import re
-
     phrases = [p.lower() for p in re.findall(r'"([^"]+)"', q)]
     groups: list[list[str]] = []
     never, alternative = [], False
@@ -191,33 +214,85 @@ def parse_query(q: str) -> tuple[list[list[str]], list[str], list[str]]:
 def token_search(df: DataFrame, q: str, weights: dict[str, float], key: str, n: int = 200) -> DataFrame:
     """Rows that meet a query, by rank: AND of words, OR, "phrases" and -exclusions.
 
-    Terms are stemmed words with the weight of their field. The rank is the sum over query terms of
-    the best weight, over one plus the logarithm of the number of terms.
+    Words are English stems without stop words; where that finds nothing, words as they are. Everything
+    is tested inside the row, without a shuffle before the final top ``n``.
+    """
+    found = ranked_tokens(df, q, weights, key, True)
+    if not found.limit(1).count():
+        found = ranked_tokens(df, q, weights, key, False)
+    return found.orderBy(F.desc("rank"), key).limit(n)
+
+
+def ranked_tokens(df: DataFrame, q: str, weights: dict[str, float], key: str, english: bool) -> DataFrame:
+    """(key, rank) of the rows that meet the query under a dictionary.
+
+    The rank is the cover density: every shortest stretch that holds all terms counts the harmonic mean
+    of its words' weights, over one plus the number of other words in it; the sum is divided by the
+    number of words. Phrases are words in their places (stop words keep theirs).
     """
     groups, phrases, never = parse_query(q)
-    words = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    spark = df.sparkSession
-    wanted = [(i, w) for i, g in enumerate(groups) for w in g] + [(len(groups) + i, w) for i, p in enumerate(phrases) for w in p.split()[:1]]
-    fields = []
-    for c, weight in weights.items():
-        fields.append(df.select(F.col(key), F.size(words(c)).alias("len"), F.explode_outer(words(c)).alias("t")).select(key, "len", stem_word(F.col("t")).alias("t"), F.lit(weight).alias("w")))
-    table = fields[0]
-    for f in fields[1:]:
-        table = table.unionByName(f)
-    size = table.groupBy(key).agg(F.count("t").alias("n_terms"))
-    query = spark.createDataFrame(wanted, "g int, t string").select("g", stem_word(F.col("t")).alias("t")).distinct()
-    hits = table.join(F.broadcast(query), "t").groupBy(key, "g").agg(F.max("w").alias("w"))
-    total = len({g for g, _ in wanted})
-    found = hits.groupBy(key).agg(F.count(F.lit(1)).alias("met"), F.sum("w").alias("w")).where(F.col("met") == total)
-    text = F.lower(F.concat_ws(" ", *weights))
-    whole = df.select(key, text.alias("text"))
-    found = found.join(whole, key)
-    for p in phrases:
-        found = found.where(F.contains("text", F.lit(p)))
+    norm = stem_of if english else str
+    stops = STOP_WORDS if english else []
+    kept = [[norm(w) for w in g if w not in stops] for g in groups]
+    kept = [g for g in kept if g]
+    split = lambda p: [(i, norm(w)) for i, w in enumerate(re.findall(r"\w+", p)) if w not in stops]
+    placed = [p for p in map(split, phrases) if p]
+    terms = kept + [[w] for p in placed for _, w in p]
+    if not terms:
+        return df.select(key, F.lit(0.0).alias("rank")).limit(0)
+
+    # a row without the beginnings of the terms cannot meet them
+    whole = F.lower(F.concat_ws(" ", *weights))
+    head = lambda w: w[: max(1, len(w) - 1)] if english else w
+    for g in terms:
+        df = df.where(reduce(lambda a, b: a | b, [F.contains(whole, F.lit(head(w))) for w in g]))
+
+    def tokens(c):
+        words = F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        return F.transform(words, lambda w: F.when(w.isin(stops), F.lit("")).otherwise(stem_word(w))) if english else words
+
+    fields = list(weights)
+    df = df.select(key, *[tokens(c).alias(f"f{i}") for i, c in enumerate(fields)])
+
+    def said(p):
+        one = lambda i, at: reduce(lambda a, b: a & b, [F.get(F.col(f"f{i}"), at + d) == w for d, w in p])
+        return reduce(lambda a, b: a | b, [F.coalesce(F.exists(F.sequence(F.lit(0), F.size(f"f{i}")), lambda at, i=i: F.coalesce(one(i, at - p[0][0]), F.lit(False))), F.lit(False)) for i in range(len(fields))])
+
+    for p in placed:
+        df = df.where(said(p))
     for w in never:
-        found = found.where(~F.array_contains(F.transform(F.split("text", r"[^\p{L}\p{N}]+"), stem_word), stem_word(F.lit(w))))
-    ranked = found.join(size, key).select(key, (F.col("w") / total / (1 + F.log("n_terms"))).alias("rank"))
-    return ranked.orderBy(F.desc("rank"), key).limit(n)
+        df = df.where(~reduce(lambda a, b: a | b, [F.array_contains(f"f{i}", norm(w)) for i in range(len(fields))]))
+    group_of = F.create_map(*[F.lit(v) for g, ws in reversed(list(enumerate(terms))) for w in ws for v in (w, g)]) if len({w for g in terms for w in g}) == sum(map(len, terms)) else None
+    if group_of is None:  # a term that stands in several groups meets its first
+        first = {}
+        for g, ws in enumerate(terms):
+            for w in ws:
+                first.setdefault(w, g)
+        terms = [g for g in ([w for w in ws if first[w] == i] for i, ws in enumerate(terms)) if g]
+        group_of = F.create_map(*[F.lit(v) for g, ws in enumerate(terms) for w in ws for v in (w, g)])
+
+    hits, before = [], F.lit(0)
+    for i, c in enumerate(fields):
+        at = F.transform(F.col(f"f{i}"), lambda t, p, i=i, c=c, b=before: F.struct((p + b).alias("p"), F.try_element_at(group_of, t).alias("g"), F.lit(float(weights[c])).alias("w")))
+        hits.append(F.filter(at, lambda h: h["g"].isNotNull()))
+        before = before + F.size(f"f{i}")
+    length = reduce(lambda a, b: a + b, [F.size(F.filter(F.col(f"f{i}"), lambda t: t != "")) for i in range(len(fields))])
+    df = df.select(key, F.concat(*hits).alias("hits"), length.alias("n_terms"))
+    df = df.where(F.size(F.array_distinct(F.transform("hits", lambda h: h["g"]))) == len(terms))
+
+    start = F.struct(F.array(*[F.lit(-1)] * len(terms)).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("sum"))
+
+    def step(s, h):
+        last = F.transform(s["last"], lambda p, g: F.when(g == h["g"], h["p"]).otherwise(p))
+        begin = F.array_min(last)
+        inside = F.filter(F.col("hits"), lambda x: x["p"].between(begin, h["p"]))
+        inverse = F.aggregate(inside, F.lit(0.0), lambda a, x: a + 1 / x["w"])
+        cover = F.size(inside) / inverse / (1 + (h["p"] - begin) - (F.size(inside) - 1))
+        is_new = (begin >= 0) & (begin > s["from"])
+        return F.struct(last.alias("last"), F.when(is_new, begin).otherwise(s["from"]).alias("from"), (s["sum"] + F.when(is_new, cover).otherwise(0.0)).alias("sum"))
+
+    rank = F.aggregate("hits", start, step, lambda s: s["sum"])
+    return df.select(key, (rank / F.col("n_terms")).alias("rank"))
 
 
 def reroute(similar: DataFrame, grid: DataFrame, wait: int, dow: int, hour: int, n: int = 3) -> DataFrame:

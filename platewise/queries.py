@@ -154,10 +154,10 @@ def allergen_gate(spark, sf_dir):
     return S.allergen_gate(with_flags(d), ["milk", "eggs"]).select("dish_id", "name")
 
 
-@query("diet_filter", with_sql("dishes") + " select dish_id from dishes where gluten_free and kosher")
+@query("diet_filter", with_sql("dishes") + " select dish_id from dishes where vegan and dairy_free and kosher")
 def diet_filter(spark, sf_dir):
     (d,) = bound(spark, sf_dir, "dishes")
-    return S.diet_filter(with_flags(d), ["gluten_free", "kosher"]).select("dish_id")
+    return S.diet_filter(with_flags(d), ["vegan", "dairy_free", "kosher"]).select("dish_id")
 
 
 @query(
@@ -214,19 +214,27 @@ def viewport(spark, sf_dir):
     return SE.viewport(r, d, g, 40.72, -73.98, 40.78, -73.93, LAT, LNG, 5, 19).select("restaurant_id", "n_dishes", "wait", "walk_minutes", "drive_minutes")
 
 
-@query("suggest")
+@query(
+    "suggest",
+    with_sql("dishes")
+    + """, n as (select lower(name) as key, min(name) as name from dishes group by 1), q as (select dish_id as id, trim(lower(substring(name, 1, cast(dish_id % 6 + 1 as int)))) as q from dishes),
+d as (select distinct q from q where q <> ''), g as (select key, list_distinct(flatten(list_transform(string_split(key, ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) as t from n),
+qg as (select q, list_distinct(flatten(list_transform(list_filter(string_split(q, ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) as t from d),
+p as (select qg.q, g.key, case when starts_with(g.key, qg.q) then 0 when contains(g.key, qg.q) then 1 else 2 end as tier, len(list_intersect(qg.t, g.t)) / cast(len(qg.t) + len(g.t) - len(list_intersect(qg.t, g.t)) as double) as s from qg, g),
+near as (select q, key from p where s > 0.2 qualify row_number() over (partition by q order by s desc, key) <= 50),
+f as (select p.q, p.key, p.tier from p left join near using (q, key) where p.tier < 2 or near.key is not null), c as (select q, count(*) filter (tier = 0) as n0, count(*) filter (tier <= 1) as n1 from f group by 1),
+o as (select f.*, row_number() over (partition by f.q order by f.tier, f.key) as place from f join c using (q) where tier = 0 or (tier = 1 and n0 < 3) or (tier = 2 and n1 < 3))
+select q.id, n.name, o.tier, o.place from q join o using (q) join n using (key) where place <= 5""",
+)
 def suggest(spark, sf_dir):
     (d,) = bound(spark, sf_dir, "dishes")
     typed = d.select(F.col("dish_id").alias("id"), F.substring("name", 1, F.col("dish_id").cast("int") % 6 + 1).alias("q"))
     return SE.suggest(d, typed)
 
 
-@query(
-    "token_search",
-    r"""select doc_id, 1 as hit from documents where regexp_matches(lower(text), '(^|[^\p{L}\p{N}])hation(ies|ing|ed|es|s)?([^\p{L}\p{N}]|$)')
-  and regexp_matches(lower(text), '(^|[^\p{L}\p{N}])(the|the(ies|ing|ed|es))([^\p{L}\p{N}]|$)')""",
-)
+@query("token_search", r"""select doc_id, 1 as hit from documents where regexp_matches(lower(text), '(^|[^\p{L}\p{N}])hation(ing|ed|s)?([^\p{L}\p{N}]|$)')""")
 def token_search(spark, sf_dir):
+    """The stop word asks for nothing."""
     docs = FE.load(spark, sf_dir, "documents", ["doc_id", "text"])
     return SE.token_search(docs, "hation the", {"text": 1.0}, "doc_id", 1 << 30).select("doc_id", F.lit(1).alias("hit"))
 
@@ -244,7 +252,10 @@ select dish_id, round(similarity, 6) as similarity from x where similarity > 0.8
 def similar_dishes(spark, sf_dir):
     d, r = bound(spark, sf_dir, "dishes", "restaurants")
     d = J.with_restaurant(d, r).withColumn("vec", N.macro_vector("calories_min", "protein_min", "carbs_min", "fat_min"))
-    source = d.where("dish_id = 7").select("vec", "restaurant_id", "category", "cuisine").first().asDict()
+    found = d.where("dish_id = 7").select("vec", "restaurant_id", "category", "cuisine").first()
+    if found is None:
+        return d.select("dish_id", F.lit(0.0).alias("similarity")).limit(0)
+    source = found.asDict()
     return R.similar(d, source, boosts=True).select("dish_id", r6(F.col("similarity"), "similarity"))
 
 
@@ -646,7 +657,7 @@ def menu_items_from_pages(spark, sf_dir):
     return M.menu_from_html(pages).select(*cols).unionByName(M.menu_from_jsonld(pages).select(*cols))
 
 
-@query("junk_reasons", None)
+@query("junk_reasons")
 def junk_reasons(spark, sf_dir):
     (d,) = bound(spark, sf_dir, "dishes")
     d = d.withColumn("reason", C.junk_reason("name", "category", "description")).withColumn("item_type", C.classify("name", "category", "description"))
@@ -786,7 +797,15 @@ def over_limit(spark, sf_dir):
     return ST.over_limit(e, limits, "12 hours", "2 hours").select("start", "client", "route", "n")
 
 
-@query("feedback_decisions", None)
+@query(
+    "feedback_decisions",
+    with_sql("feedback")
+    + """, d as (select unnest(generate_series(timestamp '1999-01-01', timestamp '2030-01-01', interval 1 day)) as start), r as (select min(created_at) as a, max(created_at) as b from feedback),
+w as (select d.start, f.* from feedback f join (select d.start from d, r where d.start > r.a - interval 31 day and d.start <= r.b) d on f.created_at >= d.start and f.created_at < d.start + interval 30 day),
+v as (select start, start + interval 30 day as "end", dish_id, count(*) filter (feedback_type = 'portion_bigger') as b, count(*) filter (feedback_type = 'portion_smaller') as s, count(*) filter (feedback_type = 'dish_unavailable') as u from w group by all),
+o as (select start, "end", dish_id, case when b + s >= 3 and b - s >= 2 then 'bigger' when b + s >= 3 and s - b >= 2 then 'smaller' else 'same' end as portion, u >= 3 as unavailable from v)
+select * from o where portion <> 'same' or unavailable""",
+)
 def feedback_decisions(spark, sf_dir):
     (f,) = bound(spark, sf_dir, "feedback")
     return ST.decisions(ST.feedback_votes(f))

@@ -74,16 +74,19 @@ def parse_analysis(df: DataFrame, text: str, schema: StructType | str) -> tuple[
     return parsed.where("parsed is not null"), parsed.where("parsed is null").drop("parsed").withColumn("error", F.lit("not the expected JSON"))
 
 
+def corrected_truth(truth: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Labels (name, expected_type) with corrections (name, correct_type) by lower-cased name written over them."""
+    c = corrections.select(F.lower("name").alias("_k"), "correct_type").groupBy("_k").agg(F.min("correct_type").alias("correct_type"))
+    out = truth.withColumn("_k", F.lower("name")).join(c, "_k", "left")
+    return out.withColumn("expected_type", F.coalesce("correct_type", "expected_type")).drop("_k", "correct_type")
+
+
 def load_truth(spark: SparkSession, path: str, corrections: str | None = None) -> DataFrame:
     """A label file of items; a corrections file overrides labels by name."""
     t = spark.read.option("multiLine", True).json(path)
     if "items" in t.columns:
         t = t.select(F.explode("items").alias("i")).select("i.*")
-    if corrections:
-        c = spark.read.option("multiLine", True).json(corrections)
-        c = c.select(F.lower("name").alias("k"), "correct_type").dropDuplicates(["k"])
-        t = t.withColumn("k", F.lower("name")).join(c, "k", "left").withColumn("expected_type", F.coalesce("correct_type", "expected_type")).drop("k", "correct_type")
-    return t
+    return corrected_truth(t, spark.read.option("multiLine", True).json(corrections)) if corrections else t
 
 
 def backfill_menu_items(dishes: DataFrame, existing: DataFrame) -> DataFrame:

@@ -134,3 +134,32 @@ def menu_annotations(pages: DataFrame) -> DataFrame:
         return F.when(v.between(*BOUNDS[c]), v).alias(c)
 
     return out.select("page_id", F.array_distinct(marks).alias("legend"), *[bounded(c, p) for c, p in unit.items()])
+
+
+def menu_item_annotations(pages: DataFrame) -> DataFrame:
+    """Per list entry, table row or element of a menu-item class that has a name (h3, h4 or a class with
+    name or title): page_id, name, nutrition within bounds, allergens and ingredients as the text says.
+    """
+    entry = r'(?is)<(?:(?:li|tr|dt)\b[^>]*>.*?</(?:li|tr|dt)>|(?:div|article|section)[^>]*class="[^"]*(?:menu-item|dish|food-item)[^"]*"[^>]*>.*?</(?:div|article|section)>)'
+    items = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(entry), F.lit(0))).alias("h"))
+    named = F.regexp_extract("h", r'(?is)<(?:h[34]\b[^>]*|[a-z]+[^>]*class="[^"]*(?:name|title)[^"]*"[^>]*)>(.*?)</', 1)
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"\s+", " "))
+    items = items.select("page_id", F.lower(plain(named)).alias("name"), F.lower(plain(F.col("h"))).alias("t")).where(F.length("name").between(2, 100))
+
+    def number(pattern, top):
+        v = F.nullif(F.regexp_extract("t", pattern, 1), F.lit("")).cast("int")
+        return F.when(v.between(1, top), v)
+
+    def words(pattern):
+        return F.filter(F.transform(F.split(F.regexp_extract("t", pattern, 1), ","), lambda w: F.trim(w)), lambda w: w != "")
+
+    return items.select(
+        "page_id",
+        "name",
+        F.coalesce(number(r"(\d{1,4})\s*(?:[-–]\s*\d{1,4}\s*)?(?:kcal|cal(?:ories?)?)\b", 5000), number(r"(?:kcal|cal(?:ories?)?)\s*[:=]\s*(\d{1,4})", 5000)).alias("calories"),
+        number(r"(\d{1,4})\s*g?\s*prot(?:ein)?\b", 500).alias("protein"),
+        number(r"(\d{1,4})\s*g?\s*carb(?:s|ohydrates?)?\b", 500).alias("carbs"),
+        number(r"(\d{1,4})\s*g?\s*fat\b", 500).alias("fat"),
+        words(r"(?:contains|allergens?)\s*[:=]\s*([a-z, ]+)").alias("allergens"),
+        words(r"ingredients?\s*[:=]\s*([a-z, ()'-]+)").alias("ingredients"),
+    )

@@ -7,7 +7,7 @@ import pytest
 from tests.conftest import SMALL
 
 import __spark_entry__ as entry_point
-from platewise.queries import QUERIES, SQL
+from platewise.upkeep_queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

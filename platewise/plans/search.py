@@ -255,26 +255,32 @@ def ranked_tokens(df: DataFrame, q: str, weights: dict[str, float], key: str, en
     df = df.select(key, *[tokens(c).alias(f"f{i}") for i, c in enumerate(fields)])
 
     def said(p):
-        one = lambda i, at: reduce(lambda a, b: a & b, [F.get(F.col(f"f{i}"), at + d) == w for d, w in p])
-        return reduce(lambda a, b: a | b, [F.coalesce(F.exists(F.sequence(F.lit(0), F.size(f"f{i}")), lambda at, i=i: F.coalesce(one(i, at - p[0][0]), F.lit(False))), F.lit(False)) for i in range(len(fields))])
+        def starts(f):
+            def here(at):
+                return reduce(lambda a, b: a & b, [F.coalesce(F.get(f, at + (d - p[0][0])) == w, F.lit(False)) for d, w in p])
+
+            return F.exists(F.sequence(F.lit(0), F.size(f)), here)
+
+        return reduce(lambda a, b: a | b, [starts(F.col(f"f{i}")) for i in range(len(fields))])
 
     for p in placed:
         df = df.where(said(p))
     for w in never:
         df = df.where(~reduce(lambda a, b: a | b, [F.array_contains(f"f{i}", norm(w)) for i in range(len(fields))]))
-    group_of = F.create_map(*[F.lit(v) for g, ws in reversed(list(enumerate(terms))) for w in ws for v in (w, g)]) if len({w for g in terms for w in g}) == sum(map(len, terms)) else None
-    if group_of is None:  # a term that stands in several groups meets its first
-        first = {}
-        for g, ws in enumerate(terms):
-            for w in ws:
-                first.setdefault(w, g)
-        terms = [g for g in ([w for w in ws if first[w] == i] for i, ws in enumerate(terms)) if g]
-        group_of = F.create_map(*[F.lit(v) for g, ws in enumerate(terms) for w in ws for v in (w, g)])
+    first: dict[str, int] = {}
+    for g, ws in enumerate(terms):  # a term that stands in several groups meets its first
+        for w in ws:
+            first.setdefault(w, g)
+    terms = [g for g in ([w for w in ws if first[w] == i] for i, ws in enumerate(terms)) if g]
+    group_of = F.create_map(*[F.lit(v) for g, ws in enumerate(terms) for w in ws for v in (w, g)])
+
+    def hits_in(f, weight, before):
+        placed = F.transform(f, lambda t, p: F.struct((p + before).alias("p"), F.try_element_at(group_of, t).alias("g"), F.lit(float(weight)).alias("w")))
+        return F.filter(placed, lambda h: h["g"].isNotNull())
 
     hits, before = [], F.lit(0)
     for i, c in enumerate(fields):
-        at = F.transform(F.col(f"f{i}"), lambda t, p, i=i, c=c, b=before: F.struct((p + b).alias("p"), F.try_element_at(group_of, t).alias("g"), F.lit(float(weights[c])).alias("w")))
-        hits.append(F.filter(at, lambda h: h["g"].isNotNull()))
+        hits.append(hits_in(F.col(f"f{i}"), weights[c], before))
         before = before + F.size(f"f{i}")
     length = reduce(lambda a, b: a + b, [F.size(F.filter(F.col(f"f{i}"), lambda t: t != "")) for i in range(len(fields))])
     df = df.select(key, F.concat(*hits).alias("hits"), length.alias("n_terms"))

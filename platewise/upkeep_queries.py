@@ -411,3 +411,274 @@ def request_prints(spark, sf_dir):
     )
     typed = FL.validate_requests(raw)
     return FL.query_fingerprint(typed.withColumn("c_custkey", F.col("offset").cast("bigint"))).select("c_custkey", "fingerprint")
+
+
+# --- projections ------------------------------------------------------------------------------
+
+
+@query(
+    "result_records",
+    with_sql("dishes", "restaurants", "reviews", "grid")
+    + f""" select d.dish_id, d.calories_max, r.restaurant_name, v.average_rating, {wait_sql("g.busyness")} as wait from dishes d join restaurants r using (restaurant_id) left join reviews v using (dish_id)
+left join (select * from grid where dow = 1 and hour = 12) g using (restaurant_id) where d.is_available and r.is_active""",
+)
+def result_records(spark, sf_dir):
+    from platewise.queries import _tables
+
+    found = SE.candidates(*_tables(spark, sf_dir), SE.SearchSpec(dow=1, hour=12))
+    out = SE.shape_results(found)
+    return out.select("dish_id", F.col("macros.calories_max").alias("calories_max"), F.col("restaurant.restaurant_name").alias("restaurant_name"), F.col("review_summary.average_rating").alias("average_rating"), F.col("logistics.wait").alias("wait"))
+
+
+@query(
+    "macro_labels",
+    with_sql("dishes")
+    + """, x as (select dish_id, case dish_id % 4 when 0 then 'Published by restaurant' when 1 then 'Community data' when 2 then 'Estimated from photos' else 'Unknown' end as label, case when dish_id % 5 <> 0 then macro_confidence end as c from dishes)
+select dish_id, label as macro_label, case when c is null then label else label || ' (' || cast(floor(c * 100 + 0.5) as int) || '% confidence)' end as macro_text from x""",
+)
+def macro_labels(spark, sf_dir):
+    (d,) = bound(spark, sf_dir, "dishes")
+    k = F.col("dish_id")
+    d = d.withColumn("macro_source", F.when(k % 4 == 0, "published").when(k % 4 == 1, "third_party").when(k % 4 == 2, "vision_ai"))
+    d = d.withColumn("macro_confidence", F.when(k % 5 != 0, F.col("macro_confidence")))
+    return SE.dish_detail(d).select("dish_id", "macro_label", "macro_text")
+
+
+@query(
+    "restaurant_records",
+    with_sql("restaurants", "offers")
+    + """, o as (select restaurant_id, string_agg(distinct 'p' || line, ',' order by 'p' || line) as d from offers where line <= 4 and line % 2 = 0 group by 1)
+select restaurant_id, coalesce(d, '') as delivery from restaurants left join o using (restaurant_id)""",
+)
+def restaurant_records(spark, sf_dir):
+    r, o = bound(spark, sf_dir, "restaurants", "offers")
+    delivery = o.where("line <= 4").select("restaurant_id", F.concat(F.lit("p"), "line").alias("platform"), F.lit(1.5).alias("fee"), F.lit(30).alias("minutes"), (F.col("line") % 2 == 0).alias("is_available")).distinct()
+    return SE.restaurant_detail(r, delivery).select("restaurant_id", F.array_join("delivery.platform", ",").alias("delivery"))
+
+
+# --- joins ------------------------------------------------------------------------------------
+
+
+@query("rated_dishes", with_sql("dishes", "reviews") + " select dish_id, name from dishes where dish_id in (select dish_id from reviews where average_rating >= 4)")
+def rated_dishes(spark, sf_dir):
+    d, v = bound(spark, sf_dir, "dishes", "reviews")
+    return J.semi(d, v.where("average_rating >= 4"), "dish_id").select("dish_id", "name")
+
+
+@query(
+    "photo_files",
+    """select p_partkey as id, case p_partkey % 4 when 3 then null else 'img/' || replace(lower(p_name), ' ', '-') || '-' || p_partkey || case p_partkey % 4 when 2 then '-v2.jpg' else '.jpg' end end as file,
+  case p_partkey % 4 when 0 then 'exact' when 1 then 'case' when 2 then 'fuzzy' end as tier from part where p_partkey % 4 <> 3""",
+)
+def photo_files(spark, sf_dir):
+    k = F.col("p_partkey")
+    # one restaurant's names would be unlike each other; here the key keeps them apart
+    name = F.concat("p_name", F.lit(" "), k)
+    p = parts(spark, sf_dir, "p_name")
+    dishes = p.where(k % 4 != 3).select(k.alias("id"), F.when(k % 4 == 2, F.concat(name, F.lit("!"))).otherwise(name).alias("name"))
+    file = F.concat(F.lit("img/"), F.replace(F.lower(name), F.lit(" "), F.lit("-")), F.when(k % 4 == 2, "-v2.jpg").otherwise(".jpg"))
+    files = p.where(k % 4 != 3).select(file.alias("file"), F.when(k % 4 == 0, name).when(k % 4 == 1, F.upper(name)).otherwise("-").alias("name"))
+    return J.match_photos(dishes, files)
+
+
+@query(
+    "business_ids",
+    with_sql("restaurants")
+    + " select restaurant_id, case restaurant_id % 3 when 0 then 'b2' when 1 then 'b3' else 'b1' end as business_id, case restaurant_id % 3 when 0 then 0 when 1 then 1 else 2 end as tier from restaurants",
+)
+def business_ids(spark, sf_dir):
+    (r,) = bound(spark, sf_dir, "restaurants")
+    k = F.col("restaurant_id")
+    names = {1: F.lit("Other place"), 2: F.when(k % 3 == 0, F.upper("restaurant_name")).otherwise("Another"), 3: F.when(k % 3 == 2, "Third").otherwise(F.concat(F.lit("The "), "restaurant_name"))}
+    frames = [r.select("restaurant_id", F.lit(i).alias("place"), F.lit(f"b{i}").alias("business_id"), c.alias("name")) for i, c in names.items()]
+    return J.match_business(r.select("restaurant_id", F.col("restaurant_name").alias("name")), frames[0].unionByName(frames[1]).unionByName(frames[2]))
+
+
+MENTIONS = [  # dish, review, whether it says so
+    ("Stir-Fry Noodles", "the stir-fry noodles are great", True), ("Crispy Duck (Half)", "We had the Crispy Duck (half) again", True), ("Pad Thai", "the padded iPad", False), ("Pad", "an ipad on the table", True),
+    ("Spicy Basil Chicken", "chicken with spicy basil", True), ("Spicy Basil Chicken", "basil chicken", False), ("House Salad", "a house of salad", False), ("Red Curry with Tofu", "Tofu in CURRY", True), ("Grilled Corn", "popcorn, grilled", False),
+]
+
+
+@query("review_mentions", f"select p_partkey as dish_id, p_partkey as review_id from part join {labels_sql(MENTIONS, ['hit'], 2)} on i = p_partkey % {len(MENTIONS)} where hit")
+def review_mentions(spark, sf_dir):
+    """Each dish with a restaurant and a review of its own."""
+    p, k = parts(spark, sf_dir), F.col("p_partkey")
+    dishes = p.select(k.alias("dish_id"), k.alias("restaurant_id"), example("p_partkey", MENTIONS, 0).alias("name"))
+    reviews = p.select(k.alias("review_id"), k.alias("restaurant_id"), example("p_partkey", MENTIONS, 1).alias("text"))
+    return J.reviews_for_dishes(dishes, reviews)
+
+
+@query(
+    "review_mentions_all",
+    with_sql("dishes", "feedback")
+    + """, r as (select feedback_id as review_id, d.restaurant_id, 'I liked the ' || lower(d.name) || ' here' as text from feedback join dishes d using (dish_id)),
+w as (select dish_id, restaurant_id, lower(name) as name, list_filter(string_split(lower(name), ' '), lambda w: length(w) >= 4 and w <> 'plate') as words from dishes)
+select distinct w.dish_id, r.review_id from w join r using (restaurant_id) where case when len(words) = 0 then contains(r.text, w.name)
+  else regexp_matches(r.text, '\\b' || w.name || '\\b') or len(list_filter(words, lambda x: not regexp_matches(r.text, '\\b' || x || '\\b'))) = 0 end""",
+)
+def review_mentions_all(spark, sf_dir):
+    d, f = bound(spark, sf_dir, "dishes", "feedback")
+    reviews = f.join(d, "dish_id").select(F.col("feedback_id").alias("review_id"), "restaurant_id", F.concat(F.lit("I liked the "), F.lower("name"), F.lit(" here")).alias("text"))
+    return J.reviews_for_dishes(d, reviews)
+
+
+@query(
+    "truth_labels",
+    with_sql("dishes")
+    + """, t as (select distinct lower(name) as b, 'general' as tr, 'g' as label from dishes where dairy_free union select distinct lower(name), cast(restaurant_id as varchar), 'own' from dishes where vegan
+  union select split_part(lower(name), ' ', 1), 'general', 'head' from dishes)
+select dish_id as item_id, b as truth_name, label from dishes d join t on (tr = 'general' or tr = cast(d.restaurant_id as varchar)) and (contains(lower(d.name), b) or contains(b, lower(d.name)))
+qualify row_number() over (partition by dish_id order by tr = 'general', lower(d.name) <> b, length(b) desc, b, label) = 1""",
+)
+def truth_labels(spark, sf_dir):
+    (d,) = bound(spark, sf_dir, "dishes")
+    place = F.col("restaurant_id").cast("string")
+    truth = d.where("dairy_free").select(F.upper("name").alias("name"), F.lit("general").alias("restaurant"), F.lit("g").alias("label"))
+    truth = truth.unionByName(d.where("vegan").select("name", place.alias("restaurant"), F.lit("own").alias("label")))
+    truth = truth.unionByName(d.select(F.split("name", " ")[0].alias("name"), F.lit("general").alias("restaurant"), F.lit("head").alias("label")))
+    return J.truth_match(d.select(F.col("dish_id").alias("item_id"), place.alias("restaurant"), "name"), truth)
+
+
+@query(
+    "food_matches",
+    "with f as (select min(p_partkey) as food_id, p_name from part group by 2) select p_partkey as id, f.food_id, 1.0 as score from part join f using (p_name)",
+)
+def food_matches(spark, sf_dir):
+    p = parts(spark, sf_dir, "p_name")
+    foods = p.groupBy(F.col("p_name").alias("description")).agg(F.min("p_partkey").alias("food_id")).withColumn("data_type", F.lit("Foundation"))
+    out = J.match_foods(p.select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("name")), foods, {})
+    return out.select("id", "food_id", F.round("score", 6).cast("decimal(2,1)").alias("score"))
+
+
+@query(
+    "food_confidence",
+    """select p_partkey, round(case p_partkey % 5 when 0 then 1.0 when 1 then 0.375 + 0.1 when 2 then 0.9 when 3 then 0.75 - 0.1 else 0.0 end, 6) as score from part""",
+)
+def food_confidence(spark, sf_dir):
+    k, n = F.col("p_partkey"), F.col("p_name")
+    query_ = F.when(k % 5 == 1, F.concat(F.split(n, " ")[0], F.lit(" qqq"))).when(k % 5 == 4, "qqq").otherwise(n)
+    text = F.when(k % 5 == 3, F.concat(n, F.lit(" one two three four five six seven"))).otherwise(n)
+    text = F.when(k % 5 == 1, F.concat(n, F.lit(" raw"))).otherwise(text)
+    kind = F.when((k % 5 == 0) | (k % 5 == 1), "Foundation").otherwise("Branded")
+    kind = F.when(k % 5 == 4, "Branded").otherwise(kind)
+    return parts(spark, sf_dir, "p_name").select("p_partkey", r6(NU.food_confidence(text, query_, kind), "score"))
+
+
+@query(
+    "item_links",
+    with_sql("dishes")
+    + """, k as (select restaurant_id, lower(name) as k, min(dish_id) as found from dishes where is_available group by 1, 2)
+select d.dish_id as item_id, case when d.dish_id % 3 = 0 then -1 else found end as dish_id from dishes d left join k on k.restaurant_id = d.restaurant_id and k.k = lower(d.name)""",
+)
+def item_links(spark, sf_dir):
+    (d,) = bound(spark, sf_dir, "dishes")
+    items = d.select(F.col("dish_id").alias("item_id"), "restaurant_id", F.upper("name").alias("name"), F.when(F.col("dish_id") % 3 == 0, F.lit(-1)).cast("bigint").alias("dish_id"))
+    return J.link_items(items, d.where("is_available")).select("item_id", "dish_id")
+
+
+@query(
+    "similar_in_reach",
+    with_sql("dishes", "restaurants")
+    + f""", v as (select dish_id, restaurant_id, lat, lng, (calories_min - 500) / 250.0 as a, (protein_min - 25) / 15.0 as b, (carbs_min - 45) / 30.0 as c, (fat_min - 20) / 15.0 as d from dishes join restaurants using (restaurant_id)),
+s as (select * from v where dish_id = 7), x as (select v.dish_id, (v.a*s.a + v.b*s.b + v.c*s.c + v.d*s.d) / (sqrt(v.a*v.a + v.b*v.b + v.c*v.c + v.d*v.d) * sqrt(s.a*s.a + s.b*s.b + s.c*s.c + s.d*s.d)) as similarity
+  from v, s where v.restaurant_id <> s.restaurant_id and {N.haversine_sql("v.lat", "v.lng", "s.lat", "s.lng")} <= 2.0)
+select dish_id, round(similarity, 6) as similarity from x where similarity > 0.5 order by similarity desc, dish_id limit 25""",
+)
+def similar_in_reach(spark, sf_dir):
+    d, r = bound(spark, sf_dir, "dishes", "restaurants")
+    d = J.with_restaurant(d, r).withColumn("vec", N.macro_vector("calories_min", "protein_min", "carbs_min", "fat_min"))
+    found = d.where("dish_id = 7").select("vec", "restaurant_id", "lat", "lng").first()
+    if found is None:
+        return d.select("dish_id", F.lit(0.0).alias("similarity")).limit(0)
+    return R.similar(d, found.asDict(), min_similarity=0.5, n=25, miles=2.0).select("dish_id", r6(F.col("similarity"), "similarity"))
+
+
+@query(
+    "similar_names_in_reach",
+    with_sql("restaurants")
+    + rf""", n as (select restaurant_id as id, lower(restaurant_name) as n from restaurants where {N.haversine_sql("lat", "lng", 40.75, -73.97)} <= 2.0),
+t as (select id, list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(n, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) as t from n),
+q as (select restaurant_id as id, list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower(restaurant_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) as t from restaurants),
+s as (select q.id as query_id, t.id as row_id, len(list_intersect(q.t, t.t)) / cast(len(q.t) + len(t.t) - len(list_intersect(q.t, t.t)) as double) as score from q, t)
+select query_id, row_id, round(score, 6) as score from s where score > 0.6 qualify row_number() over (partition by query_id order by score desc, row_id) <= 3""",
+)
+def similar_names_in_reach(spark, sf_dir):
+    (r,) = bound(spark, sf_dir, "restaurants")
+    named = r.select(F.col("restaurant_id").alias("id"), F.col("restaurant_name").alias("name"), "lat", "lng")
+    return J.similar_names(named, named.select("id", "name"), 0.6, 3, 40.75, -73.97, 2.0).select("query_id", "row_id", r6(F.col("score"), "score"))
+
+
+@query(
+    "weighted_words",
+    with_sql("dishes")
+    + """ select dish_id, round(((case when name like '%ring' then 1.0 else 0 end) + (case when description like 'ring%' then 0.4 else 0 end)) / 3, 6) as rank
+from (select dish_id, name, case when dish_id % 3 = 0 then 'rings' else 'bolts' end as description from dishes) where name like '%ring' or description like 'ring%'""",
+)
+def weighted_words(spark, sf_dir):
+    (d,) = bound(spark, sf_dir, "dishes")
+    d = d.select("dish_id", "name", F.when(F.col("dish_id") % 3 == 0, "the rings").otherwise("of bolts").alias("description"))
+    return SE.token_search(d, "RINGS", {"name": 1.0, "description": 0.4}, "dish_id", 1 << 30).select("dish_id", r6(F.col("rank"), "rank"))
+
+
+@query(
+    "phrases_and_others",
+    with_sql("dishes") + " select dish_id from dishes where (name = 'small ring' or name like '% bolt') and name <> 'red bolt' and description like '%grilled'",
+)
+def phrases_and_others(spark, sf_dir):
+    (d,) = bound(spark, sf_dir, "dishes")
+    d = d.withColumn("text", F.concat(F.when(F.col("name") == "small ring", F.lit("bolt ")).otherwise(""), "name"))
+    one = SE.token_search(d, '"grilled" bolt -red', {"text": 1.0, "description": 0.4}, "dish_id", 1 << 30).select("dish_id")
+    return one
+
+
+@query(
+    "search_words",
+    with_sql("restaurants", "dishes")
+    + """ select dish_id, protein_max from dishes join restaurants using (restaurant_id) where is_available and is_active and name like '%gear' order by protein_max desc, dish_id limit 30""",
+)
+def search_words(spark, sf_dir):
+    from platewise.queries import _tables
+
+    spec = SE.SearchSpec(q="gears", goal="max_protein", sort="macro_match", limit=30, per_restaurant=1 << 30, per_cuisine=1 << 30)
+    return SE.search(*_tables(spark, sf_dir), spec).select("dish_id", "protein_max")
+
+
+@query(
+    "search_sorts",
+    with_sql("restaurants", "dishes", "grid")
+    + f""", f as (select dish_id, {wait_sql("g.busyness")} as wait, floor({N.haversine_sql("lat", "lng", 40.75, -73.97)} * 100 + 0.5) / 100 as distance from dishes join restaurants using (restaurant_id)
+  left join (select * from grid where dow = 1 and hour = 12) g using (restaurant_id) where is_available and is_active)
+select * from (select dish_id, 'wait_time' as sort from f order by coalesce(wait, 1e9), dish_id limit 40) union all select * from (select dish_id, 'distance' from f order by distance, dish_id limit 40)""",
+)
+def search_sorts(spark, sf_dir):
+    from platewise.queries import _tables
+
+    base = {"lat": 40.75, "lng": -73.97, "radius": None, "dow": 1, "hour": 12, "limit": 40, "per_restaurant": 1 << 30, "per_cuisine": 1 << 30}
+    frames = [SE.search(*_tables(spark, sf_dir), SE.SearchSpec(sort=m, **base)).select("dish_id", F.lit(m).alias("sort")) for m in ("wait_time", "distance")]
+    return frames[0].unionByName(frames[1])
+
+
+@query(
+    "fuzzy_items",
+    "select p_partkey as left_id, p_partkey as right_id from part where length(p_name) >= 5",
+)
+def fuzzy_items(spark, sf_dir):
+    """Names with a letter too many, in restaurants of one dish each; the best partner is the dish itself."""
+    p = parts(spark, sf_dir, "p_name").where("length(p_name) >= 5")
+    dishes = p.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("restaurant_id"), F.col("p_name").alias("name"))
+    items = dishes.withColumn("name", F.concat(F.upper("name"), F.lit("s")))
+    return J.match_items(items, dishes).select("left_id", "right_id")
+
+
+@query(
+    "vetoed_places",
+    with_sql("restaurants") + " select restaurant_id as left_id, restaurant_id as right_id from restaurants where restaurant_id % 3 <> 1",
+)
+def vetoed_places(spark, sf_dir):
+    """Equal names: another house number keeps a pair apart, a missing one does not if the street is the same."""
+    (r,) = bound(spark, sf_dir, "restaurants")
+    k = F.col("restaurant_id")
+    ours = r.select(k.alias("id"), F.col("restaurant_name").alias("name"), F.concat(k + 1000, F.lit(" Main Street, New York")).alias("address"))
+    theirs = ours.withColumn("address", F.when(F.col("id") % 3 == 1, F.concat(F.col("id") + 90_000, F.lit(" Main Street"))).when(F.col("id") % 3 == 2, "Main Street, NY").otherwise(F.col("address")))
+    return J.match_places(ours, theirs, 0.75).select("left_id", "right_id")

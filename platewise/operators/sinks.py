@@ -116,7 +116,7 @@ def apply_photo_decisions(photos: DataFrame, decisions: DataFrame) -> DataFrame:
     """Photos after review: reject drops one, remove_all drops a dish's, demote sends it to the end."""
     gone = decisions.where("action = 'reject'").select("photo_id")
     dishes = decisions.where("action = 'remove_all'").select("dish_id").distinct()
-    low = decisions.where("action = 'demote'").select("photo_id", F.lit(True).alias("demoted"))
+    low = decisions.where("action = 'demote'").select("photo_id", F.lit(True).alias("demoted")).distinct()
     out = photos.join(gone, "photo_id", "left_anti").join(dishes, "dish_id", "left_anti").join(low, "photo_id", "left")
     return out.withColumn("demoted", F.coalesce("demoted", F.lit(False)))
 

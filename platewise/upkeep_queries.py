@@ -635,7 +635,8 @@ def phrases_and_others(spark, sf_dir):
 @query(
     "search_words",
     with_sql("restaurants", "dishes")
-    + """ select dish_id, protein_max from dishes join restaurants using (restaurant_id) where is_available and is_active and name like '%gear' order by protein_max desc, dish_id limit 30""",
+    + """, f as (select dish_id, protein_max from dishes join restaurants using (restaurant_id) where is_available and is_active and name like '%gear' order by case when dish_id % 7 = 0 then 7 else 6 end, dish_id limit 200)
+select * from f order by protein_max desc, dish_id limit 30""",
 )
 def search_words(spark, sf_dir):
     from platewise.queries import _tables
@@ -676,9 +677,362 @@ def fuzzy_items(spark, sf_dir):
     with_sql("restaurants") + " select restaurant_id as left_id, restaurant_id as right_id from restaurants where restaurant_id % 3 <> 1",
 )
 def vetoed_places(spark, sf_dir):
-    """Equal names: another house number keeps a pair apart, a missing one does not if the street is the same."""
+    """Names unlike all others: another house number keeps a pair apart, a missing one does not if the street is the same."""
     (r,) = bound(spark, sf_dir, "restaurants")
     k = F.col("restaurant_id")
-    ours = r.select(k.alias("id"), F.col("restaurant_name").alias("name"), F.concat(k + 1000, F.lit(" Main Street, New York")).alias("address"))
+    ours = r.select(k.alias("id"), F.md5("restaurant_name").alias("name"), F.concat(k + 1000, F.lit(" Main Street, New York")).alias("address"))
     theirs = ours.withColumn("address", F.when(F.col("id") % 3 == 1, F.concat(F.col("id") + 90_000, F.lit(" Main Street"))).when(F.col("id") % 3 == 2, "Main Street, NY").otherwise(F.col("address")))
     return J.match_places(ours, theirs, 0.75).select("left_id", "right_id")
+
+
+# --- upkeep -----------------------------------------------------------------------------------
+
+LATE = "timestamp '1998-06-01 00:00:00'"
+
+
+def late() -> Column:
+    return F.expr("timestamp_ntz '1998-06-01 00:00:00'")
+
+
+@query(
+    "archive_and_restore",
+    with_sql("items")
+    + f""", a as (select *, archived_at is null and last_seen_at < timestamp '1993-01-01' as hit from items)
+select item_id, line, case when line = 2 then null when hit then {LATE} else archived_at end as archived_at, case when line <> 2 and hit then 'menu_removed' end as archived_reason from a""",
+)
+def archive_and_restore(spark, sf_dir):
+    (i,) = bound(spark, sf_dir, "items")
+    i = i.withColumn("archived_reason", F.lit(None).cast("string"))
+    out = K.restore(K.archive(i, F.col("last_seen_at") < F.expr("timestamp_ntz '1993-01-01 00:00:00'"), "menu_removed", late()), F.col("line") == 2)
+    return out.select("item_id", "line", "archived_at", "archived_reason")
+
+
+@query(
+    "kept_items",
+    with_sql("items")
+    + f" select item_id, line from items where (item_id, line) not in (select (item_id, line) from items where line % 4 <> 0 and audit_confidence >= 0.9 and archived_at <= {LATE} - interval 7 day)",
+)
+def kept_items(spark, sf_dir):
+    """All items asked to be deleted for good; those stay that a rule protects."""
+    (i,) = bound(spark, sf_dir, "items")
+    i = i.withColumn("key", F.col("item_id") * 10 + F.col("line")).withColumn("archived_reason", F.when(F.col("line") % 4 == 0, "menu_removed").otherwise("junk"))
+    kept, _ = K.hard_delete(i, i.select("key"), late(), "key")
+    return kept.select("item_id", "line")
+
+
+@query(
+    "reviewed_items",
+    with_sql("dishes")
+    + """, x as (select dish_id, case dish_id % 5 when 1 then 'alcohol' when 2 then 'side' else 'dish' end as item_type, dish_id % 5 = 0 as is_rejected from dishes)
+select dish_id as item_id, item_type, is_rejected, not is_rejected and item_type <> 'alcohol' as is_dish_card from x""",
+)
+def reviewed_items(spark, sf_dir):
+    (d,) = bound(spark, sf_dir, "dishes")
+    k = F.col("dish_id") % 5
+    items = d.select(F.col("dish_id").alias("item_id"), F.lit("dish").alias("item_type"), F.lit(True).alias("is_dish_card"))
+    action = F.when(k == 0, "reject").when(k.isin(1, 2), "retype").otherwise("approve")
+    decisions = d.where(k <= 3).select(F.col("dish_id").alias("item_id"), action.alias("action"), F.when(k == 1, "alcohol").when(k == 2, "side").alias("new_type"))
+    return K.apply_decisions(items, decisions).select("item_id", "item_type", "is_rejected", "is_dish_card")
+
+
+@query(
+    "reviewed_photos",
+    with_sql("photos") + " select photo_id, dish_id, photo_id % 7 = 2 as demoted from photos where photo_id % 7 <> 1 and dish_id % 11 <> 0",
+)
+def reviewed_photos(spark, sf_dir):
+    (p,) = bound(spark, sf_dir, "photos")
+    k = F.col("photo_id") % 7
+    action = F.when(F.col("dish_id") % 11 == 0, "remove_all").when(k == 1, "reject").when(k == 2, "demote").otherwise("approve")
+    return K.apply_photo_decisions(p, p.select("photo_id", "dish_id", action.alias("action"))).select("photo_id", "dish_id", "demoted")
+
+
+@query(
+    "read_notifications",
+    """with l as (select event_id, user_id, ts, case when event_id % 10 = 0 then ts end as old from events), o as (select event_id, ts + interval 1 hour as one from events where event_id % 3 = 0),
+u as (select user_id, max(ts) as last from events where event_type = 'click' group by 1)
+select event_id, coalesce(old, least(one, case when ts <= last then last end)) as read_at from l left join o using (event_id) left join u using (user_id)""",
+)
+def read_notifications(spark, sf_dir):
+    e = FE.load(spark, sf_dir, "events", ["event_id", "user_id", "ts", "event_type"])
+    log = e.select(F.col("event_id").alias("notification_id"), "user_id", F.col("ts").alias("created_at"), F.when(F.col("event_id") % 10 == 0, F.col("ts")).alias("read_at"))
+    one = e.where("event_id % 3 = 0").select(F.col("event_id").alias("notification_id"), F.lit(None).cast("bigint").alias("user_id"), (F.col("ts") + F.expr("interval 1 hour")).alias("ts"))
+    every = e.where("event_type = 'click'").select(F.lit(None).cast("bigint").alias("notification_id"), "user_id", "ts")
+    return K.fold_reads(log, one.unionByName(every)).select(F.col("notification_id").alias("event_id"), "read_at")
+
+
+@query(
+    "checked_feedback",
+    with_sql("feedback")
+    + """ select feedback_id, case when feedback_id % 6 = 0 then 'unknown type' when feedback_id % 6 = 1 then 'no dish' when feedback_id % 6 = 2 then 'bad photo url' when feedback_type = 'photo_submission' and feedback_id % 6 <> 3 then 'no photo url' end as reason from feedback""",
+)
+def checked_feedback(spark, sf_dir):
+    (f,) = bound(spark, sf_dir, "feedback")
+    k = F.col("feedback_id") % 6
+    f = f.withColumn("feedback_type", F.when(k == 0, "applause").otherwise(F.col("feedback_type"))).withColumn("dish_id", F.when(k != 1, F.col("dish_id")))
+    f = f.withColumn("photo_url", F.when(k == 2, "ftp://x y").when(k == 3, "https://p.example/1.jpg"))
+    good, bad = K.append_feedback(f)
+    return good.select("feedback_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("feedback_id", "reason"))
+
+
+@query("area_totals", "select s_nationkey as area_id, count(*) as last_found, 5 * s_nationkey + count(*) as total_found from supplier group by 1 union all select n_nationkey, 0, 5 * n_nationkey from nation where n_nationkey not in (select s_nationkey from supplier)")
+def area_totals(spark, sf_dir):
+    n = FE.load(spark, sf_dir, "nation", ["n_nationkey"]).select(F.col("n_nationkey").alias("area_id"), (F.col("n_nationkey") * 5).alias("total_found"))
+    s = FE.load(spark, sf_dir, "supplier", ["s_nationkey"]).select(F.col("s_nationkey").alias("area_id"))
+    return A.update_area_totals(n, s).select("area_id", "last_found", "total_found")
+
+
+@query("paged_feedback", with_sql("feedback") + " select feedback_id, (select count(*) from feedback where feedback_type = 'portion_bigger') as total from feedback where feedback_type = 'portion_bigger' order by created_at desc, feedback_id limit 20 offset 40")
+def paged_feedback(spark, sf_dir):
+    (f,) = bound(spark, sf_dir, "feedback")
+    page, n = A.page_with_total(f.where("feedback_type = 'portion_bigger'"), [F.desc("created_at"), F.asc("feedback_id")], 20, 40)
+    return page.select("feedback_id", F.lit(n).cast("bigint").alias("total"))
+
+
+# --- aggregates and evaluation ----------------------------------------------------------------
+
+
+@query("photo_nutrients", "select l_orderkey as photo_id, sum(100 + l_partkey % 50) as calories, sum(l_quantity) as protein from lineitem where l_linenumber <> 3 group by 1")
+def photo_nutrients(spark, sf_dir):
+    i = FE.load(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
+    calories = F.when(F.col("l_linenumber") != 3, 100 + F.col("l_partkey") % 50)
+    i = i.select(F.col("l_orderkey").alias("photo_id"), calories.alias("calories"), F.col("l_quantity").alias("protein"), F.lit(1.0).alias("carbs"), F.lit(1.0).alias("fat"))
+    return A.sum_nutrients(i).select("photo_id", "calories", "protein")
+
+
+@query(
+    "review_totals",
+    with_sql("feedback")
+    + """ select dish_id, count(*) as n_reviews, count(*) filter (feedback_id % 2 = 0) as n_google, count(*) filter (feedback_id % 2 = 1) as n_yelp, round(avg(cast(1 + feedback_id % 5 as double)), 6) as average_rating,
+  case dish_id % 3 when 0 then 67 when 1 then 0 end as positive_pct from feedback group by 1""",
+)
+def review_totals(spark, sf_dir):
+    (f,) = bound(spark, sf_dir, "feedback")
+    m = f.select("dish_id", F.when(F.col("feedback_id") % 2 == 0, "google").otherwise("yelp").alias("source"), (1 + F.col("feedback_id") % 5).cast("double").alias("rating"))
+    two = F.array(F.lit("good"), F.lit("fast"))
+    s = f.select("dish_id").distinct().where("dish_id % 3 <> 2").select("dish_id", F.when(F.col("dish_id") % 3 == 0, two).alias("praises"), F.when(F.col("dish_id") % 3 == 0, F.array(F.lit("cold"))).alias("complaints"))
+    return A.review_stats(m, s).select("dish_id", "n_reviews", "n_google", "n_yelp", r6(F.col("average_rating"), "average_rating"), "positive_pct")
+
+
+@query(
+    "delivery_ratings",
+    with_sql("offers")
+    + """, x as (select dish_id, min(line) filter (line % 2 = 0) as p, bool_or(quantity > 49) as liked from offers group by 1)
+select dish_id, case when p is not null then 50 + dish_id % 50 + p end as thumbs_up_pct, liked as is_most_liked from x""",
+)
+def delivery_ratings(spark, sf_dir):
+    (o,) = bound(spark, sf_dir, "offers")
+    pct = F.when(F.col("line") % 2 == 0, 50 + F.col("dish_id") % 50 + F.col("line"))
+    items = o.select("dish_id", F.col("line").alias("platform"), pct.alias("thumbs_up_pct"), F.lit(9).alias("rating_count"), (F.col("quantity") > 49).alias("is_most_liked"))
+    return A.delivery_ratings(items).select("dish_id", "thumbs_up_pct", "is_most_liked")
+
+
+@query(
+    "classifier_scores",
+    with_sql("dishes")
+    + """, t as (select dish_id, case when name = 'small ring' then 'side' else category end as label, case when dish_id % 4 = 0 then 'PROMO' else category end as said from dishes)
+select label, count(*) as n, round(avg(case when said = label then 1.0 else 0.0 end), 6) as accuracy from t group by 1 union all select 'all', count(*), round(avg(case when said = label then 1.0 else 0.0 end), 6) from t""",
+)
+def classifier_scores(spark, sf_dir):
+    """Each dish is an item of a restaurant of its own, labelled by its category but for one corrected name."""
+    (d,) = bound(spark, sf_dir, "dishes")
+    own = F.concat(F.lit("r"), "dish_id")
+    items = d.select(F.col("dish_id").alias("item_id"), own.alias("restaurant"), F.upper("name").alias("name"), F.when(F.col("dish_id") % 4 == 0, "PROMO").otherwise(F.col("category")).alias("item_type"))
+    truth = d.select(own.alias("restaurant"), "name", F.col("category").alias("label"))
+    fixes = d.where("name = 'small ring'").select(F.upper("name").alias("name"), F.lit("side").alias("correct_type"))
+    return A.classifier_eval(items, truth, fixes).select("label", "n", r6(F.col("accuracy"), "accuracy"))
+
+
+@query(
+    "scraper_scores",
+    with_sql("dishes")
+    + """, t as (select distinct 'r' || restaurant_id as restaurant, lower(name) as b, category <> 'PROMO' as is_item from dishes), i as (select distinct 'r' || restaurant_id as restaurant, lower(name) as a from dishes where dish_id % 3 <> 0),
+h as (select t.*, exists (select 1 from i where i.restaurant = t.restaurant and (contains(a, b) or contains(b, a))) as hit from t)
+select restaurant, round(count(*) filter (is_item and hit) / nullif(cast(count(*) filter (is_item) as double), 0), 6) as recall, count(*) filter (is_item and not hit) as missed, count(*) filter (not is_item and hit) as false_items from h group by 1""",
+)
+def scraper_scores(spark, sf_dir):
+    (d,) = bound(spark, sf_dir, "dishes")
+    place = F.concat(F.lit("r"), "restaurant_id")
+    out = A.scraper_eval(d.where("dish_id % 3 <> 0").select(place.alias("restaurant"), "name"), d.select(place.alias("restaurant"), "name", (F.col("category") != "PROMO").alias("is_item")))
+    return out.select("restaurant", r6(F.col("recall"), "recall"), "missed", "false_items")
+
+
+@query(
+    "theme_scores",
+    with_sql("dishes") + " select 'm' || dish_id % 2 as model, round(avg((case when dish_id % 2 = 0 then 1.0 else 0 end + 0) / 2), 6) as coverage from dishes group by 1",
+)
+def theme_scores(spark, sf_dir):
+    """Two themes: the dish's noun, which every other summary says, and one that none does."""
+    (d,) = bound(spark, sf_dir, "dishes")
+    noun = F.concat(F.element_at(F.split("name", " "), -1), F.lit("xx"))
+    out = d.select(F.concat(F.lit("m"), F.col("dish_id") % 2).alias("model"), "dish_id", F.when(F.col("dish_id") % 2 == 0, F.concat(F.lit("Fine "), noun)).otherwise("Fine").alias("summary"))
+    return A.theme_coverage(out, d.select("dish_id", F.array(F.concat(F.lit("the "), noun), F.lit("odd waiters")).alias("themes"))).select("model", r6(F.col("coverage"), "coverage"))
+
+
+@query(
+    "model_report",
+    """with s as (select 'm' || o_orderkey % 3 as model, cast(o_orderkey % 101 as double) / 100 as accuracy, o_orderkey % 2 as f, cast(o_orderkey % 900 as double) as l, 0.25 as c from orders),
+r as (select model, count(*) as runs, avg(accuracy) as a, sum(f) as safety_failures, avg(l) as l, avg(c) * 1000 as m from s group by 1)
+select model, runs, round(a, 6) as accuracy, safety_failures, round(l, 6) as latency_ms, round(m, 6) as monthly_cost, row_number() over (order by a desc, model desc) = 1 as is_best from r""",
+)
+def model_report(spark, sf_dir):
+    o, k = FE.load(spark, sf_dir, "orders", ["o_orderkey"]), F.col("o_orderkey")
+    s = o.select(F.concat(F.lit("m"), k % 3).alias("model"), ((k % 101).cast("double") / 100).alias("accuracy"), (k % 2).alias("safety_failures"), (k % 900).cast("double").alias("latency_ms"), F.lit(0.25).alias("cost"))
+    out = A.eval_report(s)
+    return out.select("model", "runs", r6(F.col("accuracy"), "accuracy"), "safety_failures", r6(F.col("latency_ms"), "latency_ms"), r6(F.col("monthly_cost"), "monthly_cost"), "is_best")
+
+
+@query("cleanup_samples", with_sql("dishes") + " select category, count(*) as n, array_to_string(list_sort(list(name order by name))[1:3], '|') as samples from dishes group by 1")
+def cleanup_samples(spark, sf_dir):
+    (d,) = bound(spark, sf_dir, "dishes")
+    return A.cleanup_report(d, "category", "name").select("category", "n", joined("samples").alias("samples"))
+
+
+@query(
+    "best_entries",
+    with_sql("offers")
+    + " select dish_id, offer_id * 10 + line as entry_id from offers qualify row_number() over (partition by dish_id order by line % 3 = 0 desc, cast(quantity as int) desc, offer_id * 10 + line) = 1",
+)
+def best_entries(spark, sf_dir):
+    (o,) = bound(spark, sf_dir, "offers")
+    one = F.lit(1.0)
+    e = o.select("dish_id", (F.col("offer_id") * 10 + F.col("line")).alias("entry_id"), (F.col("line") % 3 == 0).alias("specific"), F.col("quantity").cast("int").alias("log_count"), *[one.alias(c) for c in ("calories", "protein", "carbs", "fat")])
+    return NU.best_entry(e).select("dish_id", "entry_id")
+
+
+# --- nutrition, busyness and batch models -----------------------------------------------------
+
+
+@query(
+    "portions",
+    """with x as (select p_partkey, cast(p_partkey % 300 as double) as v, least(greatest(cast((p_partkey * 37 % 12000) as double) - 3000, 1), 5000) / 100 as g, case p_partkey % 4 when 0 then 1.2 when 1 then 0.95 when 2 then 1.35 else 1.0 end as f from part)
+select p_partkey, floor(v * g * cast(f as double) * 10 + 0.5) / 10 as calories, floor(v * g * 10 + 0.5) / 10 as protein from x""",
+)
+def portions(spark, sf_dir):
+    k = F.col("p_partkey")
+    v = (k % 300).cast("double")
+    how = F.when(k % 4 == 0, "Fried").when(k % 4 == 1, "grilled").when(k % 4 == 2, "deep-fried").otherwise("pickled")
+    p = parts(spark, sf_dir).select("p_partkey", *[v.alias(c) for c in ("calories", "protein", "carbs", "fat")], ((k * 37 % 12000) - 3000).alias("grams"), how.alias("preparation"))
+    return NU.scale_macros(p).select("p_partkey", "calories", "protein")
+
+
+@query(
+    "current_busyness",
+    with_sql("grid")
+    + f""", x as (select restaurant_id, dow, hour, case when hour % 3 <> 0 then busyness end as live, case when hour % 4 <> 0 then 50.0 end as fc from grid)
+select restaurant_id, dow, hour, coalesce(live, fc, 0) as busyness, coalesce(live > fc, false) as busier, case when coalesce(live, fc) is not null then {wait_sql("coalesce(live, fc)")} end as wait from x""",
+)
+def current_busyness(spark, sf_dir):
+    (g,) = bound(spark, sf_dir, "grid")
+    b = N.current_busyness(F.when(F.col("hour") % 3 != 0, F.col("busyness")), F.when(F.col("hour") % 4 != 0, F.lit(50.0)))
+    return g.select("restaurant_id", "dow", "hour", b["busyness"].alias("busyness"), b["busier"].alias("busier"), b["wait"].alias("wait"))
+
+
+@query("verified_food", with_sql("dishes") + " select dish_id, case when dish_id % 3 = 0 then 0.9 else 0.75 end as food_confidence from dishes where dish_id % 3 <> 2 and not (dish_id % 3 = 0 and name like '%bolt')")
+def verified_food(spark, sf_dir):
+    """The scorer knows every third dish surely, doubts the next and says nothing of the last."""
+    (d,) = bound(spark, sf_dir, "dishes")
+
+    def scorer(rows):
+        return [(not r["name"].endswith("bolt"), 0.9, "") if r["dish_id"] % 3 == 0 else (True, 0.75, "") if r["dish_id"] % 3 == 1 else None for r in rows]
+
+    return UD.verify_food(d.select("dish_id", "name"), scorer).select("dish_id", "food_confidence")
+
+
+@query(
+    "analysed_dishes",
+    with_sql("dishes")
+    + """ select dish_id, case when dish_id % 2 = 0 then contains(name, 'ring') end as vegan, case when dish_id % 2 = 0 then 0.9 else 0.0 end as dietary_confidence, case when dish_id % 2 = 1 then 'analysis failed' end as analysis_warning, dish_id % 4 = 0 as is_glp1 from dishes""",
+)
+def analysed_dishes(spark, sf_dir):
+    (d,) = bound(spark, sf_dir, "dishes")
+
+    def scorer(rows):
+        return [("ring" in r["name"], None, None, None, None, None, None, 0.9, None) if r["dish_id"] % 2 == 0 else None for r in rows]
+
+    d = d.select("dish_id", "name", F.when(F.col("dish_id") % 4 == 0, "Ozempic friendly").otherwise("plain").alias("description"))
+    return UD.analyse_dishes(d, scorer).select("dish_id", "vegan", "dietary_confidence", "analysis_warning", "is_glp1")
+
+
+@query(
+    "summaries",
+    with_sql("dishes", "feedback")
+    + """, n as (select dish_id, count(*) as n, avg(cast(1 + feedback_id % 5 as double)) as m from feedback where dish_id % 2 = 0 group by 1)
+select dish_id, coalesce(n, 0) as n_reviews, case when n is null then 'No reviews yet.' else 'Based on ' || n || ' reviews, rated ' || printf('%.1f', m) || ' on average.' end as summary from dishes left join n using (dish_id)""",
+)
+def summaries(spark, sf_dir):
+    d, f = bound(spark, sf_dir, "dishes", "feedback")
+    reviews = f.where("dish_id % 2 = 0").select("dish_id", (1 + F.col("feedback_id") % 5).cast("double").alias("rating"), F.lit("fine").alias("text"), F.col("created_at").alias("date"))
+    return UD.summarise(d.select("dish_id", "name"), reviews).select("dish_id", "n_reviews", "summary")
+
+
+@query(
+    "model_summaries",
+    with_sql("dishes", "feedback")
+    + """, r as (select dish_id, feedback_id from feedback qualify row_number() over (partition by dish_id order by created_at desc, 'r' || feedback_id) <= 20), n as (select dish_id, count(*) as n from feedback group by 1), k as (select dish_id, count(*) as k from r group by 1)
+select dish_id, coalesce(n, 0) as n_reviews, case when n is null then 'No reviews yet.' when dish_id % 3 <> 0 then k || ' texts' end as summary from dishes left join n using (dish_id) left join k using (dish_id)""",
+)
+def model_summaries(spark, sf_dir):
+    d, f = bound(spark, sf_dir, "dishes", "feedback")
+
+    def scorer(rows):
+        return [f"{r['texts'].count(chr(10)) + 1} texts" if r["dish_id"] % 3 else None for r in rows]
+
+    reviews = f.select("dish_id", F.lit(4.0).alias("rating"), F.concat(F.lit("r"), "feedback_id").alias("text"), F.col("created_at").alias("date"))
+    return UD.summarise(d.select("dish_id", "name"), reviews, scorer).select("dish_id", "n_reviews", "summary")
+
+
+@query(
+    "photo_macros",
+    with_sql("dishes")
+    + """, g as (select l_partkey as dish_id, count(*) as n, avg(0.3 + l_linenumber / 10.0) as c from lineitem where l_linenumber >= 2 group by 1),
+s as (select dish_id, n, floor(least(1.0, c * (1 + log2(n) / 10)) * 1000 + 0.5) / 1000 as sure, least(1.0, c * (1 + log2(n) / 10)) as raw from g)
+select dish_id, coalesce(cast(floor(floor(500 * (1 - cast(case when raw > 0.8 then 0.1 else 0.2 end as double)) * 10 + 0.5) / 10 + 0.5) as int), calories_min) as calories_min, coalesce(sure, macro_confidence) as macro_confidence from dishes left join s using (dish_id)""",
+)
+def photo_macros(spark, sf_dir):
+    (d,) = bound(spark, sf_dir, "dishes")
+    i = FE.load(spark, sf_dir, "lineitem", ["l_partkey", "l_linenumber"])
+    value = [F.lit(v).alias(c) for c, v in (("calories", 500.0), ("protein", 20.0), ("carbs", 30.0), ("fat", 10.0))]
+    seen = i.select(F.col("l_partkey").alias("dish_id"), *value, (0.3 + F.col("l_linenumber") / 10.0).alias("confidence")).where("confidence > 0.45")
+    return UD.apply_photo_analyses(d.withColumn("photo_count", F.lit(0).cast("bigint")), seen).select("dish_id", "calories_min", r6(F.col("macro_confidence"), "macro_confidence"))
+
+
+@query(
+    "dish_records",
+    with_sql("dishes") + " select dish_id, case when dish_id % 2 = 0 then 0.95 else 0.7 end as dietary_confidence, case when dish_id % 3 = 0 then calories_min end as calories_max, case when dish_id % 3 = 0 then 'published' end as macro_source from dishes",
+)
+def dish_records(spark, sf_dir):
+    from platewise.plans.menus import to_dish
+
+    (d,) = bound(spark, sf_dir, "dishes")
+    k = F.col("dish_id")
+    items = d.select(F.col("dish_id").alias("restaurant_id"), "name", "description", "category", "price", F.when(k % 2 == 0, F.array(F.lit("vegan"))).otherwise(F.array().cast("array<string>")).alias("tags"), F.when(k % 3 == 0, F.col("calories_min")).alias("menu_calories"))
+    return to_dish(items).select(F.col("restaurant_id").alias("dish_id"), "dietary_confidence", "calories_max", "macro_source")
+
+
+MENU = f"""m as (select restaurant_id, lower(name) as k, min(dish_id) as d from dishes where dish_id % 3 <> 0 group by 1, 2), s as (select restaurant_id, lower(name) as k from dishes where dish_id % 2 = 0 group by 1, 2),
+a as (select s.restaurant_id, count(*) + (select count(*) from m x where x.restaurant_id = s.restaurant_id and not exists (select 1 from s y where y.restaurant_id = x.restaurant_id and y.k = x.k)) as active,
+  (select count(*) from m x where x.restaurant_id = s.restaurant_id) as seen from s group by 1)"""
+
+
+@query(
+    "crawled_menus",
+    with_sql("dishes")
+    + f""", {MENU}
+select restaurant_id, k as name_normalized, m.k is not null as seen, s.k is null as is_new, m.k is null and a.active > 0 and a.seen >= greatest(a.active * 0.2, 3.0) as archived
+from (select * from m) m full join (select * from s) s using (restaurant_id, k) left join a using (restaurant_id)""",
+)
+def crawled_menus(spark, sf_dir):
+    """A crawl of two thirds of the dishes against a state that has half of them."""
+    from platewise.plans.menus import COLUMNS, menu_pipeline
+
+    (d,) = bound(spark, sf_dir, "dishes")
+    before, at = F.expr("timestamp_ntz '1998-01-01 00:00:00'"), late()
+    raw = d.where("dish_id % 3 <> 0").select("restaurant_id", F.lit("site").alias("source"), F.col("dish_id").alias("position"), F.concat(F.lit("7. "), F.upper("name"), F.lit(" - $9")).alias("name"), "description", F.lit("Mains").alias("category"), F.lit("$9.00").alias("price"))
+    none = lambda t: F.lit(None).cast(t)
+    state = d.where("dish_id % 2 = 0").select(
+        "restaurant_id", F.lower("name").alias("name_normalized"), F.lit("site").alias("source"), "name", "description", F.lit("Mains").alias("category"), F.lit(9).cast("decimal(8,2)").alias("price"), F.array().cast("array<string>").alias("tags"),
+        F.lit("dish").alias("item_type"), before.alias("first_seen_at"), before.alias("last_seen_at"), none("timestamp_ntz").alias("archived_at"), none("string").alias("archived_reason"), F.lit(True).alias("is_dish_card"), none("bigint").alias("dish_id"),
+    ).dropDuplicates(["restaurant_id", "name_normalized"])
+    crawls = d.select("restaurant_id", F.lit("site").alias("source"), at.alias("crawled_at")).distinct()
+    items, _ = menu_pipeline(raw, state.select(COLUMNS), d.where("1 = 0").select("dish_id", "restaurant_id", "name"), crawls, at)
+    return items.select("restaurant_id", "name_normalized", (F.col("last_seen_at") == at).alias("seen"), (F.col("first_seen_at") == at).alias("is_new"), F.col("archived_at").isNotNull().alias("archived"))

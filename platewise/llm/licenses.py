@@ -19,6 +19,7 @@ none; repeated rows count once; a null id is reported as null; extra columns are
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -29,22 +30,28 @@ from pyspark.sql import functions as F
 
 from platewise.llm.common import small_batches, table
 from platewise.llm.decontam import lcs, masks_of, words
+from platewise.llm.toxicity import scaling
 
 MAX_SAMPLE_DOCS = 400
 COPIES = 40
 WINDOW, STEP = 40, 20
 CONFIRM = 0.75
-FALSE_ALARMS = 0.001
+SURE = 0.8
 NONE = "none"
 
 # Notices by family.
 NOTICES = {
-    "apache": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "Apache License Version 2.0, January 2004"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3", "either version 3 of the License, or (at your option) any later version", "GNU GPL version 2 or later"],
+    "apache": ["Licensed under the Apache License, Version 2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND", "you may not use this file except in compliance with the License", "Apache License Version 2.0, January 2004"],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3", "either version 3 of the License, or (at your option) any later version", "GNU GPL version 2 or later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
     "lgpl": ["licensed under the GNU Lesser General Public License, version 2.1", "GNU LGPL version 3"],
     "agpl": ["licensed under the GNU Affero General Public License, version 3"],
-    "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Released under the BSD 3-Clause License"],
+    "mit": [
+        "Released under the MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation", "Released under the BSD 3-Clause License"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
@@ -116,6 +123,7 @@ class Classifier:
         self.notices = {f: [words(n) for n in ns] for f, ns in NOTICES.items()}
         known = sorted({g for ns in self.notices.values() for n in ns for g in grams(n)})
         self.index = {g: i for i, g in enumerate(known)}
+        self.slope, self.shift = 1.0, 0.0
         self.words = frozenset(g for g in known if b" " not in g)
         # what follows a notice closely, or shares words with what does, is no example of "none"
         plain = []
@@ -128,14 +136,18 @@ class Classifier:
         held = plain[::4]
         train = [p for i, p in enumerate(plain) if i % 4]
         filler = [w for p in train[:2000] for w in p] or [b"text"]
-        xs, ys = [], []
+        xs, ys, kept_out = [], [], []
         for y, (f, ns) in enumerate(self.notices.items()):
             for n in ns:
-                for _ in range(COPIES):
+                for i in range(COPIES):
                     kept = [w for w in n if rnd.random() > 0.1] or n
                     at, k = rnd.integers(0, len(filler)), rnd.integers(0, 12)
-                    xs.append(self.features(kept + filler[at : at + k]))
-                    ys.append(y)
+                    worn = kept + filler[at : at + k]
+                    if i % 4 == 3:
+                        kept_out.append((worn, f))
+                    else:
+                        xs.append(self.features(worn))
+                        ys.append(y)
         # passages with the same features are one example with a weight
         rest: dict[tuple[int, ...], int] = {}
         for p in [*train, []]:
@@ -145,9 +157,31 @@ class Classifier:
         ys += [len(self.families) - 1] * len(rest)
         weight = np.array([1.0] * (len(xs) - len(rest)) + [min(v, 200.0) for v in rest.values()])
         self._train(xs, np.array(ys), weight)
-        scores = [self.predict(p)[1] for p in held if len(self.words.intersection(p)) >= 2]
-        top = float(np.quantile(scores, 1 - FALSE_ALARMS)) if scores else 0.0
-        self.sure = min(0.95, max(0.5, top))
+        self._calibrate(kept_out + [(p, NONE) for p in held if len(self.words.intersection(p)) >= 2])
+
+    def _calibrate(self, examples: list[tuple[list[bytes], str]]) -> None:
+        """Slope and shift of the log odds of a family, from examples outside the training set."""
+        self.slope, self.shift = 1.0, 0.0
+        said = [(self.predict(ws), f) for ws, f in examples]
+        z = np.array([math.log(max(p, 1e-9) / max(1 - p, 1e-9)) for (_, p, _), _ in said])
+        right = np.array([name == f for (name, _, _), f in said], dtype=int)
+        self.slope, self.shift = scaling(z, right) if len(said) else (1.0, 0.0)
+        named = [(self._named(ws), f) for ws, f in examples]
+        copies, plain = [x for x in named if x[1] != NONE], [x for x in named if x[1] == NONE]
+        share = lambda xs, test: sum(map(test, xs)) / max(1, len(xs))
+        self.report = {
+            "right": share(copies, lambda x: x[0] == x[1]),
+            "unknown": share(copies, lambda x: x[0] == "unknown"),
+            "missed": share(copies, lambda x: x[0] == NONE),
+            "false": share(plain, lambda x: x[0] != NONE),
+        }
+
+    def _named(self, ws: list[bytes]) -> str:
+        """What a single passage is called."""
+        family, p, any_ = self.predict(ws)
+        if any_ < 0.5:
+            return NONE
+        return family if p >= SURE and self.likeness(ws, family)[1] >= CONFIRM else "unknown"
 
     def features(self, ws: list[bytes]) -> tuple[int, ...]:
         # parts of a known gram are known grams
@@ -181,12 +215,14 @@ class Classifier:
         self.weights = w
 
     def predict(self, ws: list[bytes]) -> tuple[str, float, float]:
-        """Best family, its probability, and the probability of any licence."""
+        """Best family, its calibrated probability, and the model's probability of any licence."""
         z = self.weights[-1] + self.weights[list(self.features(ws))].sum(0)
         p = np.exp(z - z.max())
         p /= p.sum()
         best = int(p[:-1].argmax())
-        return self.families[best], float(p[best]), float(1 - p[-1])
+        odds = math.log(max(float(p[best]), 1e-9) / max(1 - float(p[best]), 1e-9))
+        sure = 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * odds + self.shift))))
+        return self.families[best], sure, float(1 - p[-1])
 
     def likeness(self, ws: list[bytes], family: str | None = None) -> tuple[str, float]:
         """The notice that a passage follows most closely: family and share of its words in order."""
@@ -219,7 +255,7 @@ class Classifier:
                 if any_ < 0.5:
                     continue
                 like = self.likeness(ws, family)[1]
-                (sure if p >= self.sure and like >= CONFIRM else unsure).append((a, b, ws, family, p, like))
+                (sure if p >= SURE and like >= CONFIRM else unsure).append((a, b, ws, family, p, like))
             known = Spans(size)
             for a, b, _, family, p, like in sure:
                 known.add(a, b)

@@ -22,10 +22,12 @@ def work_dir(spark: SparkSession) -> str:
 
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python tasks in batches of at most ``BATCH_ROWS``, which bounds their memory."""
+    """Whole texts go to Python tasks in batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

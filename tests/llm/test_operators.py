@@ -116,6 +116,60 @@ def test_merkle(spark):
     assert merkle.compare_with_next(docs(spark).limit(0)).count() == 0
 
 
+def brute_tree(text):
+    """Root and sections of a text, each section a digest and its leaves (digest, length)."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    out, run = [], ""
+    for p in text.split("\n"):
+        small = len(p) < 100
+        pieces = re.findall(r"(?s).{1,10}", p) if small else re.findall(r"(?s)[^.!?]{1,160}[.!?]*|[.!?]+", p)
+        line = ",".join(f"{sha(x)[:16]}.{len(x)}" for x in pieces)
+        digest = sha(line)[:16]
+        run += f"{line}:{digest};"
+        if digest[-1] in "048c":
+            out.append(run)
+            run = ""
+    out += [run] if run else []
+    body = "|".join(f"{sha(x)[:16]}>{x}" for x in out)
+    return sha(body), [f"{sha(x)[:16]}>{x}" for x in out]
+
+
+def brute_likeness(a, b):
+    (ra, sa), (rb, sb) = brute_tree(a), brute_tree(b)
+    if ra == rb:
+        return 1.0
+    weigh = lambda nodes: {m: int(m.split(".")[1]) for m in re.findall(r"[0-9a-f]{16}\.[0-9]+", "|".join(nodes))}
+    same = sum(weigh([x for x in sa if x in sb]).values())
+    la, lb = weigh([x for x in sa if x not in sb]), weigh([x for x in sb if x not in sa])
+    whole = 2 * same + sum(la.values()) + sum(lb.values())
+    return 2.0 * (same + sum(v for k, v in la.items() if k in lb)) / whole if whole else 0.0
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_merkle_query_equals_brute_force(spark):
+    d = pd.read_parquet(f"{SMALL}/documents.parquet").sort_values("doc_id")
+    texts = dict(zip(d.doc_id, d.text.fillna("")))
+    ids = list(texts)
+    got = {r.doc_id: r for r in merkle.op3_merkle(spark, SMALL).collect()}
+    assert len(got) == len(ids)
+    for i, k in enumerate(ids):
+        t, n = texts[k], texts[ids[(i + 1) % len(ids)]]
+        e = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+        r = got[k]
+        assert r.fingerprint.startswith(brute_tree(t)[0] + "|") and r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+        assert r.near_edited == pytest.approx(brute_likeness(t, e)) and r.near_next == pytest.approx(brute_likeness(t, n))
+        assert r.near_edited >= 0.4 or len(t) < 30
+    equal = d.groupby(d.text.fillna("")).doc_id.apply(list)
+    assert all(len({got[x].fingerprint for x in g}) == 1 for g in equal)
+
+
+def test_merkle_range_of_key(spark):
+    bounds = sorted(random.Random(1).sample(range(10_000), 1000))
+    df = spark.range(0, 10_100, 7)
+    got = df.select("id", merkle._range_of(F.col("id"), bounds).alias("n"), merkle._range_of(F.col("id"), bounds[:9]).alias("m")).collect()
+    assert all(r.n == sum(b <= r.id for b in bounds) and r.m == sum(b <= r.id for b in bounds[:9]) for r in got)
+
+
 def test_merkle_ranges_and_edits(spark):
     d = spark.createDataFrame([(i * i % 997, f"Text number {i}. It goes on.\nAnd ends {i}.") for i in range(200)], "doc_id bigint, text string").dropDuplicates(["doc_id"])
     base = d.select("doc_id", F.col("text").alias("_text"))
@@ -479,6 +533,26 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0), licenses.fit(df.limit(0))).count() == 0
 
 
+def test_licenses_calibration():
+    """Probabilities say how often a prediction is right; few copies are left unknown or named wrong."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("bcdfgaeiou") for _ in range(5))
+    text = lambda n: " ".join(word() for _ in range(n))
+    model = licenses.Classifier([f"{text(30)}\n{text(40)} is the and of this to any software or license use." for _ in range(60)])
+    assert model.report["right"] >= 0.8 and model.report["missed"] <= 0.05 and model.report["false"] <= 0.05
+    sure, right = [], []
+    for family, notices in model.notices.items():
+        for n in notices:
+            for _ in range(6):
+                worn = [w for w in n if rnd.random() > 0.15] + text(5).encode().split()
+                name, p, _ = model.predict(worn)
+                sure.append(p)
+                right.append(name == family)
+    assert abs(np.mean(sure) - np.mean(right)) < 0.1 and np.mean(right) > 0.9
+    whole = " ".join(licenses.NOTICES["mit"][1:])
+    assert set(model.scan(f"{text(20)}\n\n{whole}\n\n{text(20)}")) == {"mit"}
+
+
 def test_licenses_wrapped_notices():
     rnd = random.Random(7)
     word = lambda: "".join(rnd.choice("bcdfgaeiou") for _ in range(5))

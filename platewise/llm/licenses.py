@@ -39,6 +39,9 @@ CONFIRM = 0.75
 SURE = 0.8
 NONE = "none"
 
+# Words without which nothing is an unknown licence.
+CUES = frozenset(b"license licence licensed licenced licensing copyright copyrighted permission permitted granted redistribution redistribute warranty rights confidential proprietary".split())
+
 # Notices by family.
 NOTICES = {
     "apache": ["Licensed under the Apache License, Version 2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND", "you may not use this file except in compliance with the License", "Apache License Version 2.0, January 2004"],
@@ -181,7 +184,9 @@ class Classifier:
         family, p, any_ = self.predict(ws)
         if any_ < 0.5:
             return NONE
-        return family if p >= SURE and self.likeness(ws, family)[1] >= CONFIRM else "unknown"
+        if p >= SURE and self.likeness(ws, family)[1] >= CONFIRM:
+            return family
+        return NONE if CUES.isdisjoint(ws) else "unknown"
 
     def features(self, ws: list[bytes]) -> tuple[int, ...]:
         # parts of a known gram are known grams
@@ -266,7 +271,7 @@ class Classifier:
             starts = [x[0] for x in sure]
             unknown = Spans(size)
             for a, b, ws, family, p, like in unsure:
-                if family in taken and taken[family].meet(a, b):
+                if CUES.isdisjoint(ws) or (family in taken and taken[family].meet(a, b)):
                     continue
                 near = sure[bisect_left(starts, b - WINDOW) : bisect_right(starts, a)]
                 if any(self._needs(x, a, b) for x in near):

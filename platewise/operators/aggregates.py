@@ -60,12 +60,12 @@ def submitted_photos(feedback: DataFrame, now, days: int = 7) -> DataFrame:
 def with_outliers(df: DataFrame, key: str, value: str) -> DataFrame:
     """Marks values further from their group's median than twice the median deviation (or half the median).
 
-    Groups of fewer than three have no outliers.
+    Groups of fewer than three have no outliers. One shuffle by the key.
     """
-    mid = df.groupBy(key).agg(F.median(value).alias("_m"), F.count(F.lit(1)).alias("_n"))
-    off = df.join(mid, key).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    mad = off.groupBy(key).agg(F.median("_d").alias("_mad"))
-    out = off.join(mad, key)
+    w = Window.partitionBy(key)
+    out = df.withColumn("_m", F.median(value).over(w)).withColumn("_n", F.count(F.lit(1)).over(w))
+    out = out.withColumn("_d", F.abs(F.col(value) - F.col("_m")))
+    out = out.withColumn("_mad", F.median("_d").over(w))
     far = (F.col("_n") >= 3) & (F.col("_d") > F.greatest(F.col("_mad") * 2, F.col("_m") * 0.5))
     return out.withColumn("is_outlier", far).drop("_m", "_n", "_d", "_mad")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,34 +122,120 @@ def similar(df: DataFrame, source: dict, vector: str = "vec", min_similarity: fl
     return out.where(F.col("similarity") > min_similarity).orderBy(F.col("similarity").desc(), "dish_id").limit(n)
 
 
+def _best(p: np.ndarray, q: np.ndarray, pid: np.ndarray, qid: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` nearest of ``q`` for every row of ``p``, by similarity to nine digits and then by id."""
+    s = p @ q.T
+    s[pid[:, None] == qid[None, :]] = -2
+    k = min(k, s.shape[1])
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    row, col = np.nonzero(s >= least[:, None] - 1e-9)
+    value, near = s[row, col], qid[col]
+    order = np.lexsort((near, -np.round(value, 9), row))
+    row, value, near = row[order], value[order], near[order]
+    first = np.searchsorted(row, row)  # where a row's candidates begin
+    keep = (np.arange(len(row)) - first < k) & (value > -2)
+    return pd.DataFrame({"id": pid[row[keep]], "near": near[keep], "similarity": value[keep]})
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    v = np.stack(vectors.to_numpy())
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+FOUND = "id bigint, near bigint, similarity double"
+
+
+def _search_blocks(pairs_left: DataFrame, pairs_right: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Multiply blocks of queries (qid, qv) with blocks of rows (rid, rv) of equal keys; the best k of each query."""
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "near": [], "similarity": []})
+        return _best(_units(a["qv"]), _units(b["rv"]), a["qid"].to_numpy(), b["rid"].to_numpy(), k)
+
+    found = pairs_left.groupBy(*keys).cogroup(pairs_right.groupBy(*keys)).applyInPandas(best, FOUND)
+    return top_k_per_group(found, ["id"], [F.round("similarity", 9).desc(), F.asc("near")], k)
+
+
 def similar_all(df: DataFrame, key: str, vector: str, k: int, block_rows: int = 4096) -> DataFrame:
     """The ``k`` nearest neighbours of every row by cosine, exact.
 
-    The vectors are dealt into blocks; every block of queries is multiplied with every block of
-    rows by numpy in one task, and only the best k of each query leave it. The work is all pairs,
-    as an exact answer needs, but memory is that of two blocks of about ``block_rows``.
+    The vectors are dealt into blocks; every block of queries is multiplied with every block of rows by
+    numpy in one task, and only the best k of each query leave it. The work is all pairs, as an exact
+    answer needs, and each vector is sent to as many tasks as there are blocks; memory is that of two
+    blocks. For large tables take :func:`similar_by_lists`.
     """
-    import numpy as np
-    import pandas as pd
-
     n = max(1, -(-df.count() // block_rows))
     block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), block.alias("b"))
-    every = F.explode(F.array(*[F.lit(i) for i in range(n)]))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("b").alias("x"), every.alias("y"))
-    right = rows.select(F.col("id").alias("rid"), F.col("v").alias("rv"), every.alias("x2"), F.col("b").alias("y2"))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "near": [], "similarity": []})
-        p, q = np.stack(a["qv"].to_numpy()), np.stack(b["rv"].to_numpy())
-        p = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        s = p @ q.T
-        s[a["qid"].to_numpy()[:, None] == b["rid"].to_numpy()[None, :]] = -2
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"id": np.repeat(a["qid"].to_numpy(), top.shape[1]), "near": b["rid"].to_numpy()[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()})
-        return out[out.similarity > -2]
-
-    found = left.groupBy("x", "y").cogroup(right.groupBy("x2", "y2")).applyInPandas(best, "id bigint, near bigint, similarity double")
-    return top_k_per_group(found, ["id"], [F.round("similarity", 9).desc(), F.asc("near")], k)
+    right = rows.select(F.col("id").alias("rid"), F.col("v").alias("rv"), every.alias("x"), F.col("b").alias("y"))
+    return _search_blocks(left, right, ["x", "y"], k)
+
+
+def centres_of(v: np.ndarray, n: int, steps: int = 10, seed: int = 0) -> np.ndarray:
+    """Spherical k-means on unit vectors."""
+    c = v[np.random.default_rng(seed).permutation(len(v))[:n]]
+    for _ in range(steps):
+        at = (v @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, at, v)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), c)
+    return c
+
+
+def probes_for(v: np.ndarray, centres: np.ndarray, k: int, recall: float, queries: int = 500) -> int:
+    """How many lists hold the share ``recall`` of the ``k`` nearest rows, on a sample."""
+    home = (v @ centres.T).argmax(1)
+    q = v[:queries]
+    s = q @ v.T
+    s[np.arange(len(q)), np.arange(len(q))] = -2
+    k = min(k, len(v) - 1)
+    if k < 1:
+        return 1
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    order = np.argsort(-(q @ centres.T), axis=1)
+    place = np.argsort(order, axis=1)  # of each list for each query
+    needed = np.take_along_axis(place, home[near], 1).ravel()
+    return int(np.quantile(needed, recall, method="higher")) + 1
+
+
+def similar_by_lists(df: DataFrame, key: str, vector: str, k: int, n_lists: int | None = None, recall: float = 0.95, max_sample: int = 20_000, block_rows: int = 4096) -> DataFrame:
+    """The ``k`` nearest neighbours of every row by cosine, by an inverted file: approximate.
+
+    Centres are fitted on at most ``max_sample`` rows (those of the least hash); every row is in the list
+    of its nearest centre and is sought in as many of the nearest lists as hold the share ``recall`` of the
+    neighbours within that sample: few where vectors cluster, most where they are random. Lists of over
+    ``block_rows`` rows are searched in blocks, so a hot list is many tasks. A row is sent to the tasks of its
+    lists only.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    n = rows.count()
+    n_lists = n_lists or int(min(1024, max(1, n**0.5)))
+    sample = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(max_sample).select("v").collect()]
+    if not sample:
+        return df.sparkSession.createDataFrame([], FOUND)
+    sample = _units(pd.Series(sample))
+    found = centres_of(sample, n_lists)
+    probes = min(len(found), probes_for(sample, found, k, recall))
+    centres = df.sparkSession.sparkContext.broadcast(found)
+
+    @F.pandas_udf("array<int>")
+    def nearest(v: pd.Series) -> pd.Series:
+        s = _units(v) @ centres.value.T
+        return pd.Series(np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32).tolist())
+
+    placed = rows.withColumn("lists", nearest("v"))
+    home = F.col("lists")[0]
+    sizes = placed.groupBy(home.alias("list")).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    sizes = F.broadcast(sizes)  # a row a list: 1024 at most
+    part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    right = placed.select("id", "v", home.alias("list")).join(sizes, "list").select(F.col("id").alias("rid"), F.col("v").alias("rv"), "list", part.alias("y"))
+    left = placed.select("id", "v", F.explode("lists").alias("list")).join(sizes, "list")
+    # a block of queries meets each block of the list's rows
+    x = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
+    left = left.select(F.col("id").alias("qid"), F.col("v").alias("qv"), "list", x.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+    right = right.join(sizes, "list").select("rid", "rv", "list", "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    return _search_blocks(left, right, ["list", "x", "y"], k)

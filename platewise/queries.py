@@ -369,14 +369,14 @@ def geo_join(spark, sf_dir):
 @query(
     "near_duplicate_areas",
     with_sql("restaurants")
-    + """, a as (select restaurant_id as id, lat + 0.004 as lat, lng, restaurant_name as name from restaurants where restaurant_id % 2 = 0), b as (select * from restaurants where restaurant_id % 2 = 1 or restaurant_id % 10 = 0)
-select a.id, b.restaurant_id as old_id from a join b on (abs(a.lat - b.lat) <= 0.01 and abs(a.lng - b.lng) <= 0.01) or lower(a.name) = lower(b.restaurant_name)""",
+    + """, a as (select restaurant_id as id, lat + 0.004 as lat, lng, cuisine as name from restaurants)
+select a.id, b.restaurant_id as old_id from a join restaurants b on (abs(a.lat - b.lat) <= 0.01 and abs(a.lng - b.lng) <= 0.01) or lower(a.name) = lower(b.restaurant_name) where a.id < b.restaurant_id""",
 )
 def near_duplicate_areas(spark, sf_dir):
     (r,) = bound(spark, sf_dir, "restaurants")
-    a = r.where("restaurant_id % 2 = 0").select(F.col("restaurant_id").alias("id"), (F.col("lat") + F.lit(0.004)).alias("lat"), "lng", F.col("restaurant_name").alias("name"))
-    b = r.where("restaurant_id % 2 = 1 or restaurant_id % 10 = 0").select(F.col("restaurant_id").alias("id"), "lat", "lng", F.col("restaurant_name").alias("name"))
-    return J.near_duplicate_areas(a, b)
+    a = r.select(F.col("restaurant_id").alias("id"), (F.col("lat") + F.lit(0.004)).alias("lat"), "lng", F.col("cuisine").alias("name"))
+    b = r.select(F.col("restaurant_id").alias("id"), "lat", "lng", F.col("restaurant_name").alias("name"))
+    return J.near_duplicate_areas(a, b).where("id < old_id")
 
 
 BG = "list_distinct(list_transform(range(1, greatest(length({0}), 1)), lambda i: substring({0}, i, 2)))"
@@ -677,37 +677,37 @@ def event_props(spark, sf_dir):
 @query(
     "upsert",
     with_sql("items")
-    + """, t as (select item_id, line, source, audit_confidence as c from items where item_id % 3 <> 0), u as (select item_id, line, 'X' as source, case when line % 2 = 0 then 1.0 end as c from items where item_id % 2 = 0)
+    + """, t as (select item_id, line, source, audit_confidence as c from items where source <> 'N'), u as (select item_id, line, 'X' as source, case when line % 2 = 0 then 1.0 end as c from items where source <> 'A')
 select coalesce(t.item_id, u.item_id) as item_id, coalesce(t.line, u.line) as line, coalesce(u.source, t.source) as source, round(coalesce(u.c, t.c), 6) as c from t full join u on t.item_id = u.item_id and t.line = u.line""",
 )
 def upsert(spark, sf_dir):
     (i,) = bound(spark, sf_dir, "items")
     i = i.select("item_id", "line", "source", F.col("audit_confidence").alias("c"))
-    u = i.where("item_id % 2 = 0").select("item_id", "line", F.lit("X").alias("source"), F.when(F.col("line") % 2 == 0, 1.0).alias("c"))
-    return K.upsert(i.where("item_id % 3 <> 0"), u, ["item_id", "line"], keep_nulls=True).select("item_id", "line", "source", r6(F.col("c"), "c"))
+    u = i.where("source <> 'A'").select("item_id", "line", F.lit("X").alias("source"), F.when(F.col("line") % 2 == 0, 1.0).alias("c"))
+    return K.upsert(i.where("source <> 'N'"), u, ["item_id", "line"], keep_nulls=True).select("item_id", "line", "source", r6(F.col("c"), "c"))
 
 
 @query(
     "fold_toggles",
     with_sql("favorites", "feedback")
-    + """, m as (select distinct user_id, dish_id from favorites where user_id < 150), o as (select user_id, dish_id from feedback group by 1, 2 having count(*) % 2 = 1)
+    + """, m as (select distinct user_id, dish_id from favorites), o as (select user_id, dish_id from feedback group by 1, 2 having count(*) % 2 = 1)
 (select * from m except select * from o) union all (select * from o except select * from m)""",
 )
 def fold_toggles(spark, sf_dir):
     f, e = bound(spark, sf_dir, "favorites", "feedback")
-    return K.fold_toggles(f.where("user_id < 150").select("user_id", "dish_id").distinct(), e, ["user_id", "dish_id"])
+    return K.fold_toggles(f.select("user_id", "dish_id").distinct(), e, ["user_id", "dish_id"])
 
 
 @query(
     "hard_delete",
     with_sql("items")
     + """ select item_id, line, case when line % 4 = 0 then 'reason is not junk' when audit_confidence < 0.9 then 'confidence below 0.9' when archived_at is null then 'not archived' end as refused
-from items where item_id % 5 = 0 and (line % 4 = 0 or audit_confidence < 0.9 or archived_at is null)""",
+from items where (line % 4 = 0 or audit_confidence < 0.9 or archived_at is null)""",
 )
 def hard_delete(spark, sf_dir):
     (i,) = bound(spark, sf_dir, "items")
     i = i.withColumn("key", F.col("item_id") * 10 + F.col("line")).withColumn("archived_reason", F.when(F.col("line") % 4 == 0, "menu_removed").otherwise("junk"))
-    _, refused = K.hard_delete(i, i.where("item_id % 5 = 0").select("key"), F.expr("timestamp_ntz '2024-01-31 00:00:00'"), "key")
+    _, refused = K.hard_delete(i, i.select("key"), F.expr("timestamp_ntz '2024-01-31 00:00:00'"), "key")
     return refused.select(F.floor(F.col("key") / 10).alias("item_id"), (F.col("key") % 10).cast("int").alias("line"), "refused")
 
 
@@ -750,11 +750,12 @@ def source_priority(spark, sf_dir):
 
 @query(
     "override_union",
-    "select p_partkey, p_name, 'a' as origin from part where p_partkey % 7 = 0 union all select p_partkey, p_name, 'b' from part where p_partkey % 11 = 0 and lower(p_name) not in (select lower(p_name) from part where p_partkey % 7 = 0)",
+    "select p_partkey, p_name, 'a' as origin from part where p_type < 'M' union all select p_partkey, p_name, 'b' from part where p_type >= 'M' and lower(p_name) not in (select lower(p_name) from part where p_type < 'M')",
 )
 def override_union(spark, sf_dir):
-    p = FE.load(spark, sf_dir, "part", ["p_partkey", "p_name"])
-    return FE.override_union(p.where("p_partkey % 7 = 0").withColumn("origin", F.lit("a")), p.where("p_partkey % 11 = 0").withColumn("origin", F.lit("b")), "p_name")
+    p = FE.load(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type"])
+    frames = [p.where(c).select("p_partkey", "p_name", F.lit(o).alias("origin")) for c, o in (("p_type < 'M'", "a"), ("p_type >= 'M'", "b"))]
+    return FE.override_union(*frames, "p_name")
 
 
 @query(

@@ -30,8 +30,9 @@ def traffic_slots(snapshots: DataFrame) -> DataFrame:
 def stream_traffic(stream: DataFrame, path: str, checkpoint: str):
     """Keep the weekly grid at ``path``: each batch is merged by key, and the newer event time wins.
 
-    Every batch writes a whole new snapshot ``path/v=N`` for its batch id, so a batch that runs again
-    after a failure replaces its own output only.
+    Every batch writes a new snapshot ``path/v=N`` for its batch id, so a batch that runs again after a
+    failure replaces its own output only; snapshots before the last two are deleted. The grid has 168 rows
+    a restaurant, whatever the number of snapshots read.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -41,6 +42,9 @@ def stream_traffic(stream: DataFrame, path: str, checkpoint: str):
             old = spark.read.parquet(f"{path}/v={batch_id - 1}")
             new = traffic_slots_of(new.unionByName(old))
         new.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        if batch_id > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={batch_id - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
 

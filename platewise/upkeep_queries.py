@@ -475,9 +475,10 @@ def photo_files(spark, sf_dir):
     # one restaurant's names would be unlike each other; here the key keeps them apart
     name = F.concat("p_name", F.lit(" "), k)
     p = parts(spark, sf_dir, "p_name")
-    dishes = p.where(k % 4 != 3).select(k.alias("id"), F.when(k % 4 == 2, F.concat(name, F.lit("!"))).otherwise(name).alias("name"))
+    dishes = p.select(k.alias("id"), F.when(k % 4 == 2, F.concat(name, F.lit("!"))).when(k % 4 == 3, F.md5(name)).otherwise(name).alias("name"))
     file = F.concat(F.lit("img/"), F.replace(F.lower(name), F.lit(" "), F.lit("-")), F.when(k % 4 == 2, "-v2.jpg").otherwise(".jpg"))
-    files = p.where(k % 4 != 3).select(file.alias("file"), F.when(k % 4 == 0, name).when(k % 4 == 1, F.upper(name)).otherwise("-").alias("name"))
+    file = F.when(k % 4 == 3, F.concat(F.lit("img/"), F.md5("p_name"), k, F.lit(".jpg"))).otherwise(file)
+    files = p.select(file.alias("file"), F.when(k % 4 == 0, name).when(k % 4 == 1, F.upper(name)).otherwise("-").alias("name"))
     return J.match_photos(dishes, files)
 
 
@@ -1036,3 +1037,14 @@ def crawled_menus(spark, sf_dir):
     crawls = d.select("restaurant_id", F.lit("site").alias("source"), at.alias("crawled_at")).distinct()
     items, _ = menu_pipeline(raw, state.select(COLUMNS), d.where("1 = 0").select("dish_id", "restaurant_id", "name"), crawls, at)
     return items.select("restaurant_id", "name_normalized", (F.col("last_seen_at") == at).alias("seen"), (F.col("first_seen_at") == at).alias("is_new"), F.col("archived_at").isNotNull().alias("archived"))
+
+
+@query("nearest_by_lists", "select true as recalled, count(*) as n from embeddings")
+def nearest_by_lists(spark, sf_dir):
+    """Whether the index finds at least nine of ten of the five nearest vectors of every row."""
+    e = FE.load(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    exact = R.similar_all(e, "vec_id", "embedding", 5)
+    found = R.similar_by_lists(e, "vec_id", "embedding", 5)
+    shared = exact.select("id", "near").join(found.select("id", "near"), ["id", "near"]).agg(F.count(F.lit(1)).alias("k"))
+    n = exact.agg(F.count(F.lit(1)).alias("all"), F.count_distinct("id").alias("n"))
+    return n.crossJoin(shared).select((F.col("k") >= 0.9 * F.col("all")).alias("recalled"), "n")  # a row each

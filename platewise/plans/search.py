@@ -176,12 +176,13 @@ STOP_WORDS = (
 
 
 def stem_word(w):
-    """A light English stem: plurals, -ed and -ing behind a vowel, a final y."""
+    """A light English stem: plurals, -ed and -ing behind a vowel, a final y or e."""
     w = F.when(w.rlike("sses$|ies$"), F.regexp_replace(w, "es$", "")).when(w.rlike("[^su]s$") & (F.length(w) > 3), F.regexp_replace(w, "s$", "")).otherwise(w)
     cut = F.regexp_replace(w, "(?:ed|ing)$", "")
-    cut = F.when(cut.rlike("(?:at|bl|iz)$"), F.concat(cut, F.lit("e"))).when(cut.rlike(r"([^aeioulsz])\1$"), F.regexp_replace(cut, ".$", "")).otherwise(cut)
+    cut = F.when(cut.rlike(r"([^aeioulsz])\1$"), F.regexp_replace(cut, ".$", "")).otherwise(cut)
     w = F.when(w.rlike("[aeiouy].*(?:ed|ing)$") & ~w.rlike("eed$"), cut).otherwise(w)
-    return F.when(w.rlike("..[^aeiou]?y$") & w.rlike("[^aeiou]y$"), F.regexp_replace(w, "y$", "i")).otherwise(w)
+    w = F.when(w.rlike(".[^aeiou]y$"), F.regexp_replace(w, "y$", "i")).otherwise(w)
+    return F.when(w.rlike("[aeiouy].*[^aeiouy]e$"), F.regexp_replace(w, "e$", "")).otherwise(w)
 
 
 def stem_of(word: str) -> str:
@@ -189,8 +190,9 @@ def stem_of(word: str) -> str:
     w = word[:-2] if re.search("sses$|ies$", word) else word[:-1] if re.search("[^su]s$", word) and len(word) > 3 else word
     if re.search("[aeiouy].*(?:ed|ing)$", w) and not w.endswith("eed"):
         w = re.sub("(?:ed|ing)$", "", w)
-        w = w + "e" if re.search("(?:at|bl|iz)$", w) else w[:-1] if re.search(r"([^aeioulsz])\1$", w) else w
-    return w[:-1] + "i" if len(w) > 2 and re.search("[^aeiou]y$", w) else w
+        w = w[:-1] if re.search(r"([^aeioulsz])\1$", w) else w
+    w = w[:-1] + "i" if re.search(".[^aeiou]y$", w) else w
+    return w[:-1] if re.search("[aeiouy].*[^aeiouy]e$", w) else w
 
 
 def parse_query(q: str) -> tuple[list[list[str]], list[str], list[str]]:

@@ -29,6 +29,7 @@ are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -200,6 +201,12 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
     return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
 
+def _size_class(n: Column, percent: int) -> Column:
+    """Sizes that fit each other are at most one class apart (classes are a hair wider than the ratio)."""
+    width = max(math.log(100 / percent) * (1 + 1e-9), 1e-6)
+    return F.floor(F.log(n.cast("double")) / width).cast("bigint")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
 
@@ -316,8 +323,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         # it: the other set is no smaller than the least that fits
         least = F.floor((F.col("n") * percent + 99) / 100)
         placed = placed.where(F.col("n") - F.col("at") >= least).join(main.select("tok", "main"), "tok")
-        x, y = placed.alias("x"), placed.where("comp <> main").alias("y")
-        across = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") != F.col("y.comp")) & _fits(F.col("x.n"), F.col("y.n"), percent)
+        # a block is dealt by size class as well as by token, so that a hot token is many tasks
+        size = _size_class(F.col("n"), percent)
+        around = F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: size + i)).alias("class")
+        x, y = placed.withColumn("class", size).alias("x"), placed.where("comp <> main").select("*", around).alias("y")
+        across = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.comp") != F.col("y.comp")) & _fits(F.col("x.n"), F.col("y.n"), percent)
         across &= (F.col("x.comp") == F.col("x.main")) | (F.col("x.node") < F.col("y.node"))
         # overlap that a link needs, by the sum of the sizes
         needed = (F.col("x.n") + F.col("y.n")) * percent

@@ -73,6 +73,26 @@ def test_jaccard_equals_brute_force(spark, n, percent):
     assert got == brute_components(texts, n, percent)
 
 
+def test_jaccard_of_a_phrase_in_many_unrelated_texts(spark):
+    """A hot token: all texts share a long phrase, in many sizes; few are alike."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    phrase = " ".join(word() for _ in range(12))
+    texts = {}
+    for g in range(70):
+        base = [phrase, *(word() for _ in range(rnd.choice((1, 2, 9, 30, 31, 33))))]
+        for _ in range(rnd.choice((1, 1, 2))):
+            texts[len(texts)] = " ".join([*base[:-1], word()] if rnd.random() < 0.5 else base)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    for n, percent in ((3, 90), (5, 80), (3, 100)):
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df, n, percent).collect()}
+        assert got == brute_components(texts, n, percent)
+    sizes = [(a, b) for a in range(1, 400) for b in range(a, 400) if a * 100 >= b * 90]
+    rows = spark.range(1, 400).select(F.col("id").alias("n"), jaccard._size_class(F.col("id"), 90).alias("c")).collect()
+    c = {r.n: r.c for r in rows}
+    assert all(abs(c[a] - c[b]) <= 1 for a, b in sizes)
+
+
 def test_jaccard_odd_rows(spark):
     r = jaccard.near_duplicates(docs(spark), 3, 90).collect()
     got = {(x.doc_id, x.n_shingles, x.component_id) for x in r}

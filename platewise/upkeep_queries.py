@@ -1039,6 +1039,51 @@ def crawled_menus(spark, sf_dir):
     return items.select("restaurant_id", "name_normalized", (F.col("last_seen_at") == at).alias("seen"), (F.col("first_seen_at") == at).alias("is_new"), F.col("archived_at").isNotNull().alias("archived"))
 
 
+@query(
+    "reroute_similar",
+    with_sql("dishes", "restaurants", "grid")
+    + f""", v as (select dish_id, restaurant_id, (calories_min - 500) / 250.0 as a, (protein_min - 25) / 15.0 as b, (carbs_min - 45) / 30.0 as c, (fat_min - 20) / 15.0 as d from dishes), s as (select * from v where dish_id = 7),
+x as (select v.dish_id, v.restaurant_id, (v.a*s.a + v.b*s.b + v.c*s.c + v.d*s.d) / (sqrt(v.a*v.a + v.b*v.b + v.c*v.c + v.d*v.d) * sqrt(s.a*s.a + s.b*s.b + s.c*s.c + s.d*s.d)) as similarity from v, s where v.restaurant_id <> s.restaurant_id),
+g as (select restaurant_id, busyness, {wait_sql("busyness")} as wait from grid where dow = 6 and hour = 20)
+select dish_id, 45 - wait as saved, round(similarity, 6) as similarity from x join g using (restaurant_id) where x.similarity > 0.2 and busyness < 50 and 45 - wait > 0 order by x.similarity desc, dish_id limit 12""",
+)
+def reroute_similar(spark, sf_dir):
+    """Dishes like one that has a long wait, at places that are calm."""
+    d, r, g = bound(spark, sf_dir, "dishes", "restaurants", "grid")
+    d = d.withColumn("vec", N.macro_vector("calories_min", "protein_min", "carbs_min", "fat_min"))
+    found = d.where("dish_id = 7").select("vec", "restaurant_id").first()
+    if found is None:
+        return d.select("dish_id", F.lit(0).alias("saved"), F.lit(0.0).alias("similarity")).limit(0)
+    near = R.similar(d, found.asDict(), min_similarity=0.2, n=1 << 30)
+    return SE.reroute(near, g, 45, 6, 20, 12).select("dish_id", "saved", r6(F.col("similarity"), "similarity"))
+
+
+ORDERS = {"max_protein": "protein_max desc", "min_calories": "calories_min", "min_fat": "fat_min", "min_carbs": "carbs_min", "glp1_friendly": "protein_max desc", "none": "dish_id desc"}
+
+
+@query("goal_orders", with_sql("dishes") + " union all ".join(f" select * from (select dish_id, '{g}' as goal from dishes order by {o}, dish_id limit 150)" for g, o in ORDERS.items()))
+def goal_orders(spark, sf_dir):
+    (d,) = bound(spark, sf_dir, "dishes")
+    frames = [R.goal_order(d, g, 150).select("dish_id", F.lit(g).alias("goal")) for g in ORDERS]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@query(
+    "over_limit_minute",
+    """with w as (select unnest(generate_series(0, 5)) as k), x as (select time_bucket(interval 10 second, ts) - k * interval 10 second as start, event_type as route, ts from events, w)
+select start, route, count(*) as n from x where ts >= start and ts < start + interval 60 second group by 1, 2 having count(*) > 1""",
+)
+def over_limit_minute(spark, sf_dir):
+    """All requests of a route as one client, over the trailing minute."""
+    from platewise.streaming import jobs as ST
+
+    e = FE.load(spark, sf_dir, "events", ["ts", "event_type"]).select("ts", F.lit("all").alias("client"), F.col("event_type").alias("route"))
+    return ST.over_limit(e, {t: 1 for t in ("click", "view", "error", "signup", "purchase")}).select("start", "route", "n")
+
+
 @query("nearest_by_lists", "select true as recalled, count(*) as n from embeddings")
 def nearest_by_lists(spark, sf_dir):
     """Whether the index finds at least nine of ten of the five nearest vectors of every row."""

@@ -657,7 +657,7 @@ def menu_items_from_pages(spark, sf_dir):
     return M.menu_from_html(pages).select(*cols).unionByName(M.menu_from_jsonld(pages).select(*cols))
 
 
-@query("junk_reasons")
+@query("junk_reasons", with_sql("dishes") + " select dish_id, cast(null as varchar) as reason, case when name like '%plate%' then 'non_food' else 'dish' end as item_type, false as dish_like, name not like '%plate%' as worth from dishes")
 def junk_reasons(spark, sf_dir):
     (d,) = bound(spark, sf_dir, "dishes")
     d = d.withColumn("reason", C.junk_reason("name", "category", "description")).withColumn("item_type", C.classify("name", "category", "description"))

@@ -434,6 +434,18 @@ def test_toxicity(spark):
     assert toxicity.judge(df, none).agg(F.max("score")).first()[0] < 1e-9
 
 
+def test_toxicity_sample_is_bounded(spark):
+    """A repeated id counts once in the fit, whatever its copies; columns named like the results are replaced."""
+    rows = [(1, f"copy {i} of an idiot", "en", "s") for i in range(50)] + [(i, "plain words", "en", "s") for i in range(2, 12)] + [(None, "x", "en", "s")]
+    df = docs(spark, rows)
+    labels = spark.createDataFrame([(i, 1, int(i == 1)) for i in range(1, 12)] + [(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    learn = toxicity.learning_rows(df, labels).collect()
+    kept = [i for i in range(1, 12) if zlib.crc32(str(i).encode()) % 5]
+    assert len(learn) == len(kept) and toxicity.learning_rows(df, labels, 3).count() == 3
+    out = toxicity.judge(df, toxicity.fit(df, labels))
+    assert out.count() == len(rows) and sorted(out.columns) == sorted([*df.columns, "predicted"]) and out.where("score = 0.5").count() == 0
+
+
 def test_label_model_learns_correlations():
     """Two copies of one voter count about as one, and accuracies are found without labels."""
     rnd = np.random.default_rng(0)

@@ -274,15 +274,31 @@ def address_similarity(a, b) -> Column:
     return F.when(missing | numbered & (sa["number"] != sb["number"]), F.lit(0.0)).otherwise(score)
 
 
+# What cooks do to food, and words that name none.
+COOKING = "grilled fried baked roasted steamed sauteed sautéed raw fresh organic homemade crispy spicy smoked braised poached blanched".split()
+LINKS = "with and the in on over served".split()
+
+
 def food_queries(x, synonyms: dict[str, str] | None = None) -> Column:
-    """Search phrases for an ingredient: synonym, name without its modifiers, word pairs, long words."""
-    c = norm_space(F.regexp_replace(F.lower(_c(x)), "[^a-z ]", " "))
-    bare = norm_space(F.regexp_replace(c, r"\b(?:grilled|fried|baked|roasted|steamed|fresh|raw|cooked|chopped|sliced|organic|shredded|diced)\b", ""))
-    words = F.filter(F.split(bare, " "), lambda w: w != "")
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    """Search phrases for an ingredient: its synonym alone, else its name without cooking words; of names
+    of over three words then the word pairs and the long words, each by its synonym where it has one.
+    """
     known = F.create_map(*[F.lit(v) for kv in (synonyms or {"": ""}).items() for v in kv])
-    out = F.concat(F.array(F.try_element_at(known, c), c, bare), pairs, F.filter(words, lambda w: F.length(w) > 4))
-    return F.array_distinct(F.filter(out, lambda q: q.isNotNull() & (q != "")))
+
+    def named(w):
+        return F.coalesce(F.try_element_at(known, w), w)
+
+    def phrases(name):
+        every = F.split(name, " ")
+        words = F.filter(every, lambda w: (F.length(w) > 2) & ~w.isin(LINKS))
+        rest = F.greatest(F.size(words) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: named(F.concat_ws(" ", a, b)))
+        long = F.transform(F.filter(words, lambda w: F.length(w) > 4), named)
+        return F.when(F.size(every) <= 3, F.array(name)).otherwise(F.array_distinct(F.concat(F.array(name), pairs, long)))
+
+    c = norm_space(F.lower(_c(x)))
+    bare = norm_space(F.regexp_replace(c, r"\b(?:" + "|".join(COOKING) + r")\b", ""))
+    return F.when(F.try_element_at(known, c).isNotNull(), F.array(F.try_element_at(known, c))).otherwise(F.filter(let(bare, phrases), lambda q: q != ""))
 
 
 def nutrition_near(page, name, window: int = 500) -> Column:

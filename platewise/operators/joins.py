@@ -253,20 +253,24 @@ def truth_match(items: DataFrame, truth: DataFrame) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("item_id", F.col("b").alias("truth_name"), "label")
 
 
-def match_foods(ingredients: DataFrame, foods: DataFrame, synonyms: dict[str, str], accept: float = 0.3) -> DataFrame:
+def match_foods(ingredients: DataFrame, foods: DataFrame, synonyms: dict[str, str], accept: float = 0.3, enough: float = 0.7) -> DataFrame:
     """The best food for each ingredient (id, name): phrases meet food words, candidates are scored.
 
-    ``foods`` has food_id, description and data_type.
+    A trusted source is worth .05 between candidates. Where the whole name reaches ``enough``, parts of it
+    are not looked at. ``foods`` has food_id, description and data_type.
     """
-    from platewise.plans.nutrition import food_confidence
-
-    q = ingredients.select(F.col("id"), F.explode(T.food_queries("name", synonyms)).alias("query"))
-    q = q.withColumn("w", F.explode(F.split("query", " ")))
-    f = foods.withColumn("w", F.explode(F.array_distinct(F.split(F.lower("description"), "[^a-z]+")))).where("w <> ''")
-    met = q.join(f, "w").select("id", "query", "food_id", "description", "data_type").distinct()
-    met = met.withColumn("score", food_confidence("description", "query", "data_type"))
-    w = Window.partitionBy("id").orderBy(F.col("score").desc(), "food_id", "query")
-    best = met.where(F.col("score") >= accept).withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    from platewise.plans.nutrition import TRUSTED_TYPE, food_confidence
+
+    q = ingredients.select(F.col("id"), F.posexplode(T.food_queries("name", synonyms)).alias("part", "query"))
+    q = q.withColumn("w", F.explode(F.array_distinct(F.split("query", r"\W+")))).where("w <> ''")
+    f = foods.withColumn("w", F.explode(F.array_distinct(F.split(F.lower("description"), r"\W+")))).where("w <> ''")
+    met = q.join(f, "w").select("id", "part", "query", "food_id", "description", "data_type").distinct()
+    met = met.withColumn("score", food_confidence("description", "query", "data_type")).where(F.col("score") >= accept)
+    whole = F.max(F.when(F.col("part") == 0, F.col("score"))).over(Window.partitionBy("id"))
+    met = met.withColumn("whole", whole).where((F.col("part") == 0) | (F.coalesce("whole", F.lit(0.0)) < enough))
+    worth = F.col("score") + F.when(F.col("data_type") == TRUSTED_TYPE, 0.05).otherwise(0.0)
+    w = Window.partitionBy("id").orderBy(worth.desc(), "food_id", "query")
+    best = met.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     return best.select("id", "query", "food_id", "score")
 
 

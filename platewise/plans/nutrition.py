@@ -10,7 +10,7 @@ from platewise.functions.numbers import round_half_up
 # Nutrient ids of the public food database, preparation factors, data types.
 NUTRIENTS = {"calories": 1008, "protein": 1003, "carbs": 1005, "fat": 1004, "fiber": 1079}
 PREPARATION = {"fried": 1.2, "deep-fried": 1.35, "grilled": 0.95, "baked": 1.0, "steamed": 0.95, "raw": 1.0, "sauteed": 1.1, "roasted": 1.0}
-TRUSTED_TYPES = ["Foundation", "SR Legacy"]
+TRUSTED_TYPE = "Foundation"
 MIN_GRAMS, MAX_GRAMS = 1, 5000
 
 
@@ -29,12 +29,18 @@ def food_macros(foods: DataFrame) -> DataFrame:
 
 
 def food_confidence(description, query, data_type) -> Column:
-    """How well a food fits a phrase: share of its words found, trusted source, exact name, less for long names."""
-    d, q = F.lower(_c(description)), F.lower(_c(query))
-    words = F.filter(F.split(q, r"\s+"), lambda w: w != "")
-    ratio = F.size(F.filter(words, lambda w: F.contains(d, w))) / F.greatest(F.size(words), F.lit(1))
-    score = ratio * 0.75 + F.when(_c(data_type).isin(TRUSTED_TYPES), 0.1).otherwise(0.0) + F.when(d == q, 0.15).otherwise(0.0)
-    score = score - F.when(F.size(F.split(d, r"[\s,]+")) > 8, 0.1).otherwise(0.0)
+    """How well a food fits a phrase: share of its words found, trusted source, the phrase itself, less for
+    descriptions of over three times as many words. Words and phrase count at word boundaries.
+    """
+    d, q = F.lower(_c(description)), F.trim(F.lower(_c(query)))
+    words = F.split(q, r"\s+")
+
+    def said(w):
+        return F.regexp_like(d, F.concat(F.lit(r"(?<!\w)\Q"), w, F.lit(r"\E(?!\w)")))
+
+    ratio = F.size(F.filter(words, said)) / F.size(words)
+    long = F.size(F.filter(F.split(d, r"[\s,]+"), lambda w: w != "")) * 0.3 > F.size(words)
+    score = ratio * 0.75 + F.when(_c(data_type) == TRUSTED_TYPE, 0.1).otherwise(0.0) + F.when(said(q), 0.15).otherwise(0.0) - F.when(long, 0.1).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 

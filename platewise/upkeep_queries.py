@@ -166,7 +166,8 @@ def text_rules(spark, sf_dir):
 
 @query(
     "food_phrases",
-    """select p_partkey, array_to_string(list_concat(['grilled ' || p_name, p_name], list_filter(string_split(p_name, ' '), lambda w: length(w) > 4)), '|') as phrases,
+    """select p_partkey, case p_partkey % 3 when 0 then 'lox' when 1 then p_name else array_to_string(list_concat([p_name || ' with lemon butter', p_name, split_part(p_name, ' ', 2) || ' lemon', 'citrus butter'],
+    list_filter(string_split(p_name, ' '), lambda w: length(w) > 4), ['citron', 'butter']), '|') end as phrases,
   cast(100 + p_partkey % 900 as double) as calories, cast(p_partkey % 90 as double) as protein, case when p_partkey % 2 = 0 then cast(p_partkey % 50 as double) end as carbs from part""",
 )
 def food_phrases(spark, sf_dir):
@@ -174,7 +175,9 @@ def food_phrases(spark, sf_dir):
     carbs = F.when(k % 2 == 0, F.concat(F.lit(" and "), k % 50, F.lit(" g of carbs"))).otherwise("")
     page = F.concat(F.lit("Our menu. "), F.upper(n), F.lit(" has "), 100 + k % 900, F.lit(" kcal, "), k % 90, F.lit(" g protein"), carbs, F.lit("."))
     near = T.nutrition_near(page, n)
-    return parts(spark, sf_dir, "p_name").select("p_partkey", joined(T.food_queries(F.concat(F.lit("Grilled "), n))).alias("phrases"), near["calories"].alias("calories"), near["protein"].alias("protein"), near["carbs"].alias("carbs"))
+    name = F.when(k % 3 == 0, "Smoked Salmon").when(k % 3 == 1, F.concat(F.lit("Grilled "), n)).otherwise(F.concat(F.lit("Fresh "), n, F.lit(" with Lemon  Butter")))
+    synonyms = {"smoked salmon": "lox", "lemon butter": "citrus butter", "lemon": "citron"}
+    return parts(spark, sf_dir, "p_name").select("p_partkey", joined(T.food_queries(name, synonyms)).alias("phrases"), near["calories"].alias("calories"), near["protein"].alias("protein"), near["carbs"].alias("carbs"))
 
 
 @query(
@@ -554,7 +557,7 @@ def food_matches(spark, sf_dir):
 
 @query(
     "food_confidence",
-    """select p_partkey, round(case p_partkey % 5 when 0 then 1.0 when 1 then 0.375 + 0.1 when 2 then 0.9 when 3 then 0.75 - 0.1 else 0.0 end, 6) as score from part""",
+    """select p_partkey, round(case p_partkey % 5 when 0 then 1.0 when 1 then 0.375 + 0.1 when 2 then 0.9 when 3 then 0.75 + 0.15 - 0.1 else 0.0 end, 6) as score from part""",
 )
 def food_confidence(spark, sf_dir):
     k, n = F.col("p_partkey"), F.col("p_name")

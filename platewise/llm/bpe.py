@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from platewise.llm.common import small_batches, table
+from platewise.llm.common import release, small_batches, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 MAX_RANK_FILE = 64 << 20
@@ -134,6 +134,7 @@ def encode_frame(
                 values = np.concatenate(ids) if ids else np.empty(0, np.int32)
                 new = [pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))] + ([pa.array(same, pa.bool_())] if exact else [])
                 yield pa.RecordBatch.from_arrays([rows.column(c) for c in kept] + new, names=schema.names)
+        release()
 
     return df.mapInArrow(run, schema)
 

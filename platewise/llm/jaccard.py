@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from platewise.llm.common import drop, keep, maybe_in, table, without
+from platewise.llm.common import drop, keep, maybe_in, release, table, without
 
 ORDERS = 3
 SHARE = 3  # tokens that prefixes of linked sets share at least, if the sets are large enough
@@ -119,6 +119,8 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield full(flush())
+        held, seen = [], set()
+        release()
 
     return docs.mapInPandas(run, schema)
 
@@ -163,6 +165,7 @@ def _prefixes(sets: DataFrame, demoted: np.ndarray, percent: int) -> DataFrame:
                         rank |= (last[at] == s).astype(np.uint64) << np.uint64(63)
                     toks.append(prefix(s, rank, percent, JOIN_PART))
                 yield pd.DataFrame({"node": pdf.node.to_numpy(), "n": pdf.n.to_numpy(), "toks": toks})
+        release()
 
     made = sets.mapInPandas(run, "node bigint, n bigint, toks array<bigint>")
     # a copy in another task made the same row
@@ -191,6 +194,7 @@ def _whole(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     for k, o in enumerate(others):
                         cols[o].append(np.unique(prefix(s, mix(s + _SEEDS[k]), percent, FILTER_PART).astype(np.uint32)).view(np.int32))
                 yield pd.DataFrame(cols)
+        release()
 
     schema = "node bigint, n bigint, s array<bigint>, " + ", ".join(f"{o} array<int>" for o in others)
     made = docs.select("text").mapInPandas(run, schema)

@@ -28,7 +28,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -37,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm.common import drop, keep, table
+from platewise.llm.common import drop, keep, release, table
 
 MAX_SAMPLE = 20_000
 MAX_STEMS = 192
@@ -47,6 +46,7 @@ MIN_G2 = 7.0
 MIN_PRECISION = 0.7  # in the half that confirms it
 N_STEM_VOTERS = 12
 MEMO = 100_000
+FLUSH = 50_000  # counted features that a task holds
 
 # General abusive vocabulary by theme.
 LEXICON = {
@@ -210,12 +210,25 @@ def mine(sample: DataFrame, n: int) -> list[str]:
     """The ``n`` words and stems that mark the rows with y = 1 most clearly, in both halves of the sample."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = {(h, y): Counter() for h in (0, 1) for y in (0, 1)}
+        seen: dict[str, list[int]] = {}
+
+        def rows():
+            return pd.DataFrame([(f, *n) for f, n in seen.items()], columns=["f", "n00", "n01", "n10", "n11"])
+
         for pdf in batches:
             for text, y, half in zip(pdf.text, pdf.y, pdf.half):
-                seen[half, y].update({f for w in words_of(text) for f in features_of_word(w)})
-        names = set().union(*seen.values())
-        yield pd.DataFrame([(f, *(seen[h, y][f] for h in (0, 1) for y in (0, 1))) for f in names], columns=["f", "n00", "n01", "n10", "n11"])
+                at = 2 * half + y
+                for f in {f for w in words_of(text) for f in features_of_word(w)}:
+                    n = seen.get(f)
+                    if n is None:
+                        n = seen[f] = [0, 0, 0, 0]
+                    n[at] += 1
+                if len(seen) >= FLUSH:
+                    yield rows()
+                    seen.clear()
+        yield rows()
+        seen.clear()
+        release()
 
     totals = {(r.half, r.y): r["count"] for r in sample.groupBy("half", "y").count().collect()}
     found = sample.mapInPandas(count, "f string, n00 bigint, n01 bigint, n10 bigint, n11 bigint")

@@ -243,64 +243,86 @@ def ranked_tokens(df: DataFrame, q: str, weights: dict[str, float], key: str, en
     if not terms:
         return df.select(key, F.lit(0.0).alias("rank")).limit(0)
 
-    # a row without the beginnings of the terms cannot meet them
-    whole = F.lower(F.concat_ws(" ", *weights))
-    head = lambda w: w[: max(1, len(w) - 1)] if english else w
-    for g in terms:
-        df = df.where(reduce(lambda a, b: a | b, [F.contains(whole, F.lit(head(w))) for w in g]))
-
-    def tokens(c):
-        words = F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        return F.transform(words, lambda w: F.when(w.isin(stops), F.lit("")).otherwise(stem_word(w))) if english else words
-
-    fields = list(weights)
-    df = df.select(key, *[tokens(c).alias(f"f{i}") for i, c in enumerate(fields)])
-
-    def said(p):
-        def starts(f):
-            def here(at):
-                return reduce(lambda a, b: a & b, [F.coalesce(F.get(f, at + (d - p[0][0])) == w, F.lit(False)) for d, w in p])
-
-            return F.exists(F.sequence(F.lit(0), F.size(f)), here)
-
-        return reduce(lambda a, b: a | b, [starts(F.col(f"f{i}")) for i in range(len(fields))])
-
-    for p in placed:
-        df = df.where(said(p))
-    for w in never:
-        df = df.where(~reduce(lambda a, b: a | b, [F.array_contains(f"f{i}", norm(w)) for i in range(len(fields))]))
     first: dict[str, int] = {}
     for g, ws in enumerate(terms):  # a term that stands in several groups meets its first
         for w in ws:
             first.setdefault(w, g)
     terms = [g for g in ([w for w in ws if first[w] == i] for i, ws in enumerate(terms)) if g]
     group_of = F.create_map(*[F.lit(v) for g, ws in enumerate(terms) for w in ws for v in (w, g)])
+    excluded = [norm(w) for w in never]
+
+    def any_of(conditions):
+        return reduce(lambda x, y: x | y, conditions)
+
+    # a row without the beginnings of the terms cannot meet them, and only words that begin like one are stemmed
+    whole = F.lower(F.concat_ws(" ", *weights))
+    head = lambda w: w[: max(1, len(w) - 1)] if english else w
+    for g in terms:
+        df = df.where(any_of([F.contains(whole, F.lit(head(w))) for w in g]))
+    heads = sorted({head(w) for w in [*first, *excluded]})
+    fields = list(weights)
 
-    def hits_in(f, weight, before):
-        placed = F.transform(f, lambda t, p: F.struct((p + before).alias("p"), F.try_element_at(group_of, t).alias("g"), F.lit(float(weight)).alias("w")))
-        return F.filter(placed, lambda h: h["g"].isNotNull())
-
-    hits, before = [], F.lit(0)
-    for i, c in enumerate(fields):
-        hits.append(hits_in(F.col(f"f{i}"), weights[c], before))
-        before = before + F.size(f"f{i}")
-    length = reduce(lambda a, b: a + b, [F.size(F.filter(F.col(f"f{i}"), lambda t: t != "")) for i in range(len(fields))])
-    df = df.select(key, F.concat(*hits).alias("hits"), length.alias("n_terms"))
-    df = df.where(F.size(F.array_distinct(F.transform("hits", lambda h: h["g"]))) == len(terms))
-
-    start = F.struct(F.array(*[F.lit(-1)] * len(terms)).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("sum"))
-
-    def step(s, h):
-        last = F.transform(s["last"], lambda p, g: F.when(g == h["g"], h["p"]).otherwise(p))
-        begin = F.array_min(last)
-        inside = F.filter(F.col("hits"), lambda x: x["p"].between(begin, h["p"]))
-        inverse = F.aggregate(inside, F.lit(0.0), lambda a, x: a + 1 / x["w"])
-        cover = F.size(inside) / inverse / (1 + (h["p"] - begin) - (F.size(inside) - 1))
-        is_new = (begin >= 0) & (begin > s["from"])
-        return F.struct(last.alias("last"), F.when(is_new, begin).otherwise(s["from"]).alias("from"), (s["sum"] + F.when(is_new, cover).otherwise(0.0)).alias("sum"))
-
-    rank = F.aggregate("hits", start, step, lambda s: s["sum"])
-    return df.select(key, (rank / F.col("n_terms")).alias("rank"))
+    def words(c):
+        return F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+    def entries(found, i, before):
+        """Words of a field that may be meant: stem, place, field and weight."""
+        at = F.transform(found, lambda t, p: F.struct(t.alias("t"), (p + before).alias("p")))
+        near = F.filter(at, lambda e: any_of([e["t"].startswith(h) for h in heads]) & ~e["t"].isin(stops))
+        return F.transform(near, lambda e: F.struct((stem_word(e["t"]) if english else e["t"]).alias("t"), e["p"].alias("p"), F.lit(i).alias("f"), F.lit(float(weights[fields[i]])).alias("w")))
+
+    def read(r):
+        got, before = [], F.lit(0)
+        for i in range(len(fields)):
+            got.append(entries(r[f"f{i}"], i, before))
+            before = before + F.size(r[f"f{i}"])
+        length = reduce(lambda x, y: x + y, [F.size(F.filter(r[f"f{i}"], lambda t: ~t.isin(stops))) for i in range(len(fields))])
+        return F.struct(F.concat(*got).alias("e"), length.alias("n"))
+
+    def grouped(r):
+        hits = F.transform(r["e"], lambda e: F.struct(e["p"].alias("p"), F.try_element_at(group_of, e["t"]).alias("g"), e["w"].alias("w")))
+        return F.struct(r["e"].alias("e"), r["n"].alias("n"), F.filter(hits, lambda h: h["g"].isNotNull()).alias("hits"))
+
+    def said(r, p):
+        (at0, w0), rest = p[0], p[1:]
+
+        def here(e):
+            ok = e["t"] == w0
+            for at, w in rest:
+                ok = ok & follows(r, e, at - at0, w)
+            return ok
+
+        return F.exists(r["e"], here)
+
+    def follows(r, e, gap, w):
+        return F.exists(r["e"], lambda x: (x["t"] == w) & (x["f"] == e["f"]) & (x["p"] == e["p"] + gap))
+
+    def meets(r):
+        ok = F.size(F.array_distinct(F.transform(r["hits"], lambda h: h["g"]))) == len(terms)
+        for p in placed:
+            ok = ok & said(r, p)
+        for w in excluded:
+            ok = ok & ~F.exists(r["e"], lambda e: e["t"] == w)
+        return ok
+
+    def rank(r):
+        start = F.struct(F.array(*[F.lit(-1)] * len(terms)).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("sum"))
+
+        def step(s, h):
+            last = F.transform(s["last"], lambda p, g: F.when(g == h["g"], h["p"]).otherwise(p))
+            begin = F.array_min(last)
+            inside = F.filter(r["hits"], lambda x: x["p"].between(begin, h["p"]))
+            inverse = F.aggregate(inside, F.lit(0.0), lambda a, x: a + 1 / x["w"])
+            cover = F.size(inside) / inverse / (1 + (h["p"] - begin) - (F.size(inside) - 1))
+            is_new = (begin >= 0) & (begin > s["from"])
+            return F.struct(last.alias("last"), F.when(is_new, begin).otherwise(s["from"]).alias("from"), (s["sum"] + F.when(is_new, cover).otherwise(0.0)).alias("sum"))
+
+        return F.aggregate(r["hits"], start, step, lambda s: s["sum"]) / r["n"]
+
+    # one-element arrays name each step's value, which is thereby computed once; the generator keeps filters out
+    row = F.array(F.struct(*[words(c).alias(f"f{i}") for i, c in enumerate(fields)]))
+    row = F.filter(F.transform(F.transform(row, read), grouped), meets)
+    return df.select(key, F.explode(F.transform(row, rank)).alias("rank"))
 
 
 def reroute(similar: DataFrame, grid: DataFrame, wait: int, dow: int, hour: int, n: int = 3) -> DataFrame:

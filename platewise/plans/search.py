@@ -61,9 +61,9 @@ def candidates(dishes: DataFrame, restaurants: DataFrame, reviews: DataFrame, ph
     if spec.max_wait:
         d = filters.max_wait(d, spec.max_wait)
     d = safety.diet_gate(safety.allergen_gate(d, spec.allergens), spec.diets)
-    # only what passed so far meets reviews and photos
+    # only what passed so far meets reviews and photos (a semi-join of the photos would compute it twice)
     d = joins.with_reviews(d, reviews)
-    d = joins.latest_child(d, joins.semi(photos, d, "dish_id"), "dish_id", "taken_at", "photo_id")
+    d = joins.latest_child(d, photos, "dish_id", "taken_at", "photo_id")
     score = None
     if spec.q:
         hits = token_search(d.select("dish_id", "name", "description", "category"), spec.q, {"name": 1.0, "description": 0.4, "category": 0.2}, "dish_id", 200)

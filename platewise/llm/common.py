@@ -45,7 +45,7 @@ def release() -> None:
         pass
 
 
-def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def keep(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back, which cuts the lineage.
 
     Returns the reread frame and the path, for :func:`drop`.
@@ -53,7 +53,7 @@ def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

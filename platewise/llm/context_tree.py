@@ -281,6 +281,27 @@ def log_probabilities(grams: np.ndarray, counts: np.ndarray, top: tuple[np.ndarr
     return out
 
 
+class Lookup:
+    """Values of a closed set of grams: a gram whose slot no other one has needs no comparison."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        self.grams, self.values = grams, values
+        self.shift = np.uint64(64 - max(10, int(8 * len(grams) + 1).bit_length()))
+        slot = self._slot(grams)
+        self.table = np.full(1 << (64 - int(self.shift)), np.nan, np.float32)
+        alone = np.bincount(slot)[slot] == 1
+        self.table[slot[alone]] = values[alone]
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        out = self.table[self._slot(grams)]
+        shared = np.flatnonzero(np.isnan(out))
+        out[shared] = self.values[np.searchsorted(self.grams, grams[shared])]
+        return out
+
+
 def code_lengths(model: DataFrame, depth: int) -> DataFrame:
     """(region, known, logs): every gram of the corpus with its log10 probability."""
     top = model.sparkSession.sparkContext.broadcast(top_of(model, depth))
@@ -325,14 +346,14 @@ def summed(texts: DataFrame, answers: DataFrame, n_tokens: int, n_words: int, n_
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         bodies = texts.body.tolist()
         asked = answers[answers.region.notna()].sort_values("region")
-        by_region_logs = np.frombuffer(b"".join(asked.logs), np.float32).astype(float)
         grams = np.unique(np.concatenate([np.unique(grams_of(p, depth)[0]) for p in stretches(bodies, depth)]))
-        logs = np.empty(len(grams))
-        logs[by_region(grams)[0]] = by_region_logs
+        logs = np.empty(len(grams), np.float32)
+        logs[by_region(grams)[0]] = np.frombuffer(b"".join(asked.logs), np.float32)
+        look = Lookup(grams, logs)
         score = np.zeros(len(bodies))
         for pieces in stretches(bodies, depth):
             g, first = grams_of(pieces, depth)
-            np.add.at(score, [k for k, _ in pieces], np.add.reduceat(logs[np.searchsorted(grams, g)], first))
+            np.add.at(score, [k for k, _ in pieces], np.add.reduceat(look(g).astype(float), first))
         words = answers[answers.region.isna()]
         worth = {w: share(int(n)) for w, n in zip(words.word, words.n)}
         end, unknown = share(n_texts), share(0)
@@ -353,7 +374,7 @@ def score(docs: DataFrame, held: Column | None = None, depth: int = DEPTH) -> Da
         raise ValueError("contexts have 2 to 7 bytes")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (held_out() if held is None else held).alias("held_out"), F.col("text").cast("string").alias("text"))
-    parts, path = keep(packed(rows, depth), "parts")
+    parts, path = keep(packed(rows, depth), "parts", "zstd")
     grams = parts.where("kind = 'grams'")
     model, model_path = keep(folded(grams), "counts")
     words = parts.where("kind = 'word'")
@@ -362,6 +383,7 @@ def score(docs: DataFrame, held: Column | None = None, depth: int = DEPTH) -> Da
     n_texts = texts.where("not held_out").count()
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     asked_bytes = grams.groupBy("region").agg(F.sum(F.octet_length("grams")).alias("b")).agg(F.max("b")).first()[0] or 0
+    drop(spark)  # shuffle files of the steps so far
     logs = answered(grams, code_lengths(model, depth), 1 + asked_bytes // ASKED_BYTES)
     known = words.select("part", "word").join(counts, "word")
     answers = logs.select("part", "region", "logs", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("bigint").alias("n")).unionByName(

@@ -232,7 +232,7 @@ def suggest(spark, sf_dir):
     return SE.suggest(d, typed)
 
 
-@query("token_search", r"""select doc_id, 1 as hit from documents where regexp_matches(lower(text), '(^|[^\p{L}\p{N}])hation(ing|ed|s)?([^\p{L}\p{N}]|$)')""")
+@query("token_search", r"""select doc_id, 1 as hit from documents where regexp_matches(lower(text), '(^|[^\p{L}\p{N}])hation(ing|ed|es|e|s)?([^\p{L}\p{N}]|$)')""")
 def token_search(spark, sf_dir):
     """The stop word asks for nothing."""
     docs = FE.load(spark, sf_dir, "documents", ["doc_id", "text"])
@@ -657,7 +657,7 @@ def menu_items_from_pages(spark, sf_dir):
     return M.menu_from_html(pages).select(*cols).unionByName(M.menu_from_jsonld(pages).select(*cols))
 
 
-@query("junk_reasons", with_sql("dishes") + " select dish_id, cast(null as varchar) as reason, case when name like '%plate%' then 'non_food' else 'dish' end as item_type, false as dish_like, name not like '%plate%' as worth from dishes")
+@query("junk_reasons", with_sql("dishes") + " select dish_id, cast(null as varchar) as reason, case when name like '%plate%' then 'non_food' else 'dish' end as item_type, name like '%plate%' as dish_like, name not like '%plate%' as worth from dishes")
 def junk_reasons(spark, sf_dir):
     (d,) = bound(spark, sf_dir, "dishes")
     d = d.withColumn("reason", C.junk_reason("name", "category", "description")).withColumn("item_type", C.classify("name", "category", "description"))

@@ -25,6 +25,7 @@ from platewise.queries import NOW, QUERIES, SQL, now, query, r6, wait_sql
 from platewise.sources import feeds as FE
 from platewise.sources import menus as M
 from platewise.sources.bindings import bound, with_sql
+from platewise.streaming import limits as L
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -59,11 +60,17 @@ def joined(c) -> Column:
 
 # --- detectors --------------------------------------------------------------------------------
 
+# name, section; whether it is a listing. "Classico" holds the name of a mixed drink, and those are sought inside words.
 DRINKS = [
-    ("Ketel One Vodka", None, True), ("Vodka Rigatoni", None, False), ("Don Julio 1942 Añejo", None, True), ("Bourbon Glazed Ribs", None, False), ("Mezcal Me Maybe", None, False),
-    ("Gin & Juice Remix", None, False), ("Patron Tequila", None, True), ("Busnel Rum Reserve", None, True), ("Pinot Noir", None, True), ("Cabernet Braised Short Ribs", None, False),
-    ("House Pour", "wines", True), ("Porter House", None, False), ("Cloudy 6.5% ABV", None, True), ("Aperol Spritz", None, False), ("Chicken Curry", None, False),
-    ("Mezcal Union Uno Joven Reposado", None, True), ("Night Cap", "After Dinner", True), ("Amber Lager", None, True), ("Bourbon of the Quiet Valley 1998", None, True), (None, None, False),
+    ("Pinot Noir", None, True), ("Chardonnay", None, True), ("Cabernet Sauvignon", None, True), ("Barolo", None, True), ("Prosecco", None, True), ("Barolo Bussia 2021", None, True),
+    ("Marchese Antinori Chianti 2019", None, True), ("Some Random Name", "Red Wine", True), ("House Selection", "By the Glass", True), ("Reserve Blend", "Wine List", True), ("Grand Marnier", None, True),
+    ("Don Julio 1942 Añejo", None, True), ("Mezcal Union Uno Joven", None, True), ("Ketel One Vodka", None, True), ("Bulleit", "Bourbon", True), ("Patron Silver", "Tequila", True), ("Greenport IPA", None, True),
+    ("Brooklyn Lager", None, True), ("6% abv – New York", None, True), ("Stella Artois", "Draft Beer", True), ("Blue Moon", "On Tap", True), ("Vodka Rigatoni", None, False), ("Spicy Shrimp Vodka Rigatoni", None, False),
+    ("Bourbon Glazed Ribs", None, False), ("Baked Eggs Alla Vodka", None, False), ("Tequila Lime Shrimp", None, False), ("Rum Cake", None, False), ("Whiskey Burger", None, False), ("Cabernet Braised Short Ribs", None, False),
+    ("Mezcal Me Maybe", None, False), ("Basil Gimlet", None, False), ("Tequila Sunrise", "Mimosas", False), ("Vodka Martini", None, False), ("Busnel Calvados", None, True), ("Julius Marc de Galilee", None, True),
+    ("Patron Tequila", None, True), ("Vodka Stolichnaya", None, True), ("Gin & Juice Remix", None, False), ("Sandeman Tawny Port", None, True), ("Port Wine Reduction", None, False), ("Marsala Sauce", None, False),
+    ("Sherry Vinegar Glaze", None, False), ("Luxardo Sambuca", None, True), ("Luxardo Sambuca Classico", None, False), ("House Pour", "By the bottle", True), ("Brut Rosé", "Sparkling", True), ("Anything", "Champage Selections", True), ("Night Cap", "After Dinner Menu", True),
+    ("Ruby", "Ports", True), ("Porter House", None, False), ("Cloudy 6.5% ABV", None, True), ("Aperol Spritz", None, False), ("Chicken Curry", None, False), ("Rum Raisin Soft Serve", "Rum Cakes", False), (None, None, False),
 ]
 
 
@@ -78,6 +85,9 @@ JUNK = [
     ("Free Parking", None, None, "junk"), ("Rooftop", None, "pool and gym access", "junk"), ("Sunday", None, None, "junk"), ("French Fries", None, None, "side"), ("Ranch (2 oz)", None, None, "side"),
     ("Side of Rice", None, None, "side"), ("Noodle Refill", None, None, "side"), ("6 pcs", None, None, "side"), ("Lamb Vindaloo", "Cocktails", None, "drink"), ("2019 | Barolo Riserva", None, None, "drink"),
     ("2019 | Merlot", None, None, "drink"), ("Beef Stew", None, "cooked in beer", None), ("Ax", None, None, "junk"), ("Shrimp Boil with " + "a" * 75, None, None, None), ("Call 212-555-0100", None, None, "junk"),
+    ("Key Card", None, None, "junk"), ("Patio Available", None, None, "junk"), ("Happy Hour 5 to 7", None, None, "junk"), ("Plates", None, "we use locally sourced produce", "junk"),
+    ("Notice", None, "consuming raw or undercooked meats", "junk"), ("Hair Dryer", None, None, "junk"), ("Doorman", None, None, "junk"), ("24-hour Desk", None, None, "junk"), ("Near Times Square", None, None, "junk"),
+    ("Sauce Choices", None, "see blackboard", "junk"), ("Kae-dama", None, None, "side"), ("Tonkotsu (Noodle Refill)", None, None, "side"), ("Spare Ribs", None, None, None),
 ]
 
 
@@ -96,7 +106,15 @@ RULES = [  # name, category; food, worth, dish, cocktail, dessert, combo, kids,
     ("Side of Sauce", None, True, False, True, False, False, False, False, False),
     ("http://menu.example", None, False, True, False, False, False, False, False, False),
     ("Large", None, True, False, True, False, False, False, False, False),
-    ("Ketchup", None, True, False, True, False, False, False, False, False),
+    ("Ketchup", None, True, False, False, False, False, False, False, False),
+    ("Ridge Estate Lytton Springs", None, True, True, False, False, False, False, False, False),
+    ("Opus One 2015", None, True, True, False, False, False, False, False, False),
+    ("House Dressing 2 oz", None, True, True, False, False, False, False, False, False),
+    ("Open 11:30 Daily", None, True, True, False, False, False, False, False, False),
+    ("Macallan 12 Year", None, True, True, False, False, False, False, False, False),
+    ("miso black cod with rice", None, True, True, True, False, False, False, False, False),
+    ("Inferno", None, True, True, True, False, False, False, False, False),
+    ("Weekend Brunch Events", None, True, True, False, False, False, False, False, False),
     ("Dinner for 2 Bundle", None, True, True, False, False, False, True, False, False),
     ("Mojito Sorbet", None, True, True, True, True, True, False, False, False),
     ("Gluten Free Option", None, True, False, True, False, False, False, False, False),
@@ -1087,6 +1105,45 @@ def over_limit_minute(spark, sf_dir):
     return ST.over_limit(e, {t: 1 for t in ("click", "view", "error", "signup", "purchase")}).select("start", "route", "n")
 
 
+@query(
+    "kept_requests",
+    """with recursive e as (select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events),
+r as (select event_id, user_id, k, ts as last, true as kept from e where k = 1
+  union all select e.event_id, e.user_id, e.k, case when e.ts >= r.last + interval 6 hour then e.ts else r.last end, e.ts >= r.last + interval 6 hour from r join e on e.user_id = r.user_id and e.k = r.k + 1)
+select event_id, kept from r""",
+)
+def kept_requests(spark, sf_dir):
+    """Of a user's requests, those six hours or more after the last one that counted."""
+    e = FE.load(spark, sf_dir, "events", ["event_id", "user_id", "ts"])
+    return L.first_of_repeats(e, ["user_id"], 6 * 3600, ["event_id"]).select("event_id", "kept")
+
+
+@query(
+    "limited_requests",
+    """with recursive e as (select event_id, user_id, event_type, ts, row_number() over (partition by user_id, event_type order by ts, event_id) as k from events),
+r as (select event_id, user_id, event_type, k, [ts] as times, 0 as in_window, true as admitted, cast(null as double) as retry_after from e where k = 1
+  union all select event_id, user_id, event_type, k, case when len(f) < 2 then list_append(f, ts) else f end, len(f), len(f) < 2,
+    case when len(f) >= 2 then epoch_us(f[1] + interval 12 hour) / 1e6 - epoch_us(ts) / 1e6 end
+  from (select e.*, list_filter(r.times, lambda x: x > e.ts - interval 12 hour) as f from r join e on e.user_id = r.user_id and e.event_type = r.event_type and e.k = r.k + 1))
+select event_id, cast(in_window as int) as in_window, admitted, round(retry_after, 3) as retry_after from r""",
+)
+def limited_requests(spark, sf_dir):
+    """Two requests of a kind in any twelve hours; requests over the limit do not count."""
+    e = FE.load(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "ts"])
+    out = L.admitted(e, ["user_id", "event_type"], F.lit(2), 12 * 3600, ["event_id"])
+    return out.select("event_id", "in_window", "admitted", F.round("retry_after", 3).alias("retry_after"))
+
+
+@query(
+    "trailing_counts",
+    "select event_id, count(*) over (partition by user_id, event_type order by ts range between interval '11:59:59.999999' preceding and current row) as n from events",
+)
+def trailing_counts(spark, sf_dir):
+    """All requests of a kind in the twelve hours up to each."""
+    e = FE.load(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "ts"])
+    return L.trailing_counts(e, ["user_id", "event_type"], 12 * 3600).select("event_id", "n")
+
+
 @query("nearest_by_lists", "select true as recalled, count(*) as n from embeddings")
 def nearest_by_lists(spark, sf_dir):
     """Whether the index finds at least nine of ten of the five nearest vectors of every row."""

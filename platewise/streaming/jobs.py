@@ -27,31 +27,35 @@ def traffic_slots(snapshots: DataFrame) -> DataFrame:
     return out.withColumn("wait", wait_minutes("busyness"))
 
 
-def stream_traffic(stream: DataFrame, path: str, checkpoint: str):
-    """Keep the weekly grid at ``path``: each batch is merged by key, and the newer event time wins.
+BUCKETS = 64  # folders of the stored grid
 
-    Every batch writes a new snapshot ``path/v=N`` for its batch id, so a batch that runs again after a
-    failure replaces its own output only; snapshots before the last two are deleted. The grid has 168 rows
-    a restaurant, whatever the number of snapshots read.
+
+def merge_slots(new: DataFrame, path: str, buckets: int = BUCKETS) -> int:
+    """Merge slots into the grid at ``path`` by key, the newer event time wins; returns how many folders were written.
+
+    The grid lies in folders by hash of the restaurant. A batch reads and writes the folders of its own
+    restaurants only, and merging the same batch again changes nothing.
     """
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64("restaurant_id"), F.lit(buckets)).cast("int")
+    new = new.select("restaurant_id", "dow", "hour", "busyness", "ts").withColumn("bucket", bucket)
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        new = new.unionByName(spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)))
+    last = F.max_by(F.struct("busyness", "ts"), F.struct("ts", "busyness")).alias("s")
+    out = new.groupBy("bucket", "restaurant_id", "dow", "hour").agg(last).select("restaurant_id", "dow", "hour", "s.*", "bucket")
+    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return len(touched)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = traffic_slots(batch).drop("wait")
-        if batch_id > 0:
-            old = spark.read.parquet(f"{path}/v={batch_id - 1}")
-            new = traffic_slots_of(new.unionByName(old))
-        new.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-        if batch_id > 1:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={batch_id - 2}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+def stream_traffic(stream: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
+    """Keep the weekly grid at ``path`` (see :func:`merge_slots`): 168 rows a restaurant, whatever the number of snapshots read."""
 
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        merge_slots(traffic_slots(batch), path, buckets)
 
-def traffic_slots_of(slots: DataFrame) -> DataFrame:
-    last = F.max_by(F.struct("busyness", "ts"), F.struct("ts", "busyness")).alias("s")
-    return slots.groupBy("restaurant_id", "dow", "hour").agg(last).select("restaurant_id", "dow", "hour", "s.*")
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
 
 
 def stream_dedup(stream: DataFrame, key: str, within: str = "10 minutes") -> DataFrame:
@@ -104,11 +108,29 @@ def stream_over_limit(stream: DataFrame, limits: dict[str, int] | None = None, s
     return timed.groupBy("client", "route").applyInPandasWithState(run, schema, "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def feedback_votes(feedback: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Votes of each type per dish in windows of 30 days, a day apart."""
-    df = feedback.withWatermark("created_at", watermark) if watermark else feedback
+def feedback_votes(feedback: DataFrame, days: int = 30) -> DataFrame:
+    """Votes of each type per dish in windows of ``days`` days, a day apart: every window with a vote.
+
+    Votes are added up by dish and day first, so an event is shuffled as part of one row; the days of a
+    dish, then in one task, are dealt to the windows they lie in.
+    """
+    day = F.date_trunc("day", "created_at").alias("day")
+    votes = [F.sum((F.col("feedback_type") == t).cast("int")).alias(t) for t in FEEDBACK_TYPES]
+    daily = feedback.where("created_at is not null").groupBy("dish_id", day).agg(*votes).repartition("dish_id")
+    back = F.explode(F.sequence(F.lit(0), F.lit(days - 1)))
+    start = F.timestamp_add("DAY", F.negative("back"), "day") if hasattr(F, "timestamp_add") else F.expr("day - make_interval(0, 0, 0, back)")
+    placed = daily.withColumn("back", back).withColumn("start", start)
+    rolled = placed.groupBy("dish_id", "start").agg(*[F.sum(t).alias(t) for t in FEEDBACK_TYPES])
+    end = F.expr(f"start + interval {days} days")
+    return rolled.select(F.struct(F.col("start"), end.alias("end")).alias("window"), "dish_id", *FEEDBACK_TYPES)
+
+
+def stream_votes(feedback: DataFrame, watermark: str) -> DataFrame:
+    """The same on a stream: daily votes, then windows over the days."""
     votes = [F.sum((F.col("feedback_type") == t).cast("int")).alias(t) for t in FEEDBACK_TYPES]
-    return df.groupBy(F.window("created_at", "30 days", "1 day"), "dish_id").agg(*votes)
+    daily = feedback.withWatermark("created_at", watermark).groupBy(F.window("created_at", "1 day"), "dish_id").agg(*votes)
+    daily = daily.withColumn("at", F.window_time("window")).drop("window")
+    return daily.groupBy(F.window("at", "30 days", "1 day"), "dish_id").agg(*[F.sum(t).alias(t) for t in FEEDBACK_TYPES])
 
 
 def decisions(votes: DataFrame) -> DataFrame:
@@ -122,5 +144,5 @@ def decisions(votes: DataFrame) -> DataFrame:
 
 def stream_feedback(stream: DataFrame, path: str, checkpoint: str):
     """Append each finished window's decisions to ``path``."""
-    out = decisions(feedback_votes(stream, "1 day"))
+    out = decisions(stream_votes(stream, "1 day"))
     return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()

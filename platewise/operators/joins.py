@@ -93,36 +93,64 @@ def near_duplicate_areas(new: DataFrame, existing: DataFrame, tolerance: float =
     return close.select("id", "old_id").unionByName(named.select("id", "old_id")).distinct()
 
 
-def _grams_met(left: DataFrame, right: DataFrame, grams, share, least_size, block: list[str]) -> DataFrame:
-    """Pairs (l, r, k, ln, rn) of rows whose gram sets can be alike enough, with the number they share.
+SMALL_BLOCK = 1 << 16  # pairs of a block that are compared one by one
+PAIRED = 64  # sets of up to so many grams are found by two grams together
 
-    Both have id and name. Only rare grams are joined: of a set, those left after taking away one less
-    than the shared grams that any alike partner needs (``share`` of its size), counted from the
-    commonest. Alike sets meet in one of them at least. Sizes must fit (``least_size``), and sets are
-    intersected once for each pair that met.
-    """
 
+def _sides(left: DataFrame, right: DataFrame, grams, block: list[str]) -> tuple[DataFrame, DataFrame]:
     def side(df, x):
         return df.select(*[F.col(c).alias(f"b{i}") for i, c in enumerate(block)], F.col("id").alias(x), grams("name").alias(f"{x}g")).where(F.size(f"{x}g") > 0)
 
-    b = [f"b{i}" for i in range(len(block))]
-    a, c = side(left, "l"), side(right, "r")
-    said = a.select(F.explode("lg").alias("g")).unionByName(c.select(F.explode("rg").alias("g")))
-    counts = said.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return side(left, "l"), side(right, "r")
+
 
-    def rare(df, x):
-        each = df.select(x, F.size(f"{x}g").alias("size"), F.explode(f"{x}g").alias("g")).join(counts, "g")
-        w = Window.partitionBy(x).orderBy("n", "g")
-        kept = each.withColumn("at", F.row_number().over(w)).where(F.col("at") <= F.col("size") - share(F.col("size")) + 1)
-        return df.select(*b, x, F.size(f"{x}g").alias(f"{x}n")).join(kept.select(x, "g"), x)
+def _grams_met(a: DataFrame, c: DataFrame, share, least_size, b: list[str]) -> DataFrame:
+    """Pairs (l, r, k, ln, rn) of rows whose gram sets can be alike enough, with the number they share.
 
+    Sides have block columns, an id and its set. Alike sets share ``share`` of either size at least.
+    Grams are put in one order, the rarest first; two sets that share m grams have two of them
+    among the first (size - m + 2) of either, so sets meet by pairs of grams, which are far rarer than
+    grams. Where one shared gram may be enough, and where a set of over ``PAIRED`` grams is concerned, single
+    ones of the first (size - m + 1) are used. Sizes must fit (``least_size``), and sets are
+    intersected once for each pair that met.
+    """
     a, c = a.dropDuplicates(["l"]), c.dropDuplicates(["r"])
-    met = rare(a, "l").join(rare(c, "r"), [*b, "g"])
+    said = a.select(F.explode("lg").alias("g")).unionByName(c.select(F.explode("rg").alias("g")))
+    counts = said.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+    def marked(df, x):
+        each = df.select(*b, x, F.explode(f"{x}g").alias("g")).join(counts, "g")
+        sets = each.groupBy(*b, x).agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("s"))
+        size = F.size("s")
+        most = share(size)
+        singles = F.transform(F.slice("s", F.lit(1), size - most + 1), lambda e: F.xxhash64(e["g"]))
+        few = F.slice("s", F.lit(1), F.least(size, size - most + 2))
+        pairs = F.flatten(F.transform(few, lambda e, i: F.transform(F.slice(few, i + 2, F.size(few)), lambda f: F.xxhash64(e["g"], f["g"]))))
+        none = F.array().cast("array<bigint>")
+        keys = F.concat(F.when((most == 1) | (size >= least_size(F.lit(PAIRED + 1))), singles).otherwise(none), F.when(size <= PAIRED, pairs).otherwise(none))
+        return sets.select(*b, x, size.alias(f"{x}n"), F.explode(keys).alias("key"))
+
+    met = marked(a, "l").join(marked(c, "r"), [*b, "key"])
     met = met.where(least_size(F.greatest("ln", "rn")) <= F.least("ln", "rn")).select("l", "r").distinct()
     both = met.join(a.select("l", "lg"), "l").join(c.select("r", "rg"), "r")
     return both.select("l", "r", F.size(F.array_intersect("lg", "rg")).alias("k"), F.size("lg").alias("ln"), F.size("rg").alias("rn"))
 
 
+def _within_blocks(a: DataFrame, c: DataFrame, least_size, b: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of the small blocks as :func:`_grams_met` has them, and both sides' rows of the others.
+
+    Only blocks with at most ``SMALL_BLOCK`` pairs are compared one by one.
+    """
+    n = a.groupBy(*b).agg(F.count(F.lit(1)).alias("nl")).join(c.groupBy(*b).agg(F.count(F.lit(1)).alias("nr")), b)
+    n = n.withColumn("large", F.col("nl") * F.col("nr") > SMALL_BLOCK)
+    some = n.where("not large").select(*b)
+    ln, rn = F.size("lg"), F.size("rg")
+    met = a.join(some, b).join(c, b).where(least_size(F.greatest(ln, rn)) <= F.least(ln, rn))
+    met = met.select("l", "r", F.size(F.array_intersect("lg", "rg")).alias("k"), ln.alias("ln"), rn.alias("rn"))
+    large = n.where("large").select(*b)
+    return met, a.join(large, b, "left_semi"), c.join(large, b, "left_semi")
+
+
 def dice_join(left: DataFrame, right: DataFrame, threshold: float, block: list[str] | None = None) -> DataFrame:
     """Pairs of names whose bigram Dice coefficient is above ``threshold``.
 
@@ -132,7 +160,13 @@ def dice_join(left: DataFrame, right: DataFrame, threshold: float, block: list[s
     """
     part = max(threshold, 0.0) / (2 - max(threshold, 0.0))
     floor = lambda n: F.greatest(F.lit(1), F.ceil(n * part - 1e-9)).cast("int")
-    met = _grams_met(left, right, T.bigrams, floor, floor, block or [])
+    a, c = _sides(left, right, T.bigrams, block or [])
+    b = [f"b{i}" for i in range(len(block or []))]
+    if b:
+        near, a, c = _within_blocks(a, c, floor, b)
+        met = near.unionByName(_grams_met(a, c, floor, floor, b))
+    else:
+        met = _grams_met(a, c, floor, floor, b)
     met = met.withColumn("score", 2.0 * F.col("k") / (F.col("ln") + F.col("rn"))).where(F.col("score") > threshold)
     return met.select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), "score")
 
@@ -171,7 +205,7 @@ def similar_names(df: DataFrame, queries: DataFrame, threshold: float = 0.2, n:
         far = haversine("lat", "lng", F.lit(lat), F.lit(lng))
         df = df.where(far.isNull() | (far <= miles))
     floor = lambda size: F.greatest(F.lit(1), F.ceil(size * threshold - 1e-9)).cast("int")
-    met = _grams_met(queries, df, T.trigrams, floor, floor, [])
+    met = _grams_met(*_sides(queries, df, T.trigrams, []), floor, floor, [])
     met = met.select(F.col("l").alias("query_id"), F.col("r").alias("row_id"), (F.col("k") / (F.col("ln") + F.col("rn") - F.col("k"))).alias("score")).where(F.col("score") > threshold)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "row_id")
     return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("query_id", "row_id", "score", "place")

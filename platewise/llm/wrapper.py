@@ -59,10 +59,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CHROME_TAGS = frozenset("nav footer aside form button select menu dialog head input".split())
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner banners cookie cookies consent gdpr notice notices alert sidebar aside menu menus nav navbar navigation breadcrumb "
-    "breadcrumbs footer header masthead topbar comment comments commentlist reply replies respond discussion disqus related recommended share sharing social promo promotion sponsor "
+    "breadcrumbs footer header masthead topbar comment comments commentlist reply replies respond discussion disqus related recommended discuss discussions responses commentaires comentarios kommentare share sharing social promo promotion sponsor "
     "sponsored newsletter subscribe subscription signup popup modal overlay widget widgets toolbar pagination pager login search skip hidden".split()
 )
-OTHERS = frozenset("comment comments commentlist reply replies respond discussion disqus related recommended".split())  # texts that vary and are not the page's
+OTHERS = frozenset("comment comments commentlist reply replies respond discuss discussion discussions responses disqus commentaires comentarios kommentare related recommended".split())  # texts that vary and are not the page's
 MAIN_WORDS = frozenset("main content article post entry story maincontent articlebody".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = frozenset("p ul ol dl table blockquote pre li dt dd tr td th".split()) | HEADINGS  # hold text, not content
@@ -73,7 +73,6 @@ MAX_DEPTH = 64
 MAX_CHILDREN = 48
 MOST = 0.5  # of the varying text, that the content holds
 MOST_OF_ALL = 0.7  # of all text, where nothing varies
-SURE = 4  # pages on which a text is the same before it counts as constant
 
 VARIES = "*"
 
@@ -314,6 +313,9 @@ class Host:
                 break
         self.records: set[int] = set()
         self._find_records(root, 0)
+        self.outside: set[int] = set()
+        if self.known:
+            self._find_outside(root)
 
     def _weigh(self, fit: Node, shut: bool) -> None:
         if self.names and not shut:
@@ -324,6 +326,17 @@ class Host:
         for c in fit.children:
             self._weigh(c, shut)
 
+    def _all(self, fit: Node) -> int:
+        return fit.weight + fit.linked + sum(map(self._all, fit.children))
+
+    def _find_outside(self, fit: Node) -> int:
+        """Marks constant parts before and behind the run of parts that vary, where that is most of the text; returns what varies."""
+        varies = list(map(self._find_outside, fit.children))
+        run = [i for i, v in enumerate(varies) if v]
+        if run and sum(varies) > MOST * self._all(fit):
+            self.outside |= {id(c) for i, c in enumerate(fit.children) if not run[0] <= i <= run[-1] and self.is_constant(c)}
+        return self.mass[id(fit)] + sum(varies)
+
     def _first_slot(self, fit: Node) -> Node | None:
         if fit.text is not None:
             return fit
@@ -347,11 +360,18 @@ class Host:
         return before
 
     def is_constant(self, fit: Node) -> bool:
-        """The same on enough pages, with nothing below it that varies; headings may agree."""
-        if fit.seen < SURE or fit.tag in HEADINGS or fit.text == VARIES:
+        """The same on all pages that have it, more than one, with nothing below it that varies; headings may agree."""
+        if fit.seen < 2 or fit.tag in HEADINGS or fit.text == VARIES:
             return False
         return all(map(self.is_constant, fit.children))
 
+    def is_menu(self, fit: Node) -> bool:
+        """A constant part whose text is in links for the most part."""
+        return self.is_constant(fit) and 2 * self._linked(fit) > self._all(fit)
+
+    def _linked(self, fit: Node) -> int:
+        return fit.linked + sum(map(self._linked, fit.children))
+
 
 class Fit:
     """A page fitted to its host's wrapper: which of its parts are content."""
@@ -411,11 +431,11 @@ class Fit:
                 todo.extend(fit.children)
         return out
 
-    def _is_shut(self, node: Node, inside: bool, loose: bool) -> bool:
+    def _is_shut(self, node: Node, inside: bool, loose: bool, article: bool = False) -> bool:
         fit = node.fit
         if fit is not None and id(fit) in self.host.records:
             return True
-        if inside and fit is not None and self.host.known and self.host.is_constant(fit):
+        if inside and fit is not None and self.host.known and (id(fit) in self.host.outside and not (article and self.names) or self.host.is_menu(fit)):
             return True
         if not self.names:
             return False
@@ -498,7 +518,7 @@ class Fit:
                 continue
             flush()
             article_below = not article and bool(_chrome_words(part.label, True)) and bool(self._find(part, _is_article, loose=True))
-            if not self._is_shut(part, True, loose or article_below):
+            if not self._is_shut(part, True, loose or article_below, article):
                 self._walk(part, loose, article, blocks)
         flush()
 

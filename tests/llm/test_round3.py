@@ -259,3 +259,92 @@ def test_resample_stretches(monkeypatch):
     parts = list(resample.buckets(text, lengths=3))
     assert len(parts) > 10 and sum(n for n, _ in parts) == 500
     assert sorted(np.concatenate([f for _, f in parts]).tolist()) == sorted(whole.tolist())
+
+
+ARTICLE = "<html><body><nav><a href=/>Home</a></nav>{}<footer>© all of us</footer></body></html>"
+
+
+def main_texts(pages):
+    from functools import reduce
+
+    from platewise.llm import wrapper
+
+    host = wrapper.Host(reduce(wrapper.merge, [wrapper.skeleton(wrapper.tree(p)) for p in pages]))
+    return [wrapper.Fit(wrapper.tree(p), host).text() for p in pages]
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 6])
+def test_wrapper_keeps_constant_article_text(n):
+    quote = [ARTICLE.format(f"<article><h1>T{i}</h1><p>Text {'abc ' * i} of page {i}.</p><blockquote>Note for all readers here.</blockquote></article>") for i in range(n)]
+    assert main_texts(quote) == [f"T{i}\nText {'abc ' * i} of page {i}.\nNote for all readers here.".replace("  ", " ") for i in range(n)]
+    body = "<p>The same long body on every page.</p><p>And its second paragraph.</p>"
+    for box in ("<article><h1>Title {}</h1>{}</article>", "<div><h1>Title {}</h1>{}</div>"):
+        pages = [ARTICLE.format(box.format(i, body)) for i in range(n)]
+        assert main_texts(pages) == [f"Title {i}\nThe same long body on every page.\nAnd its second paragraph." for i in range(n)]
+
+
+def test_wrapper_cuts_comments_and_menus_inside_the_part():
+    pages = [
+        ARTICLE.format(
+            f"<div><div><a href=/a>First</a> <a href=/b>Second</a></div><h1>T{i}</h1><p>Body {'xyz ' * (i + 9)}{i}.</p><section class=discuss><div><span>Ann</span> I liked {i}</div><div><span>Bob</span> So did I {i}</div></section></div>"
+        )
+        for i in range(6)
+    ]
+    assert main_texts(pages) == [f"T{i}\nBody {'xyz ' * (i + 9)}{i}." for i in range(6)]
+
+
+@needs_tables
+def test_op9_equals_a_plain_reading_of_article_elements(spark):
+    """Against another extractor: the article element, its blocks by tags, without what HTML sets apart."""
+    from html.parser import HTMLParser
+
+    blocks = "p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre div section article table tr td th dl dt dd header".split()
+    skipped = "script style nav footer aside form noscript template svg iframe button select".split()
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.now, self.inside, self.shut = [], "", 0, []
+
+        def flush(self):
+            text = " ".join(self.now.split())
+            if text:
+                self.out.append(text)
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            words = set(re.findall("[a-z]+", (dict(attrs).get("class") or "").lower()))
+            if self.shut or tag in skipped or words & {"ad", "ads", "comments", "comment", "share", "related", "promo", "newsletter"}:
+                if tag not in ("br", "img", "hr", "input", "meta", "link"):
+                    self.shut.append(tag)
+                return
+            if tag in blocks:
+                self.flush()
+            if tag == "br":
+                self.now += " "
+            self.inside += tag == "article"
+
+        def handle_endtag(self, tag):
+            if self.shut:
+                if tag in self.shut:
+                    while self.shut.pop() != tag:
+                        pass
+                return
+            if tag in blocks:
+                self.flush()
+            if tag == "article":
+                self.inside -= 1
+
+        def handle_data(self, data):
+            if self.inside and not self.shut:
+                self.now += data
+
+    got = {r.page_id: r.text for r in registered.QUERIES["op9_wrapper"](spark, SMALL).collect()}
+    pages = pd.read_parquet(f"{SMALL}/pages.parquet")
+    same = 0
+    for i, page in zip(pages.page_id, pages.html):
+        reader = Reader()
+        reader.feed(page or "")
+        reader.flush()
+        same += got[i] == "\n".join(reader.out)
+    assert len(got) == len(pages) and same >= 0.98 * len(pages)

@@ -348,3 +348,41 @@ def test_op9_equals_a_plain_reading_of_article_elements(spark):
         reader.flush()
         same += got[i] == "\n".join(reader.out)
     assert len(got) == len(pages) and same >= 0.98 * len(pages)
+
+
+def test_decontam_items_need_no_dense_matrix():
+    """A block of real size: sparse products equal dense ones, within a small part of the dense matrix's memory."""
+    import tracemalloc
+
+    from platewise.llm import decontam
+
+    rng = np.random.default_rng(2)
+    few = decontam.Items([(i, " ".join(f"w{k}" for k in rng.integers(0, 60, 9))) for i in range(20)])
+    dense = np.zeros((20, len(few.terms)))
+    for r, (at, tf) in enumerate(few.rows()):
+        dense[r, at] = tf
+    idf, w = rng.random(len(few.terms)), rng.standard_normal((len(few.terms), 5))
+    rows = dense * idf / np.linalg.norm(dense * idf, axis=1, keepdims=True)
+    assert np.allclose(few.times(w), dense @ w) and np.allclose(few.turned(few.times(w, idf), idf), rows.T @ (rows @ w))
+    items = decontam.Items([(i, " ".join(f"w{k}" for k in rng.integers(0, 50_000, 32))) for i in range(4096)])
+    assert len(items.terms) > 40_000
+    tracemalloc.start()
+    w = np.ones((len(items.terms), 112))
+    decontam.Block(items, np.ones(len(items.terms)), w[:, :96])
+    items.turned(items.times(w, np.ones(len(items.terms))), np.ones(len(items.terms)))
+    assert tracemalloc.get_traced_memory()[1] < 250e6
+    tracemalloc.stop()
+
+
+@needs_tables
+def test_op8_finds_items_that_documents_hold(spark):
+    """Every item that stands word for word in a document of the given tables is found there."""
+    from platewise.llm.decontam import words
+
+    sf = SMALL.replace("0.001", "0.01")
+    docs, items = (pd.read_parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    texts = {i: b" " + b" ".join(words(t)) + b" " for i, t in zip(docs.doc_id, docs.text)}
+    held = {(d, i) for i, t in zip(items.item_id, items.text) for d, x in texts.items() if words(t) and b" " + b" ".join(words(t)) + b" " in x}
+    got = {(r.doc_id, r.item_id) for r in registered.QUERIES["op8_decontam"](spark, sf).collect()}
+    assert held and len(held & got) >= 0.98 * len(held)
+    print(len(held), len(held & got), len(got))

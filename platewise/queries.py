@@ -18,9 +18,11 @@ from platewise.operators import safety as S
 from platewise.operators import sinks as K
 from platewise.plans import nutrition as NU
 from platewise.plans import search as SE
+from platewise.plans import text_index as TI
 from platewise.sources import feeds as FE
 from platewise.sources import menus as M
 from platewise.sources.bindings import BINDINGS, bound, with_flags, with_sql
+from platewise.sources.stored import stored_path
 from platewise.streaming import jobs as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,6 +241,27 @@ def token_search(spark, sf_dir):
     return SE.token_search(docs, "hation the", {"text": 1.0}, "doc_id", 1 << 30).select("doc_id", F.lit(1).alias("hit"))
 
 
+def documents_index(spark, sf_dir):
+    """The stored index of all documents' texts."""
+    path = stored_path(spark, "text-index", sf_dir)
+    TI.build(FE.load(spark, sf_dir, "documents", ["doc_id", "text"]), ["text"], "doc_id", path, 32)
+    return path
+
+
+@query("indexed_search", r"""select doc_id, 1 as hit from documents where regexp_matches(lower(text), '(^|[^\p{L}\p{N}])hation(s|e|es|ed|er|ers|ing|ings|ly|al)?([^\p{L}\p{N}]|$)')""")
+def indexed_search(spark, sf_dir):
+    """The same request as ``token_search``, answered from the stored index."""
+    out = TI.search(spark, documents_index(spark, sf_dir), "hation the", [1.0], 1 << 30, 32)
+    return out.select(F.col("key").alias("doc_id"), F.lit(1).alias("hit"))
+
+
+@query("indexed_phrase", r"""select doc_id, 1 as hit from documents where regexp_matches(lower(text), '(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+the([^\p{L}\p{N}]|$)') and not regexp_matches(lower(text), '(^|[^\p{L}\p{N}])on([^\p{L}\p{N}]|$)')""")
+def indexed_phrase(spark, sf_dir):
+    """English leaves these words out, so they are sought as they are."""
+    out = TI.search(spark, documents_index(spark, sf_dir), '"of the" -on', [1.0], 1 << 30, 32)
+    return out.select(F.col("key").alias("doc_id"), F.lit(1).alias("hit"))
+
+
 @query(
     "similar_dishes",
     with_sql("dishes", "restaurants")

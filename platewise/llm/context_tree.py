@@ -12,14 +12,14 @@ The tree follows from the counts of byte (depth + 1)-grams, and a text's score n
 of its own grams only:
 
 1. One pass over the texts packs them into parts of ``PART_BYTES``, wherever they come from, and
-   writes for each part its texts, its distinct grams with their counts in learning texts, and its
-   distinct words. Grams are dealt into ``REGIONS`` by the last two bytes of their context, so that a
-   region holds whole subtrees.
-2. Grams are folded by region as a stream: the whole corpus' counts, with no grams left out.
+   writes for each part its texts, and its distinct grams and words with their counts in learning
+   texts. Grams are dealt into ``REGIONS`` by the last two bytes of their context, so that a region
+   holds whole subtrees; words by hash.
+2. Grams and words are folded by region as a stream: the whole corpus' counts, with none left out.
 3. Each region sends its subtrees' weighted probabilities up. Depths 0 and 1 have at most 256 x 256
    nodes; only these meet on the driver, and go out to all regions, which then know the code lengths.
-4. Each part gets the code lengths of its grams and the counts of its words back by equi-joins, and
-   sums them for its texts. A region that many parts ask is dealt by salt.
+4. Each part gets the code lengths of its grams and the counts of its words back from their regions,
+   and sums them for its texts. A region that many parts ask is dealt by salt.
 
 Defined results: a null or empty text is the end mark alone; a row with a null id is scored and
 learned from; repeated rows are scored and learned from each time; without learning texts every bit
@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -47,13 +48,14 @@ REGIONS = 1024
 PART_BYTES = 16 << 20
 STRETCH = 1 << 20
 CHUNK = 2 << 20  # bytes whose grams are sorted at a time
-ASKED_BYTES = 32 << 20  # grams that a region looks up at a time
+ASKED_BYTES = 32 << 20  # keys that a region looks up at a time
 FOLD = 1 << 21  # grams that a fold holds before it adds them up
 END = b"\xff"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HALF = math.log(0.5)
 
-PARTS = "part bigint, kind string, doc_id bigint, held_out boolean, body binary, region int, grams binary, counts binary, word binary, n bigint"
+PARTS = "part bigint, kind string, doc_id bigint, held_out boolean, body binary, region int, keys binary, counts binary"
+ANSWERS = "part bigint, kind string, keys binary, values binary"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
 
 
@@ -107,16 +109,15 @@ def region_of(grams: np.ndarray) -> np.ndarray:
     return (((pair * np.uint64(40503)) & np.uint64(0xFFFF)) % np.uint64(REGIONS)).astype(np.uint16)
 
 
-def by_region(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of sorted grams by region, the regions, and where each begins."""
-    region = region_of(grams)
+def by_region(region: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of keys by their regions, the regions, and where each begins."""
     order = np.argsort(region, kind="stable")
     names, starts = np.unique(region[order], return_index=True)
-    return order, names, starts
+    return order, names.astype(np.int32), starts
 
 
 def packed(docs: DataFrame, depth: int) -> DataFrame:
-    """Rows of PARTS: texts, grams and words of every part."""
+    """Rows of PARTS: texts of every part, and by region the grams (eight bytes each) and words (with spaces between) in them."""
     names = [f.split()[0] for f in PARTS.split(", ")]
     types = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "int": pa.int32()}
     schema = pa.schema([(n, types[f.split()[1]]) for n, f in zip(names, PARTS.split(", "))])
@@ -136,9 +137,9 @@ def packed(docs: DataFrame, depth: int) -> DataFrame:
                 found.append(g)
                 counts.append(n * (not held))
         grams, n = added(found, counts)
-        order, regions, starts = by_region(grams)
+        order, regions, starts = by_region(region_of(grams))
         g, n = np.split(grams[order], starts[1:]), np.split(n[order].astype(np.uint32), starts[1:])
-        yield rows(len(g), part=[part] * len(g), kind=["grams"] * len(g), region=regions.astype(np.int32), grams=[x.tobytes() for x in g], counts=[x.tobytes() for x in n])
+        yield rows(len(g), part=[part] * len(g), kind=["grams"] * len(g), region=regions, keys=[x.tobytes() for x in g], counts=[x.tobytes() for x in n])
         words: Counter[bytes] = Counter()
         for _, held, body in docs:
             if held:
@@ -146,10 +147,10 @@ def packed(docs: DataFrame, depth: int) -> DataFrame:
             else:
                 words.update(body.split(b" "))
         words.pop(b"", None)
-        listed = list(words.items())
-        for i in range(0, len(listed), 1 << 16):
-            some = listed[i : i + (1 << 16)]
-            yield rows(len(some), part=[part] * len(some), kind=["word"] * len(some), word=[w for w, _ in some], n=[n for _, n in some])
+        listed, n = list(words), np.fromiter(words.values(), np.uint32, len(words))
+        order, regions, starts = by_region(np.fromiter(map(crc32, listed), np.int64, len(listed)) % REGIONS)
+        w, n = np.split(order, starts[1:]), np.split(n[order], starts[1:])
+        yield rows(len(regions), part=[part] * len(regions), kind=["words"] * len(regions), region=regions, keys=[b" ".join(map(listed.__getitem__, x.tolist())) for x in w[: len(regions)]], counts=[x.tobytes() for x in n[: len(regions)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -168,35 +169,40 @@ def packed(docs: DataFrame, depth: int) -> DataFrame:
     return docs.mapInArrow(run, PARTS)
 
 
-def folded(grams: DataFrame) -> DataFrame:
-    """(region, grams, counts): sums over all parts."""
-    schema = "region int, grams binary, counts binary"
+def folded(asked: DataFrame) -> DataFrame:
+    """(kind, region, keys, counts, total, learned): sums over all parts, and the number of keys that occur in learning texts."""
+    schema = "kind string, region int, keys binary, counts binary, total bigint, learned bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        region, found, counts, held = None, [], [], 0
+        at, found, counts, held, words = None, [], [], 0, Counter()
 
         def out():
-            g, n = added(found, counts)
-            return pd.DataFrame([(region, g.tobytes(), n.tobytes())], columns=["region", "grams", "counts"])
+            keys, n = (b" ".join(words), np.fromiter(words.values(), np.int64, len(words))) if words else added(found, counts)
+            return pd.DataFrame([(*at, keys if words else keys.tobytes(), n.tobytes(), int(n.sum()), int((n > 0).sum()))], columns=[f.split()[0] for f in schema.split(", ")])
 
         for pdf in batches:
-            for r, g, n in zip(pdf.region, pdf.grams, pdf.counts):
-                if r != region:
-                    if found:
+            for kind, r, keys, n in zip(pdf.kind, pdf.region, pdf["keys"], pdf.counts):
+                if (kind, r) != at:
+                    if at is not None:
                         yield out()
-                    region, found, counts, held = r, [], [], 0
-                found.append(np.frombuffer(g, np.uint64))
-                counts.append(np.frombuffer(n, np.uint32).astype(np.int64))
-                held += len(found[-1])
+                    at, found, counts, held, words = (kind, r), [], [], 0, Counter()
+                n = np.frombuffer(n, np.uint32).astype(np.int64)
+                if kind == "words":
+                    words.update(dict(zip(keys.split(b" "), n.tolist())))
+                    continue
+                found.append(np.frombuffer(keys, np.uint64))
+                counts.append(n)
+                held += len(n)
                 if held >= FOLD + 2 * len(found[0]):
                     g, n = added(found, counts)
                     found, counts, held = [g], [n], len(g)
-        if found:
+        if at is not None:
             yield out()
-        found, counts = [], []
+        found, counts, words = [], [], None
         release()
 
-    return grams.select("region", "grams", "counts").repartition("region").sortWithinPartitions("region").mapInPandas(run, schema)
+    by = ["kind", "region"]
+    return asked.select(*by, "keys", "counts").repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -243,7 +249,7 @@ def top_of(model: DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((3, 1 << 16))
         for pdf in batches:
-            for g, n in zip(pdf.grams, pdf.counts):
+            for g, n in zip(pdf["keys"], pdf.counts):
                 g, n = np.frombuffer(g, np.uint64), np.frombuffer(n, np.int64)
                 for bit in range(8):
                     found, keys, log_w = levels(g, n, bit, depth)
@@ -303,33 +309,40 @@ class Lookup:
 
 
 def code_lengths(model: DataFrame, depth: int) -> DataFrame:
-    """(region, known, logs): every gram of the corpus with its log10 probability."""
+    """(kind, region, keys, values): every gram of the corpus with its log10 probability."""
     top = model.sparkSession.sparkContext.broadcast(top_of(model, depth))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r, g, n in zip(pdf.region, pdf.grams, pdf.counts):
+            for r, g, n in zip(pdf.region, pdf["keys"], pdf.counts):
                 logs = log_probabilities(np.frombuffer(g, np.uint64), np.frombuffer(n, np.int64), top.value, depth)
-                yield pd.DataFrame([(r, g, logs.tobytes())], columns=["region", "known", "logs"])
+                yield pd.DataFrame([("grams", r, g, logs.tobytes())], columns=["kind", "region", "keys", "values"])
         release()
 
-    return model.mapInPandas(run, "region int, known binary, logs binary")
+    return model.mapInPandas(run, "kind string, region int, keys binary, values binary")
 
 
 def answered(asked: DataFrame, known: DataFrame, salts: int) -> DataFrame:
-    """(part, region, logs) for the grams that each part asks of each region."""
-    asked = asked.select("part", "region", "grams", F.pmod(F.xxhash64("part"), F.lit(salts)).cast("int").alias("salt"))
+    """Rows of ANSWERS: what is known of the keys that each part asks of each region."""
+    asked = asked.select("part", "kind", "region", "keys", F.pmod(F.xxhash64("part"), F.lit(salts)).cast("int").alias("salt"))
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def run(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        if len(known):
-            grams, logs = np.frombuffer(known.known[0], np.uint64), np.frombuffer(known.logs[0])
-            for part, region, g in zip(asked.part, asked.region, asked.grams):
-                rows.append((part, region, logs[np.searchsorted(grams, np.frombuffer(g, np.uint64))].astype(np.float32).tobytes()))
-        return pd.DataFrame(rows, columns=["part", "region", "logs"])
-
-    return asked.groupBy("region", "salt").cogroup(known.groupBy("region", "salt")).applyInPandas(run, "part bigint, region int, logs binary")
+        if len(asked) and asked.kind[0] == "words":
+            counts = dict(zip(known["keys"][0].split(b" "), np.frombuffer(known["values"][0], np.int64).tolist()))
+            for part, words in zip(asked.part, asked["keys"]):
+                found = map(counts.__getitem__, words.split(b" "))
+                rows.append((part, "words", words, np.fromiter(found, np.int64).tobytes()))
+        elif len(asked):
+            grams, logs = np.frombuffer(known["keys"][0], np.uint64), np.frombuffer(known["values"][0])
+            for part, keys in zip(asked.part, asked["keys"]):
+                found = logs[np.searchsorted(grams, np.frombuffer(keys, np.uint64))]
+                rows.append((part, "grams", keys, found.astype(np.float32).tobytes()))
+        return pd.DataFrame(rows, columns=["part", "kind", "keys", "values"])
+
+    by = ["kind", "region", "salt"]
+    return asked.groupBy(*by).cogroup(known.groupBy(*by)).applyInPandas(run, ANSWERS)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -345,17 +358,17 @@ def summed(texts: DataFrame, answers: DataFrame, n_tokens: int, n_words: int, n_
 
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         bodies = texts.body.tolist()
-        asked = answers[answers.region.notna()].sort_values("region")
-        grams = np.unique(np.concatenate([np.unique(grams_of(p, depth)[0]) for p in stretches(bodies, depth)]))
-        logs = np.empty(len(grams), np.float32)
-        logs[by_region(grams)[0]] = np.frombuffer(b"".join(asked.logs), np.float32)
-        look = Lookup(grams, logs)
+        told = {kind: answers[answers.kind == kind] for kind in ("grams", "words")}
+        grams = np.frombuffer(b"".join(told["grams"]["keys"]), np.uint64)
+        logs = np.frombuffer(b"".join(told["grams"]["values"]), np.float32)
+        order = np.argsort(grams)
+        look = Lookup(grams[order], logs[order])
         score = np.zeros(len(bodies))
         for pieces in stretches(bodies, depth):
             g, first = grams_of(pieces, depth)
             np.add.at(score, [k for k, _ in pieces], np.add.reduceat(look(g).astype(float), first))
-        words = answers[answers.region.isna()]
-        worth = {w: share(int(n)) for w, n in zip(words.word, words.n)}
+        counts = np.frombuffer(b"".join(told["words"]["values"]), np.int64)
+        worth = {w: share(n) for w, n in zip(b" ".join(told["words"]["keys"]).split(b" "), counts.tolist()) if n}
         end, unknown = share(n_texts), share(0)
         rows = []
         for i, held, body, s in zip(texts.doc_id, texts.held_out, bodies, score):
@@ -375,22 +388,18 @@ def score(docs: DataFrame, held: Column | None = None, depth: int = DEPTH) -> Da
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (held_out() if held is None else held).alias("held_out"), F.col("text").cast("string").alias("text"))
     parts, path = keep(packed(rows, depth), "parts", "zstd")
-    grams = parts.where("kind = 'grams'")
-    model, model_path = keep(folded(grams), "counts")
-    words = parts.where("kind = 'word'")
-    counts, counts_path = keep(words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "words")
+    asked = parts.where("kind <> 'text'")
+    counts, counts_path = keep(folded(asked), "counts")
     texts = parts.where("kind = 'text'").select("part", "doc_id", "held_out", "body")
     n_texts = texts.where("not held_out").count()
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    asked_bytes = grams.groupBy("region").agg(F.sum(F.octet_length("grams")).alias("b")).agg(F.max("b")).first()[0] or 0
+    words = counts.where("kind = 'words'")
+    n, v = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
+    asked_bytes = asked.groupBy("kind", "region").agg(F.sum(F.octet_length("keys")).alias("b")).agg(F.max("b")).first()[0] or 0
     drop(spark)  # shuffle files of the steps so far
-    logs = answered(grams, code_lengths(model, depth), 1 + asked_bytes // ASKED_BYTES)
-    known = words.select("part", "word").join(counts, "word")
-    answers = logs.select("part", "region", "logs", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("bigint").alias("n")).unionByName(
-        known.select("part", F.lit(None).cast("int").alias("region"), F.lit(None).cast("binary").alias("logs"), "word", "n")
-    )
+    known = code_lengths(counts.where("kind = 'grams'"), depth).unionByName(words.select("kind", "region", "keys", F.col("counts").alias("values")))
+    answers = answered(asked, known, 1 + asked_bytes // ASKED_BYTES)
     out, _ = keep(summed(texts, answers, n + n_texts, v + (n_texts > 0), n_texts, depth), "scores")
-    drop(spark, path, model_path, counts_path)
+    drop(spark, path, counts_path)
     return out
 
 

@@ -55,7 +55,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HALF = math.log(0.5)
 
 PARTS = "part bigint, kind string, doc_id bigint, held_out boolean, body binary, region int, keys binary, counts binary"
-ANSWERS = "part bigint, kind string, keys binary, values binary"
+ANSWERS = "part bigint, kind string, region int, keys binary, values binary"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
 
 
@@ -323,7 +323,10 @@ def code_lengths(model: DataFrame, depth: int) -> DataFrame:
 
 
 def answered(asked: DataFrame, known: DataFrame, salts: int) -> DataFrame:
-    """Rows of ANSWERS: what is known of the keys that each part asks of each region."""
+    """Rows of ANSWERS: what is known of the keys that each part asks of each region.
+
+    Grams do not travel back: a part has the same ones again, in the same order, from its texts.
+    """
     asked = asked.select("part", "kind", "region", "keys", F.pmod(F.xxhash64("part"), F.lit(salts)).cast("int").alias("salt"))
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
@@ -331,15 +334,15 @@ def answered(asked: DataFrame, known: DataFrame, salts: int) -> DataFrame:
         rows = []
         if len(asked) and asked.kind[0] == "words":
             counts = dict(zip(known["keys"][0].split(b" "), np.frombuffer(known["values"][0], np.int64).tolist()))
-            for part, words in zip(asked.part, asked["keys"]):
+            for part, region, words in zip(asked.part, asked.region, asked["keys"]):
                 found = map(counts.__getitem__, words.split(b" "))
-                rows.append((part, "words", words, np.fromiter(found, np.int64).tobytes()))
+                rows.append((part, "words", region, words, np.fromiter(found, np.int64).tobytes()))
         elif len(asked):
             grams, logs = np.frombuffer(known["keys"][0], np.uint64), np.frombuffer(known["values"][0])
-            for part, keys in zip(asked.part, asked["keys"]):
+            for part, region, keys in zip(asked.part, asked.region, asked["keys"]):
                 found = logs[np.searchsorted(grams, np.frombuffer(keys, np.uint64))]
-                rows.append((part, "grams", keys, found.astype(np.float32).tobytes()))
-        return pd.DataFrame(rows, columns=["part", "kind", "keys", "values"])
+                rows.append((part, "grams", region, None, found.astype(np.float32).tobytes()))
+        return pd.DataFrame(rows, columns=["part", "kind", "region", "keys", "values"])
 
     by = ["kind", "region", "salt"]
     return asked.groupBy(*by).cogroup(known.groupBy(*by)).applyInPandas(run, ANSWERS)
@@ -358,11 +361,11 @@ def summed(texts: DataFrame, answers: DataFrame, n_tokens: int, n_words: int, n_
 
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         bodies = texts.body.tolist()
-        told = {kind: answers[answers.kind == kind] for kind in ("grams", "words")}
-        grams = np.frombuffer(b"".join(told["grams"]["keys"]), np.uint64)
-        logs = np.frombuffer(b"".join(told["grams"]["values"]), np.float32)
-        order = np.argsort(grams)
-        look = Lookup(grams[order], logs[order])
+        told = {kind: answers[answers.kind == kind].sort_values("region") for kind in ("grams", "words")}
+        grams = np.unique(np.concatenate([np.unique(grams_of(p, depth)[0]) for p in stretches(bodies, depth)]))
+        logs = np.empty(len(grams), np.float32)
+        logs[by_region(region_of(grams))[0]] = np.frombuffer(b"".join(told["grams"]["values"]), np.float32)
+        look = Lookup(grams, logs)
         score = np.zeros(len(bodies))
         for pieces in stretches(bodies, depth):
             g, first = grams_of(pieces, depth)

@@ -15,6 +15,9 @@ from platewise.functions.categories import likely_food
 # Tags and bounds of menus.
 DIET_MARKS = {"vegan": r"\(vg\)|\bvegan\b|🌱", "vegetarian": r"\(v\)|\bvegetarian\b|🥬", "gluten_free": r"\(gf\)|gluten[ -]?free", "dairy_free": r"\(df\)|dairy[ -]?free", "nut_free": r"\(nf\)|nut[ -]?free", "halal": r"\bhalal\b", "kosher": r"\bkosher\b", "spicy": r"🌶|\bspicy\b"}
 BOUNDS = {"calories": (20, 3000), "protein": (0, 200), "carbs": (0, 400), "fat": (0, 200)}
+ENTRY_TAGS = ("li", "tr", "dt")
+ENTRY_CLASS = "menu-item|dish|food-item"
+IMPLIED_ENDS = {"li": ("li", "ul", "ol"), "tr": ("tr", "table"), "dt": ("dt", "dl"), "dd": ("dt", "dl")}
 ITEM = "struct<name:string,description:string,price:string,category:string>"
 OFFER = "offers:struct<price:string>"
 LD_ITEM = f"struct<name:string,description:string,{OFFER}>"
@@ -136,15 +139,90 @@ def menu_annotations(pages: DataFrame) -> DataFrame:
     return out.select("page_id", F.array_distinct(marks).alias("legend"), *[bounded(c, p) for c, p in unit.items()])
 
 
+class _Entries(HTMLParser):
+    """List entries, table rows and elements of a menu-item class, each with the text that is its own."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.stack, self.text = [], [], []
+
+    def _entry(self):
+        return next((x[1] for x in reversed(self.stack) if x[1] is not None), None)
+
+    def handle_starttag(self, tag, attrs):
+        self.text.append(" ")
+        if tag in ("br", "img", "hr", "meta", "link", "input", "wbr"):
+            return
+        cls = (dict(attrs).get("class") or "").lower()
+        if tag in IMPLIED_ENDS:  # the entry before ends where the next one begins
+            around = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] in IMPLIED_ENDS[tag]), None)
+            if around is not None and self.stack[around][0] in ENTRY_TAGS:
+                self._close(around)
+        entry = self._entry()
+        if entry and tag in ("td", "th", "dd"):
+            entry["naming"] = False
+        entry = None
+        if tag in ENTRY_TAGS or (tag in ("div", "article", "section") and re.search(ENTRY_CLASS, cls)):
+            outer = self._entry()
+            if outer:
+                outer["naming"] = False
+            entry = {"from": len(self.text), "name": None, "naming": False}
+        self.stack.append((tag, entry))
+        entry = entry or self._entry()
+        if entry and entry["name"] is None and (tag in ("h3", "h4") or re.search("name|title", cls)):
+            entry["name"], entry["naming"] = [], True
+
+    def handle_data(self, data):
+        if self.stack and self.stack[-1][0] in ("script", "style"):
+            return
+        self.text.append(data)
+        entry = self._entry()
+        if entry and entry["naming"]:
+            entry["name"] += [data, " "]
+
+    def handle_endtag(self, tag):
+        self.text.append(" ")
+        entry = self._entry()
+        if entry:
+            entry["naming"] = False
+        at = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == tag), None)
+        if at is not None:
+            self._close(at)
+
+    def _close(self, at):
+        """Close what is open from ``at`` on; the text of an entry without a name belongs to the one around it."""
+        while len(self.stack) > at:
+            entry = self.stack.pop()[1]
+            name = " ".join("".join(entry["name"] or []).split()).lower() if entry else ""
+            if 2 <= len(name) <= 100:
+                self.found.append((name, " ".join("".join(self.text[entry["from"] :]).split()).lower()))
+                del self.text[entry["from"] :]
+                self.text.append(" ")
+
+
+def entries_of_page(html: str | None) -> list[tuple[str, str]]:
+    """(name, text) of every named entry, lower-cased."""
+    p = _Entries()
+    p.feed((html or "").replace("<![", "< !["))  # the parser refuses unknown marked sections
+    p.close()
+    p._close(0)
+    return p.found
+
+
 def menu_item_annotations(pages: DataFrame) -> DataFrame:
     """Per list entry, table row or element of a menu-item class that has a name (h3, h4 or a class with
     name or title): page_id, name, nutrition within bounds, allergens and ingredients as the text says.
+
+    A named entry inside another one keeps its text to itself; the text of a nested entry without a name (a table of
+    amounts, a list of ingredients) is part of the entry around it. Null and empty pages have no entries.
     """
-    entry = r'(?is)<(?:(?:li|tr|dt)\b[^>]*>.*?</(?:li|tr|dt)>|(?:div|article|section)[^>]*class="[^"]*(?:menu-item|dish|food-item)[^"]*"[^>]*>.*?</(?:div|article|section)>)'
-    items = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(entry), F.lit(0))).alias("h"))
-    named = F.regexp_extract("h", r'(?is)<(?:h[34]\b[^>]*|[a-z]+[^>]*class="[^"]*(?:name|title)[^"]*"[^>]*)>(.*?)</', 1)
-    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"\s+", " "))
-    items = items.select("page_id", F.lower(plain(named)).alias("name"), F.lower(plain(F.col("h"))).alias("t")).where(F.length("name").between(2, 100))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, *entry) for i, h in zip(pdf.page_id.astype("Int64"), pdf.html) for entry in entries_of_page(h)]
+            yield pd.DataFrame(rows, columns=["page_id", "name", "t"]).astype({"page_id": "Int64"})
+
+    items = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html").mapInPandas(run, "page_id bigint, name string, t string")
 
     def number(pattern, top):
         v = F.nullif(F.regexp_extract("t", pattern, 1), F.lit("")).cast("int")

@@ -6,6 +6,8 @@ SQL states the labels.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +23,12 @@ from platewise.operators import sinks as K
 from platewise.plans import nutrition as NU
 from platewise.plans import scorers as UD
 from platewise.plans import search as SE
+from platewise.plans import vector_index as V
 from platewise.queries import NOW, QUERIES, SQL, now, query, r6, wait_sql
 from platewise.sources import feeds as FE
 from platewise.sources import menus as M
 from platewise.sources.bindings import bound, with_sql
+from platewise.sources.stored import stored_path
 from platewise.streaming import limits as L
 
 __all__ = ["QUERIES", "SQL"]
@@ -1153,3 +1157,15 @@ def nearest_by_lists(spark, sf_dir):
     shared = exact.select("id", "near").join(found.select("id", "near"), ["id", "near"]).agg(F.count(F.lit(1)).alias("k"))
     n = exact.agg(F.count(F.lit(1)).alias("all"), F.count_distinct("id").alias("n"))
     return n.crossJoin(shared).select((F.col("k") >= 0.9 * F.col("all")).alias("recalled"), "n")  # a row each
+
+
+@query("nearest_by_index", "select true as recalled, count(*) as n from embeddings")
+def nearest_by_index(spark, sf_dir):
+    """Whether the stored index finds at least nine of ten of the five nearest vectors of every row."""
+    e = FE.load(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    index = V.build(e, "vec_id", "embedding", stored_path(spark, "vectors", f"{sf_dir} {uuid.uuid4()}"), list_rows=100)
+    found = V.search(index, e, "vec_id", "embedding", 5, V.probes_of(index, 5))
+    exact = R.similar_all(e, "vec_id", "embedding", 5)
+    shared = exact.select("id", "near").join(found.select("id", "near"), ["id", "near"]).agg(F.count(F.lit(1)).alias("k"))
+    n = exact.agg(F.count(F.lit(1)).alias("all"), F.count_distinct("id").alias("n"))
+    return n.crossJoin(shared).select((F.col("k") >= 0.9 * F.col("all")).alias("recalled"), "n")  # a row each

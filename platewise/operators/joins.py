@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import text as T
-from platewise.functions.numbers import EARTH_MILES, day_of_week, haversine
+from platewise.functions.numbers import day_of_week, haversine
+from platewise.operators.geo import geo_join  # noqa: F401
 
 
 def with_restaurant(dishes: DataFrame, restaurants: DataFrame) -> DataFrame:
@@ -37,42 +36,6 @@ def at_slot(df: DataFrame, grid: DataFrame, ts: Column) -> DataFrame:
     return keyed.join(grid, ["restaurant_id", "dow", "hour"], "left")
 
 
-def geo_join(left: DataFrame, right: DataFrame, miles: float, out: str = "miles") -> DataFrame:
-    """Pairs of points at most ``miles`` apart, by a grid instead of all pairs.
-
-    Both frames have id, lat and lng; the result has left_id, right_id and the distance. Rows of
-    the grid are ``miles`` high. Within a row, columns are as wide as ``miles`` reach at the edge of
-    the row nearest to a pole, so neighbours lie in the next cells; near the poles one cell spans
-    the row. Each right point is in one cell and each left point looks into the nine around it, so
-    no pair comes twice.
-    """
-    step = math.degrees(miles / EARTH_MILES) * (1 + 1e-9)
-
-    def row(lat):
-        return F.floor(lat / step).cast("bigint")
-
-    def columns(r):
-        """Number of cells in a grid row: their width is the reach at the row's outer edge."""
-        edge = F.least(F.greatest(F.abs(r * step), F.abs((r + 1) * step)) + step, F.lit(90.0))
-        ratio = math.sin(math.radians(step)) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
-        width = F.when(ratio >= 1, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))))
-        return F.greatest(F.floor(F.lit(360.0) / width), F.lit(1)).cast("bigint")
-
-    def col(lng, n):
-        turned = F.pmod(lng.cast("double") + 180, F.lit(360.0))
-        return F.least(F.floor(turned / 360 * n).cast("bigint"), n - 1)
-
-    right = right.where("lat is not null and lng is not null").select(F.col("id").alias("right_id"), F.col("lat").cast("double").alias("rlat"), F.col("lng").cast("double").alias("rlng"))
-    right = right.withColumn("grow", row(F.col("rlat"))).withColumn("gcol", col(F.col("rlng"), columns(F.col("grow"))))
-    left = left.where("lat is not null and lng is not null").select(F.col("id").alias("left_id"), F.col("lat").cast("double").alias("llat"), F.col("lng").cast("double").alias("llng"))
-    left = left.withColumn("grow", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: row(F.col("llat")) + d)))
-    n = columns(F.col("grow"))
-    around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(col(F.col("llng"), n) + d, n)))
-    left = left.withColumn("gcol", F.explode(around))
-    both = left.join(right, ["grow", "gcol"]).withColumn(out, haversine("llat", "llng", "rlat", "rlng"))
-    return both.where(F.col(out) <= miles).select("left_id", "right_id", out)
-
-
 def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key), key, "left_semi")
 

@@ -39,8 +39,13 @@ class SearchSpec:
     per_cuisine: int = 6
 
 
-def candidates(dishes: DataFrame, restaurants: DataFrame, reviews: DataFrame, photos: DataFrame, grid: DataFrame, spec: SearchSpec) -> DataFrame:
-    """Dishes that pass every filter of the request, with place, wait, rating, photo and score."""
+def candidates(dishes: DataFrame, restaurants: DataFrame, reviews: DataFrame, photos: DataFrame | None, grid: DataFrame, spec: SearchSpec, newest: DataFrame | None = None) -> DataFrame:
+    """Dishes that pass every filter of the request, with place, wait, rating, photo and score.
+
+    With ``newest`` (dish_id, photo_id: one row a dish, as ``plans/newest.py`` keeps it) the photos are not
+    read. Of a text request the best 200 by rank stay; where no word meets it, dishes that contain the
+    text. Nothing runs while the plan is built.
+    """
     wanted, meals = filters.split_categories(spec.categories)
     d = filters.macro_filter(dishes.where("is_available"), spec.calorie_limit, spec.protein_min, spec.goal)
     d = filters.category_filter(d, meals)
@@ -63,20 +68,22 @@ def candidates(dishes: DataFrame, restaurants: DataFrame, reviews: DataFrame, ph
     d = safety.diet_gate(safety.allergen_gate(d, spec.allergens), spec.diets)
     # only what passed so far meets reviews and photos (a semi-join of the photos would compute it twice)
     d = joins.with_reviews(d, reviews)
-    d = joins.latest_child(d, photos, "dish_id", "taken_at", "photo_id")
-    score = None
+    if newest is None:
+        d = joins.latest_child(d, photos, "dish_id", "taken_at", "photo_id")
+    else:
+        d = d.join(newest.select("dish_id", "photo_id"), "dish_id", "left")
+    score = rank.relevance()
     if spec.q:
         hits = token_search(d.select("dish_id", "name", "description", "category"), spec.q, {"name": 1.0, "description": 0.4, "category": 0.2}, "dish_id", 200)
-        if hits.limit(1).count():
-            d, score = d.join(hits, "dish_id"), rank.relevance(F.col("rank"))
-        else:
-            d = filters.text_contains(d, spec.q, ["name", "description"])
-    return d.withColumn("score", rank.relevance() if score is None else score).withColumn("warnings", safety.diet_warnings(spec.diets))
+        plain = filters.text_contains(d.where(~hits.exists()), spec.q, ["name", "description"])
+        d = d.join(hits, "dish_id").unionByName(plain.withColumn("rank", F.lit(None).cast("double")))
+        score = rank.relevance(F.col("rank"))
+    return d.withColumn("score", score).withColumn("warnings", safety.diet_warnings(spec.diets))
 
 
-def search(dishes: DataFrame, restaurants: DataFrame, reviews: DataFrame, photos: DataFrame, grid: DataFrame, spec: SearchSpec) -> DataFrame:
+def search(dishes: DataFrame, restaurants: DataFrame, reviews: DataFrame, photos: DataFrame | None, grid: DataFrame, spec: SearchSpec, newest: DataFrame | None = None) -> DataFrame:
     """The page of dishes for a request, capped per restaurant and per cuisine."""
-    found = candidates(dishes, restaurants, reviews, photos, grid, spec)
+    found = candidates(dishes, restaurants, reviews, photos, grid, spec, newest)
     order = rank.sort_key(spec.sort, spec.goal)
     capped = rank.diversity_cap(found, order, [("restaurant_id", spec.per_restaurant), ("cuisine", spec.per_cuisine)], check_nested=False)
     return rank.page(capped, order, spec.limit, spec.offset)
@@ -213,16 +220,17 @@ def parse_query(q: str) -> tuple[list[list[str]], list[str], list[str]]:
     return groups, phrases, never
 
 
-def token_search(df: DataFrame, q: str, weights: dict[str, float], key: str, n: int = 200) -> DataFrame:
+def token_search(df: DataFrame, q: str, weights: dict[str, float], key: str, n: int | None = 200) -> DataFrame:
     """Rows that meet a query, by rank: AND of words, OR, "phrases" and -exclusions.
 
     Words are English stems without stop words; where that finds nothing, words as they are. Everything
-    is tested inside the row, without a shuffle before the final top ``n``.
+    is tested inside the row, without a shuffle before the final top ``n`` (None: all rows, in no order).
+    Whether the first way finds anything is a subquery of the plan that ends at its first row.
     """
-    found = ranked_tokens(df, q, weights, key, True)
-    if not found.limit(1).count():
-        found = ranked_tokens(df, q, weights, key, False)
-    return found.orderBy(F.desc("rank"), key).limit(n)
+    english = ranked_tokens(df, q, weights, key, True)
+    plain = ranked_tokens(df.where(~english.exists()), q, weights, key, False)
+    found = english.unionByName(plain)
+    return found if n is None else found.orderBy(F.desc("rank"), key).limit(n)
 
 
 def ranked_tokens(df: DataFrame, q: str, weights: dict[str, float], key: str, english: bool) -> DataFrame:

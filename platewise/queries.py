@@ -16,6 +16,7 @@ from platewise.operators import joins as J
 from platewise.operators import rank as R
 from platewise.operators import safety as S
 from platewise.operators import sinks as K
+from platewise.plans import newest as NE
 from platewise.plans import nutrition as NU
 from platewise.plans import search as SE
 from platewise.plans import text_index as TI
@@ -108,6 +109,40 @@ def search(spark, sf_dir):
     return out.select("dish_id", "name", "restaurant_id", "cuisine", "distance", "wait", r6(F.col("score"), "score"))
 
 
+PHOTO_KEYS = ("dish_id", "taken_at", "photo_id")
+
+
+@query("newest_photos", with_sql("photos") + " select dish_id, arg_max(photo_id, (taken_at, photo_id)) as photo_id from photos group by 1")
+def newest_photos(spark, sf_dir):
+    """The stored table begun with the newer photos; the older ones come later, and once more."""
+    (p,) = bound(spark, sf_dir, "photos")
+    path, since = stored_path(spark, "newest-photos", sf_dir), F.expr("timestamp_ntz '1996-01-01 00:00:00'")
+    NE.build_newest(p.where(F.col("taken_at") >= since), path, *PHOTO_KEYS)
+    for _ in range(2):
+        NE.merge_newest(p.where(F.col("taken_at") < since), path, *PHOTO_KEYS)
+    return NE.newest(spark, path, "dish_id", "photo_id")
+
+
+@query("newest_left", with_sql("photos") + " select dish_id, arg_max(photo_id, (taken_at, photo_id)) as photo_id from photos where taken_at < timestamp '1997-06-01' group by 1")
+def newest_left(spark, sf_dir):
+    """The same table after the photos of the last years were taken out."""
+    (p,) = bound(spark, sf_dir, "photos")
+    path, since = stored_path(spark, "newest-left", sf_dir), F.expr("timestamp_ntz '1997-06-01 00:00:00'")
+    NE.build_newest(p, path, *PHOTO_KEYS)
+    NE.forget_children(p.where(F.col("taken_at") >= since), p.where(F.col("taken_at") < since), path, *PHOTO_KEYS)
+    return NE.newest(spark, path, "dish_id", "photo_id")
+
+
+@query("search_stored_photos", SQL["search"])
+def search_stored_photos(spark, sf_dir):
+    """The flagship search over the stored newest photos: its plan does not read ``photos``."""
+    d, r, v, p, g = _tables(spark, sf_dir)
+    path = stored_path(spark, "photos-of-search", sf_dir)
+    NE.build_newest(p, path, *PHOTO_KEYS)
+    out = SE.search(d, r, v, None, g, SPEC, NE.newest(spark, path, "dish_id", "photo_id"))
+    return out.select("dish_id", "name", "restaurant_id", "cuisine", "distance", "wait", r6(F.col("score"), "score"))
+
+
 SAFE = f"""confidence >= case when {has_sql("lower(name)", S.RISKY["nut_free"])} then 0.9 else 0.85 end and nut_free is true
   and not {said_sql(S.WORDS["peanuts"])} and not {said_sql(S.WORDS_OF_DIET["nut_free"])}"""
 
@@ -238,7 +273,7 @@ def suggest(spark, sf_dir):
 def token_search(spark, sf_dir):
     """The stop word asks for nothing."""
     docs = FE.load(spark, sf_dir, "documents", ["doc_id", "text"])
-    return SE.token_search(docs, "hation the", {"text": 1.0}, "doc_id", 1 << 30).select("doc_id", F.lit(1).alias("hit"))
+    return SE.token_search(docs, "hation the", {"text": 1.0}, "doc_id", None).select("doc_id", F.lit(1).alias("hit"))
 
 
 def documents_index(spark, sf_dir):

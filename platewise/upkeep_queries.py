@@ -644,7 +644,7 @@ from (select dish_id, name, case when dish_id % 3 = 0 then 'rings' else 'bolts'
 def weighted_words(spark, sf_dir):
     (d,) = bound(spark, sf_dir, "dishes")
     d = d.select("dish_id", "name", F.when(F.col("dish_id") % 3 == 0, "the rings").otherwise("of bolts").alias("description"))
-    return SE.token_search(d, "RINGS", {"name": 1.0, "description": 0.4}, "dish_id", 1 << 30).select("dish_id", r6(F.col("rank"), "rank"))
+    return SE.token_search(d, "RINGS", {"name": 1.0, "description": 0.4}, "dish_id", None).select("dish_id", r6(F.col("rank"), "rank"))
 
 
 @query(
@@ -654,7 +654,7 @@ def weighted_words(spark, sf_dir):
 def phrases_and_others(spark, sf_dir):
     (d,) = bound(spark, sf_dir, "dishes")
     d = d.withColumn("text", F.concat(F.when(F.col("name") == "small ring", F.lit("bolt ")).otherwise(""), "name"))
-    one = SE.token_search(d, '"grilled" bolt -red', {"text": 1.0, "description": 0.4}, "dish_id", 1 << 30).select("dish_id")
+    one = SE.token_search(d, '"grilled" bolt -red', {"text": 1.0, "description": 0.4}, "dish_id", None).select("dish_id")
     return one
 
 

@@ -144,7 +144,8 @@ def drinks_listed(df: DataFrame) -> DataFrame:
 def validate_requests(df: DataFrame) -> DataFrame:
     """A log of search requests as text, typed, with defaults filled in and a list of errors per row.
 
-    A bad value gives an error and a null; a missing one its default.
+    A bad value gives an error and a null; a missing one its default. Other columns, such as the log's own
+    key, stay as they are.
     """
     sorts = ["rating", "distance", "wait_time", "macro_match"]
     goals = ["max_protein", "min_calories", "min_fat", "min_carbs", "balanced", "glp1_friendly"]
@@ -175,7 +176,8 @@ def validate_requests(df: DataFrame) -> DataFrame:
     errors = F.filter(F.array(*[F.when(bad, F.lit(c)) for c, (_, bad) in rules.items()]), lambda e: e.isNotNull())
     lists = {c: F.filter(F.split(F.coalesce(F.lower(F.col(c)), F.lit("")), r"\s*,\s*"), lambda x: x != "") for c in ("diet", "cuisines", "categories", "allergens")}
     out = df.withColumn("_errors", errors).withColumns({f"_{c}": v for c, (v, _) in rules.items()} | {f"_{c}": v for c, v in lists.items()})
-    return out.select(*[F.col(f"_{c}").alias(c) for c in (*rules, *lists)], F.lower(F.trim("q")).alias("q"), F.col("_errors").alias("errors"))
+    own = [F.col(c) for c in df.columns if c not in {*rules, *lists, "q", "errors"}]
+    return out.select(*[F.col(f"_{c}").alias(c) for c in (*rules, *lists)], F.lower(F.trim("q")).alias("q"), F.col("_errors").alias("errors"), *own)
 
 
 def query_fingerprint(df: DataFrame) -> DataFrame:

@@ -431,11 +431,10 @@ def drinks_listed(spark, sf_dir):
 def request_prints(spark, sf_dir):
     k = F.col("c_custkey")
     raw = FE.load(spark, sf_dir, "customer", ["c_custkey"]).select(
-        k.cast("string").alias("limit"), F.when(k % 2 == 0, " Pad Thai ").alias("q"), (k % 90 + 0.25).cast("string").alias("lat"), F.lit("-74").alias("lng"), F.lit("vegan , Halal").alias("diet"),
+        k, k.cast("string").alias("limit"), F.when(k % 2 == 0, " Pad Thai ").alias("q"), (k % 90 + 0.25).cast("string").alias("lat"), F.lit("-74").alias("lng"), F.lit("vegan , Halal").alias("diet"),
         F.when(k % 3 == 0, "500").alias("calorie_limit"), *[F.lit(None).cast("string").alias(x) for x in ("radius", "goal", "protein_min", "cuisines", "max_wait", "sort", "categories", "allergens")], k.cast("string").alias("offset"),
     )
-    typed = FL.validate_requests(raw)
-    return FL.query_fingerprint(typed.withColumn("c_custkey", F.col("offset").cast("bigint"))).select("c_custkey", "fingerprint")
+    return FL.query_fingerprint(FL.validate_requests(raw)).select("c_custkey", "fingerprint")
 
 
 # --- projections ------------------------------------------------------------------------------

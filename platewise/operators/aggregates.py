@@ -148,11 +148,11 @@ def classifier_eval(items: DataFrame, truth: DataFrame, corrections: DataFrame |
     if corrections is not None:
         c = corrections.select(F.lower("name").alias("k"), "correct_type").dropDuplicates(["k"])
         truth = truth.withColumn("k", F.lower("name")).join(c, "k", "left").withColumn("label", F.coalesce("correct_type", "label")).drop("k", "correct_type")
-    m = truth_match(items, truth).join(items.select("item_id", "item_type"), "item_id")
-    right = F.avg((F.col("item_type") == F.col("label")).cast("double"))
-    by_type = m.groupBy("label").agg(F.count(F.lit(1)).alias("n"), right.alias("accuracy"))
-    overall = m.agg(F.count(F.lit(1)).alias("n"), right.alias("accuracy")).select(F.lit("all").alias("label"), "n", "accuracy")
-    return by_type.unionByName(overall)
+    m = truth_match(items, truth).join(items.select("item_id", "item_type").hint("merge"), "item_id")
+    right = (F.col("item_type") == F.col("label")).cast("double")
+    by_type = m.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("right"), F.count(right).alias("of"))
+    overall = by_type.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("right").alias("right"), F.sum("of").alias("of")).select(F.lit("all").alias("label"), "n", "right", "of")
+    return by_type.unionByName(overall).select("label", "n", F.try_divide("right", "of").alias("accuracy"))
 
 
 def scraper_eval(items: DataFrame, truth: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platewise.operators import filters as FL
+from platewise.operators import joins as J
 from platewise.queries import score6
 from platewise.upkeep_queries import QUERIES
 from tests.conftest import SMALL
@@ -29,3 +30,17 @@ def test_search_by_words_meets_reviews(spark):
 
 def test_scores_round_like_the_checking_database(spark):
     assert spark.range(1).select(score6(F.lit(0.8823124999999999))).first()[0] == 0.882313
+
+
+def test_truth_is_sought_once_a_name(spark):
+    items = spark.createDataFrame([(1, "a", "Red Soup"), (2, "a", "red soup"), (3, "b", "Red Soup"), (4, "b", "xy"), (5, "c", "none")], "item_id long, restaurant string, name string")
+    truth = spark.createDataFrame([("soup", "a", "own"), ("RED SOUP", "general", "g"), ("x", "general", "short"), ("big xy", "b", "long")], "name string, restaurant string, label string")
+    assert sorted(map(tuple, J.truth_match(items, truth).collect())) == [(1, "soup", "own"), (2, "soup", "own"), (3, "red soup", "g"), (4, "big xy", "long")]
+
+
+@tables
+@pytest.mark.parametrize("name", ["truth_labels", "vetoed_places", "photo_files"])
+def test_exploded_rows_are_not_broadcast(spark, name):
+    """They pass for no more than the table that they come from."""
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan.replace("BroadcastHashJoin [h#", "")  # but a row for each of the bounded hashes

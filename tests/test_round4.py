@@ -44,3 +44,17 @@ def test_exploded_rows_are_not_broadcast(spark, name):
     """They pass for no more than the table that they come from."""
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan.replace("BroadcastHashJoin [h#", "")  # but a row for each of the bounded hashes
+
+
+def test_places_meet_by_house_number(spark):
+    a = spark.createDataFrame([(1, "Blue Door", "5 Oak Street, NY"), (2, "Blue Door", "Oak Street, NY"), (3, "Blue Door", "7 Elm Street")], "id long, name string, address string")
+    b = spark.createDataFrame([(1, "Blue Doors", "5 Oak Street"), (2, "Blue Door", "6 Oak Street"), (3, "Blue Door", None)], "id long, name string, address string")
+    every = lambda accept: sorted((r.left_id, r.right_id) for r in J.match_places(a, b, accept).collect())
+    assert every(0.75) == [(1, 1), (2, 2)]
+    assert every(0.6) == [(1, 1), (2, 2), (3, 2)]
+
+
+def test_equal_slug_before_equal_bigrams(spark):
+    dishes = spark.createDataFrame([(1, "ring 12121!")], "id long, name string")
+    files = spark.createDataFrame([("img/ring-1212.jpg", "-"), ("img/ring-12121-v2.jpg", "-")], "file string, name string")
+    assert [r.file for r in J.match_photos(dishes, files).collect()] == ["img/ring-12121-v2.jpg"]

@@ -1,13 +1,17 @@
 """Tests of what the third review found."""
 
 import os
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from platewise.operators import filters as FL
 from platewise.operators import joins as J
+from platewise.operators import rank as R
 from platewise.queries import score6
+from platewise.streaming import jobs as ST
 from platewise.upkeep_queries import QUERIES
 from tests.conftest import SMALL
 
@@ -58,3 +62,44 @@ def test_equal_slug_before_equal_bigrams(spark):
     dishes = spark.createDataFrame([(1, "ring 12121!")], "id long, name string")
     files = spark.createDataFrame([("img/ring-1212.jpg", "-"), ("img/ring-12121-v2.jpg", "-")], "file string, name string")
     assert [r.file for r in J.match_photos(dishes, files).collect()] == ["img/ring-12121-v2.jpg"]
+
+
+def test_windows_of_votes_hold_no_row_a_day(spark):
+    import datetime as dt
+
+    at = [dt.datetime(2024, 1, 1, 9), dt.datetime(2024, 1, 1, 10), dt.datetime(2024, 1, 3), dt.datetime(2024, 3, 1)]
+    f = spark.createDataFrame([(7, "portion_bigger", t) for t in at], "dish_id long, feedback_type string, created_at timestamp")
+    votes = ST.feedback_votes(f, 3)
+    got = sorted((str(r.window.start.date()), r.portion_bigger) for r in votes.collect())
+    assert got == [("2023-12-30", 2), ("2023-12-31", 2), ("2024-01-01", 3), ("2024-01-02", 1), ("2024-01-03", 1), ("2024-02-28", 1), ("2024-02-29", 1), ("2024-03-01", 1)]
+    assert "sequence(0" not in votes._jdf.queryExecution().analyzed().toString()
+
+
+def test_foods_are_scored_once_a_name(spark):
+    items = spark.range(1000).select("id", F.lit("red soup").alias("name"))
+    foods = spark.createDataFrame([(1, "Soup, red", "Foundation")], "food_id long, description string, data_type string")
+    got = J.match_foods(items, foods, {})
+    assert got.count() == 1000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(id" not in plan
+
+
+def test_near_areas_need_no_distinct(spark):
+    a = spark.createDataFrame([(1, 40.0, -74.0, "Soho"), (2, None, None, "soho"), (3, 50.0, 1.0, "x")], "id long, lat double, lng double, name string")
+    b = spark.createDataFrame([(8, 40.005, -74.0, "SOHO"), (9, 50.5, 1.0, "y")], "id long, lat double, lng double, name string")
+    got = J.near_duplicate_areas(a, b)
+    assert sorted(map(tuple, got.collect())) == [(1, 8), (2, 8)]
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similarities_of_a_block_come_in_slices():
+    v = np.random.default_rng(1).standard_normal((R.SLICE * 3, 64))
+    ids = np.arange(len(v))
+    tracemalloc.start()
+    got = R._best(v, v, ids, ids, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s = v @ v.T
+    np.fill_diagonal(s, -np.inf)
+    assert got.near.tolist() == np.argsort(-s, axis=1)[:, :2].ravel().tolist()
+    assert peak < s.nbytes

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.numbers import day_of_week, wait_minutes
@@ -111,16 +111,21 @@ def stream_over_limit(stream: DataFrame, limits: dict[str, int] | None = None, s
 def feedback_votes(feedback: DataFrame, days: int = 30) -> DataFrame:
     """Votes of each type per dish in windows of ``days`` days, a day apart: every window with a vote.
 
-    Votes are added up by dish and day first, so an event is shuffled as part of one row; the days of a
-    dish, then in one task, are dealt to the windows they lie in.
+    Votes are added up by dish and day first. A day enters the windows that begin up to ``days`` - 1 days
+    before it and leaves those that begin behind it, so two changes a day are summed along the starts and
+    the windows are written out as they leave; nothing holds ``days`` rows for each day of votes.
     """
-    day = F.date_trunc("day", "created_at").alias("day")
+    kind = feedback.schema["created_at"].dataType.simpleString()
+    day = F.to_date("created_at").alias("day")
     votes = [F.sum((F.col("feedback_type") == t).cast("int")).alias(t) for t in FEEDBACK_TYPES]
-    daily = feedback.where("created_at is not null").groupBy("dish_id", day).agg(*votes).repartition("dish_id")
-    back = F.explode(F.sequence(F.lit(0), F.lit(days - 1)))
-    start = F.timestamp_add("DAY", F.negative("back"), "day") if hasattr(F, "timestamp_add") else F.expr("day - make_interval(0, 0, 0, back)")
-    placed = daily.withColumn("back", back).withColumn("start", start)
-    rolled = placed.groupBy("dish_id", "start").agg(*[F.sum(t).alias(t) for t in FEEDBACK_TYPES])
+    daily = feedback.where("created_at is not null").groupBy("dish_id", day).agg(*votes)
+    names = [*FEEDBACK_TYPES, "days"]
+    change = lambda at, sign: F.struct(at.alias("start"), *[(sign * F.coalesce(t, F.lit(0))).alias(t) for t in FEEDBACK_TYPES], F.lit(sign).cast("bigint").alias("days"))
+    changes = daily.select("dish_id", F.explode(F.array(change(F.date_sub("day", days - 1), 1), change(F.date_add("day", 1), -1))).alias("c")).select("dish_id", "c.*")
+    changes = changes.groupBy("dish_id", "start").agg(*[F.sum(t).alias(t) for t in names])
+    w = Window.partitionBy("dish_id").orderBy("start")
+    runs = changes.select("dish_id", "start", F.lead("start").over(w).alias("next"), *[F.sum(t).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(t) for t in names]).where("days > 0")
+    rolled = runs.select("dish_id", F.explode(F.sequence("start", F.date_sub("next", 1))).alias("start"), *FEEDBACK_TYPES).withColumn("start", F.col("start").cast(kind))
     end = F.expr(f"start + interval {days} days")
     return rolled.select(F.struct(F.col("start"), end.alias("end")).alias("window"), "dish_id", *FEEDBACK_TYPES)
 

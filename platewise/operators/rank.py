@@ -122,8 +122,15 @@ def similar(df: DataFrame, source: dict, vector: str = "vec", min_similarity: fl
     return out.where(F.col("similarity") > min_similarity).orderBy(F.col("similarity").desc(), "dish_id").limit(n)
 
 
+SLICE = 256  # rows of a block whose similarities are held at a time
+
+
 def _best(p: np.ndarray, q: np.ndarray, pid: np.ndarray, qid: np.ndarray, k: int) -> pd.DataFrame:
     """The ``k`` nearest of ``q`` for every row of ``p``, by similarity to nine digits and then by id."""
+    return pd.concat([_best_few(p[i : i + SLICE], q, pid[i : i + SLICE], qid, k) for i in range(0, len(p), SLICE)], ignore_index=True)
+
+
+def _best_few(p: np.ndarray, q: np.ndarray, pid: np.ndarray, qid: np.ndarray, k: int) -> pd.DataFrame:
     s = p @ q.T
     s[pid[:, None] == qid[None, :]] = -2
     k = min(k, s.shape[1])

@@ -9,6 +9,9 @@ A request means the same as in the search without an index: words that must all
 (``or``), "phrases" and -exclusions; English stems without stop words or, where no row has these, words as
 they are. Both are ranked in one pass by cover density, and the choice is made on the ranked rows.
 
+A stem stands for all its words. Where a request means some of them only, it names these (``forms``), and other words of
+the stem do not count.
+
 Defined results: null fields are empty; a row without words has no postings and is never found; a null key
 is a key of its own; rows that repeat a key count as one text each in the order of the build only if
 keys are unique, so keys must be; a request of stop words alone finds them as plain words.
@@ -121,8 +124,8 @@ def _begins(phrase: list[tuple[int, str]]):
     return begins
 
 
-def ranked(found: DataFrame, q: str, weights: list[float], english: bool) -> DataFrame:
-    """(key, rank) of the rows whose postings meet the request under one dictionary."""
+def ranked(found: DataFrame, q: str, weights: list[float], english: bool, forms: list[str] | None = None) -> DataFrame:
+    """(key, rank) of the rows whose postings meet the request under one dictionary, by words of ``forms`` only if given."""
     groups, placed, never = _needed(q, english)
     terms = groups + [[w] for p in placed for _, w in p]
     term = F.col("stem" if english else "word")
@@ -138,6 +141,8 @@ def ranked(found: DataFrame, q: str, weights: list[float], english: bool) -> Dat
     wanted = found.where(term.isin(sorted({*first, *never})))
     if english:
         wanted = wanted.where(~F.col("word").isin(STOP_WORDS))
+        if forms is not None:
+            wanted = wanted.where(F.col("word").isin(forms))
     each = wanted.select("key", F.col("n_english" if english else "n").alias("n"), term.alias("t"), F.explode("places").alias("at"))
     entry = F.struct(F.col("at.p").alias("p"), F.col("at.f").alias("f"), F.col("t"), F.try_element_at(group_of, F.col("t")).alias("g"), F.element_at(weight_of, F.col("at.f") + 1).alias("w"))
     rows = each.groupBy("key").agg(F.sort_array(F.collect_list(entry)).alias("e"), F.first("n").alias("n"))
@@ -164,8 +169,11 @@ def ranked(found: DataFrame, q: str, weights: list[float], english: bool) -> Dat
     return rows.select("key", (F.aggregate("h", start, step, lambda s: s["sum"]) / F.col("n")).alias("rank"))
 
 
-def search(spark: SparkSession, path: str, q: str, weights: list[float], n: int = 200, buckets: int = BUCKETS) -> DataFrame:
-    """(key, rank) of the best ``n`` rows; plain words count only where no row has the English ones."""
+def search(spark: SparkSession, path: str, q: str, weights: list[float], n: int = 200, buckets: int = BUCKETS, forms: list[str] | None = None) -> DataFrame:
+    """(key, rank) of the best ``n`` rows; plain words count only where no row has the English ones.
+
+    With ``forms`` only these words count as English ones.
+    """
     asked = set()
     for english in (True, False):
         groups, placed, never = _needed(q, english)
@@ -173,7 +181,7 @@ def search(spark: SparkSession, path: str, q: str, weights: list[float], n: int
         asked |= set(words) if english else set(map(stem, words))
     found = hits(spark, path, sorted(asked), buckets)
     order = [F.desc("rank"), F.col("key")]
-    tiers = [ranked(found, q, weights, english).orderBy(*order).limit(n).withColumn("tier", F.lit(int(not english))) for english in (True, False)]
+    tiers = [ranked(found, q, weights, english, forms).orderBy(*order).limit(n).withColumn("tier", F.lit(int(not english))) for english in (True, False)]
     both = tiers[0].unionByName(tiers[1])
     best = both.agg(F.min("tier").alias("tier"))  # one row
     return both.join(F.broadcast(best), "tier").select("key", "rank").orderBy(*order)

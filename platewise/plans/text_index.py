@@ -20,10 +20,12 @@ keys are unique, so keys must be; a request of stop words alone finds them as pl
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,9 @@ from platewise.functions.stems import MEMO, stem
 from platewise.plans.search import STOP_WORDS, parse_query
 
 BUCKETS = 256
+PIECE = 200_000  # places that leave a task at a time, or those of one row
+BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 SPREAD = 8  # files a folder is dealt to
 
 _WORD = re.compile(r"[^\W_]+")
@@ -40,22 +45,29 @@ _WORD = re.compile(r"[^\W_]+")
 def postings(df: DataFrame, fields: list[str], key: str) -> DataFrame:
     """(stem, word, key, n_english, n, places): where each word of a row stands, and how many words the row has.
 
+    Texts come in batches of ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` at most, postings leave in pieces.
     Places count the words of all fields in turn, stop words too; ``f`` is the field's number.
     """
     kind = df.schema[key].dataType.simpleString()
     schema = f"stem string, word string, key {kind}, n_english int, n int, places array<struct<p:int,f:int>>"
     stops = frozenset(STOP_WORDS)
 
+    def batch_of(stems, words, keys, rows, english, sizes, p, f, ends) -> pa.RecordBatch:
+        p, f, ends, rows, english, sizes = (pa.array(np.frombuffer(x, np.int32)) for x in (p, f, ends, rows, english, sizes))
+        places = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([p, f], names=["p", "f"]))
+        columns = [pa.array(stems, pa.string()), pa.array(words, pa.string()), keys.take(rows), english, sizes, places]
+        return pa.RecordBatch.from_arrays(columns, names=["stem", "word", "key", "n_english", "n", "places"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
+        ints = lambda *x: array("i", x)
         for batch in batches:
-            stems, words, keys, english, sizes, p, f, ends = [], [], [], [], [], [], [], [0]
-            texts = zip(*(batch[f"f{i}"].to_pylist() for i in range(len(fields))))
-            for row, parts in enumerate(texts):
+            stems, words, rows, english, sizes, p, f, ends = [], [], ints(), ints(), ints(), ints(), ints(), ints(0)
+            for row in range(batch.num_rows):
                 at: dict[str, list[int]] = {}
                 bounds, n = [], 0
-                for text in parts:
-                    for n, w in enumerate(_WORD.findall(text), n):
+                for i in range(len(fields)):
+                    for n, w in enumerate(map(re.Match.group, _WORD.finditer(batch[f"f{i}"][row].as_py())), n):
                         at.setdefault(w, []).append(n)
                     n = sum(map(len, at.values()))
                     bounds.append(n)
@@ -68,16 +80,15 @@ def postings(df: DataFrame, fields: list[str], key: str) -> DataFrame:
                         s = known[w] = stem(w)
                     stems.append(s)
                     words.append(w)
-                    p += places
-                    f += [0] * len(places) if len(bounds) == 1 else [bisect_right(bounds, x) for x in places]
+                    p.extend(places)
+                    f.extend([0] * len(places) if len(bounds) == 1 else [bisect_right(bounds, x) for x in places])
                     ends.append(len(p))
-                keys += [row] * len(at)
-                english += [said] * len(at)
-                sizes += [n] * len(at)
-            if words:
-                places = pa.StructArray.from_arrays([pa.array(p, pa.int32()), pa.array(f, pa.int32())], names=["p", "f"])
-                columns = [pa.array(stems), pa.array(words), batch["key"].take(pa.array(keys)), pa.array(english, pa.int32()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)]
-                yield pa.RecordBatch.from_arrays(columns, names=["stem", "word", "key", "n_english", "n", "places"])
+                rows.extend([row] * len(at))
+                english.extend([said] * len(at))
+                sizes.extend([n] * len(at))
+                if len(p) >= PIECE or words and row == batch.num_rows - 1:
+                    yield batch_of(stems, words, batch["key"], rows, english, sizes, p, f, ends)
+                    stems, words, rows, english, sizes, p, f, ends = [], [], ints(), ints(), ints(), ints(), ints(), ints(0)
 
     texts = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"f{i}") for i, c in enumerate(fields)]
     return df.select(F.col(key).alias("key"), *texts).mapInArrow(run, schema)
@@ -89,6 +100,10 @@ def _bucket(stems: Column, buckets: int) -> Column:
 
 def build(df: DataFrame, fields: list[str], key: str, path: str, buckets: int = BUCKETS) -> None:
     """Write the index of ``fields`` to ``path``."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     rows = postings(df, fields, key).withColumn("bucket", _bucket(F.col("stem"), buckets))
     dealt = rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SPREAD))).sortWithinPartitions("bucket", "stem", "word")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)

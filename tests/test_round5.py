@@ -27,3 +27,27 @@ def test_other_words_of_a_stem_do_not_count(spark, tmp_path):
     got = sorted(r.doc_id for r in QUERIES["indexed_search"](spark, str(tmp_path)).collect())
     sql = SQL["indexed_search"].replace("from documents", f"from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(r[0] for r in duckdb.sql(sql).fetchall()) == [2, 3]
+
+
+def test_postings_leave_a_task_in_pieces(spark, tmp_path, monkeypatch):
+    """All postings of a batch were held as lists and left it as one: most of a gigabyte for 10,000 texts."""
+    taken = {}
+
+    class Texts:
+        sparkSession = spark
+        schema = spark.createDataFrame([], "id long, text string").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            taken["run"] = run
+
+    TI.postings(Texts(), ["text"], "id")
+    rows = 300
+    batch = pa.RecordBatch.from_pydict({"key": list(range(rows)), "f0": ["red soup " * 1000] * (rows - 1) + ["late word"]})
+    out = list(taken["run"](iter([batch])))
+    assert max(b.column("places").flatten().__len__() for b in out) < TI.PIECE + 2001
+    assert sum(b.num_rows for b in out) == 2 * rows
+    last = out[-1].to_pylist()[-2:]
+    assert [(r["word"], r["key"], r["n"], [x["p"] for x in r["places"]]) for r in last] == [("late", rows - 1, 2, [0]), ("word", rows - 1, 2, [1])]

@@ -51,3 +51,30 @@ def test_postings_leave_a_task_in_pieces(spark, tmp_path, monkeypatch):
     assert sum(b.num_rows for b in out) == 2 * rows
     last = out[-1].to_pylist()[-2:]
     assert [(r["word"], r["key"], r["n"], [x["p"] for x in r["places"]]) for r in last] == [("late", rows - 1, 2, [0]), ("word", rows - 1, 2, [1])]
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.6])
+def test_what_all_names_have_does_not_make_them_meet(spark, threshold):
+    """"Supplier#000000" is most of a name: all 90,000 pairs were compared."""
+    names = [f"Supplier#{i * 37:09d}" for i in range(300)] + ["Supplier", "Fine Supplier", "a", "", None]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    sides = J._sides(df, df, J.T.trigrams, [])
+    grams = {r.l: set(r.lg) for r in sides[0].collect()}
+    met = J._grams_met(*sides, threshold, []).collect()
+    got = {(r.l, r.r) for r in met if r.k / (r.ln + r.rn - r.k) > threshold}
+    assert got == {(i, j) for i, a in grams.items() for j, b in grams.items() if len(a & b) / len(a | b) > threshold}
+    assert threshold < 0.5 or len(met) < 0.6 * 90_000
+
+
+def test_grams_have_codes_of_their_own(spark):
+    grams = ["", "a", "ab", "abc", "  a", "ba", "a\0", "\U0001f35c\U0001f35ca", "\U0010ffff" * 3, "\uffff" * 3]
+    codes = spark.createDataFrame([(grams,)], "g array<string>").select(J._codes(F.col("g"))).first()[0]
+    assert len(set(codes)) == len(grams)
+
+
+def test_a_typed_text_is_sought_once(spark):
+    dishes = spark.createDataFrame([("Red Soup",), ("red soup",), ("Soup",), ("Big Red",)], "name string")
+    typed = spark.createDataFrame([(i, ["re", "RE ", "soup", None, ""][i % 5]) for i in range(500)], "id long, q string")
+    got = SE.suggest(dishes, typed)
+    assert got.count() == 100 * (2 + 2 + 2)
+    assert sorted((r.name, r.tier, r.place) for r in got.where("id = 1").collect()) == [("Big Red", 1, 2), ("Red Soup", 0, 1)]

@@ -8,7 +8,8 @@ centres that are there.
 
 A query looks into the nearest lists of the nearest cells, as many of both as :func:`probes_of` finds to be
 needed: it compares the index with an exact search of all rows for a sample of queries. Lists longer than
-``BLOCK_ROWS`` (copies of one vector cannot be parted by centres) are searched in blocks, with none left out.
+``BLOCK_ROWS`` (copies of one vector cannot be parted by centres), and lists that more queries than that look into, are
+searched in blocks, with none left out.
 
 Defined results: rows with a null key or vector are not indexed and find nothing; keys must be unique, and a key that is
 stored is not added again; vectors of zeros have similarity 0 with all; an empty table gives an empty index, to which
@@ -25,14 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from platewise.operators.rank import FOUND, _search_blocks, _units, centres_of
+from platewise.operators.rank import FOUND, SLICE, _search_blocks, _units, centres_of
 
 LIST_ROWS = 1000
 MAX_CELLS = 1024
 MAX_LISTS = 1024  # of one cell
 SAMPLE = 20_000
 PER_LIST = 10  # rows of a cell's sample for each of its lists
-TASK_ROWS = 20_000  # rows of a cell that are placed at a time
+TASK_ROWS = 4096  # rows of a cell that are placed at a time
 BLOCK_ROWS = 4096
 STEPS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 
@@ -57,14 +58,19 @@ def _rows(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
 
 
+def _nearest(v: pd.Series, centres: np.ndarray, n: int) -> list[np.ndarray]:
+    """The ``n`` nearest centres of each vector, nearest first; the similarities of ``SLICE`` vectors are held at a time."""
+    parts = (_units(v.iloc[i : i + SLICE]) @ centres.T for i in range(0, len(v), SLICE))
+    return [row for s in parts for row in np.argsort(-s, axis=1, kind="stable")[:, :n].astype(np.int32)]
+
+
 def _with_cells(rows: DataFrame, cells: np.ndarray, n: int = 1) -> DataFrame:
     """``rows`` with an array of their ``n`` nearest cells."""
     shared = rows.sparkSession.sparkContext.broadcast(cells)  # at most MAX_CELLS rows
 
     @F.pandas_udf("array<int>")
     def nearest(v: pd.Series) -> pd.Series:
-        order = np.argsort(-(_units(v) @ shared.value.T), axis=1, kind="stable")
-        return pd.Series(order[:, :n].astype(np.int32).tolist())
+        return pd.Series(_nearest(v, shared.value, n))
 
     return rows.withColumn("cells", nearest("v"))
 
@@ -77,17 +83,18 @@ def _with_lists(rows: DataFrame, lists: DataFrame, n: int = 1) -> DataFrame:
 
     def place(rows: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or lists.empty:
-            return rows.iloc[:0][["id", "v", "cell"]].assign(list=pd.Series(dtype=np.int32))
+            return rows.iloc[:0][["id", "v", "cell"]].assign(lists=pd.Series(dtype=object))
         lists = lists.sort_values("list")
-        order = np.argsort(-(_units(rows["v"]) @ np.stack(lists["centre"].to_numpy()).T), axis=1, kind="stable")[:, :n]
-        at, which = np.repeat(np.arange(len(rows)), order.shape[1]), lists["list"].to_numpy()[order.ravel()]
-        out = rows.iloc[at][["id", "v", "cell"]].assign(list=which)
-        return out.sort_values(["list", "id"])
+        which = lists["list"].to_numpy()
+        found = _nearest(rows["v"], np.stack(lists["centre"].to_numpy()), n)
+        return rows[["id", "v", "cell"]].assign(lists=[which[x] for x in found])
 
     rows = rows.join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     every = lists.join(salts, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     by = ["cell", "salt"]
-    return rows.select("id", "v", *by).groupBy(*by).cogroup(every.select("list", "centre", *by).groupBy(*by)).applyInPandas(place, f"id bigint, v {kind}, cell int, list int")
+    placed = rows.select("id", "v", *by).groupBy(*by).cogroup(every.select("list", "centre", *by).groupBy(*by)).applyInPandas(place, f"id bigint, v {kind}, cell int, lists array<int>")
+    # a vector leaves Python once, whatever the number of its lists
+    return placed.select("id", "v", "cell", F.explode("lists").alias("list"))
 
 
 def build(df: DataFrame, key: str, vector: str, path: str, list_rows: int = LIST_ROWS, max_sample: int = SAMPLE) -> Index:
@@ -117,7 +124,7 @@ def build(df: DataFrame, key: str, vector: str, path: str, list_rows: int = LIST
     bare = own.join(lists.select("cell").distinct(), "cell", "left_anti")
     lists.unionByName(bare).write.parquet(f"{path}/lists")
     index = Index(spark, path, cells)
-    _with_lists(placed, index.lists()).write.partitionBy("cell").parquet(f"{path}/rows")
+    _with_lists(placed, index.lists()).sortWithinPartitions("cell", "list", "id").write.partitionBy("cell").parquet(f"{path}/rows")
     if not n:  # no folder of a cell, so no schema to read
         placed.limit(0).withColumn("list", F.lit(0)).write.mode("overwrite").parquet(f"{path}/rows")
     own.write.parquet(f"{path}/cells")
@@ -135,7 +142,7 @@ def add(index: Index, df: DataFrame, key: str, vector: str) -> None:
         raise ValueError("an index of an empty table has no centres")
     rows = _rows(df, key, vector).dropDuplicates(["id"]).join(index.rows().select("id"), "id", "left_anti")
     placed = _with_cells(rows, index.cells).select("id", "v", F.col("cells")[0].alias("cell"))
-    _with_lists(placed, index.lists()).write.mode("append").partitionBy("cell").parquet(f"{index.path}/rows")
+    _with_lists(placed, index.lists()).sortWithinPartitions("cell", "list", "id").write.mode("append").partitionBy("cell").parquet(f"{index.path}/rows")
 
 
 def search(index: Index, queries: DataFrame, key: str, vector: str, k: int, probes: int) -> DataFrame:
@@ -148,17 +155,21 @@ def search(index: Index, queries: DataFrame, key: str, vector: str, k: int, prob
     asked = _with_cells(_rows(queries, key, vector), index.cells, probes).select("id", "v", F.explode("cells").alias("cell"))
     asked = _with_lists(asked, index.lists(), probes)
     rows, by = index.rows(), ["cell", "list"]
-    # few lists are longer than a block; the others are one block
-    long = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1")
 
-    def dealt(df: DataFrame, own: str, other: str, seed: int) -> DataFrame:
-        df = df.join(long, by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        df = df.withColumn(own, F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int"))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        """The lists that more than a block of ``df``'s rows belong to; the others are one block."""
+        return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name)).where(F.col(name) > 1)
+
+    long = parts(rows, "blocks").join(parts(asked, "crowds"), by, "full_outer")
+
+    def dealt(df: DataFrame, own: str, mine: str, other: str, theirs: str, seed: int) -> DataFrame:
+        """Every row in one part of its own side and in all parts of the other side."""
+        df = df.join(long, by, "left").withColumn(own, F.pmod(F.xxhash64("id", F.lit(seed)), F.coalesce(mine, F.lit(1))).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(theirs, F.lit(1)) - 1)))
 
     v = F.col("v").cast("array<double>")
-    left = dealt(asked, "x", "y", 1).select(F.col("id").alias("qid"), v.alias("qv"), *by, "x", "y")
-    right = dealt(rows, "y", "x", 2).select(F.col("id").alias("rid"), v.alias("rv"), *by, "x", "y")
+    left = dealt(asked, "x", "crowds", "y", "blocks", 1).select(F.col("id").alias("qid"), v.alias("qv"), *by, "x", "y")
+    right = dealt(rows, "y", "blocks", "x", "crowds", 2).select(F.col("id").alias("rid"), v.alias("rv"), *by, "x", "y")
     return _search_blocks(left, right, [*by, "x", "y"], k)
 
 

@@ -78,3 +78,25 @@ def test_a_typed_text_is_sought_once(spark):
     got = SE.suggest(dishes, typed)
     assert got.count() == 100 * (2 + 2 + 2)
     assert sorted((r.name, r.tier, r.place) for r in got.where("id = 1").collect()) == [("Big Red", 1, 2), ("Red Soup", 0, 1)]
+
+
+def test_a_crowd_of_queries_is_many_tasks(spark, tmp_path, monkeypatch):
+    """All queries of a list were one task, however many; and a vector left Python once for each of its lists."""
+    monkeypatch.setattr(V, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((400, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    index = V.build(df, "id", "v", str(tmp_path / "v"), list_rows=400)
+    seen = {}
+    real = V._search_blocks
+
+    def watched(left, right, keys, k):
+        seen["most"] = max(r["count"] for r in left.groupBy(*keys).count().collect())
+        return real(left, right, keys, k)
+
+    monkeypatch.setattr(V, "_search_blocks", watched)
+    got = {(r.id, r.near) for r in V.search(index, df, "id", "v", 3, 2).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T - 3 * np.eye(len(v))
+    assert got == {(i, int(j)) for i, row in enumerate(s) for j in np.argsort(-row)[:3]}
+    assert seen["most"] < 120

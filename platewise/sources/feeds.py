@@ -15,13 +15,18 @@ def load(spark: SparkSession, sf_dir: str, table: str, cols: list[str] | None =
 
 
 def first_nonempty_source(frames: list[DataFrame], key: str) -> DataFrame:
-    """Per key the rows of the first source that has any."""
-    out = None
-    for i, f in enumerate(frames):
-        f = f.withColumn("source_no", F.lit(i))
-        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
-    best = out.groupBy(key).agg(F.min("source_no").alias("source_no"))
-    return out.join(best, [key, "source_no"], "left_semi")
+    """Per key the rows of the first source that has any; rows without a key have none."""
+    return first_source(union_sources(*[f.withColumn("source_no", F.lit(i)) for i, f in enumerate(frames)]), key, "source_no")
+
+
+def first_source(df: DataFrame, key: str, source: str) -> DataFrame:
+    """Per key the rows of its least ``source``, for sources that lie in one table.
+
+    A rank and no semi-join with the keys' least sources: Spark moves that join into every source of a union, where
+    each reads the least sources again. Tasks drop what is not first among their own rows before the shuffle.
+    """
+    w = Window.partitionBy(key).orderBy(source)
+    return df.where(F.col(key).isNotNull() & F.col(source).isNotNull()).withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r")
 
 
 def override_union(primary: DataFrame, secondary: DataFrame, key: str) -> DataFrame:

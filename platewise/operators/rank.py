@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.functions.numbers import cosine, haversine
+from platewise.functions.numbers import cosine_to, haversine
 
 
 def goal_order(df: DataFrame, goal: str | None, limit: int) -> DataFrame:
@@ -104,13 +104,15 @@ def shelves(df: DataFrame, k: int = 8) -> DataFrame:
     return frames[0].unionByName(frames[1])
 
 
-def similar(df: DataFrame, source: dict, vector: str = "vec", min_similarity: float = 0.85, n: int = 10, boosts: bool = False, miles: float | None = None) -> DataFrame:
+def similar(df: DataFrame, source: dict, vector: str = "vec", min_similarity: float = 0.85, n: int | None = 10, boosts: bool = False, miles: float | None = None) -> DataFrame:
     """Nearest rows to one source vector, of other restaurants; optional boosts for category and cuisine.
 
+    Without ``n`` all rows that are alike enough, in no order.
+
     ``source`` has vec, restaurant_id and, for boosts, category and cuisine, for a radius lat and lng: one
     row's plain values. Rows without a place are in reach.
     """
-    sim = cosine(F.col(vector), F.array(*[F.lit(float(v)) for v in source["vec"]]))
+    sim = cosine_to(F.col(vector), [float(v) for v in source["vec"]])
     if boosts:
         sim = sim + F.when(F.col("category") == source.get("category"), 0.05).otherwise(0.0)
         sim = sim + F.when(F.col("cuisine") == source.get("cuisine"), 0.03).otherwise(0.0)
@@ -118,8 +120,9 @@ def similar(df: DataFrame, source: dict, vector: str = "vec", min_similarity: fl
     if miles is not None:
         far = haversine("lat", "lng", F.lit(source["lat"]), F.lit(source["lng"]))
         df = df.where(far.isNull() | (far <= miles))
-    out = df.withColumn("similarity", sim)
-    return out.where(F.col("similarity") > min_similarity).orderBy(F.col("similarity").desc(), "dish_id").limit(n)
+    # exploded, so that the threshold is not moved below and the vector's terms are not written out for each use
+    out = df.withColumn("similarity", F.explode(F.array(sim))).where(F.col("similarity") > min_similarity)
+    return out if n is None else out.orderBy(F.col("similarity").desc(), "dish_id").limit(n)
 
 
 SLICE = 256  # rows of a block whose similarities are held at a time

@@ -1078,7 +1078,7 @@ def reroute_similar(spark, sf_dir):
     found = d.where("dish_id = 7").select("vec", "restaurant_id").first()
     if found is None:
         return d.select("dish_id", F.lit(0).alias("saved"), F.lit(0.0).alias("similarity")).limit(0)
-    near = R.similar(d, found.asDict(), min_similarity=0.2, n=1 << 30)
+    near = R.similar(d, found.asDict(), min_similarity=0.2, n=None)
     return SE.reroute(near, g, 45, 6, 20, 12).select("dish_id", "saved", r6(F.col("similarity"), "similarity"))
 
 

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from platewise.functions import numbers as N
+from platewise.operators import rank as R
 from platewise.sources import feeds as FE
 
 
@@ -18,3 +20,20 @@ def test_first_source_ranks_and_joins_nothing(spark):
     assert sorted((r.v, r.source_no) for r in many.collect()) == [("b", 0), ("c", 0), ("e", 3), ("i", 2)]
     for out in (one, many):  # a semi-join with the least sources went into every source
         assert "Join" not in plan_of(out)
+
+
+def test_similar_writes_the_vector_once(spark):
+    rows = [(1, 1, [1.0, 2.0]), (2, 2, [2.0, 4.1]), (3, 3, [0.0, 0.0]), (4, 4, None), (5, 5, [1.0]), (6, 6, [1.0, 2.0, 3.0]), (7, 7, [1.0, None]), (8, 8, [-1.0, 2.0])]
+    df = spark.createDataFrame(rows, "dish_id bigint, restaurant_id bigint, vec array<double>")
+    source = [1.0, 2.0]
+    old = N.cosine("vec", F.array(*[F.lit(v) for v in source]))
+    assert all(r.a == r.b for r in df.select(old.alias("a"), N.cosine_to("vec", source).alias("b")).collect())
+    assert {r.x for r in df.select(N.cosine_to("vec", [0.0, 0.0]).alias("x")).collect()} == {0.0, None}
+    dishes = spark.range(100).selectExpr("id as dish_id", "id % 9 as restaurant_id", "cast(200 + id * 13 % 607 as int) as a", "id * 7 % 41 / 1d as b", "id * 11 % 71 / 1d as c", "id * 17 % 31 / 1d as d")
+    dishes = dishes.withColumn("vec", N.macro_vector("a", "b", "c", "d"))
+    at = {"vec": [0.5, 0.5, 0.5, 0.5], "restaurant_id": 3}
+    every = R.similar(dishes, at, min_similarity=0.2, n=None)
+    assert "aggregate(" not in plan_of(every) and plan_of(every).count("SQRT") <= 12
+    want = sorted((-r.s, r.dish_id) for r in dishes.where("restaurant_id <> 3").select("dish_id", N.cosine("vec", F.array(*[F.lit(0.5)] * 4)).alias("s")).collect() if r.s > 0.2)
+    assert sorted((-r.similarity, r.dish_id) for r in every.collect()) == want and want
+    assert [r.dish_id for r in R.similar(dishes, at, min_similarity=0.2, n=7).collect()] == [d for _, d in want[:7]]

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from platewise.functions import numbers as N
+from platewise.operators import geo as G
 from platewise.operators import rank as R
 from platewise.sources import feeds as FE
 
@@ -37,3 +38,18 @@ def test_similar_writes_the_vector_once(spark):
     want = sorted((-r.s, r.dish_id) for r in dishes.where("restaurant_id <> 3").select("dish_id", N.cosine("vec", F.array(*[F.lit(0.5)] * 4)).alias("s")).collect() if r.s > 0.2)
     assert sorted((-r.similarity, r.dish_id) for r in every.collect()) == want and want
     assert [r.dish_id for r in R.similar(dishes, at, min_similarity=0.2, n=7).collect()] == [d for _, d in want[:7]]
+
+
+def test_geo_join_finds_a_distance_once_a_place(spark):
+    """A crowded cell of few places: rows of a place meet, and pairs come out whole."""
+    left = spark.range(400).selectExpr("id", "40.7 + id % 50 / 4000d as lat", "-74 + id % 7 / 3000d as lng")
+    right = spark.range(3000).selectExpr("id + 10000 as id", "40.7 + id % 5 / 900d as lat", "-74 + id % 3 / 700d as lng")
+    got = G.geo_join(left, right, 0.5, most=64, digits=6)
+    plan = plan_of(got)
+    assert plan.index("explode(right_ids") < plan.index("ASIN")  # ids come apart after the distance
+    pairs = left.selectExpr("id as l", "lat as la", "lng as ga").crossJoin(right.selectExpr("id as r", "lat as lb", "lng as gb")).withColumn("m", N.haversine("la", "ga", "lb", "gb")).where("m <= 0.5")
+    want = {(r.l, r.r): r.m for r in pairs.collect()}
+    rows = got.collect()
+    assert len(rows) == len(want) > 100_000 and all(abs(r.miles - want[r.left_id, r.right_id]) <= 5.1e-7 for r in rows)
+    places = G._places(right.selectExpr("id as right_id", "lat as rlat", "lng as rlng", "0L as grow", "0L as gcol", "0 as x", "0 as y"), 16).collect()
+    assert sorted(i for r in places for i in r.right_ids) == list(range(10000, 13000)) and max(len(r.right_ids) for r in places) < 64

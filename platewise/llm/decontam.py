@@ -2,11 +2,10 @@
 
 1. Passages are windows of words; their terms are weighted by TF-IDF over the benchmark's
    vocabulary, with document frequencies counted over all documents.
-2. A distributed randomised SVD gives the latent space: each task multiplies its sparse passages A
-   by a thin random matrix and sums A'(A W) over its rows; Spark adds the partial sums by term, and
-   the driver orthogonalises a matrix of (terms x dimensions). One power step follows. The fit sees
-   the benchmark's items and passages of at most about ``MAX_FIT_DOCS`` documents; all documents
-   are searched.
+2. A distributed randomised SVD gives the latent space, fitted on the term sets of all documents and on
+   the items: in the pass that counts document frequencies each task multiplies its sets A by a thin
+   random matrix and sums A'(A W) over its rows; Spark adds the partial sums by term, and the driver
+   gets the singular vectors from a matrix of (terms x dimensions) (Nystroem, one pass).
 3. Every passage of every document is projected and compared by cosine with all items of its length
    class; texts do not move.
 4. Candidates are verified on words, next to the text: the longest common subsequence must cover
@@ -19,8 +18,7 @@ all items.
 
 Items are dealt by hash into blocks of at most ``BLOCK_WORDS`` words, each with a latent space of its
 own, and blocks into groups of at most ``GROUP_WORDS`` words. All documents are read twice a group (term
-frequencies, search) and once for the sample; what is broadcast is bounded by a group. An item longer
-than a block is a block of its own.
+statistics, search); what is broadcast is bounded by a group. An item longer than a block is a block of its own.
 
 Defined results: one row for each pair of a document and an item that it leaks; documents without
 a leak have none. Null or empty texts and items without words match nothing; repeated rows of a
@@ -31,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -46,7 +44,6 @@ SHORT = 12
 SLICE = 1024  # windows compared at a time
 DIMS = 96
 OVERSAMPLE = 16
-MAX_FIT_DOCS = 2000
 MIN_COSINE = 0.5
 MIN_LCS = 0.6
 MIN_ANSWER = 0.5
@@ -134,90 +131,113 @@ def unit(v: np.ndarray, scaled: bool = True) -> np.ndarray:
     return v / max(float(np.linalg.norm(v)), 1e-12) if scaled else v
 
 
-def _frequencies(docs: DataFrame, group: list[Items]) -> tuple[dict[bytes, int], int]:
-    """In how many documents each term of a group occurs, and the number of documents."""
-    terms = sorted({t for items in group for t in items.terms})
-    index = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+def _test_matrix(items: Items, k: int, seed: int = 8) -> np.ndarray:
+    """A random matrix (terms x k), smaller where many items have a term, as the weights will be."""
+    held = np.zeros(len(items.terms))
+    for at, _ in items.rows():
+        held[at] += 1
+    w = np.random.default_rng(seed).standard_normal((len(items.terms), k), np.float32)
+    return w * np.log((len(items.words) + 1) / (held + 0.5)).astype(np.float32)[:, None]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = index.value
-        df, n = np.zeros(len(known), np.int64), 0
-        for pdf in batches:
-            n += len(pdf)
-            for text in pdf.text:
-                seen = known.keys() & set(words(text))
-                df[np.fromiter(map(known.__getitem__, seen), np.int64, len(seen))] += 1
-        at = np.flatnonzero(df)
-        yield pd.DataFrame({"term": np.append(at, -1), "df": np.append(df[at], n)})
 
-    rows = docs.select("text").mapInPandas(count, "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()
-    found = {r.term: r.df for r in rows}
-    return {t: found.get(i, 0) for i, t in enumerate(terms)}, found.get(-1, 0)
+def _width(items: Items, dims: int = DIMS) -> int:
+    return min(dims + OVERSAMPLE, len(items.terms))
 
 
-def _sample(docs: DataFrame, n_docs: int) -> DataFrame:
-    """Texts of about ``MAX_FIT_DOCS`` documents, by hash of the id."""
-    step = max(1, -(-n_docs // MAX_FIT_DOCS))
-    return docs.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(step)) == 0).select("text")
+def _times(w: np.ndarray, g: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+    """Add G W to ``g`` for the term sets of some documents, laid end to end; G sums b b' / |b| over the sets b.
 
+    The last column of ``g`` gets the diagonal of G.
+    """
+    ids, sizes = ids.astype(np.int64), sizes[sizes > 0]
+    for s, e in _slices(sizes):
+        first = int(sizes[:s].sum())
+        part, n = ids[first : first + int(sizes[s:e].sum())], sizes[s:e]
+        z = np.add.reduceat(w[part], np.cumsum(n) - n, axis=0) / n[:, None].astype(np.float32)
+        z = np.hstack([z, (1 / n)[:, None].astype(np.float32)])
+        order = np.argsort(part, kind="stable")
+        at, start = np.unique(part[order], return_index=True)
+        g[at] += np.add.reduceat(z[np.repeat(np.arange(e - s), n)[order]], start, axis=0)
 
-def _fit_passages(sample: DataFrame, items: Items, idf: np.ndarray, length: int = 32) -> DataFrame:
-    """Sparse unit TF-IDF rows (ids, vals) of the passages of a sample of documents."""
-    shared = sample.sparkSession.sparkContext.broadcast((items.index, idf))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, weight = shared.value
-        for pdf in batches:
-            rows = []
-            for text in pdf.text:
-                toks = words(text)
-                ids = np.fromiter(map(known.get, toks, repeat(-1)), np.int64, len(toks))
-                for s in range(0, len(ids), length):
-                    part = ids[s : s + length]
-                    at, tf = np.unique(part[part >= 0], return_counts=True)
-                    v = tf * weight[at]
-                    norm = np.linalg.norm(v)
-                    if norm > 0:
-                        rows.append((at.tolist(), (v / norm).tolist()))
-            yield pd.DataFrame(rows, columns=["ids", "vals"])
+def _slices(sizes: np.ndarray, most: int = SLICE * 8) -> Iterator[tuple[int, int]]:
+    """Runs of documents with about ``most`` terms."""
+    part = (np.cumsum(sizes) - sizes) // most
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    yield from zip(starts.tolist(), [*starts[1:].tolist(), len(sizes)])
 
-    return sample.mapInPandas(run, "ids array<int>, vals array<double>")
 
+def _statistics(docs: DataFrame, group: list[Items]) -> tuple[dict[bytes, int], int, DataFrame, str]:
+    """One pass over all documents: in how many each term of a group occurs, the number of documents, and
+    for each block (block, term, g) the rows of G W, stored, with the path of that table."""
+    terms = sorted({t for items in group for t in items.terms})
+    place = {t: i for i, t in enumerate(terms)}
+    own = []  # of each block: the place of a group's term among its own
+    for items in group:
+        at = np.full(len(terms), -1, np.int32)
+        at[[place[t] for t in items.terms]] = np.arange(len(items.terms))
+        own.append(at)
+    shared = docs.sparkSession.sparkContext.broadcast((place, own, group))
 
-def _times(passages: DataFrame, w: np.ndarray) -> np.ndarray:
-    """A'(A W) over the distributed rows of A."""
-    shared = passages.sparkSession.sparkContext.broadcast(w)
-    k = w.shape[1]
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, own, group = shared.value
+        ws = [_test_matrix(items, _width(items)) for items in group]
+        gs = [np.zeros((len(w), w.shape[1] + 1), np.float32) for w in ws]
+        df, n = np.zeros(len(known), np.int64), 0
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = shared.value
-        g = np.zeros_like(w)
-        for pdf in batches:
-            for ids, vals in zip(pdf.ids, pdf.vals):
-                g[ids] += np.outer(vals, vals @ w[ids])
-        at = np.flatnonzero(np.abs(g).sum(1))
-        if len(at):
-            yield pd.DataFrame({"term": at, "g": list(g[at])})
-
-    parts = passages.mapInPandas(run, "term int, g array<double>")
-    sums = parts.groupBy("term").agg(F.array(*[F.sum(F.col("g")[i]) for i in range(k)]).alias("g"))
-    out = np.zeros_like(w)
-    for r in sums.collect():  # terms of a block of items
-        out[r.term] = r.g
-    return out
+        def add(sets: list[np.ndarray]) -> None:
+            flat = np.concatenate(sets)
+            df[:] += np.bincount(flat, minlength=len(df))
+            doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            for w, g, at in zip(ws, gs, own):
+                ids = at[flat]
+                _times(w, g, ids[ids >= 0], np.bincount(doc[ids >= 0], minlength=len(sets)))
 
+        for pdf in batches:
+            n += len(pdf)
+            sets = []
+            for text in pdf.text:
+                seen = known.keys() & set(words(text))
+                sets.append(np.fromiter(map(known.__getitem__, seen), np.int64, len(seen)))
+            if sets:
+                add(sets)
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"block": -1, "term": np.append(at, -1), "df": np.append(df[at], n), "g": None})
+        for b, g in enumerate(gs):
+            at = np.flatnonzero(g[:, -1])
+            for s in range(0, len(at), SLICE):
+                yield pd.DataFrame({"block": b, "term": at[s : s + SLICE], "df": 0, "g": list(g[at[s : s + SLICE]].astype(float))})
+        release()
 
-def latent_space(passages: DataFrame, items: Items, idf: np.ndarray, dims: int = DIMS, seed: int = 8) -> np.ndarray:
-    """Right singular vectors (terms x dims) of the passages and, with equal total weight, the items."""
-    n = passages.count()
-    weight = max(1.0, n / max(1, len(items.words)))
-    k = min(dims + OVERSAMPLE, len(items.terms))
-    w = np.random.default_rng(seed).standard_normal((len(items.terms), k))
-    for _ in range(2):
-        q, _ = np.linalg.qr(w)
-        w = _times(passages, q) + weight * items.turned(items.times(q, idf), idf)
-    values, turn = np.linalg.eigh((q.T @ w + w.T @ q) / 2)
-    return q @ turn[:, np.argsort(-values)[: min(dims, k)]]
+    k = max(map(_width, group)) + 1
+    parts = docs.select("text").mapInPandas(count, "block int, term int, df bigint, g array<double>")
+    sums = parts.groupBy("block", "term").agg(F.sum("df").alias("df"), F.array(*[F.sum(F.get("g", i)) for i in range(k)]).alias("g"))
+    sums, path = keep(sums, "terms")
+    found = {r.term: r.df for r in sums.where("block = -1").select("term", "df").collect()}
+    return {t: found.get(i, 0) for i, t in enumerate(terms)}, found.get(-1, 0), sums, path
+
+
+def latent_space(sums: DataFrame, block: int, items: Items, idf: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    """Singular vectors (terms x dims) of all documents' weighted term sets and, with equal total weight, the items.
+
+    One pass suffices (Nystroem): M is S G S with the weights S, plus the items; of M W' with W' = W / S the
+    documents' part is S (G W), and M is nearly (M W') (W'' M W')^-1 (M W')'.
+    """
+    k = _width(items, dims)
+    g = np.zeros((len(items.terms), k + 1))
+    for r in sums.where(F.col("block") == block).select("term", "g").collect():  # terms of a block of items
+        g[r.term] = r.g[: k + 1]
+    w = _test_matrix(items, k) / idf[:, None]
+    weight = max(1.0, float(g[:, -1] @ idf**2)) / max(1, len(items.words))
+    y = g[:, :-1] * idf[:, None] + weight * items.turned(items.times(w, idf), idf)
+    q, r = np.linalg.qr(w)
+    y = np.linalg.solve(r.T, y.T).T if k else y  # M Q for orthonormal Q
+    shift = 1e-7 * max(float(np.linalg.norm(y)), 1e-12)  # sums are single numbers of 32 bits
+    y += shift * q
+    core = q.T @ y
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    left, size, _ = np.linalg.svd(y @ (turn / np.sqrt(np.maximum(values, shift))), full_matrices=False)
+    return left[:, : min(dims, k)]
 
 
 def _windows(lengths: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,7 +279,7 @@ class Block:
         if items.anchors:
             yield from self.exact(ids, toks)
         lengths = np.array([len(t) for t in toks])
-        flat = np.fromiter((known.get(w, -1) for t in toks for w in t), np.int64, int(lengths.sum()))
+        flat = np.fromiter(map(known.get, chain.from_iterable(toks), repeat(-1)), np.int64, int(lengths.sum()))
         base = np.cumsum(lengths) - lengths
         hits = np.flatnonzero(flat >= 0)
         if not len(hits):
@@ -358,24 +378,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS,
     """One row for each document and benchmark item that it leaks."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    found, sample, held = None, None, None
+    found = None
     for group in groups_of(benchmark, block_words, group_words):
-        df, n = _frequencies(docs, group)
-        if sample is None:
-            sample, held = keep(_sample(docs, n), "sample")
+        df, n, sums, path = _statistics(docs, group)
         blocks = []
-        for items in group:
+        for b, items in enumerate(group):
             counts = np.array([df[t] for t in items.terms], dtype=np.int64)
             items.anchor(counts)
             idf = np.log((n + 1) / (counts + 0.5)).clip(0)
-            passages, path = keep(_fit_passages(sample, items, idf), "passages")
-            blocks.append(Block(items, idf, latent_space(passages, items, idf)))
-            drop(spark, path)
+            blocks.append(Block(items, idf, latent_space(sums, b, items, idf)))
+        drop(spark, path)
         rows = search(docs, blocks)
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         return spark.createDataFrame([], SCHEMA)
-    drop(spark, held)
     best = F.max_by(F.struct("cosine", "lcs", "answer", "start"), F.struct("lcs", "cosine", F.negative("start"))).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 

@@ -386,3 +386,34 @@ def test_op8_finds_items_that_documents_hold(spark):
     got = {(r.doc_id, r.item_id) for r in registered.QUERIES["op8_decontam"](spark, sf).collect()}
     assert held and len(held & got) >= 0.98 * len(held)
     print(len(held), len(held & got), len(got))
+
+
+def test_latent_space_sees_every_document(spark):
+    """The sums of the one pass are those of all term sets, and the space is that of the whole matrix."""
+    import numpy as np
+
+    from platewise.llm import decontam as D
+
+    rng = np.random.default_rng(3)
+    topics = rng.permutation(240).reshape(6, 40)
+    text = lambda n: " ".join(f"w{k}" for k in rng.choice(topics[rng.integers(6)], n))
+    rows = [(i, text(25)) for i in range(5000)] + [(5000, None), (5001, ""), (5002, "none of them")]
+    items = D.Items([(i, text(20)) for i in range(30)])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    df, n, sums, _ = D._statistics(docs, [items])
+    b = np.zeros((len(rows), len(items.terms)))
+    for d, (_, t) in enumerate(rows):
+        b[d, [items.index[w] for w in set(D.words(t)) if w in items.index]] = 1
+    counts = np.array([df[t] for t in items.terms])
+    assert n == len(rows) and (counts == b.sum(0)).all()
+    g = b.T @ (b / np.maximum(b.sum(1, keepdims=True), 1))
+    got = np.zeros((len(items.terms), D._width(items) + 1))
+    for r in sums.where("block = 0").collect():
+        got[r.term] = r.g
+    assert np.allclose(got[:, -1], np.diag(g), rtol=1e-4) and np.allclose(got[:, :-1], g @ D._test_matrix(items, D._width(items)), rtol=1e-3, atol=1e-2)
+    idf = np.log((n + 1) / (counts + 0.5))
+    q = np.stack([D.unit(np.bincount([items.index[w] for w in ws], minlength=len(idf)) * idf) for ws in items.words])
+    m = idf[:, None] * g * idf + np.trace(idf[:, None] * g * idf) / len(q) * q.T @ q
+    space = D.latent_space(sums, 0, items, idf)
+    best = np.sort(np.linalg.eigvalsh(m))[::-1][: space.shape[1]].sum()
+    assert np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-6) and np.trace(space.T @ m @ space) > 0.95 * best

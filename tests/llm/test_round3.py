@@ -417,3 +417,14 @@ def test_latent_space_sees_every_document(spark):
     space = D.latent_space(sums, 0, items, idf)
     best = np.sort(np.linalg.eigvalsh(m))[::-1][: space.shape[1]].sum()
     assert np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-6) and np.trace(space.T @ m @ space) > 0.95 * best
+
+
+def test_running_sums_are_the_same_in_parts():
+    import numpy as np
+
+    from platewise.llm import decontam as D
+
+    rows = np.random.default_rng(1).standard_normal((1000, 7)).astype(np.float32)
+    want = np.vstack([np.zeros((1, 7), np.float32), np.cumsum(rows, axis=0)])
+    assert (D._running(rows.copy(), 64) == want).all() and (D._running(rows.copy(), 1000) == want).all()
+    assert D._running(rows[:0]).shape == (1, 7)

@@ -1,5 +1,12 @@
 """Tests of what the fourth review found."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from platewise.operators import blocks as B
+from platewise.operators import joins as J
 from platewise.plans import search as SE
 
 
@@ -10,3 +17,24 @@ def test_all_similar_names_are_candidates(spark):
     typed = spark.createDataFrame([(1, "zoup soup")], "id long, q string")
     got = [r.name for r in SE.suggest(dishes, typed).orderBy("place").collect()]
     assert got == [f"a soup of the day {i}" for i in range(5)]
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.3, 0.7])
+def test_the_most_alike_name_is_the_best_of_all_pairs(spark, monkeypatch, threshold):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 40)
+    rnd = random.Random(9)
+    name = lambda: "".join(rnd.choice("abc 1") for _ in range(rnd.randint(0, 9)))
+    left = spark.createDataFrame([(i, name()) for i in range(150)] + [(None, "abc"), (999, None)], "id long, name string")
+    right = spark.createDataFrame([(f"f{i}", name()) for i in range(200)] + [(None, "abc")], "id string, name string")
+    want = J.best_match(J.dice_join(left, right, threshold)).collect()
+    got = J.most_alike(left, right, threshold).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_unlike_names_shuffle_no_pairs(spark):
+    """Random names met by pairs of bigrams, which are a part of all pairs of names."""
+    dishes = spark.range(400).select("id", F.md5(F.col("id").cast("string")).alias("name"))
+    files = spark.range(400).select(F.concat(F.lit("img/"), F.md5(F.concat(F.lit("x"), "id")), F.lit(".jpg")).alias("file"), F.lit("-").alias("name"))
+    matched = J.match_photos(dishes, files)
+    assert matched.count() == 0
+    assert "xxhash64" not in matched._jdf.queryExecution().analyzed().toString()

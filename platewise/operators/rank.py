@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from platewise.functions.numbers import cosine_to, haversine
+from platewise.operators import blocks as B
 
 
 def goal_order(df: DataFrame, goal: str | None, limit: int) -> DataFrame:
@@ -134,24 +137,36 @@ def _best(p: np.ndarray, q: np.ndarray, pid: np.ndarray, qid: np.ndarray, k: int
 
 
 def _best_few(p: np.ndarray, q: np.ndarray, pid: np.ndarray, qid: np.ndarray, k: int) -> pd.DataFrame:
+    value, near = _top(p, q, pid, qid, k)
+    row, place = np.nonzero(value > -2)
+    return pd.DataFrame({"id": pid[row], "near": near[row, place], "similarity": value[row, place]})
+
+
+def _top(p: np.ndarray, q: np.ndarray, pid: np.ndarray, qid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities and ids of the ``k`` nearest of ``q``, a row for each of ``p``; -2 where there are fewer."""
+    values, nears = np.full((len(p), k), -2.0), np.zeros((len(p), k), qid.dtype)
     s = p @ q.T
     s[pid[:, None] == qid[None, :]] = -2
-    k = min(k, s.shape[1])
-    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    most = min(k, s.shape[1])
+    least = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most]
     row, col = np.nonzero(s >= least[:, None] - 1e-9)
     value, near = s[row, col], qid[col]
     order = np.lexsort((near, -np.round(value, 9), row))
     row, value, near = row[order], value[order], near[order]
-    first = np.searchsorted(row, row)  # where a row's candidates begin
-    keep = (np.arange(len(row)) - first < k) & (value > -2)
-    return pd.DataFrame({"id": pid[row[keep]], "near": near[keep], "similarity": value[keep]})
+    place = np.arange(len(row)) - np.searchsorted(row, row)  # from where a row's candidates begin
+    keep = (place < most) & (value > -2)
+    values[row[keep], place[keep]], nears[row[keep], place[keep]] = value[keep], near[keep]
+    return values, nears
 
 
-def _units(vectors: pd.Series) -> np.ndarray:
-    v = np.stack(vectors.to_numpy())
+def _unit_rows(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
+def _units(vectors: pd.Series) -> np.ndarray:
+    return _unit_rows(np.stack(vectors.to_numpy()))
+
+
 FOUND = "id bigint, near bigint, similarity double"
 
 
@@ -167,21 +182,69 @@ def _search_blocks(pairs_left: DataFrame, pairs_right: DataFrame, keys: list[str
     return top_k_per_group(found, ["id"], [F.round("similarity", 9).desc(), F.asc("near")], k)
 
 
-def similar_all(df: DataFrame, key: str, vector: str, k: int, block_rows: int = 4096) -> DataFrame:
+class _Nearest:
+    """The ``k`` nearest rows so far of each vector of a block."""
+
+    def __init__(self, row: dict, kind: type, k: int):
+        self.kind, self.k = kind, k
+        self.ids, self.v = self.vectors(row, "l")
+        self.value, self.near = np.full((len(self.ids), k), -2.0), np.zeros((len(self.ids), k), self.ids.dtype)
+
+    def vectors(self, row: dict, x: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = row[f"{x}_ids"].values.to_numpy(zero_copy_only=False)
+        return ids, _unit_rows(np.frombuffer(row[f"{x}_v"].as_buffer(), self.kind).reshape(len(ids), -1).astype(float))
+
+    def meet(self, row: dict) -> None:
+        ids, v = self.vectors(row, "r")
+        self.seek(np.arange(len(self.ids)), v, ids)
+
+    def seek(self, rows: np.ndarray, v: np.ndarray, ids: np.ndarray) -> None:
+        for i in range(0, len(rows), SLICE):
+            at = rows[i : i + SLICE]
+            value, near = _top(self.v[at], v, self.ids[at], ids, self.k)
+            value, near = np.hstack([self.value[at], value]), np.hstack([self.near[at], near])
+            order = np.lexsort((near, -np.round(value, 9)), axis=1)[:, : self.k]
+            if near.dtype != self.near.dtype:  # an id is missing
+                self.near = self.near.astype(near.dtype)
+            self.value[at], self.near[at] = np.take_along_axis(value, order, 1), np.take_along_axis(near, order, 1)
+
+    def found(self):
+        row, place = np.nonzero(self.value > -2)
+        ids = lambda x: pa.array(x, pa.int64(), from_pandas=True)
+        yield pa.RecordBatch.from_pydict({"id": ids(self.ids[row]), "near": ids(self.near[row, place]), "similarity": self.value[row, place]})
+
+
+def _vectors(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, type]:
+    """(id, v) of the rows that have a vector, and what numpy calls its numbers."""
+    single = isinstance(df.schema[vector].dataType.elementType, FloatType)
+    v = F.col(vector) if single else F.col(vector).cast("array<double>")
+    return df.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), v.alias("v")), np.float32 if single else np.float64
+
+
+def _packed(f: pd.DataFrame, kind: type) -> dict:
+    ids = [None if pd.isna(i) else int(i) for i in f["id"]]
+    return {"ids": [ids], "v": [np.stack(f["v"].to_numpy()).astype(kind).tobytes()]}
+
+
+def similar_all(df: DataFrame, key: str, vector: str, k: int, block_rows: int = B.BLOCK_ROWS) -> DataFrame:
     """The ``k`` nearest neighbours of every row by cosine, exact.
 
-    The vectors are dealt into blocks; every block of queries is multiplied with every block of rows by
-    numpy in one task, and only the best k of each query leave it. The work is all pairs, as an exact
-    answer needs, and each vector is sent to as many tasks as there are blocks; memory is that of two
-    blocks. For large tables take :func:`similar_by_lists`.
+    The vectors are dealt into blocks that lie in the shared folder. Every block of queries is multiplied with every block of rows by
+    numpy, and a task keeps the best k of each query. The work is all pairs, as an exact answer needs; a vector is
+    written once, and memory is that of two blocks. For large tables take :func:`similar_by_lists`.
     """
     n = max(1, -(-df.count() // block_rows))
-    block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), block.alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("b").alias("x"), every.alias("y"))
-    right = rows.select(F.col("id").alias("rid"), F.col("v").alias("rv"), every.alias("x"), F.col("b").alias("y"))
-    return _search_blocks(left, right, ["x", "y"], k)
+    rows, kind = _vectors(df, key, vector)
+
+    def pack(at: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [at[0]], **_packed(f, kind)})
+
+    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    blocks = B.stored(rows.groupBy(block.alias("block")).applyInPandas(pack, "block int, ids array<bigint>, v binary"), "vectors")
+    left = blocks.select("block", F.col("ids").alias("l_ids"), F.col("v").alias("l_v"))
+    right = blocks.select(F.col("ids").alias("r_ids"), F.col("v").alias("r_v"))
+    found = B.meet(left, right, lambda row: _Nearest(row, kind, k), FOUND)
+    return top_k_per_group(found, ["id"], [F.round("similarity", 9).desc(), F.asc("near")], k)
 
 
 def centres_of(v: np.ndarray, n: int, steps: int = 10, seed: int = 0) -> np.ndarray:

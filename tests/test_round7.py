@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from platewise.operators import blocks as B
 from platewise.operators import joins as J
+from platewise.operators import rank as R
 from platewise.plans import search as SE
 
 
@@ -38,3 +40,31 @@ def test_unlike_names_shuffle_no_pairs(spark):
     matched = J.match_photos(dishes, files)
     assert matched.count() == 0
     assert "xxhash64" not in matched._jdf.queryExecution().analyzed().toString()
+
+
+def vectors(spark, n=600, kind="double"):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((n, 8))
+    v[n // 2 :] = v[n // 2]  # half of the rows is one vector
+    return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], f"id long, v array<{kind}>")
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_vectors_of_all_blocks_meet_without_a_shuffle(spark, kind):
+    """Each vector was sent to as many tasks as there are blocks."""
+    df = vectors(spark, kind=kind)
+    v = np.array([r.v for r in df.orderBy("id").collect()])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(u @ u.T - 3 * np.eye(len(v)), 9)
+    want = {(i, int(j)) for i, row in enumerate(s) for j in np.lexsort((np.arange(len(row)), -row))[:4]}
+    exact = R.similar_all(df, "id", "v", 4, block_rows=70)
+    assert {(r.id, r.near) for r in exact.collect()} == want
+    assert "FlatMapCoGroupsInPandas" not in exact._jdf.queryExecution().analyzed().toString()
+
+
+def test_missing_and_repeated_ids_of_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = sorted((r.id, r.near) for r in R.similar_all(df, "id", "v", 3, block_rows=2).collect())
+    assert got == [(1, 2)] * 3 + [(2, 1)] * 3 + [(4, 1), (4, 1), (4, 2)]
+    assert R.similar_all(df.limit(0), "id", "v", 3).count() == 0

@@ -275,40 +275,66 @@ def probes_for(v: np.ndarray, centres: np.ndarray, k: int, recall: float, querie
     return int(np.quantile(needed, recall, method="higher")) + 1
 
 
-def similar_by_lists(df: DataFrame, key: str, vector: str, k: int, n_lists: int | None = None, recall: float = 0.95, max_sample: int = 20_000, block_rows: int = 4096) -> DataFrame:
+def nearest_centres(v: pd.Series, centres: np.ndarray, n: int) -> list[np.ndarray]:
+    """The ``n`` nearest centres of each vector, nearest first; the similarities of ``SLICE`` vectors are held at a time."""
+    parts = (_units(v.iloc[i : i + SLICE]) @ centres.T for i in range(0, len(v), SLICE))
+    return [row for s in parts for row in np.argsort(-s, axis=1, kind="stable")[:, :n].astype(np.int32)]
+
+
+class _NearestInLists(_Nearest):
+    """The same among the lists that each vector is sought in."""
+
+    def __init__(self, row: dict, kind: type, k: int):
+        super().__init__(row, kind, k)
+        bits = np.frombuffer(row["l_sought"].as_buffer(), np.uint8).reshape(len(self.ids), -1)
+        self.sought = np.unpackbits(bits, axis=1).astype(bool)
+
+    def meet(self, row: dict) -> None:
+        ids, v = self.vectors(row, "r")
+        homes = np.frombuffer(row["r_homes"].as_buffer(), np.int32)
+        for home in np.unique(homes):
+            of = homes == home
+            self.seek(np.flatnonzero(self.sought[:, home]), v[of], ids[of])
+
+
+def similar_by_lists(df: DataFrame, key: str, vector: str, k: int, n_lists: int | None = None, recall: float = 0.95, max_sample: int = 20_000, block_rows: int = B.BLOCK_ROWS) -> DataFrame:
     """The ``k`` nearest neighbours of every row by cosine, by an inverted file: approximate.
 
     Centres are fitted on at most ``max_sample`` rows (those of the least hash); every row is in the list
     of its nearest centre and is sought in as many of the nearest lists as hold the share ``recall`` of the
-    neighbours within that sample: few where vectors cluster, most where they are random. Lists of over
-    ``block_rows`` rows are searched in blocks, so a hot list is many tasks. A row is sent to the tasks of its
-    lists only.
+    neighbours within that sample: few where vectors cluster, most where they are random. Blocks of at most about
+    ``block_rows`` rows of lists that follow each other lie in the shared folder, once, and blocks meet where a row of one is sought
+    in a list of the other; a hot list is many blocks.
     """
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows, kind = _vectors(df, key, vector)
     n = rows.count()
     n_lists = n_lists or int(min(1024, max(1, n**0.5)))
     sample = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(max_sample).select("v").collect()]
     if not sample:
         return df.sparkSession.createDataFrame([], FOUND)
-    sample = _units(pd.Series(sample))
+    sample = _units(pd.Series([np.array(v, float) for v in sample]))
     found = centres_of(sample, n_lists)
     probes = min(len(found), probes_for(sample, found, k, recall))
     centres = df.sparkSession.sparkContext.broadcast(found)
+    runs = min(len(found), -(-n // block_rows))
+
+    @F.pandas_udf("int")
+    def home(v: pd.Series) -> pd.Series:
+        return pd.Series([x[0] for x in nearest_centres(v, centres.value, 1)], dtype="int32")
 
-    @F.pandas_udf("array<int>")
-    def nearest(v: pd.Series) -> pd.Series:
-        s = _units(v) @ centres.value.T
-        return pd.Series(np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32).tolist())
-
-    placed = rows.withColumn("lists", nearest("v"))
-    home = F.col("lists")[0]
-    sizes = placed.groupBy(home.alias("list")).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    sizes = F.broadcast(sizes)  # a row a list: 1024 at most
-    part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    right = placed.select("id", "v", home.alias("list")).join(sizes, "list").select(F.col("id").alias("rid"), F.col("v").alias("rv"), "list", part.alias("y"))
-    left = placed.select("id", "v", F.explode("lists").alias("list")).join(sizes, "list")
-    # a block of queries meets each block of the list's rows
-    x = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
-    left = left.select(F.col("id").alias("qid"), F.col("v").alias("qv"), "list", x.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
-    right = right.join(sizes, "list").select("rid", "rv", "list", "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
-    return _search_blocks(left, right, ["list", "x", "y"], k)
+    def pack(at: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        sought = np.zeros((len(f), len(centres.value)), bool)
+        np.put_along_axis(sought, np.stack(nearest_centres(f["v"], centres.value, probes)), True, axis=1)
+        held, asked = np.unique(f["home"]), np.flatnonzero(sought.any(0))
+        more = {"homes": [f["home"].to_numpy(np.int32).tobytes()], "held": [held.tolist()], "sought": [np.packbits(sought, axis=1).tobytes()], "asked": [asked.tolist()]}
+        return pd.DataFrame({"block": [f"{at[0]} {at[1]}"], **_packed(f, kind), **more})
+
+    placed = rows.withColumn("home", home("v")).withColumn("run", F.floor(F.col("home") * runs / len(found)).cast("int"))
+    sizes = placed.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    dealt = placed.join(F.broadcast(sizes), "run").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))  # a row a run: 1024 at most
+    schema = "block string, ids array<bigint>, v binary, homes binary, held array<int>, sought binary, asked array<int>"
+    blocks = B.stored(dealt.select("id", "v", "home", "run", "part").groupBy("run", "part").applyInPandas(pack, schema), "lists")
+    left = blocks.select("block", "asked", *[F.col(c).alias(f"l_{c}") for c in ("ids", "v", "sought")])
+    right = blocks.select("held", *[F.col(c).alias(f"r_{c}") for c in ("ids", "v", "homes")])
+    met = B.meet(left, right, lambda row: _NearestInLists(row, kind, k), FOUND, F.arrays_overlap("asked", "held"))
+    return top_k_per_group(met, ["id"], [F.round("similarity", 9).desc(), F.asc("near")], k)

@@ -59,7 +59,10 @@ def test_vectors_of_all_blocks_meet_without_a_shuffle(spark, kind):
     want = {(i, int(j)) for i, row in enumerate(s) for j in np.lexsort((np.arange(len(row)), -row))[:4]}
     exact = R.similar_all(df, "id", "v", 4, block_rows=70)
     assert {(r.id, r.near) for r in exact.collect()} == want
-    assert "FlatMapCoGroupsInPandas" not in exact._jdf.queryExecution().analyzed().toString()
+    listed = R.similar_by_lists(df, "id", "v", 4, n_lists=9, recall=1.0, block_rows=70)
+    assert len({(r.id, r.near) for r in listed.collect()} & want) > 0.97 * len(want)
+    for found in (exact, listed):
+        assert "FlatMapCoGroupsInPandas" not in found._jdf.queryExecution().analyzed().toString()
 
 
 def test_missing_and_repeated_ids_of_vectors(spark):

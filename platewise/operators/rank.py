@@ -186,13 +186,14 @@ class _Nearest:
     """The ``k`` nearest rows so far of each vector of a block."""
 
     def __init__(self, row: dict, kind: type, k: int):
-        self.kind, self.k = kind, k
-        self.ids, self.v = self.vectors(row, "l")
+        self.k = k
+        self.ids, self.v = self.vectors(row, "l", kind)
         self.value, self.near = np.full((len(self.ids), k), -2.0), np.zeros((len(self.ids), k), self.ids.dtype)
 
-    def vectors(self, row: dict, x: str) -> tuple[np.ndarray, np.ndarray]:
-        ids = row[f"{x}_ids"].values.to_numpy(zero_copy_only=False)
-        return ids, _unit_rows(np.frombuffer(row[f"{x}_v"].as_buffer(), self.kind).reshape(len(ids), -1).astype(float))
+    def vectors(self, row: dict, x: str, kind: type | None = None) -> tuple[np.ndarray, np.ndarray]:
+        ids, numbers = row[f"{x}_ids"].values.to_numpy(zero_copy_only=False), row[f"{x}_v"].as_buffer()
+        kind = kind or {4: np.float32, 8: np.float64}[numbers.size // (len(ids) * self.v.shape[1])]  # vectors are of one length
+        return ids, _unit_rows(np.frombuffer(numbers, kind).reshape(len(ids), -1).astype(float))
 
     def meet(self, row: dict) -> None:
         ids, v = self.vectors(row, "r")
@@ -281,6 +282,15 @@ def nearest_centres(v: pd.Series, centres: np.ndarray, n: int) -> list[np.ndarra
     return [row for s in parts for row in np.argsort(-s, axis=1, kind="stable")[:, :n].astype(np.int32)]
 
 
+def sought_lists(units: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of the centres is among the ``n`` nearest of each vector."""
+    out = np.zeros((len(units), len(centres)), bool)
+    for i in range(0, len(units), SLICE):
+        near = np.argsort(-(units[i : i + SLICE] @ centres.T), axis=1, kind="stable")[:, :n]
+        np.put_along_axis(out[i : i + SLICE], near, True, axis=1)
+    return out
+
+
 class _NearestInLists(_Nearest):
     """The same among the lists that each vector is sought in."""
 
@@ -323,8 +333,7 @@ def similar_by_lists(df: DataFrame, key: str, vector: str, k: int, n_lists: int
         return pd.Series([x[0] for x in nearest_centres(v, centres.value, 1)], dtype="int32")
 
     def pack(at: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        sought = np.zeros((len(f), len(centres.value)), bool)
-        np.put_along_axis(sought, np.stack(nearest_centres(f["v"], centres.value, probes)), True, axis=1)
+        sought = sought_lists(_units(f["v"]), centres.value, probes)
         held, asked = np.unique(f["home"]), np.flatnonzero(sought.any(0))
         more = {"homes": [f["home"].to_numpy(np.int32).tobytes()], "held": [held.tolist()], "sought": [np.packbits(sought, axis=1).tobytes()], "asked": [asked.tolist()]}
         return pd.DataFrame({"block": [f"{at[0]} {at[1]}"], **_packed(f, kind), **more})

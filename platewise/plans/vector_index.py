@@ -7,9 +7,9 @@ that a query meets do not. The rows lie in folders by cell, sorted by list insid
 centres that are there.
 
 A query looks into the nearest lists of the nearest cells, as many of both as :func:`probes_of` finds to be
-needed: it compares the index with an exact search of all rows for a sample of queries. Lists longer than
-``BLOCK_ROWS`` (copies of one vector cannot be parted by centres), and lists that more queries than that look into, are
-searched in blocks, with none left out.
+needed: it compares the index with an exact search of all rows for a sample of queries. For a search the rows of
+each cell and the queries lie in blocks of about ``BLOCK_ROWS`` in the shared folder, once each, and meet there; none are left out,
+and no vector is sent to the cells or lists that it is sought in.
 
 Defined results: rows with a null key or vector are not indexed and find nothing; keys must be unique, and a key that is
 stored is not added again; vectors of zeros have similarity 0 with all; an empty table gives an empty index, to which
@@ -26,7 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from platewise.operators.rank import FOUND, SLICE, _search_blocks, _units, centres_of
+from platewise.operators import blocks as B
+from platewise.operators.rank import FOUND, _Nearest, _packed, _units, centres_of, nearest_centres, sought_lists, top_k_per_group
+from platewise.operators.rank import _search_blocks as _search_all
 
 LIST_ROWS = 1000
 MAX_CELLS = 1024
@@ -58,19 +60,13 @@ def _rows(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
 
 
-def _nearest(v: pd.Series, centres: np.ndarray, n: int) -> list[np.ndarray]:
-    """The ``n`` nearest centres of each vector, nearest first; the similarities of ``SLICE`` vectors are held at a time."""
-    parts = (_units(v.iloc[i : i + SLICE]) @ centres.T for i in range(0, len(v), SLICE))
-    return [row for s in parts for row in np.argsort(-s, axis=1, kind="stable")[:, :n].astype(np.int32)]
-
-
 def _with_cells(rows: DataFrame, cells: np.ndarray, n: int = 1) -> DataFrame:
     """``rows`` with an array of their ``n`` nearest cells."""
     shared = rows.sparkSession.sparkContext.broadcast(cells)  # at most MAX_CELLS rows
 
     @F.pandas_udf("array<int>")
     def nearest(v: pd.Series) -> pd.Series:
-        return pd.Series(_nearest(v, shared.value, n))
+        return pd.Series(nearest_centres(v, shared.value, n))
 
     return rows.withColumn("cells", nearest("v"))
 
@@ -86,7 +82,7 @@ def _with_lists(rows: DataFrame, lists: DataFrame, n: int = 1) -> DataFrame:
             return rows.iloc[:0][["id", "v", "cell"]].assign(lists=pd.Series(dtype=object))
         lists = lists.sort_values("list")
         which = lists["list"].to_numpy()
-        found = _nearest(rows["v"], np.stack(lists["centre"].to_numpy()), n)
+        found = nearest_centres(rows["v"], np.stack(lists["centre"].to_numpy()), n)
         return rows[["id", "v", "cell"]].assign(lists=[which[x] for x in found])
 
     rows = rows.join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
@@ -145,32 +141,88 @@ def add(index: Index, df: DataFrame, key: str, vector: str) -> None:
     _with_lists(placed, index.lists()).sortWithinPartitions("cell", "list", "id").write.mode("append").partitionBy("cell").parquet(f"{index.path}/rows")
 
 
-def search(index: Index, queries: DataFrame, key: str, vector: str, k: int, probes: int) -> DataFrame:
-    """(id, near, similarity): the ``k`` nearest indexed rows, but itself, of every query, by cosine.
+class _NearestInCells(_Nearest):
+    """The nearest rows so far of each query of a block, among the lists that it is sought in."""
+
+    def __init__(self, row: dict, kind: type, k: int):
+        super().__init__(row, kind, k)
+        self.cells = np.frombuffer(row["l_cells"].as_buffer(), np.int32).reshape(len(self.ids), -1)
+        self.probes = row["probes"].as_py()
+
+    def meet(self, row: dict) -> None:
+        mine = np.flatnonzero((self.cells == row["cell"].as_py()).any(1))
+        if not len(mine):
+            return
+        ids, v = self.vectors(row, "r")
+        centres = np.frombuffer(row["r_centres"].as_buffer()).reshape(-1, v.shape[1])
+        homes = np.frombuffer(row["r_homes"].as_buffer(), np.int32)
+        sought = sought_lists(self.v[mine], centres, self.probes)
+        for home in np.unique(homes):
+            of = homes == home
+            self.seek(mine[sought[:, home]], v[of], ids[of])
+
+
+def _kind(df: DataFrame, vector: str) -> type:
+    return np.float32 if df.schema[vector].dataType.simpleString() == "array<float>" else np.float64
+
+
+def _numbers(df: DataFrame, vector: str) -> DataFrame:
+    """Vectors of other numbers than floats as doubles."""
+    return df if _kind(df, vector) == np.float32 else df.withColumn(vector, F.col(vector).cast("array<double>"))
 
-    A query looks into the ``probes`` nearest lists of each of its ``probes`` nearest cells.
-    """
-    if not len(index.cells):
-        return index.spark.createDataFrame([], FOUND)
-    asked = _with_cells(_rows(queries, key, vector), index.cells, probes).select("id", "v", F.explode("cells").alias("cell"))
-    asked = _with_lists(asked, index.lists(), probes)
-    rows, by = index.rows(), ["cell", "list"]
 
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        """The lists that more than a block of ``df``'s rows belong to; the others are one block."""
-        return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name)).where(F.col(name) > 1)
+def blocks(index: Index) -> DataFrame:
+    """The rows of the index, packed into blocks of a cell with the centres of its lists."""
+    rows = _numbers(index.rows(), "v")
+    kind = _kind(rows, "v")
+    parts = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts")))  # a row a cell
+    dealt = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts")).cast("int"))
+    every = index.lists().join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
-    long = parts(rows, "blocks").join(parts(asked, "crowds"), by, "full_outer")
+    def pack(rows: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or lists.empty:
+            return pd.DataFrame({"cell": [], "ids": [], "v": [], "homes": [], "centres": []})
+        lists = lists.sort_values("list")
+        homes = np.searchsorted(lists["list"].to_numpy(), rows["list"].to_numpy()).astype(np.int32)
+        return pd.DataFrame({"cell": [rows["cell"].iloc[0]], **_packed(rows, kind), "homes": [homes.tobytes()], "centres": [np.stack(lists["centre"].to_numpy()).astype(float).tobytes()]})
+
+    by = ["cell", "part"]
+    packed = dealt.select("id", "v", "list", *by).groupBy(*by).cogroup(every.select("list", "centre", *by).groupBy(*by))
+    return B.stored(packed.applyInPandas(pack, "cell int, ids array<bigint>, v binary, homes binary, centres binary"), "cells")
+
+
+def _search_blocks(left: DataFrame, right: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The best ``k`` of each query: ``left`` has qid, qv, cells and probes, and a block for each value of ``by``; ``right`` is that of :func:`blocks`."""
+    left = _numbers(left, "qv")
+    kind = _kind(left, "qv")
+
+    def pack(at: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        cells = np.stack(f["cells"].to_numpy()).astype(np.int32)
+        more = {"cells": [cells.tobytes()], "asked": [np.unique(cells).tolist()], "probes": [f["probes"].iloc[0]]}
+        return pd.DataFrame({"block": [" ".join(map(str, at))], **_packed(f.rename(columns={"qid": "id", "qv": "v"}), kind), **more})
 
-    def dealt(df: DataFrame, own: str, mine: str, other: str, theirs: str, seed: int) -> DataFrame:
-        """Every row in one part of its own side and in all parts of the other side."""
-        df = df.join(long, by, "left").withColumn(own, F.pmod(F.xxhash64("id", F.lit(seed)), F.coalesce(mine, F.lit(1))).cast("int"))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(theirs, F.lit(1)) - 1)))
+    packed = left.groupBy(*by).applyInPandas(pack, "block string, ids array<bigint>, v binary, cells binary, asked array<int>, probes int")
+    queries = B.stored(packed, "queries").select("block", "asked", "probes", *[F.col(c).alias(f"l_{c}") for c in ("ids", "v", "cells")])
+    rows = right.select("cell", *[F.col(c).alias(f"r_{c}") for c in ("ids", "v", "homes", "centres")])
+    met = B.meet(queries, rows, lambda row: _NearestInCells(row, kind, k), FOUND, F.array_contains("asked", F.col("cell")))
+    return top_k_per_group(met, ["id"], [F.round("similarity", 9).desc(), F.asc("near")], k)
 
-    v = F.col("v").cast("array<double>")
-    left = dealt(asked, "x", "crowds", "y", "blocks", 1).select(F.col("id").alias("qid"), v.alias("qv"), *by, "x", "y")
-    right = dealt(rows, "y", "blocks", "x", "crowds", 2).select(F.col("id").alias("rid"), v.alias("rv"), *by, "x", "y")
-    return _search_blocks(left, right, [*by, "x", "y"], k)
+
+def search(index: Index, queries: DataFrame, key: str, vector: str, k: int, probes: int, held: DataFrame | None = None) -> DataFrame:
+    """(id, near, similarity): the ``k`` nearest indexed rows, but itself, of every query, by cosine.
+
+    A query looks into the ``probes`` nearest lists of each of its ``probes`` nearest cells. ``held`` is :func:`blocks` of the index, if there already.
+    """
+    if not len(index.cells):
+        return index.spark.createDataFrame([], FOUND)
+    rows = _rows(queries, key, vector)
+    # a block holds the queries of neighbouring cells
+    runs = max(1, min(len(index.cells), -(-rows.count() // BLOCK_ROWS)))
+    asked = _with_cells(rows, index.cells, probes).withColumn("run", F.floor(F.col("cells")[0] * runs / len(index.cells)).cast("int"))
+    crowds = F.broadcast(asked.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("crowds")))  # at most a row a cell
+    asked = asked.join(crowds, "run").withColumn("x", F.pmod(F.xxhash64("id", F.lit(1)), F.col("crowds")).cast("int"))
+    left = asked.select(F.col("id").alias("qid"), F.col("v").alias("qv"), "cells", F.lit(probes).alias("probes"), "run", "x")
+    return _search_blocks(left, held or blocks(index), ["run", "x"], k)
 
 
 def probes_of(index: Index, k: int, recall: float = 0.95, queries: int = 200) -> int:
@@ -183,9 +235,10 @@ def probes_of(index: Index, k: int, recall: float = 0.95, queries: int = 200) ->
     n = max(1, -(-rows.count() // BLOCK_ROWS))
     left = asked.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("y"))
     right = rows.select(F.col("id").alias("rid"), F.col("v").cast("array<double>").alias("rv"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("y"))
-    exact = {(r.id, r.near) for r in _search_blocks(left, right, ["y"], k).collect()}  # queries x k
+    exact = {(r.id, r.near) for r in _search_all(left, right, ["y"], k).collect()}  # queries x k
+    held = blocks(index)
     for p in STEPS:
-        found = {(r.id, r.near) for r in search(index, asked, "id", "v", k, p).select("id", "near").collect()}
+        found = {(r.id, r.near) for r in search(index, asked, "id", "v", k, p, held).select("id", "near").collect()}
         if len(exact & found) >= recall * len(exact) or p >= max(len(index.cells), MAX_LISTS):
             return p
     return STEPS[-1]

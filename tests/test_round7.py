@@ -10,6 +10,7 @@ from platewise.operators import blocks as B
 from platewise.operators import joins as J
 from platewise.operators import rank as R
 from platewise.plans import search as SE
+from platewise.plans import vector_index as V
 
 
 def test_all_similar_names_are_candidates(spark):
@@ -71,3 +72,20 @@ def test_missing_and_repeated_ids_of_vectors(spark):
     got = sorted((r.id, r.near) for r in R.similar_all(df, "id", "v", 3, block_rows=2).collect())
     assert got == [(1, 2)] * 3 + [(2, 1)] * 3 + [(4, 1), (4, 1), (4, 2)]
     assert R.similar_all(df.limit(0), "id", "v", 3).count() == 0
+
+
+def test_queries_of_an_index_are_written_once(spark, tmp_path, monkeypatch):
+    """A query was sent to each list of each cell that it looks into."""
+    monkeypatch.setattr(V, "BLOCK_ROWS", 60)
+    df = vectors(spark, 500)
+    index = V.build(df, "id", "v", str(tmp_path / "v"), list_rows=20)
+    assert len(index.cells) > 3 and index.lists().count() > 10
+    held = V.blocks(index)
+    exact = {(r.id, r.near) for r in R.similar_all(df, "id", "v", 3).collect()}
+    found = V.search(index, df, "id", "v", 3, 1024, held)
+    assert {(r.id, r.near) for r in found.collect()} == exact
+    assert "FlatMapCoGroupsInPandas" not in found._jdf.queryExecution().analyzed().toString()
+    few = V.search(index, df.where("id < 5").withColumn("v", F.col("v").cast("array<float>")), "id", "v", 3, 1024, held)
+    assert {(r.id, r.near) for r in few.collect()} == {(i, j) for i, j in exact if i < 5}
+    one = V.search(index, df, "id", "v", 3, 1, held)
+    assert one.count() and {r.id for r in one.collect()} <= set(range(500))

@@ -1147,15 +1147,21 @@ def trailing_counts(spark, sf_dir):
     return L.trailing_counts(e, ["user_id", "event_type"], 12 * 3600).select("event_id", "n")
 
 
+def recalled(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """Whether nine of ten pairs (id, near) were found, and the number of ids; the exact search is done once."""
+    shared = found.groupBy("id", "near").agg(F.count(F.lit(1)).alias("k"))
+    both = exact.select("id", "near").join(shared, ["id", "near"], "left")
+    out = both.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.count(F.lit(1)).alias("all"), F.count_distinct("id").alias("n"))
+    return out.select((F.col("k") >= 0.9 * F.col("all")).alias("recalled"), "n")
+
+
 @query("nearest_by_lists", "select true as recalled, count(*) as n from embeddings")
 def nearest_by_lists(spark, sf_dir):
     """Whether the index finds at least nine of ten of the five nearest vectors of every row."""
     e = FE.load(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     exact = R.similar_all(e, "vec_id", "embedding", 5)
     found = R.similar_by_lists(e, "vec_id", "embedding", 5)
-    shared = exact.select("id", "near").join(found.select("id", "near"), ["id", "near"]).agg(F.count(F.lit(1)).alias("k"))
-    n = exact.agg(F.count(F.lit(1)).alias("all"), F.count_distinct("id").alias("n"))
-    return n.crossJoin(shared).select((F.col("k") >= 0.9 * F.col("all")).alias("recalled"), "n")  # a row each
+    return recalled(exact, found)
 
 
 @query("nearest_by_index", "select true as recalled, count(*) as n from embeddings")
@@ -1165,6 +1171,4 @@ def nearest_by_index(spark, sf_dir):
     index = V.build(e, "vec_id", "embedding", stored_path(spark, "vectors", f"{sf_dir} {uuid.uuid4()}"), list_rows=100)
     found = V.search(index, e, "vec_id", "embedding", 5, V.probes_of(index, 5))
     exact = R.similar_all(e, "vec_id", "embedding", 5)
-    shared = exact.select("id", "near").join(found.select("id", "near"), ["id", "near"]).agg(F.count(F.lit(1)).alias("k"))
-    n = exact.agg(F.count(F.lit(1)).alias("all"), F.count_distinct("id").alias("n"))
-    return n.crossJoin(shared).select((F.col("k") >= 0.9 * F.col("all")).alias("recalled"), "n")  # a row each
+    return recalled(exact, found)

@@ -11,6 +11,7 @@ from platewise.operators import joins as J
 from platewise.operators import rank as R
 from platewise.plans import search as SE
 from platewise.plans import vector_index as V
+from platewise.upkeep_queries import recalled
 
 
 def test_all_similar_names_are_candidates(spark):
@@ -89,3 +90,15 @@ def test_queries_of_an_index_are_written_once(spark, tmp_path, monkeypatch):
     assert {(r.id, r.near) for r in few.collect()} == {(i, j) for i, j in exact if i < 5}
     one = V.search(index, df, "id", "v", 3, 1, held)
     assert one.count() and {r.id for r in one.collect()} <= set(range(500))
+
+
+def test_recall_needs_one_exact_search(spark):
+    """The exact search stood twice in the plan, for the pairs and for their number."""
+    of = lambda rows: spark.createDataFrame(rows, "id long, near long")
+    exact = of([(i, i + j) for i in range(20) for j in (1, 2)])
+    for found, hit in ((exact, True), (exact.where("id < 18"), True), (exact.where("id < 17"), False), (exact.limit(0), False)):
+        got = recalled(exact, found)
+        assert [tuple(r) for r in got.collect()] == [(hit, 20)]
+    assert [tuple(r) for r in recalled(exact.limit(0), exact).collect()] == [(True, 0)]
+    searched = recalled(exact.mapInArrow(lambda batches: batches, exact.schema), exact.where("id < 18"))
+    assert searched._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
